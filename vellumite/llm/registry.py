@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import block_names, chat, mixing, sharding, simhash, token_files
+from . import block_names, chat, decontaminate, lattice_lm, license_scan, mixing, quality, sharding, simhash, token_files
 
-_MODULES = (token_files, chat, block_names, simhash, mixing, sharding)
+_MODULES = (token_files, chat, lattice_lm, decontaminate, block_names, license_scan, simhash, quality, mixing, sharding)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
