@@ -93,3 +93,8 @@ def with_position(ordered: DataFrame, name: str) -> DataFrame:
     totals = table.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     bases = totals.selectExpr("_pid", "coalesce(sum(_n) over (order by _pid rows between unbounded preceding and 1 preceding), 0) as _base")
     return table.join(bases, "_pid").withColumn("position", F.col("_base") + F.col("_row")).drop("_base", "_row", "_pid")
+
+
+def new_pipeline_folder(spark: SparkSession) -> str:
+    """A folder for stage results; :func:`release` leaves it alone."""
+    return f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex[:12]}"
