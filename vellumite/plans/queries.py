@@ -1,7 +1,324 @@
-"""All queries of the library by name, with their SQL."""
+"""All queries of the library by name, with SQL that says what each must return.
+
+Queries over PDFs read files planted from ``documents`` (:mod:`planter`), whose
+content follows from each row by arithmetic; so their SQL knows nothing of PDFs.
+Parsing, inspecting and cleaning a planted corpus is done once a session and
+table folder, and shared by the queries over it.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import sizes
+from ..operators import inspect as I
+from ..operators import reach, sanitize, strip, write
+from ..sources import planter
+
 FLAGSHIP = "q03_document_info"
-QUERIES: dict = {}
-ORACLES: dict = {}
+_shared: dict[tuple, object] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def once(spark: SparkSession, sf_dir: str, what: str, make):
+    key = (spark.sparkContext.applicationId, sf_dir, what)
+    if key not in _shared:
+        _shared[key] = make()
+    return _shared[key]
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planter.plant(table(spark, sf_dir, "documents"))
+
+
+def seen(spark: SparkSession, sf_dir: str) -> sanitize.Inspection:
+    return once(spark, sf_dir, "seen", lambda: cleaned(spark, sf_dir).before)
+
+
+def cleaned(spark: SparkSession, sf_dir: str, level: int = 0) -> sanitize.Cleaned:
+    return once(spark, sf_dir, f"cleaned {level}", lambda: sanitize.sanitize(files(spark, sf_dir), level=level))
+
+
+def q01_status(spark, sf_dir):
+    return cleaned(spark, sf_dir).status.select("doc_id", "error_code")
+
+
+def q02_outcome_counts(spark, sf_dir):
+    return sanitize.outcomes(cleaned(spark, sf_dir).status)
+
+
+def q03_document_info(spark, sf_dir):
+    return seen(spark, sf_dir).findings.where("ord < 100").select("doc_id", "label", "value")
+
+
+def q04_custom_info(spark, sf_dir):
+    return seen(spark, sf_dir).findings.where("ord between 100 and 999").select("doc_id", "label", "value")
+
+
+def q05_page_count(spark, sf_dir):
+    return seen(spark, sf_dir).status.where("error_code is null").select("doc_id", "pages")
+
+
+def q06_flags(spark, sf_dir):
+    return seen(spark, sf_dir).facts.select("doc_id", "has_info", "has_id", "catalog_xmp", "other_xmp", "piece_info", "script", "attachments", "profiles", "signed")
+
+
+def q07_annotation_counts(spark, sf_dir):
+    return seen(spark, sf_dir).facts.select("doc_id", F.col("annotations").alias("n"))
+
+
+def q08_inventory(spark, sf_dir):
+    return seen(spark, sf_dir).inventory.select("doc_id", "image_bytes", "metadata_bytes", "other_bytes", "recompressible_bytes")
+
+
+def q09_findings_all(spark, sf_dir):
+    return seen(spark, sf_dir).findings.select("doc_id", "ord", "category", "label", "value")
+
+
+def q10_residuals(spark, sf_dir):
+    return seen(spark, sf_dir).residuals
+
+
+def q11_reachable(spark, sf_dir):
+    nodes = seen(spark, sf_dir).tables.nodes
+    kept = reach.sweep(strip.strip(nodes, sanitize.DEFAULT.__class__(images=False, new_file_id=False)))
+    return kept.where("obj >= 0 and node_id = 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"))
+
+
+def q12_graph_closure(spark, sf_dir):
+    nation, customer, orders = (table(spark, sf_dir, t) for t in ("nation", "customer", "orders"))
+    down = nation.selectExpr("cast(n_regionkey as long) as src", "1000L + n_nationkey as dst")
+    down = down.union(customer.selectExpr("1000L + c_nationkey", "1000000L + c_custkey")).union(orders.selectExpr("1000000L + o_custkey", "1000000000L + o_orderkey"))
+    both = down.union(customer.selectExpr("1000000L + c_custkey", "1000L + c_nationkey"))
+    regions = table(spark, sf_dir, "region").selectExpr("cast(r_regionkey as long) as doc_id")
+    return reach.closure(regions.crossJoin(both.distinct()), regions.selectExpr("doc_id", "doc_id as node"))
+
+
+def q13_newest_wins(spark, sf_dir):
+    ranked = table(spark, sf_dir, "events").selectExpr("*", "row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as rank")
+    return ranked.where("rank = 1").select("user_id", "event_type", "event_id", "ts", "value")
+
+
+def q14_sweep_semi(spark, sf_dir):
+    late = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select("l_orderkey")
+    orders = table(spark, sf_dir, "orders")
+    return orders.join(late, orders.o_orderkey == late.l_orderkey, "left_semi").select("o_orderkey", "o_custkey")
+
+
+def q15_report_anti(spark, sf_dir):
+    customer, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
+    return customer.join(orders, customer.c_custkey == orders.o_custkey, "left_anti").select("c_custkey", "c_mktsegment")
+
+
+def q16_running_offsets(spark, sf_dir):
+    parts = table(spark, sf_dir, "conversations").selectExpr("conv_id as doc_id", "turn as obj", "cast(text as binary) as body")
+    return write.offsets(parts, 0).selectExpr("doc_id", "obj as turn", "offset as start")
+
+
+def q17_gap_fill(spark, sf_dir):
+    placed = table(spark, sf_dir, "lineitem").where("l_quantity > 25").groupBy("l_orderkey", "l_linenumber").agg(F.lit(1).alias("offset"))
+    slots = write.gaps(placed.selectExpr("l_orderkey as doc_id", "cast(l_linenumber as long) as obj", "offset", "0 as gen"))
+    return slots.selectExpr("doc_id", "obj", "offset is null as free")
+
+
+def synthetic_inventory(spark, sf_dir):
+    """An inventory by arithmetic, for the estimator alone."""
+    return table(spark, sf_dir, "documents").selectExpr("doc_id", "(doc_id % 7) * n_chars * 9 as image_bytes", "(doc_id % 3) * 64 as metadata_bytes", "n_chars as other_bytes", "case when doc_id % 2 = 0 then (doc_id % 7) * n_chars * 9 else 0L end as recompressible_bytes", "n_chars * 70 + 1000 as file_bytes")
+
+
+def q18_estimate_levels(spark, sf_dir):
+    return sizes.estimates(synthetic_inventory(spark, sf_dir)).select("doc_id", "level", "bytes_low", "bytes_high", "confidence")
+
+
+def q19_size_label(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", sizes.size_label(F.col("n_chars") * F.expr("power(10, doc_id % 6)").cast("long")).alias("label"))
+
+
+def q20_clean_findings(spark, sf_dir):
+    return cleaned(spark, sf_dir).after.findings.select("doc_id", "label")
+
+
+def q21_report(spark, sf_dir):
+    rows = sanitize.report(cleaned(spark, sf_dir))
+    return rows.selectExpr("doc_id", "coalesce(size(removed), 0) as removed_n", "replaced_file_id as replaced_id", "coalesce(size(left_behind), 0) as left_n", "coalesce(size(still_present), 0) as kept_n", "message")
+
+
+def q22_page_bytes_sha(spark, sf_dir):
+    after = cleaned(spark, sf_dir).after.tables.nodes
+    content = after.where("depth = 1 and key = 'Contents' and kind = 'ref'").selectExpr("doc_id", "ref_obj as obj")
+    streams = after.where("node_id = 0 and kind = 'stream'").join(content, ["doc_id", "obj"])
+    return streams.select("doc_id", F.sha2("bytes_val", 256).alias("sha")).groupBy("doc_id", "sha").agg(F.count(F.lit(1)).alias("pages"))
+
+
+def q23_flate_packed(spark, sf_dir):
+    return sanitize.report(cleaned(spark, sf_dir, 1), 1).select("doc_id", "streams_packed", "bytes_before", "bytes_after", "message")
+
+
+def q24_jpeg_scrub(spark, sf_dir):
+    fixed = strip.images_with_metadata(seen(spark, sf_dir).tables.nodes)
+    return fixed.selectExpr("doc_id", "octet_length(payload) as bytes_after")
+
+
+def q25_summary_lines(spark, sf_dir):
+    return sanitize.summary(seen(spark, sf_dir))
+
+
+def q26_error_text(spark, sf_dir):
+    return cleaned(spark, sf_dir).status.where("error_code is not null").select("doc_id", sanitize.error_text(F.col("error_code")).alias("text"))
+
+
+def q27_estimate_text(spark, sf_dir):
+    rows = sizes.estimate_text(sizes.estimates(synthetic_inventory(spark, sf_dir)))
+    original = synthetic_inventory(spark, sf_dir).select("doc_id", "file_bytes")
+    return rows.join(original, "doc_id").select("doc_id", "level", "bytes_mid", "caption", sizes.savings(F.col("file_bytes"), F.col("bytes_mid")).alias("savings"))
+
+
+def q28_output_names(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").selectExpr("doc_id", "concat('/in/', source, '/doc.', doc_id, '.PDF') as path", "cast(doc_id % 8 - 2 as int) as level")
+    return rows.select("doc_id", sizes.output_name(F.col("path"), F.col("level")).alias("name"))
+
+
+def q29_target_pixels(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").selectExpr("doc_id", "cast(1 + n_chars % 5000 as int) as w", "cast(1 + doc_id * 7 % 3000 as int) as h")
+    width, height = sizes.target_pixels(F.col("w"), F.col("h"), 1600)
+    return rows.select("doc_id", width.alias("width"), height.alias("height"))
+
+
+def q30_image_counts(spark, sf_dir):
+    return seen(spark, sf_dir).images
+
+
+QUERIES = {k: f for k, f in list(globals().items()) if k[:1] == "q" and k[1:3].isdigit()}
+
+GOOD = """
+    rows as (select *, case when doc_id % 23 = 0 then 'corrupt' when doc_id % 17 = 0 then 'encrypted' end as bad, doc_id % 19 = 0 as signed,
+                    doc_id % 4 as notes, 1 + doc_id % 3 as pages, (doc_id // 5) % 2 = 0 as has_id from documents),
+    good as (select * from rows where bad is null),
+    clean as (select * from good where not signed)"""
+
+FINDINGS = """
+    findings as (
+        select doc_id, 0 as ord, 'Document info' as category, 'Title' as label, 'doc-' || doc_id as value from good
+        union all select doc_id, 1, 'Document info', 'Author', source from good
+        union all select doc_id, 2, 'Document info', 'Subject', lang from good where doc_id % 2 = 0
+        union all select doc_id, 101, 'Document info', 'XChars', cast(n_chars as varchar) from good where doc_id % 3 = 0
+        union all select doc_id, 2000, 'XMP / streams', 'Catalog XMP metadata', 'Present' from good where doc_id % 4 = 0
+        union all select doc_id, 2001, 'XMP / streams', 'Page or object XMP metadata', 'Present' from good where doc_id % 6 = 0
+        union all select doc_id, 2002, 'XMP / streams', 'Application private data (PieceInfo)', 'Present' from good where doc_id % 7 = 0
+        union all select doc_id, 2003, 'File identity', 'Trailer file ID', 'Links copies of this file; replaced with a random one' from good where has_id
+        union all select doc_id, 2004, 'Annotations', 'Annotation authors / dates', notes || case when notes = 1 then ' annotation' else ' annotations' end from good where notes > 0
+        union all select doc_id, 2005, 'Images', 'JPEG EXIF / XMP / IPTC', '1 image stream' from good where doc_id % 12 = 0
+        union all select doc_id, 2006, 'Security', 'Digital signature', 'Detected: this file is not modified' from good where signed),
+    stays as (
+        select doc_id, 'JavaScript' as label, 'Scripts are not removed' as value from good where doc_id % 11 = 0
+        union all select doc_id, 'Attached files', 'Attachments and their contents are not removed' from good where doc_id % 13 = 0
+        union all select doc_id, 'Color profiles', 'ICC profiles and output intents are not removed' from good where doc_id % 10 = 0
+        union all select doc_id, 'Empty signature field', '1 unsigned field, kept as is' from good where doc_id % 9 = 0 and not signed)"""
+
+KEPT = "4 + 2 * pages + notes + (doc_id % 11 = 0)::int + 2 * (doc_id % 13 = 0)::int + 2 * (doc_id % 10 = 0)::int + (doc_id % 9 = 0)::int + (doc_id % 12 = 0)::int + (doc_id % 19 = 0)::int"
+
+
+def estimate_sql() -> str:
+    """The estimator's arithmetic in SQL, a common table expression ``est`` (doc_id, level, bytes_low, bytes_high, confidence, file_bytes)."""
+    d = lambda x: f"{x}::double"
+    steps = ["inv as (select doc_id, (doc_id % 7) * n_chars * 9 as image, (doc_id % 3) * 64 as meta, n_chars as other, case when doc_id % 2 = 0 then (doc_id % 7) * n_chars * 9 else 0 end as again, n_chars * 70 + 1000 as file from documents)"]
+    steps.append("a as (select *, greatest(0, file - image - meta - other) as over_, case when file > 0 then image::double / file else 0 end < 0.15::double as heavy, greatest(1, file)::double as o, least(image, again)::double as s from inv)")
+    steps.append(f"r0 as (select *, least(greatest(o - (meta * {d(0.95)} + o * {d(0.01)}), o * {d(0.85)}), o * {d(1.06)}) as x0 from a)")
+    for n in range(1, 5):
+        (other, overhead), (small, large) = sizes.KEPT[n], sizes.IMAGES_KEPT[n]
+        raw = f"s * (case when s >= {sizes.LARGE_IMAGES} then {d(large)} else {d(small)} end) + (image::double - s) + other * {d(other)} + meta * {d(0.02)} + over_ * {d(overhead)}"
+        raw = f"case when heavy then greatest({raw}, x0 * {d(sizes.TEXT_FLOORS[n])}) else {raw} end" if n in sizes.TEXT_FLOORS else raw
+        steps.append(f"r{n} as (select *, {raw} as y{n} from r{n - 1})")
+    last = "r4"
+    for n in range(1, 5):
+        prev = "x0" if n == 1 else f"z{n - 1}"
+        steps.append(f"t{n} as (select *, least(greatest(least(y{n}, {prev} * {d(0.999)}), o * {d(0.001)}), o * {d(1.08)}) as z{n} from {last})")
+        last = f"t{n}"
+    steps.append(f"u0 as (select *, least(greatest(x0, o * {d(0.001)}), o * {d(1.08)}) as m0, trunc(o * {d(1.05)})::bigint as cap from {last})")
+    for n in range(1, 5):
+        steps.append(f"u{n} as (select *, case when z{n} > m{n - 1} then m{n - 1} * {d(0.998)} else z{n} end as m{n} from u{n - 1})")
+    last = "u4"
+    for n in range(5):
+        (heavy, light), (sure, unsure) = sizes.BANDS[min(n, 2)], sizes.CONFIDENCE[min(n, 2)]
+        band = f"case when heavy then {d(heavy)} else {d(light)} end"
+        low = f"least(greatest(1, round(m{n} * (1::double - ({band})))::bigint), cap)"
+        high = f"least(greatest({low}, round(m{n} * (1::double + ({band})))::bigint), cap)"
+        high = f"least({high}, h{n - 1})" if n else high
+        steps.append(f"v{n} as (select *, {high} as h{n}, {low} as lo{n}, case when heavy then {d(sure)} else {d(unsure)} end as c{n} from {last})")
+        last = f"v{n}"
+    rows = " union all ".join(f"select doc_id, {n} as level, least(lo{n}, h{n}) as bytes_low, h{n} as bytes_high, c{n} as confidence, file as file_bytes from v4" for n in range(5))
+    return ", ".join([*steps, f"est as ({rows})"])
+
+
+def label_sql(n: str) -> str:
+    cases = [f"when {n} < 1000 then {n} || ' bytes'"]
+    for unit, size, places in (("KB", 1e3, 1), ("MB", 1e6, 1), ("GB", 1e9, 2)):
+        value = f"({n}::double / {int(size)})"
+        limit = f"{value} < 1000 and" if unit != "GB" else ""
+        cases += [f"when {limit} {value} >= 100 then printf('%.0f {unit}', {value})", f"when {limit} true then printf('%.{places}f {unit}', {value})"]
+    return "case " + " ".join(cases) + " end"
+
+
+ORACLES = {
+    "q01_status": f"with {GOOD} select doc_id, case when bad is not null then bad when signed then 'signed' end as error_code from rows",
+    "q02_outcome_counts": f"with {GOOD} select case when bad is not null then bad when signed then 'signed' else 'cleaned' end as outcome, count(*) as n from rows group by 1",
+    "q03_document_info": f"with {GOOD}, {FINDINGS} select doc_id, label, value from findings where ord < 100",
+    "q04_custom_info": f"with {GOOD}, {FINDINGS} select doc_id, label, value from findings where ord between 100 and 999",
+    "q05_page_count": f"with {GOOD} select doc_id, cast(pages as int) as pages from good",
+    "q06_flags": f"with {GOOD} select doc_id, true as has_info, has_id, doc_id % 4 = 0 as catalog_xmp, doc_id % 6 = 0 as other_xmp, doc_id % 7 = 0 as piece_info, doc_id % 11 = 0 as script, doc_id % 13 = 0 as attachments, doc_id % 10 = 0 as profiles, signed from good",
+    "q07_annotation_counts": f"with {GOOD} select doc_id, notes as n from good",
+    "q08_inventory": f"with {GOOD} select doc_id, 200 * (doc_id % 12 = 0)::bigint as image_bytes, 64 * (doc_id % 4 = 0)::bigint + 64 * (doc_id % 6 = 0)::bigint as metadata_bytes, pages * strlen(text) + 32 * (doc_id % 13 = 0)::bigint + 16 * (doc_id % 10 = 0)::bigint as other_bytes, 200 * (doc_id % 12 = 0)::bigint as recompressible_bytes from good",
+    "q09_findings_all": f"with {GOOD}, {FINDINGS} select * from findings",
+    "q10_residuals": f"with {GOOD}, {FINDINGS} select * from stays",
+    "q11_reachable": f"with {GOOD} select doc_id, {KEPT} as kept from good",
+    "q12_graph_closure": """
+        with recursive edges as (
+            select n_regionkey::bigint as src, 1000 + n_nationkey::bigint as dst from nation
+            union all select 1000 + c_nationkey::bigint, 1000000 + c_custkey from customer
+            union all select 1000000 + o_custkey, 1000000000 + o_orderkey from orders
+            union all select 1000000 + c_custkey, 1000 + c_nationkey::bigint from customer),
+        walk as (select r_regionkey::bigint as doc_id, r_regionkey::bigint as node from region
+                 union select doc_id, dst from walk join edges on node = src)
+        select doc_id, node from walk""",
+    "q13_newest_wins": "select user_id, event_type, event_id, ts, value from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as rank from events) where rank = 1",
+    "q14_sweep_semi": "select o_orderkey, o_custkey from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R')",
+    "q15_report_anti": "select c_custkey, c_mktsegment from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'F')",
+    "q16_running_offsets": "select conv_id as doc_id, turn, cast(coalesce(sum(strlen(text)) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) as bigint) as start from conversations",
+    "q17_gap_fill": """
+        with placed as (select distinct l_orderkey as doc_id, l_linenumber::bigint as obj from lineitem where l_quantity > 25),
+        slots as (select doc_id, unnest(generate_series(0, max(obj))) as obj from placed group by doc_id)
+        select s.doc_id, s.obj, p.obj is null as free from slots s left join placed p on s.doc_id = p.doc_id and s.obj = p.obj""",
+    "q18_estimate_levels": f"with {estimate_sql()} select doc_id, level, bytes_low, bytes_high, confidence from est",
+    "q19_size_label": f"with n as (select doc_id, n_chars * power(10, doc_id % 6)::bigint as n from documents) select doc_id, {label_sql('n')} as label from n",
+    "q20_clean_findings": f"with {GOOD} select doc_id, 'Trailer file ID' as label from clean",
+    "q21_report": f"""
+        with {GOOD}, {FINDINGS},
+        gone as (select doc_id, count(*) as n from findings where label <> 'Trailer file ID' and category <> 'Security' group by 1),
+        kept as (select doc_id, count(*) as n, string_agg(label, ', ' order by label) as labels from stays group by 1),
+        told as (select c.doc_id, coalesce(g.n, 0)::int as removed_n, has_id as replaced_id, coalesce(k.n, 0)::int as kept_n, labels from clean c left join gone g using (doc_id) left join kept k using (doc_id))
+        select doc_id, removed_n, replaced_id, 0 as left_n, kept_n,
+               'Removed ' || (removed_n + replaced_id::int) || ' metadata item' || case when removed_n + replaced_id::int = 1 then '' else 's' end || ' from this copy. '
+               || case when kept_n > 0 then 'Still in the file: ' || labels || '. ' else '' end || 'Your original file was not changed.' as message
+        from told""",
+    "q22_page_bytes_sha": f"with {GOOD} select doc_id, sha256(text) as sha, pages from clean",
+    "q24_jpeg_scrub": f"with {GOOD} select doc_id, 156 as bytes_after from good where doc_id % 12 = 0",
+    "q25_summary_lines": f"""
+        with {GOOD}, {FINDINGS},
+        gone as (select doc_id, count(*) as n from findings where category <> 'Security' group by 1),
+        kept as (select doc_id, 'Stays in the file: ' || string_agg(label, ', ' order by label) || '.' as residual_line from stays group by 1)
+        select g.doc_id, pages || ' page' || case when pages = 1 then '' else 's' end || case when signed then ' · signed' else ' · ' || n || ' metadata item' || case when n = 1 then '' else 's' end || ' to remove' end as summary_line, residual_line
+        from good g join gone using (doc_id) left join kept using (doc_id)""",
+    "q26_error_text": f"with {GOOD} select doc_id, case when bad = 'corrupt' then 'This PDF is damaged or incomplete.' when bad = 'encrypted' then 'PDF is password-protected.' else 'Signed PDFs are not modified.' end as text from rows where bad is not null or signed",
+    "q27_estimate_text": f"""
+        with {estimate_sql()}, mid as (select *, (bytes_low + bytes_high) // 2 as bytes_mid from est),
+        share as (select *, round((file_bytes - bytes_mid)::double / file_bytes * 100)::bigint as pct from mid)
+        select doc_id, level, bytes_mid, case when confidence >= 0.8 then 'Estimate' when confidence >= 0.6 then 'Rough estimate' else 'Rough estimate — actual may differ' end as caption,
+               case when bytes_mid < file_bytes and pct >= 1 then '−' || pct || '%' end as savings from share""",
+    "q28_output_names": "select doc_id, 'doc.' || doc_id || '-' || case greatest(0, least(4, doc_id % 8 - 2)) when 0 then 'clean' when 1 then 'clean-light' when 2 then 'clean-balanced' when 3 then 'clean-strong' else 'clean-max' end || '.pdf' as name from documents",
+    "q29_target_pixels": "with s as (select doc_id, (1 + n_chars % 5000)::int as w, (1 + doc_id * 7 % 3000)::int as h from documents), t as (select *, least(1::double, 1600::double / greatest(w, h)) as k from s) select doc_id, greatest(1, round(w * k)::int) as width, greatest(1, round(h * k)::int) as height from t",
+    "q30_image_counts": f"with {GOOD} select doc_id, 1 as images, 1 as eligible from good where doc_id % 12 = 0",
+}

@@ -1,0 +1,171 @@
+"""PDF files made from the rows of ``documents``, by arithmetic on their ids. Test data, not a feature.
+
+The rules stand in the README; what each file must yield follows from its row
+alone, so SQL over ``documents`` can say what every query must return.
+"""
+
+from __future__ import annotations
+
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from .syntax import Hex, Name, Ref, Stream, written
+
+XMP, ATTACHMENT, PROFILE = b"x" * 64, b"a" * 32, b"p" * 16
+#: SOI, APP1 (Exif), APP13, a quantisation table, filler after SOS, EOI: 200 bytes.
+JPEG = b"\xff\xd8" + b"\xff\xe1\x00\x16Exif\x00\x00" + b"E" * 14 + b"\xff\xed\x00\x12Photoshop" + b"P" * 7 + b"\xff\xdb\x00\x43" + bytes(65) + b"\xff\xda\x00\x08" + bytes(6) + b"s" * 73 + b"\xff\xd9"
+
+
+def objects_of(doc: int, text: bytes, lang: str, source: str, n_chars: int) -> tuple[dict[int, object], dict]:
+    """Objects by number and the trailer."""
+    N, pages, objects = Name, 1 + doc % 3, {}
+
+    def add(value: object) -> Ref:
+        objects[len(objects) + 1] = value
+        return Ref(len(objects), 0)
+
+    catalog = {N("Type"): N("Catalog")}
+    root, tree = add(catalog), {N("Type"): N("Pages"), N("Count"): pages}
+    top = add(tree)
+    catalog[N("Pages")] = top
+    font = add({N("Type"): N("Font"), N("Subtype"): N("Type1"), N("BaseFont"): N("Helvetica")})
+    annotations = [add({N("Type"): N("Annot"), N("Subtype"): N("Text"), N("Rect"): [0, 0, 9, 9], N("T"): source.encode(), N("M"): b"D:20240101"}) for _ in range(doc % 4)]
+    annotations.append(add({N("Type"): N("Annot"), N("Subtype"): N("Widget"), N("Rect"): [0, 0, 9, 9], N("T"): b"field"}))
+    kids, resources = [], {N("Font"): {N("F1"): font}}
+    if doc % 12 == 0:
+        image = {N("Type"): N("XObject"), N("Subtype"): N("Image"), N("Width"): 8, N("Height"): 8, N("BitsPerComponent"): 8, N("ColorSpace"): N("DeviceRGB"), N("Filter"): N("DCTDecode")}
+        resources[N("XObject")] = {N("Im1"): add(Stream(image, JPEG))}
+    for i in range(pages):
+        page = {N("Type"): N("Page"), N("Parent"): top, N("MediaBox"): [0, 0, 612, 792], N("Resources"): resources, N("Contents"): add(Stream({}, text))}
+        if i == 0:
+            page[N("Annots")] = annotations
+            if doc % 6 == 0:
+                page[N("Metadata")] = add(Stream({N("Type"): N("Metadata"), N("Subtype"): N("XML")}, XMP))
+        kids.append(add(page))
+    tree[N("Kids")] = kids
+    if doc % 4 == 0:
+        catalog[N("Metadata")] = add(Stream({N("Type"): N("Metadata"), N("Subtype"): N("XML")}, XMP))
+    if doc % 7 == 0:
+        catalog[N("PieceInfo")] = add({N("App"): {N("LastModified"): b"D:20240101"}})
+    if doc % 11 == 0:
+        catalog[N("OpenAction")] = add({N("S"): N("JavaScript"), N("JS"): b"app.beep()"})
+    if doc % 13 == 0:
+        file = add(Stream({N("Type"): N("EmbeddedFile")}, ATTACHMENT))
+        catalog[N("AF")] = [add({N("Type"): N("Filespec"), N("F"): b"a.txt", N("EF"): {N("F"): file}})]
+    if doc % 10 == 0:
+        profile = add(Stream({N("N"): 3}, PROFILE))
+        catalog[N("OutputIntents")] = [add({N("Type"): N("OutputIntent"), N("DestOutputProfile"): profile})]
+    if doc % 9 == 0:
+        catalog[N("AcroForm")] = {N("Fields"): [add({N("FT"): N("Sig"), N("T"): b"sign here"})]}
+    if doc % 19 == 0:
+        catalog[N("Perms")] = {N("DocMDP"): add({N("Type"): N("Sig"), N("Filter"): N("Adobe.PPKLite")})}
+    info = {N("Title"): b"doc-%d" % doc, N("Author"): source.encode()}
+    if doc % 2 == 0:
+        info[N("Subject")] = lang.encode()
+    if doc % 3 == 0:
+        info[N("XChars")] = n_chars
+    trailer = {N("Root"): root, N("Info"): add(info)}
+    if doc % 8 == 0:
+        add({N("Orphan"): True})
+    if doc // 5 % 2 == 0:
+        trailer[N("ID")] = [Hex(b"A" * 16), Hex(b"A" * 16)]
+    if doc % 17 == 0:
+        trailer[N("Encrypt")] = {N("Filter"): N("Standard")}
+    return objects, trailer
+
+
+class File:
+    """Bytes under construction, and where their objects are."""
+
+    def __init__(self, head: bytes):
+        self.data, self.places = bytearray(head + b"\n%\xe2\xe3\xcf\xd3\n"), {}
+
+    def put(self, obj: int, value: object) -> None:
+        self.places[obj] = len(self.data)
+        self.data += b"%d 0 obj\n" % obj + written(value) + b"\nendobj\n"
+
+    def table(self, numbers: list[int], trailer: dict, size: int) -> int:
+        """A classic section for ``numbers``; absent ones are free."""
+        at = len(self.data)
+        self.data += b"xref\n"
+        for n in numbers:
+            place = self.places.get(n)
+            self.data += b"%d 1\n" % n + (b"%010d 00000 n \n" % place if place else b"0000000000 65535 f \n")
+        self.data += b"trailer\n" + written(trailer | {Name("Size"): size}) + b"\nstartxref\n%d\n%%%%EOF\n" % at
+        return at
+
+    def stream_section(self, numbers: list[int], packed: dict[int, tuple[int, int]], trailer: dict, own: int, predict: bool) -> int:
+        """A cross-reference stream (object ``own``)."""
+        at = self.places[own] = len(self.data)
+        rows = [(2, *packed[n]) if n in packed else (1, self.places[n], 0) if n in self.places else (0, 0, 0) for n in numbers]
+        body = [bytes([k]) + a.to_bytes(4, "big") + b.to_bytes(2, "big") for k, a, b in rows]
+        how = {Name("Filter"): Name("FlateDecode")}
+        if predict:  # PNG "up" rows
+            body = [b"\x02" + bytes((x - y) % 256 for x, y in zip(r, p, strict=True)) for r, p in zip(body, [bytes(7), *body], strict=False)]
+            how[Name("DecodeParms")] = {Name("Predictor"): 12, Name("Columns"): 7}
+        spans = [i for n in numbers for i in (n, 1)]
+        d = trailer | how | {Name("Type"): Name("XRef"), Name("W"): [1, 4, 2], Name("Index"): spans, Name("Size"): max(numbers) + 1}
+        self.put(own, Stream(d, zlib.compress(b"".join(body))))
+        self.data += b"startxref\n%d\n%%%%EOF\n" % at
+        return at
+
+    def pack(self, own: int, members: dict[int, object]) -> dict[int, tuple[int, int]]:
+        """An object stream (object ``own``) of ``members``."""
+        bodies = [written(v) for v in members.values()]
+        offsets, at = [], 0
+        for b in bodies:
+            offsets.append(at)
+            at += len(b) + 1
+        head = b" ".join(b"%d %d" % x for x in zip(members, offsets, strict=True)) + b" "
+        d = {Name("Type"): Name("ObjStm"), Name("N"): len(bodies), Name("First"): len(head), Name("Filter"): Name("FlateDecode")}
+        self.put(own, Stream(d, zlib.compress(head + b" ".join(bodies))))
+        return {n: (own, i) for i, n in enumerate(members)}
+
+
+def pdf(doc: int, text: bytes, lang: str, source: str, n_chars: int) -> bytes:
+    objects, trailer = objects_of(doc, text, lang, source, n_chars)
+    size, layout = len(objects) + 1, doc % 5
+    plain = {n for n, v in objects.items() if isinstance(v, Stream)}
+    file = File(b"%PDF-1.4" if layout < 2 else b"%PDF-1.5")
+    if layout == 0:
+        for n, v in objects.items():
+            file.put(n, v)
+        file.table(list(range(size)), trailer, size)
+    elif layout == 1:  # the Info dictionary is written twice; the second one counts
+        info = trailer["Info"].obj
+        for n, v in objects.items():
+            file.put(n, v if n != info else {Name("Title"): b"old"})
+        first = file.table(list(range(size)), trailer, size)
+        file.put(info, objects[info])
+        file.table([info], trailer | {Name("Prev"): first}, size)
+    elif layout in (2, 4):
+        for n in plain:
+            file.put(n, objects[n])
+        packed = file.pack(size, {n: v for n, v in objects.items() if n not in plain})
+        first = file.stream_section([*range(size + 2)], packed, trailer, size + 1, layout == 4)
+        if layout == 4:  # an update that says the same
+            file.put(3, objects[3])
+            file.stream_section([3, size + 2], {}, trailer | {Name("Prev"): first}, size + 2, True)
+    else:  # hybrid: packed objects are free in the table, and told by the stream
+        for n in plain:
+            file.put(n, objects[n])
+        hidden = {n: v for n, v in objects.items() if n not in plain}
+        packed = file.pack(size, hidden)
+        at = file.stream_section([*hidden, size + 1], packed, {}, size + 1, False)
+        file.table([*range(size + 1)], trailer | {Name("XRefStm"): at}, size + 2)
+    return bytes(file.data[:40]) if doc % 23 == 0 else bytes(file.data)
+
+
+def plant(documents: DataFrame) -> DataFrame:
+    """(doc_id, length, content): one PDF a row of ``documents``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            made = [pdf(r["doc_id"], (r["text"] or "").encode(), r["lang"] or "", r["source"] or "", r["n_chars"] or 0) for r in rows]
+            yield pa.record_batch({"doc_id": batch.column(0), "length": pa.array([len(m) for m in made], pa.int64()), "content": pa.array(made, pa.binary())})
+
+    return documents.select("doc_id", "text", "lang", "source", "n_chars").mapInArrow(run, "doc_id long, length long, content binary")
