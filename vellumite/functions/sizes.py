@@ -5,11 +5,12 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import LIMITS, PROFILES
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def size_label(sizes: pd.Series) -> pd.Series:
     """``840 KB``, ``12.4 MB``: decimal units, rounded as C's printf does."""
 

@@ -7,6 +7,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import objects as O
 
@@ -14,7 +15,7 @@ from . import objects as O
 LEAST_SAVED = 48
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def packed(payloads: pd.Series) -> pd.Series:
     """Deflated bytes where they are enough smaller and unpack to the same; else null."""
 
@@ -27,7 +28,7 @@ def packed(payloads: pd.Series) -> pd.Series:
 
 def pack(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``nodes`` with streams packed, and (doc_id, obj) of those streams."""
-    wanted = O.objects(nodes).where(O.PACKABLE).select("doc_id", "obj")
+    wanted = O.objects(nodes).where(O.packable()).select("doc_id", "obj")
     raw = nodes.where("node_id = 0 and kind = 'stream'").join(wanted, ["doc_id", "obj"], "left_semi")
     done = raw.select("doc_id", "obj", packed("bytes_val").alias("small")).where("small is not null")
     joined = nodes.join(done, ["doc_id", "obj"], "left").where("not (small is not null and coalesce(top_key, '') in ('DecodeParms', 'DP'))")

@@ -26,7 +26,7 @@ TRIM = r"^\s+|\s+$"
 def display(kind: str = "kind"):
     """The text of a scalar; null for arrays, dictionaries, references and null."""
     number = F.when(F.col("kind") == "int", F.col("int_val").cast("string")).when(F.col("kind") == "real", F.col("real_val").cast("string")).when(F.col("kind") == "bool", F.col("bool_val").cast("string"))
-    return F.when(F.col("kind") == "name", O.latin()).when(F.col("kind").isin("string", "hex"), O.TEXT).otherwise(number)
+    return F.when(F.col("kind") == "name", O.latin()).when(F.col("kind").isin("string", "hex"), O.text()).otherwise(number)
 
 
 def info_entries(nodes: DataFrame) -> DataFrame:
@@ -51,9 +51,9 @@ def flags(nodes: DataFrame, objects: DataFrame) -> DataFrame:
     facts = rooted.groupBy("doc_id").agg(
         any_(trailer & O.has("Info")).alias("has_info"), any_(trailer & O.has("ID")).alias("has_id"), any_(trailer & O.has("Encrypt")).alias("encrypted"),
         any_(is_root & O.has("Metadata")).alias("catalog_xmp"), any_(~trailer & ~is_root & O.has("Metadata")).alias("other_xmp"),
-        any_(~trailer & O.has("PieceInfo")).alias("piece_info"), any_(~trailer & O.SCRIPT).alias("script"), any_(~trailer & O.PROFILED).alias("profiles"),
-        any_(~trailer & (O.EMBEDDED | (is_root & F.col("names_files")))).alias("attachments"),
-        F.count_if(~trailer & O.ANNOTATION & ~F.col("subtype").eqNullSafe("Widget") & (O.has("T") | O.has("M") | O.has("CreationDate"))).alias("annotations"),
+        any_(~trailer & O.has("PieceInfo")).alias("piece_info"), any_(~trailer & O.script()).alias("script"), any_(~trailer & O.profiled()).alias("profiles"),
+        any_(~trailer & (O.embedded() | (is_root & F.col("names_files")))).alias("attachments"),
+        F.count_if(~trailer & O.annotation() & ~F.col("subtype").eqNullSafe("Widget") & (O.has("T") | O.has("M") | O.has("CreationDate"))).alias("annotations"),
         F.count_if(~trailer & F.col("field_type").eqNullSafe("Sig") & ~F.col("has_value")).alias("empty_signature_fields"),
     )
     return facts.join(O.signed(nodes).withColumn("signed", F.lit(True)), "doc_id", "left").fillna(False, ["signed"])
@@ -107,7 +107,7 @@ def residuals(kept_facts: DataFrame, signed: DataFrame) -> DataFrame:
 def inventory(objects: DataFrame, docs: DataFrame) -> DataFrame:
     """Bytes of image, metadata and other streams, and of those that can be encoded again."""
     kind = F.when(F.col("type_name").eqNullSafe("Metadata"), "metadata").when((F.col("type_name").eqNullSafe("XObject") & F.col("subtype").eqNullSafe("Image")) | F.col("dct"), "image").otherwise("other")
-    streams = objects.where("kind = 'stream'").withColumn("class", kind).withColumn("eligible", O.ELIGIBLE)
+    streams = objects.where("kind = 'stream'").withColumn("class", kind).withColumn("eligible", O.eligible())
     size = lambda c: F.coalesce(F.sum(F.when(c, F.col("payload_bytes"))), F.lit(0)).cast("long")
     sums = streams.groupBy("doc_id").agg(*(size(F.col("class") == k).alias(f"{k}_bytes") for k in ("image", "metadata", "other")), size(F.col("eligible")).alias("recompressible_bytes"))
     names = ["image_bytes", "metadata_bytes", "other_bytes", "recompressible_bytes"]
@@ -121,7 +121,7 @@ def mask_targets(nodes: DataFrame) -> DataFrame:
 
 def image_counts(kept: DataFrame, kept_objects: DataFrame) -> DataFrame:
     """(doc_id, images, eligible) among the objects that stay."""
-    images = kept_objects.where("kind = 'stream' and subtype = 'Image'").withColumn("ok", O.ELIGIBLE)
+    images = kept_objects.where("kind = 'stream' and subtype = 'Image'").withColumn("ok", O.eligible())
     marked = images.join(mask_targets(kept).withColumn("mask", F.lit(True)), ["doc_id", "obj"], "left")
     return marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("images"), F.count_if(F.expr("ok and mask is null")).alias("eligible"))
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TEXT = F.coalesce(F.try_validate_utf8(F.col("bytes_val").cast("string")), F.decode("bytes_val", "ISO-8859-1"))
+def text() -> Column:
+    """A string's bytes as UTF-8 where that is valid, else as Latin-1."""
+    return F.coalesce(F.try_validate_utf8(F.col("bytes_val").cast("string")), latin())
 
 
 def latin(column: str = "bytes_val") -> Column:
@@ -47,24 +49,35 @@ def has(key: str) -> Column:
     return F.array_contains("keys", key)
 
 
-#: Image streams that can be encoded again.
-ELIGIBLE = F.coalesce(
-    (F.col("subtype") == "Image") & (F.col("payload_bytes") >= 128) & (F.col("single_filter") == "DCTDecode") & (F.col("payload_start") == F.expr("X'FFD8'"))
-    & F.col("color_space").isin("DeviceRGB", "DeviceGray") & ((F.col("bits") == 8) | ~has("BitsPerComponent"))
-    & ~has("SMask") & ~has("Mask") & ~has("Decode") & ~has("SMaskInData") & ~F.coalesce("image_mask", has("ImageMask")),
-    F.lit(False),
-)
-
-#: Streams worth packing.
-PACKABLE = F.coalesce(
-    (F.col("kind") == "stream") & (F.col("payload_bytes") >= 64) & ~F.col("type_name").eqNullSafe("Metadata") & ~F.col("subtype").eqNullSafe("Image") & ~F.col("dct") & ~has("Filter") & ~has("F"),
-    F.lit(False),
-)
-
-ANNOTATION = F.coalesce((F.col("type_name") == "Annot") | (has("Subtype") & has("Rect")), F.lit(False))
-EMBEDDED = F.coalesce((has("EF") | (has("F") & has("Type"))) & F.col("type_name").isin("Filespec", "FileSpec") | (F.col("type_name") == "EmbeddedFile") | has("EmbeddedFiles"), has("EmbeddedFiles"))
-SCRIPT = F.coalesce((F.col("action") == "JavaScript") | has("JS"), has("JS"))
-PROFILED = F.coalesce((F.col("type_name") == "OutputIntent") | (F.col("color_family") == "ICCBased"), F.lit(False))
+def eligible() -> Column:
+    """Image streams that can be encoded again."""
+    plain = (F.col("subtype") == "Image") & (F.col("payload_bytes") >= 128) & (F.col("single_filter") == "DCTDecode") & (F.col("payload_start") == F.expr("X'FFD8'"))
+    colors = F.col("color_space").isin("DeviceRGB", "DeviceGray") & ((F.col("bits") == 8) | ~has("BitsPerComponent"))
+    unmasked = ~has("SMask") & ~has("Mask") & ~has("Decode") & ~has("SMaskInData") & ~F.coalesce("image_mask", has("ImageMask"))
+    return F.coalesce(plain & colors & unmasked, F.lit(False))
+
+
+def packable() -> Column:
+    """Streams worth packing."""
+    raw = (F.col("kind") == "stream") & (F.col("payload_bytes") >= 64) & ~F.col("dct") & ~has("Filter") & ~has("F")
+    return F.coalesce(raw & ~F.col("type_name").eqNullSafe("Metadata") & ~F.col("subtype").eqNullSafe("Image"), F.lit(False))
+
+
+def annotation() -> Column:
+    return F.coalesce((F.col("type_name") == "Annot") | (has("Subtype") & has("Rect")), F.lit(False))
+
+
+def embedded() -> Column:
+    spec = (has("EF") | (has("F") & has("Type"))) & F.col("type_name").isin("Filespec", "FileSpec")
+    return F.coalesce(spec | (F.col("type_name") == "EmbeddedFile"), F.lit(False)) | has("EmbeddedFiles")
+
+
+def script() -> Column:
+    return F.coalesce(F.col("action") == "JavaScript", F.lit(False)) | has("JS")
+
+
+def profiled() -> Column:
+    return F.coalesce(F.col("type_name") == "OutputIntent", F.lit(False)) | F.coalesce(F.col("color_family") == "ICCBased", F.lit(False))
 
 
 def roots(nodes: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import DEFAULT, Options
 from ..functions import jpeg
@@ -29,7 +30,7 @@ def strip(nodes: DataFrame, options: Options = DEFAULT) -> DataFrame:
         doomed = nodes.where("depth = 1 and obj >= 0 and key = 'Type' and kind = 'name' and bytes_val = X'4D65746164617461'").select("doc_id", "obj")
         nodes = nodes.join(doomed.distinct(), ["doc_id", "obj"], "left_anti")
     if options.annotations:
-        notes = O.objects(nodes.where("obj >= 0")).where(O.ANNOTATION).select("doc_id", "obj", F.col("subtype").eqNullSafe("Widget").alias("widget"))
+        notes = O.objects(nodes.where("obj >= 0")).where(O.annotation()).select("doc_id", "obj", F.col("subtype").eqNullSafe("Widget").alias("widget"))
         nodes = nodes.join(notes, ["doc_id", "obj"], "left")
         gone = F.col("widget").isNotNull() & F.col("top_key").isin(*ANNOTATION_DATES) | ~F.coalesce("widget", F.lit(True)) & F.col("top_key").isin(*ANNOTATION_AUTHORS)
         nodes = nodes.where(~F.coalesce(gone, F.lit(False))).drop("widget")
@@ -46,7 +47,7 @@ def without(nodes: DataFrame, objects: DataFrame, keys: list[str]) -> DataFrame:
     return marked.where(~(F.coalesce("_hit", F.lit(False)) & F.coalesce(F.col("top_key").isin(keys), F.lit(False)))).drop("_hit")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def scrubbed(payloads):
     return payloads.map(lambda p: jpeg.scrub(bytes(p)) if p is not None else None)
 
