@@ -6,7 +6,6 @@ from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
-SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
@@ -22,22 +21,4 @@ def spark():
 
 @pytest.fixture(scope="session")
 def sf():
-    return SF
-
-
-def duck(sql, sf_dir=SF):
-    """Rows of ``sql`` over the tables, columns by name."""
-    import duckdb
-
-    c = duckdb.connect()
-    for path in Path(sf_dir).glob("*.parquet"):
-        c.execute(f"create view {path.stem} as select * from '{path}{'/*.parquet' if path.is_dir() else ''}'")
-    cur = c.execute(f"select * from ({sql})")
-    names = [d[0] for d in cur.description]
-    order = sorted(range(len(names)), key=names.__getitem__)
-    return sorted(names), sorted(repr(tuple(r[i] for i in order)) for r in cur.fetchall())
-
-
-def rows(df):
-    names = sorted(df.columns)
-    return names, sorted(repr(tuple(r)) for r in df.select(*names).collect())
+    return "/root/testdata/sf0.001"

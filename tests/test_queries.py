@@ -1,7 +1,7 @@
 """Every query with SQL gives what the SQL gives."""
 
 import pytest
-from conftest import duck, rows
+from helpers import duck, rows
 
 from vellumite.plans import queries as Q
 
