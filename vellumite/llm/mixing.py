@@ -93,13 +93,12 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: float =
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that the mix takes, each as often as it takes them."""
     names = [how.get(k, d) for k, d in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source"))]
-    copies = mix(docs, **how).groupBy("doc_id", "h").agg(F.max("copies").alias("copies")).where("copies > 0")
-    copies = common.stored(copies, "copies").selectExpr("doc_id as _id", "h as _h", "copies as _copies")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    copies = mix(docs, **how).groupBy("doc_id", "h", "source").agg(F.max("copies").alias("copies")).where("copies > 0")
+    copies = common.stored(copies, "copies").selectExpr("doc_id as _id", "h as _h", "source as _source", "copies as _copies")
     h = F.shiftrightunsigned(F.xxhash64(F.col(names[0]), F.crc32(F.coalesce(F.col(names[1]), F.lit("")).cast("binary"))), 64 - HASH_BITS)
-    hashed = docs.withColumn("_own", h)
-    taken = hashed.join(copies, F.expr(f"_own = _h and {names[0]} <=> _id"))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*columns)
+    hashed = docs.select(F.struct("*").alias("_row"), h.alias("_own"), F.col(names[0]).alias("_doc"), F.col(names[2]).alias("_from"))
+    taken = hashed.join(copies, F.expr("_own = _h and _doc <=> _id and _from <=> _source"))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_row.*")
 
 
 def op9_hash_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
