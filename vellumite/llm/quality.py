@@ -35,11 +35,11 @@ from . import common
 
 SAMPLE = 16_000
 DIMS = 1 << 22
-MIN_DF = 6
+MIN_DF = 4
 PRESENT, SHARE = 0.2, 4.0  # value of a word or start that occurs; factor of shares
 GRADES = 3
 KEEP = 0.6
-EPOCHS, RATE, BATCH, DECAY = 25, 0.2, 256, 2e-5
+STEPS, RATE, BATCH, DECAY = 1500, 0.2, 256, 5e-5
 PUNCTUATION = b".,;:!?()[]{}<>\"'|*#-_/\\%&$@+=~"
 
 #: Classes of a word's first and last byte.
@@ -80,7 +80,7 @@ class OrdinalModel:
         return sigmoid(scores[:, None] - self.thresholds[None, :])
 
     @classmethod
-    def fit(cls, rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, *, epochs: int = EPOCHS, min_df: int = MIN_DF) -> OrdinalModel:
+    def fit(cls, rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, *, steps: int = STEPS, min_df: int = MIN_DF) -> OrdinalModel:
         """Maximum likelihood with L2 decay, by Adagrad over batches in a fixed order."""
         sizes = np.array([len(i) for i, _ in rows])
         used, index = np.unique(np.concatenate([i for i, _ in rows]), return_inverse=True)
@@ -94,7 +94,7 @@ class OrdinalModel:
         below = np.cumsum(np.bincount(grades, minlength=GRADES) + 0.5)[:-1] / (len(rows) + 0.5 * GRADES)
         theta, theta_squares = np.log(below / (1 - below)), np.full(GRADES - 1, 1e-6)
         order = np.random.default_rng(7)
-        for _ in range(epochs):
+        for _ in range(-(-steps // max(1, -(-len(rows) // BATCH)))):
             turn = order.permutation(len(rows))
             for lo in range(0, len(turn), BATCH):
                 pick = turn[lo : lo + BATCH]
