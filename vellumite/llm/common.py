@@ -46,11 +46,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Delete the scratch tables made so far. Call it once results are written elsewhere."""
-    while _made:
-        spark, path = _made.pop()
-        delete_path(spark, path)
+def folders_made() -> list[tuple[SparkSession, str]]:
+    """Scratch folders made so far, in order."""
+    return list(_made)
+
+
+def release(folders: list[tuple[SparkSession, str]]) -> None:
+    """Delete scratch folders whose readers are done."""
+    for entry in folders:
+        delete_path(*entry)
+        _made.remove(entry)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -96,5 +101,5 @@ def with_position(ordered: DataFrame, name: str) -> DataFrame:
 
 
 def new_pipeline_folder(spark: SparkSession) -> str:
-    """A folder for stage results; :func:`release` leaves it alone."""
+    """A folder for the results of stages, not a scratch folder."""
     return f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex[:12]}"
