@@ -11,7 +11,8 @@ zone map of :func:`write_runs` records, so a filter on any dimension skips files
 Null values of a dimension are its lowest. Null texts have size 1 and the crc of
 the empty text. Ties on the curve go by id, then by text hash; repeated rows are
 spread by those and take neighbouring slots. An empty table gives no rows.
-Extra columns are kept by :func:`hilbert_runs`.
+Extra columns are kept by :func:`hilbert_runs`; those named hilbert, run, slot or
+position are replaced.
 """
 
 from __future__ import annotations
