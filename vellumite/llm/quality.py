@@ -17,7 +17,8 @@ the smallest id hash; the features of that sample go to the driver. Scoring
 reads every document in full. Null or conflicting labels: a null grade part
 drops the label, of several labels of one id the lowest grade counts. Null texts
 are empty. Without labels every document is kept, with probability 1. Repeated
-rows are scored each. An empty table gives no rows. Extra columns are not read.
+rows are scored each. An empty table gives no rows. Extra columns are kept; those
+named like a result (expected_grade, p_grade_1, p_grade_2, selected) are replaced.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLE = 16_000
+SAMPLE = 10_000
 DIMS = 1 << 22
 MIN_DF = 4
 PRESENT, SHARE = 0.2, 4.0  # value of a word or start that occurs; factor of shares
@@ -82,14 +83,17 @@ class OrdinalModel:
     @classmethod
     def fit(cls, rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, *, steps: int = STEPS, min_df: int = MIN_DF) -> OrdinalModel:
         """Maximum likelihood with L2 decay, by Adagrad over batches in a fixed order."""
-        sizes = np.array([len(i) for i, _ in rows])
-        used, index = np.unique(np.concatenate([i for i, _ in rows]), return_inverse=True)
-        seen = np.bincount(index, minlength=len(used)) >= min_df
-        place = np.cumsum(seen) - 1
-        keep, owner = seen[index], np.repeat(np.arange(len(rows)), sizes)
-        index, value, owner = place[index][keep], np.concatenate([v for _, v in rows])[keep], owner[keep]
-        starts = np.searchsorted(owner, np.arange(len(rows) + 1))
-        dims = max(int(seen.sum()), 1)
+        df = np.zeros(DIMS, np.int32)
+        for i, _ in rows:
+            df[i] += 1
+        used = np.nonzero(df >= min_df)[0]
+        place = np.full(DIMS, -1, np.int32)
+        place[used] = np.arange(len(used))
+        kept = [place[i] >= 0 for i, _ in rows]
+        starts = np.cumsum([0, *(int(k.sum()) for k in kept)])
+        index = np.concatenate([place[i[k]] for (i, _), k in zip(rows, kept, strict=True)])
+        value = np.concatenate([v[k] for (_, v), k in zip(rows, kept, strict=True)])
+        dims = max(len(used), 1)
         w, squares = np.zeros(dims), np.full(dims, 1e-6)
         below = np.cumsum(np.bincount(grades, minlength=GRADES) + 0.5)[:-1] / (len(rows) + 0.5 * GRADES)
         theta, theta_squares = np.log(below / (1 - below)), np.full(GRADES - 1, 1e-6)
@@ -114,7 +118,7 @@ class OrdinalModel:
                     theta_squares[k] += g * g
                     theta[k] += 0.1 * g / np.sqrt(theta_squares[k])
                 theta = np.maximum.accumulate(theta + np.arange(GRADES - 1) * 1e-9)
-        return cls(dict(zip(used[seen].tolist(), w.tolist(), strict=False)), theta)
+        return cls(dict(zip(used.tolist(), w.tolist(), strict=False)), theta)
 
 
 def graded(labels: DataFrame) -> DataFrame:
@@ -135,10 +139,11 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Ordina
             yield pa.record_batch({"doc_id": batch.column(0), "grade": batch.column(2), "index": pa.array([np.array(i, np.int32).tobytes() for i, _ in pairs], pa.binary()), "value": pa.array([np.array(v, np.float32).tobytes() for _, v in pairs], pa.binary())})
 
     found = rated.select("doc_id", "text", F.col("grade").cast("int")).mapInArrow(extract, "doc_id long, grade int, index binary, value binary")
-    rows = sorted(found.toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["index"]))[:sample]
-    if not rows:
+    table = found.toArrow().sort_by([("doc_id", "ascending"), ("index", "ascending")]).slice(0, sample).combine_chunks()
+    if not table.num_rows:
         return None
-    return OrdinalModel.fit([(np.frombuffer(r["index"], np.int32), np.frombuffer(r["value"], np.float32)) for r in rows], np.array([r["grade"] for r in rows]))
+    rows = [(np.frombuffer(i.as_buffer(), np.int32), np.frombuffer(v.as_buffer(), np.float32)) for i, v in zip(table.column("index"), table.column("value"), strict=True)]
+    return OrdinalModel.fit(rows, table.column("grade").to_numpy())
 
 
 def score(docs: DataFrame, model: OrdinalModel | None, *, keep: float = KEEP) -> DataFrame:
