@@ -19,9 +19,9 @@ knows, under Spark's commit protocol: a lost or repeated task leaves no trace.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,66 +32,73 @@ from pyspark.sql import functions as F
 from . import common
 
 NULL_ID = -(1 << 63)
-CACHE_ENTRIES = 1_500_000
+CACHE_ENTRIES = 300_000  # chunks in each of two generations
 
 _encoders: dict[str, ChunkEncoder] = {}
 
 
-class ChunkEncoder(dict):
-    """Token ids (as bytes) of text after a single space, encoded once per chunk.
+class ChunkEncoder:
+    """Token ids (as bytes) of texts, by chunk: a space and what follows up to the next one.
 
-    A byte-level pre-tokeniser always cuts before a space that stands between
-    two characters that are not white space, so ids of a text are those of its
-    chunks in turn. Each chunk is encoded by the tokenizers library and kept,
-    up to ``CACHE_ENTRIES``. Chunks that touch other white space hold None and
-    send their text down the slower, general split.
+    A byte-level pre-tokeniser always cuts before a space that stands between two
+    characters that are not white space, so ids of a text are those of its chunks
+    in turn. The chunks of many texts that are not known yet are encoded by the
+    tokenizers library in one call, in a row; each begins with a token that begins
+    with the space, which no other has. Chunks are kept in two
+    generations of ``CACHE_ENTRIES``: when the new one is full it becomes the old
+    one, and what is used again moves over, so common ones stay and memory is
+    bounded. Texts with white space beside a space, and other kinds of tokenizer,
+    are encoded whole.
     """
 
-    CUT = re.compile(r"(?<=\S)(?= \S)")
-
     def __init__(self, path: str, width: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model, self.before = self.tokenizer.model, self.tokenizer.pre_tokenizer
-        self.dtype = np.dtype(f"<u{width}")
-        self.pieces: dict[str, bytes] = {}
-        state = self.before.__getstate__() if self.before is not None else b""
+        self.dtype, self.code = np.dtype(f"<u{width}"), "H" if width == 2 else "I"
+        tokens = (self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size()))
+        self.spaced = np.array([t.startswith("Ġ") for t in tokens])
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        before = self.tokenizer.pre_tokenizer
+        state = before.__getstate__() if before is not None else b""
         self.byte_level = self.tokenizer.normalizer is None and b'"ByteLevel"' in state and b'"add_prefix_space":false' in state and b'"use_regex":true' in state
 
-    def __missing__(self, part: str) -> bytes | None:
-        if len(self) > CACHE_ENTRIES:
-            self.clear()
-        ids = None if not part or part[0].isspace() or part[-1].isspace() else self.chunk(" " + part)
-        self[part] = ids
-        return ids
-
-    def chunk(self, text: str) -> bytes:
-        return b"".join([self.pieces.get(piece) or self.piece(piece) for piece, _ in self.before.pre_tokenize_str(text)])
-
-    def piece(self, piece: str) -> bytes:
-        if len(self.pieces) > CACHE_ENTRIES:
-            self.pieces.clear()
-        ids = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(piece)], self.dtype).tobytes()
-        return ids
-
-    def encode(self, text: str) -> bytes:
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, parts: set[str]) -> set[str]:
+        """Encode the parts not known, each after a space; returns those with white space at an end, which cannot be."""
+        if len(self.new) >= CACHE_ENTRIES:
+            self.old, self.new = self.new, {}
+        missing, odd, old = [], set(), self.old.get
+        for part in parts - self.new.keys():
+            if (ids := old(part)) is not None:
+                self.new[part] = ids
+            elif not part or part[0].isspace() or part[-1].isspace():
+                odd.add(part)
+            else:
+                missing.append(part)
+        if missing:
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(missing)], add_special_tokens=False)[0].ids, self.dtype)
+            cuts = (np.flatnonzero(self.spaced[ids]) * self.dtype.itemsize).tolist()
+            body = ids.tobytes()
+            self.new.update(zip(missing, map(body.__getitem__, map(slice, cuts, [*cuts[1:], len(body)])), strict=True))
+        return odd
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         if not self.byte_level:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        first, *parts = text.split(" ")
-        try:
-            if first and not first[-1].isspace():
-                return self.chunk(first) + b"".join(map(self.__getitem__, parts))
-            if not text:
-                return b""
-        except TypeError:  # a None: white space next to a space
-            pass
-        return b"".join(map(self.chunk, self.CUT.split(text)))
+            return self.whole(texts)
+        split = [t.split(" ") for t in texts]
+        odd = self.learn(set().union(*(s[1:] for s in split)))
+        plain = [bool(s[0]) and not s[0][-1].isspace() and (not odd or odd.isdisjoint(s[1:])) for s in split]
+        get = self.new.__getitem__
+        first = iter(self.whole([s[0] if p else t for s, p, t in zip(split, plain, texts, strict=True)]))
+        return [next(first) + b"".join(map(get, s[1:])) if p else next(first) for s, p in zip(split, plain, strict=True)]
 
 
 def encoder(path: str, width: int) -> ChunkEncoder:
@@ -117,9 +124,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, *, end_
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, done, seq = encoder(tokenizer_path, width).encode, 0, 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                bodies = [run(t or "") + end for t in part.column(1).to_pylist()]
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                bodies = [b + end for b in run([t or "" for t in part.column(1).to_pylist()])]
                 index = []
                 for doc, body in zip(part.column(0).to_pylist(), bodies, strict=True):
                     done += len(body) // width
