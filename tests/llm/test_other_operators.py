@@ -55,13 +55,18 @@ def test_forward_sums_all_segmentations():
     want = [math.log(brute_marginal(b" " + w, scores)) + scores[lattice_lm.END_OF_WORD] for w in words]
     assert np.allclose(list(lattice.words(words)), want)
     into = {}
-    lattice.expect(b"abab", into)  # pieces of a segmentation cover the word once
+    lattice.expect([b"abab"], into)  # pieces of a segmentation cover the word once
     assert math.isclose(sum(len(p) * n for p, n in into.items() if p != lattice_lm.END_OF_WORD), 5)
+    apart, together = {}, {}
+    for w in words:
+        lattice.expect([w], apart)
+    lattice.expect(words, together)
+    assert apart.keys() == together.keys() and all(math.isclose(apart[p], together[p]) for p in apart)
 
 
 def test_scores_against_brute_force(odd_docs):
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
-    got = lattice_lm.lattice_scores(odd_docs, held, PIECES).collect()
+    got = lattice_lm.lattice_scores(odd_docs, held, PIECES, class_col="lang").collect()
     docs, out = [(r.doc_id, (r.text or "").encode().lower().split() + [b""]) for r in odd_docs.collect()], []
     is_held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 10 == 0
     counts = Counter(w for d, ws in docs if not is_held(d) for w in ws)
@@ -79,7 +84,13 @@ def test_repeats():
     for i, (w, a) in enumerate(zip(drawn, again, strict=True)):
         share = lattice_lm.REPEAT if i else 0
         want += math.log10((1 - share) * 10**w + share * a)
-    assert math.isclose(lattice_lm.repeated(drawn, words), want)
+    got = lattice_lm.repeated([drawn, drawn - 1], words)
+    assert math.isclose(got[0], want) and got[1] < got[0]
+
+
+def test_scores_beat_the_base_on_held_out_texts(spark):
+    got = lattice_lm.op3_lattice_scores(spark, "/root/testdata/sf0.1").where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("spelled_score")).first()
+    assert got[0] > got[1] > got[2]
 
 
 def test_scores_without_training_rows_or_rows(odd_docs, no_docs):

@@ -11,9 +11,13 @@ Two more arcs span a whole word in the lattice, and are summed with the others:
 one for training words, by their counts, and one for words that the text has
 used before, by their share in it so far (``REPEAT``). The share of words that
 are left to spelling is the Good-Turing estimate, the share of training tokens
-seen once. ``spelled_score`` is the sum without these two arcs. All three are
-proper distributions over words, so ``score`` is a probability of the text; the
-base score is not one, as it gives each of endless unseen words the same share.
+seen once. Texts come in classes (languages, say): the counts of training words
+are kept by class, with a share ``COMMON`` of all classes' counts, and a text's
+probability is summed over the classes, whatever its own is said to be. The
+``CLASSES`` - 1 largest classes are told apart, the rest are one.
+``spelled_score`` is the sum over spellings alone. All are proper distributions,
+so ``score`` is a probability of the text; the base score is not one, as it
+gives each of endless unseen words the same share.
 
 The vocabulary's stored scores are merge ranks, not probabilities, so the
 unigram scores are learned: first from the pieces into which the vocabulary cuts
@@ -47,7 +51,8 @@ from . import common
 
 BLOCK_BYTES = 24 << 20
 FLUSH = 200_000  # distinct words a task holds before it passes on its counts
-REPEAT = 0.25  # share of words drawn from the text's own words so far
+REPEAT = 0.1  # share of words drawn from the text's own words so far
+CLASSES, COMMON = 8, 0.02
 END_OF_WORD = b"\n"  # no word holds it
 LOW = -1e300
 LOG10 = math.log(10)
@@ -98,22 +103,36 @@ class Lattice:
             last = text
             yield alpha[-1] + self.end
 
-    def expect(self, word: bytes, into: dict[bytes, float]) -> None:
-        """Add the expected number of each piece over the segmentations of ``word``."""
-        text = b" " + word
-        n, alpha = len(text), self.forward(text, [0.0])
-        beta, total, get, exp = [LOW] * n + [0.0], alpha[-1], self.scores.get, math.exp
-        for i in range(n - 1, -1, -1):
-            arcs = []
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                if (s := get(piece := text[i:j])) is not None and beta[j] > LOW:
-                    arcs.append(s + beta[j])
-                    if (share := exp(alpha[i] + arcs[-1] - total)) > 1e-6:
-                        into[piece] = into.get(piece, 0.0) + share
-            if arcs:
-                top = max(arcs)
-                beta[i] = top + math.log(sum([exp(a - top) for a in arcs]))
-        into[END_OF_WORD] = into.get(END_OF_WORD, 0.0) + 1
+    def expect(self, words: Iterable[bytes], into: dict[bytes, float]) -> None:
+        """Add the expected number of each piece over the segmentations of each word. Sorted words share their prefixes."""
+        longest, get, exp, log = self.longest, self.scores.get, math.exp, math.log
+        last, alpha, arcs, upto, n_words = b"", [0.0], [], [0], 0  # arcs: (from, to, score, piece), by their ends; upto: arcs to each end
+        for word in words:
+            text, same = b" " + word, 0
+            for x, y in zip(text, last, strict=False):
+                if x != y:
+                    break
+                same += 1
+            last, n = text, len(text)
+            del alpha[same + 1 :], upto[same + 1 :], arcs[upto[same] :]
+            for j in range(same + 1, n + 1):
+                sums = []
+                for i in range(j - longest if j > longest else 0, j):
+                    if (s := get(piece := text[i:j])) is not None:
+                        arcs.append((i, j, s, piece))
+                        sums.append(alpha[i] + s)
+                top = max(sums)
+                alpha.append(top if len(sums) < 2 else top + log(sum([exp(a - top) for a in sums])))
+                upto.append(len(arcs))
+            # backward: the share of all segmentations that pass each place
+            share = [0.0] * n + [1.0]
+            for i, j, s, piece in reversed(arcs):
+                if (passed := share[j]) > 1e-7:
+                    part = passed * exp(alpha[i] + s - alpha[j])
+                    share[i] += part
+                    into[piece] = into.get(piece, 0.0) + part
+            n_words += 1
+        into[END_OF_WORD] = into.get(END_OF_WORD, 0.0) + n_words
 
 
 def log_scores(counts: dict[bytes, float], pieces: Iterable[bytes], least: float = 0.01) -> dict[bytes, float]:
@@ -124,24 +143,27 @@ def log_scores(counts: dict[bytes, float], pieces: Iterable[bytes], least: float
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c): counts over all texts; the empty word is the end."""
+    """(word, c, by): counts over all texts, and by class 0 .. CLASSES - 1 (``cls``); the empty word is the end."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[bytes] = Counter()
+        found: list[Counter[bytes]] = [Counter() for _ in range(CLASSES)]
 
         def rows():
-            yield pa.record_batch({"word": pa.array(list(found.keys()), pa.binary()), "c": pa.array(list(found.values()), pa.int64())})
+            for k, counts in enumerate(found):
+                yield pa.record_batch({"word": pa.array(list(counts.keys()), pa.binary()), "cls": pa.array([k] * len(counts), pa.int32()), "c": pa.array(list(counts.values()), pa.int64())})
+                counts.clear()
 
         for batch in batches:
-            for text in common.byte_texts(batch, "text"):
-                found.update(text.lower().split())
-                found[b""] += 1
-                if len(found) > FLUSH:
+            for k, text in zip(batch.column(0).to_pylist(), common.byte_texts(batch, "text"), strict=True):
+                found[k].update(text.lower().split())
+                found[k][b""] += 1
+                if sum(map(len, found)) > FLUSH:
                     yield from rows()
-                    found.clear()
         yield from rows()
 
-    return docs.select("text").mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    counts = docs.select("cls", "text").mapInArrow(count, "word binary, cls int, c long")
+    by = F.array(*(F.coalesce(F.sum(F.when(F.col("cls") == k, F.col("c"))), F.lit(0)) for k in range(CLASSES)))
+    return counts.groupBy("word").agg(F.sum("c").alias("c"), by.alias("by"))
 
 
 def piece_scores(words: DataFrame, model_path: str) -> dict[bytes, float]:
@@ -170,11 +192,10 @@ def piece_scores(words: DataFrame, model_path: str) -> dict[bytes, float]:
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         into: dict[bytes, float] = {}
         for batch in batches:
-            for word in batch.column(0).to_pylist():
-                start.value.expect(word, into)
+            start.value.expect(batch.column(0).to_pylist(), into)
         yield pa.record_batch({"piece": pa.array(list(into), pa.binary()), "n": pa.array(list(into.values()), pa.float64())})
 
-    sums = words.mapInArrow(expect, "piece binary, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+    sums = words.sortWithinPartitions("word").mapInArrow(expect, "piece binary, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
     return log_scores({bytes(r.piece): r.n for r in sums}, pieces)
 
 
@@ -184,13 +205,13 @@ def docs_broadcast(df: DataFrame, value):
 
 
 def spelled(words: DataFrame, lattice) -> DataFrame:
-    """``words`` (word, c) with ``lp``, the log probability of the spelling."""
+    """``words`` (word, c, by) with ``lp``, the log probability of the spelling."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch({"word": batch.column(0), "c": batch.column(1), "lp": pa.array(list(lattice.value.words(batch.column(0).to_pylist())), pa.float64())})
+            yield pa.record_batch({"word": batch.column(0), "c": batch.column(1), "by": batch.column(2), "lp": pa.array(list(lattice.value.words(batch.column(0).to_pylist())), pa.float64())})
 
-    return words.sortWithinPartitions("word").mapInArrow(run, "word binary, c long, lp double")
+    return words.sortWithinPartitions("word").mapInArrow(run, "word binary, c long, by array<long>, lp double")
 
 
 def block_words(blocked: DataFrame) -> DataFrame:
@@ -236,17 +257,35 @@ def in_blocks(rows: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def lattice_scores(docs: DataFrame, held_out: Column, model_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classes(docs: DataFrame, class_col: str | None) -> Column:
+    """The class of each row, 0 .. CLASSES - 1: the commonest values of ``class_col`` in turn, then all others."""
+    if class_col is None:
+        return F.lit(0)
+    sizes = docs.groupBy(F.col(class_col).cast("string").alias("v")).agg(F.count(F.lit(1)).alias("n")).where("v is not null")
+    top = [r.v for r in sizes.orderBy(F.desc("n"), "v").limit(CLASSES - 1).collect()]
+    cls = F.lit(CLASSES - 1)
+    for k, v in enumerate(top):
+        cls = F.when(F.col(class_col).cast("string") == v, k).otherwise(cls)
+    return cls
+
+
+def lattice_scores(docs: DataFrame, held_out: Column, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = None) -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), spelled_score."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text"), classes(docs, class_col).alias("cls"))
     counts = common.stored(word_counts(rows.where("not held_out")), "word_counts")
     n, v, once = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.expr("cast(c = 1 as long)")), F.lit(0))).first()
+    ends = counts.where("octet_length(word) = 0").select("by").first()
+    sums = counts.agg(*(F.coalesce(F.sum(F.col("by")[k]), F.lit(0)) for k in range(CLASSES))).first()
+    used = [k for k in range(CLASSES) if sums[k]] or [0]
+    prior = np.array([ends.by[k] if ends else 1 for k in used], float)
+    prior = np.log10(prior / prior.sum())
     lattice = docs_broadcast(rows, Lattice(piece_scores(counts, model_path)))
-    words = common.stored(spelled(counts, lattice), "words")
+    told = counts.select("word", "c", F.array(*(F.col("by")[k] for k in used)).alias("by"))  # classes that occur
+    words, sums = common.stored(spelled(told, lattice), "words"), [sums[k] for k in used]
     fresh = (once + 1) / (n + 2)  # Good-Turing share of words not seen
 
-    blocked = common.stored(in_blocks(rows), "blocks")
-    known = block_words(blocked).join(words, "word").select("block", "word", "c", "lp")
+    blocked = common.stored(in_blocks(rows.drop("cls")), "blocks")
+    known = block_words(blocked).join(words, "word").select("block", "word", "c", "by", "lp")
 
     def score(key: tuple, texts: pa.Table, vocabulary: pa.Table) -> pa.Table:
         listed = vocabulary.column("word").to_pylist()
@@ -259,27 +298,31 @@ def lattice_scores(docs: DataFrame, held_out: Column, model_path: str, *, id_col
         c = np.concatenate([c, np.zeros(len(new))])
         lp = np.concatenate([lp, np.array(list(lattice.value.words(new)), float)]) / LOG10
         base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
-        with np.errstate(divide="ignore"):
-            whole = np.log10((1 - fresh) * c / max(n, 1))
-        drawn = np.logaddexp(whole * LOG10, (math.log10(fresh) + lp) * LOG10) / LOG10
-        end = at[b""]
-        drawn[end] = math.log10((1 - fresh) * (c[end] + 0.5) / (n + 1))  # the end is never spelled
-        lp[end] = drawn[end]
+        by = vocabulary.column("by").combine_chunks().flatten().to_numpy().reshape(-1, len(used)).astype(float)
+        by = np.concatenate([by, np.zeros((len(new), len(used)))])
+        end, drawn, spelling = at[b""], [], (math.log10(fresh) + lp) * LOG10
+        for k in range(len(used)):
+            share = (1 - COMMON) * by[:, k] / max(sums[k], 1) + COMMON * c / max(n, 1)
+            with np.errstate(divide="ignore"):
+                drawn.append(np.logaddexp(np.log((1 - fresh) * share), spelling) / LOG10)
+            # the end is never spelled
+            drawn[-1][end] = math.log10((1 - fresh) * (by[end, k] + 0.5) / (sums[k] + 1))
+        lp[end] = math.log10((1 - fresh) * (c[end] + 0.5) / (n + 1))
         places = [np.fromiter(map(at.__getitem__, body), np.int64, len(body)) for body in bodies]
         places = [np.append(p, end) for p in places]
         return pa.table({
             "doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"),
             "n_tokens": pa.array([len(p) for p in places], pa.int64()), "n_known": pa.array([int((c[p] > 0).sum()) for p in places], pa.int64()),
             "train_tokens": pa.array([n] * len(places), pa.int64()), "base_score": pa.array([float(base[p].sum()) for p in places], pa.float64()),
-            "score": pa.array([repeated(drawn[p], p) for p in places], pa.float64()), "spelled_score": pa.array([float(lp[p].sum()) for p in places], pa.float64()),
+            "score": pa.array([float(np.logaddexp.reduce((prior + repeated([d[p] for d in drawn], p)) * LOG10) / LOG10) for p in places], pa.float64()), "spelled_score": pa.array([float(lp[p].sum()) for p in places], pa.float64()),
         })
 
     grouped = blocked.groupBy("block").cogroup(known.groupBy("block"))
     return grouped.applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, spelled_score double")
 
 
-def repeated(drawn: np.ndarray, words: np.ndarray) -> float:
-    """Log10 probability of a text: each word drawn afresh (``drawn``) or from the words before it. The end is last and never repeated."""
+def repeated(drawn: list[np.ndarray], words: np.ndarray) -> np.ndarray:
+    """Log10 probabilities of a text by class: each word drawn afresh (``drawn``) or from the words before it. The end is last and never repeated."""
     n = len(words)
     order = np.argsort(words, kind="stable")
     ranks = np.arange(n)
@@ -287,9 +330,15 @@ def repeated(drawn: np.ndarray, words: np.ndarray) -> float:
     before = np.empty(n)
     before[order] = ranks - np.maximum.accumulate(np.where(first, ranks, 0))  # how often the word came before
     again = REPEAT * before / np.maximum(ranks, 1)
-    fresh = np.where(ranks > 0, math.log(1 - REPEAT), 0.0) + drawn * LOG10
-    with np.errstate(divide="ignore"):
-        return float(np.logaddexp(fresh, np.log(again)).sum() / LOG10)
+    keep = np.where(ranks > 0, math.log10(1 - REPEAT), 0.0)
+    seen = np.nonzero(again)[0]
+    out = []
+    for d in drawn:
+        total = (d + keep).sum()
+        # only words that came before have a second way
+        fresh = (d[seen] + keep[seen]) * LOG10
+        out.append(total + (np.logaddexp(fresh, np.log(again[seen])) - fresh).sum() / LOG10)
+    return np.array(out)
 
 
 def op3_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,7 +346,7 @@ def op3_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = common.read_table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
-    return lattice_scores(docs, held_out, public_tokenizers.path("piece_bpe_32k.model"))
+    return lattice_scores(docs, held_out, public_tokenizers.path("piece_bpe_32k.model"), class_col="lang")
 
 
 QUERIES = {"op3_lattice_scores": op3_lattice_scores}
