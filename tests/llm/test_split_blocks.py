@@ -1,0 +1,17 @@
+"""Scores where the words of a block are listed twice, as when two tasks read it."""
+
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from vellumite.llm import lattice_lm
+
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def test_vocabulary_that_comes_twice(spark, odd_docs, monkeypatch):
+    held = F.expr("doc_id % 2 = 0")
+    docs = odd_docs.where("doc_id is not null").withColumn("text", F.expr("concat(text, ' new', doc_id, ' words', doc_id)"))
+    told = lambda: sorted(map(repr, lattice_lm.lattice_scores(docs, held, PIECES, class_col="lang").collect()))
+    want, once = told(), lattice_lm.block_words
+    monkeypatch.setattr(lattice_lm, "block_words", lambda blocked: once(blocked).unionByName(once(blocked)))
+    assert told() == want

@@ -293,8 +293,8 @@ def lattice_scores(docs: DataFrame, held_out: Column, model_path: str, *, id_col
         c, lp = vocabulary.column("c").to_numpy().astype(float), vocabulary.column("lp").to_numpy()
         bodies = [t.lower().split() for t in pc.fill_null(pc.cast(texts.column("text"), pa.binary()), b"").to_pylist()]
         new = sorted({w for body in bodies for w in body if w not in at} | ({b""} if b"" not in at else set()))
-        for w in new:
-            at[w] = len(at)
+        # a block read in two tasks lists words twice, so there can be more rows than words
+        at |= {w: i for i, w in enumerate(new, len(listed))}
         c = np.concatenate([c, np.zeros(len(new))])
         lp = np.concatenate([lp, np.array(list(lattice.value.words(new)), float)]) / LOG10
         base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
