@@ -13,7 +13,8 @@ the shares of distinct words and of the commonest word fall, hashed to ``DIMS``
 numbers. Those in fewer than ``MIN_DF`` documents of the sample get no weight.
 
 The fit reads a bounded sample, ``SAMPLE`` labelled documents at most, those of
-the smallest id hash; the features of that sample go to the driver. Scoring
+the smallest id hash, one row an id (of an id's texts that of the smallest hash);
+the features of that sample go to the driver. Labels without a document don't count. Scoring
 reads every document in full. Null or conflicting labels: a null grade part
 drops the label, of several labels of one id the lowest grade counts. Null texts
 are empty. Without labels every document is kept, with probability 1. Repeated
@@ -129,9 +130,10 @@ def graded(labels: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> OrdinalModel | None:
     """Fit on at most ``sample`` labelled documents; None where there are none."""
-    chosen = graded(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = graded(labels).join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # `sample` rows of two numbers at most
     rated = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rated = rated.groupBy("doc_id", "grade").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least")).select("doc_id", "grade", "least.text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Ordina
             yield pa.record_batch({"doc_id": batch.column(0), "grade": batch.column(2), "index": pa.array([np.array(i, np.int32).tobytes() for i, _ in pairs], pa.binary()), "value": pa.array([np.array(v, np.float32).tobytes() for _, v in pairs], pa.binary())})
 
     found = rated.select("doc_id", "text", F.col("grade").cast("int")).mapInArrow(extract, "doc_id long, grade int, index binary, value binary")
-    table = found.toArrow().sort_by([("doc_id", "ascending"), ("index", "ascending")]).slice(0, sample).combine_chunks()
+    table = found.toArrow().sort_by("doc_id").combine_chunks()
     if not table.num_rows:
         return None
     rows = [(np.frombuffer(i.as_buffer(), np.int32), np.frombuffer(v.as_buffer(), np.float32)) for i, v in zip(table.column("index"), table.column("value"), strict=True)]
