@@ -137,8 +137,10 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Ordina
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = [features(t) for t in common.byte_texts(batch, "text")]
-            yield pa.record_batch({"doc_id": batch.column(0), "grade": batch.column(2), "index": pa.array([np.array(i, np.int32).tobytes() for i, _ in pairs], pa.binary()), "value": pa.array([np.array(v, np.float32).tobytes() for _, v in pairs], pa.binary())})
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                pairs = [features(t) for t in common.byte_texts(part, "text")]
+                yield pa.record_batch({"doc_id": part.column(0), "grade": part.column(2), "index": pa.array([np.array(i, np.int32).tobytes() for i, _ in pairs], pa.binary()), "value": pa.array([np.array(v, np.float32).tobytes() for _, v in pairs], pa.binary())})
 
     found = rated.select("doc_id", "text", F.col("grade").cast("int")).mapInArrow(extract, "doc_id long, grade int, index binary, value binary")
     table = found.toArrow().sort_by("doc_id").combine_chunks()
