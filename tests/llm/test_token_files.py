@@ -13,9 +13,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def plain():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def test_chunks_give_what_the_library_gives(plain):
@@ -28,6 +26,32 @@ def test_chunks_give_what_the_library_gives(plain):
         assert encoder.encode(part) == [np.array(e.ids, "<u2").tobytes() for e in plain.encode_batch(part, add_special_tokens=False)]
 
 
+def test_special_tokens_by_default_and_as_text(plain):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "<|endoftext|"]
+    assert [np.frombuffer(b, "<u2").tolist() for b in T.encoder(PATH, 2).encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in plain.encode(texts[0], add_special_tokens=False).ids
+    other = Tokenizer.from_file(PATH)
+    other.encode_special_tokens = True
+    assert [np.frombuffer(b, "<u2").tolist() for b in T.encoder(PATH, 2, True).encode(texts)] == [other.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_runs_by_rows_and_bytes(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(T, "RUN_ROWS", 3)
+    monkeypatch.setattr(T, "RUN_BYTES", 10)
+    assert list(T.runs(pa.array(["a"] * 7))) == [(0, 3), (3, 6), (6, 7)]
+    assert list(T.runs(pa.array(["x" * 30, "a", None, "b" * 10, "c"]))) == [(0, 1), (1, 3), (3, 4), (4, 5)]
+    assert list(T.runs(pa.array([], pa.string()))) == []
+
+
+def test_equal_rows_are_dealt_over_shards(spark):
+    docs = spark.range(0, 4000, 1, 4).selectExpr("if(id % 3 > 0, 7L, id) as doc_id", "'same text' as text")
+    folder = common.new_folder(spark, "t")
+    sizes = [r.n_docs for r in T.write_token_files(docs, folder, PATH).collect()]
+    assert len(sizes) > 2 and max(sizes) < 2600 and sum(sizes) == 4000
+
+
 def test_files_against_brute_force(spark, odd_docs, plain):
     folder = common.new_folder(spark, "t")
     manifest = T.write_token_files(odd_docs, folder, PATH)

@@ -8,9 +8,15 @@ Layout of a folder written by :func:`write_token_files`::
 
 Shards follow one another in ascending id order; ``base`` is the number of ids
 in all shards before, a prefix sum over the shards. Documents whose id is null
-come first; equal ids are ordered by their text's hash. A null text is empty
-and holds the end id only. An empty table gives a folder without shards.
-Extra columns are not read. Very long texts are encoded whole.
+come first; equal ids are ordered by their text's hash, and rows equal in both,
+which have the same ids, by their place in the input, so no shard holds all of
+them. A null text is empty and holds the end id only. An empty table gives a
+folder without shards. Extra columns are not read. Very long texts are encoded
+whole. Shards are cut by bytes: about ``SHARD_BYTES`` of text each at most, and
+not fewer than Spark's shuffle partitions.
+
+Special tokens in a text are treated as the tokenizers library does by default:
+their strings become their ids. ``special_as_text`` makes them ordinary text.
 
 Spark's own text writer puts the bytes down: a row is a run of whole records
 less its last byte, and that byte, zero for both kinds, is the line separator. So the files are exact binary images, on any file system Spark
@@ -26,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +40,8 @@ from . import common
 
 NULL_ID = -(1 << 63)
 CACHE_ENTRIES = 300_000  # chunks in each of two generations
+SHARD_BYTES = 256 << 20
+RUN_ROWS, RUN_BYTES = 1024, 8 << 20  # a run of records ends at either
 
 _encoders: dict[str, ChunkEncoder] = {}
 
@@ -47,18 +56,19 @@ class ChunkEncoder:
     with the space, which no other has. Chunks are kept in two
     generations of ``CACHE_ENTRIES``: when the new one is full it becomes the old
     one, and what is used again moves over, so common ones stay and memory is
-    bounded. Texts with white space beside a space, and other kinds of tokenizer,
-    are encoded whole.
+    bounded. Texts with white space beside a space or with a special token, and
+    other kinds of tokenizer, are encoded whole.
     """
 
-    def __init__(self, path: str, width: int):
+    def __init__(self, path: str, width: int, special_as_text: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.special = [] if special_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype, self.code = np.dtype(f"<u{width}"), "H" if width == 2 else "I"
         tokens = (self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size()))
         self.spaced = np.array([t.startswith("Ġ") for t in tokens])
@@ -93,7 +103,7 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.byte_level:
             return self.whole(texts)
-        split = [t.split(" ") for t in texts]
+        split = [[""] if any(s in t for s in self.special) else t.split(" ") for t in texts]
         odd = self.learn(set().union(*(s[1:] for s in split)))
         plain = [bool(s[0]) and not s[0][-1].isspace() and (not odd or odd.isdisjoint(s[1:])) for s in split]
         get = self.new.__getitem__
@@ -101,20 +111,32 @@ class ChunkEncoder:
         return [next(first) + b"".join(map(get, s[1:])) if p else next(first) for s, p in zip(split, plain, strict=True)]
 
 
-def encoder(path: str, width: int) -> ChunkEncoder:
+def encoder(path: str, width: int, special_as_text: bool = False) -> ChunkEncoder:
     """The worker process's encoder, kept from task to task."""
-    if (key := f"{width}:{path}") not in _encoders:
-        _encoders[key] = ChunkEncoder(path, width)
+    if (key := f"{width}:{special_as_text}:{path}") not in _encoders:
+        _encoders[key] = ChunkEncoder(path, width, special_as_text)
     return _encoders[key]
 
 
+def runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Cut rows into runs (from, to) of up to ``RUN_ROWS`` rows and ``RUN_BYTES`` bytes; a longer text is a run by itself."""
+    first = size = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if i > first and (i - first >= RUN_ROWS or size + n > RUN_BYTES):
+            yield first, i
+            first, size = i, 0
+        size += n
+    if len(texts):
+        yield first, len(texts)
+
+
 def id_width(tokenizer_path: str) -> int:
     from tokenizers import Tokenizer
 
     return 2 if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 1 << 16 else 4
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int = 2, special_as_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode ``docs`` into ``folder``; returns the manifest. ``end_id`` closes every document."""
     spark, width = docs.sparkSession, id_width(tokenizer_path)
     end = end_id.to_bytes(width, "little")
@@ -122,10 +144,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, *, end_
         raise ValueError("the end id must leave its top byte zero, as offsets do: that byte is the separator")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run, done, seq = encoder(tokenizer_path, width).encode, 0, 0
+        run, done, seq = encoder(tokenizer_path, width, special_as_text).encode, 0, 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
+            for lo, hi in runs(batch.column(1)):
+                part = batch.slice(lo, hi - lo)
                 bodies = [b + end for b in run([t or "" for t in part.column(1).to_pylist()])]
                 index = []
                 for doc, body in zip(part.column(0).to_pylist(), bodies, strict=True):
@@ -134,8 +156,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, *, end_
                 yield pa.record_batch({"kind": ["ids", "index"], "seq": pa.array([seq, seq], pa.int64()), "value": pa.array([b"".join(bodies)[:-1], b"".join(index)[:-1]], pa.binary())})
                 seq += 1
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
-    dealt = rows.repartitionByRange(F.asc_nulls_first("id"), F.asc("tie")).sortWithinPartitions(F.asc_nulls_first("id"), F.asc("tie"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"), F.monotonically_increasing_id().alias("place"))
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    order = [F.asc_nulls_first("id"), F.asc("tie"), F.asc("place")]
+    dealt = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order)
     records = dealt.select("id", "text").mapInArrow(encode, "kind string, seq long, value binary")
     lines = records.sortWithinPartitions("kind", "seq").select("kind", F.col("value").cast("string").alias("value"))
     lines.write.partitionBy("kind").option("lineSep", "\x00").text(folder)
