@@ -13,6 +13,9 @@ in ``seq`` order, put together, are the dialogue. So a conversation of any lengt
 is never held in one task: offsets are running sums inside range partitions plus
 the sums of the partitions ahead.
 
+Marks inside a text or a name (``<|``) are broken up (``< |``), so no text can forge
+a turn or an end; a name's line ends become spaces.
+
 Null texts are empty; a null role speaks as ``unknown``; a null conv_id is one
 conversation. Equal turns are ordered by role and text; repeated rows are
 repeated messages. A conversation without participants renders nothing. An empty
@@ -32,14 +35,15 @@ CONTEXT = ("system",)
 
 def perspectives(turns: DataFrame, context: tuple[str, ...] = CONTEXT) -> DataFrame:
     """(conv_id, perspective, seq, turn, speaker, segment, start, stop, mask_start, mask_stop), one row a message and perspective."""
-    said = turns.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("speaker"), F.coalesce("text", F.lit("")).alias("text"))
+    unmarked = lambda c, none: F.replace(F.coalesce(c, F.lit(none)), F.lit("<|"), F.lit("< |"))
+    said = turns.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("speaker"), unmarked("text", "").alias("text"))
     known = ", ".join("'" + c.replace("'", "\\'") + "'" for c in context) or "''"
     heard = F.expr(f"speaker in ({known})")
     cast = said.where(~heard).groupBy("conv_id", F.col("speaker").alias("perspective")).agg(F.lit(1).alias("_"))
     cast = cast.selectExpr("conv_id as _conv", "perspective")
     views = said.join(cast, F.expr("conv_id <=> _conv")).drop("_conv")
     own = F.expr("speaker = perspective")
-    head = F.when(own, "assistant").when(heard, F.col("speaker")).otherwise(F.concat(F.lit("user name="), "speaker"))
+    head = F.when(own, "assistant").when(heard, F.col("speaker")).otherwise(F.concat(F.lit("user name="), F.translate(unmarked("speaker", ""), "\r\n", "  ")))
     head = F.concat(F.lit(OPEN), head, F.lit(MIDDLE))
     views = views.withColumn("_head", F.length(head)).withColumn("segment", F.concat(head, "text", F.lit(CLOSE))).withColumn("_own", own)
     order = ["conv_id", "perspective", "turn", "speaker", "text"]
@@ -66,11 +70,12 @@ def op2_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op2_perspectives": op2_perspectives}
 ORACLES = {
     "op2_perspectives": """
-        with said as (select conv_id, turn, coalesce(role, 'unknown') as speaker, coalesce(text, '') as text from conversations),
+        with said as (select conv_id, turn, coalesce(role, 'unknown') as speaker, replace(coalesce(text, ''), '<|', '< |') as text from conversations),
         seats as (select distinct conv_id as conv, speaker as perspective from said where speaker <> 'system'),
         views as (
             select conv_id, perspective, turn, speaker, text,
-                   '<|turn|>' || case when speaker = perspective then 'assistant' when speaker = 'system' then speaker else 'user name=' || speaker end || chr(10) as head
+                   '<|turn|>' || case when speaker = perspective then 'assistant' when speaker = 'system' then speaker
+                                        else 'user name=' || translate(replace(speaker, '<|', '< |'), chr(13) || chr(10), '  ') end || chr(10) as head
             from said join seats on conv_id is not distinct from conv),
         told as (select *, head || text || '<|end|>' || chr(10) as segment from views),
         placed as (
