@@ -67,6 +67,23 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def grade_bounds(scores: np.ndarray, grades: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """P(grade <= y) and P(grade < y) of each row's own grade y; their difference is its likelihood."""
+    edges = np.concatenate([[-np.inf], theta, [np.inf]])
+    upper, lower = sigmoid(edges[grades + 1] - scores), sigmoid(edges[grades] - scores)
+    upper[grades == len(theta)], lower[grades == 0] = 1, 0
+    return upper, lower
+
+
+def slopes(scores: np.ndarray, grades: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slopes of the log likelihood: of each row by its score, and of the rows' mean by each threshold."""
+    upper, lower = grade_bounds(scores, grades, theta)
+    p = np.maximum(upper - lower, 1e-9)
+    up, down = upper * (1 - upper) / p, lower * (1 - lower) / p
+    by_theta = [(np.where(grades == k, up, 0) - np.where(grades == k + 1, down, 0)).mean() for k in range(len(theta))]
+    return upper + lower - 1, np.array(by_theta)
+
+
 class OrdinalModel:
     """Shared weights, by feature number, and ordered thresholds."""
 
@@ -105,19 +122,12 @@ class OrdinalModel:
                 pick = turn[lo : lo + BATCH]
                 at = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in pick])
                 i, v, who, y = index[at], value[at], np.repeat(np.arange(len(pick)), starts[pick + 1] - starts[pick]), grades[pick]
-                score = np.bincount(who, v * w[i], len(pick))
-                edges = np.concatenate([[-np.inf], theta, [np.inf]])
-                upper, lower = sigmoid(edges[y + 1] - score), sigmoid(edges[y] - score)
-                upper[y == GRADES - 1], lower[y == 0] = 1, 0
-                p = np.maximum(upper - lower, 1e-9)
-                # d log P / d score, and by threshold
-                step = np.bincount(i, v * (upper + lower - 1)[who], dims) / len(pick) - DECAY * w
+                by_score, by_theta = slopes(np.bincount(who, v * w[i], len(pick)), y, theta)
+                step = np.bincount(i, v * by_score[who], dims) / len(pick) - DECAY * w
                 squares += step * step
                 w += RATE * step / np.sqrt(squares)
-                for k in range(GRADES - 1):
-                    g = (np.where(y == k, upper * (1 - upper) / p, 0) - np.where(y == k + 1, lower * (1 - lower) / p, 0)).mean()
-                    theta_squares[k] += g * g
-                    theta[k] += 0.1 * g / np.sqrt(theta_squares[k])
+                theta_squares += by_theta * by_theta
+                theta += 0.1 * by_theta / np.sqrt(theta_squares)
                 theta = np.maximum.accumulate(theta + np.arange(GRADES - 1) * 1e-9)
         return cls(dict(zip(used.tolist(), w.tolist(), strict=False)), theta)
 
@@ -164,9 +174,10 @@ def score(docs: DataFrame, model: OrdinalModel | None, *, keep: float = KEEP) ->
         p = model.tails(np.array([model.score((text or "").encode()) for text in texts], float))
         return pd.DataFrame({"p1": p[:, 0], "p2": p[:, 1]})
 
-    scored = docs.withColumn("_p", tails("text"))
-    scored = scored.withColumns({"expected_grade": F.col("_p.p1") + F.col("_p.p2"), "p_grade_1": F.col("_p.p1"), "p_grade_2": F.col("_p.p2")})
-    return scored.withColumn("selected", F.col("p_grade_2") >= keep).drop("_p")
+    (p,) = common.unused(docs.columns, "_p")
+    scored = docs.withColumn(p, tails("text"))
+    scored = scored.withColumns({"expected_grade": F.col(f"{p}.p1") + F.col(f"{p}.p2"), "p_grade_1": F.col(f"{p}.p1"), "p_grade_2": F.col(f"{p}.p2")})
+    return scored.withColumn("selected", F.col("p_grade_2") >= keep).drop(p)
 
 
 def op8_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
