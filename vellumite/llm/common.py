@@ -22,12 +22,12 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only on a single local JVM."""
+    """The folder all executors share, ``spark.checkpoint.dir``; one of our own only on a single local JVM, where it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if spark.sparkContext.master.startswith("local-") or not spark.sparkContext.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="spark-vellumite-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", own)
     return own
@@ -68,6 +68,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores in front as it takes to clash with none of ``columns``."""
+    held, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in held:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def ascii_lower(column: Column | str) -> Column:
     """Lower-case A-Z and nothing else."""
     column = F.col(column) if isinstance(column, str) else column
@@ -92,12 +102,13 @@ def with_position(ordered: DataFrame, name: str) -> DataFrame:
     ``monotonically_increasing_id`` count its rows. Partition totals, one row
     a partition, are then summed up and joined back.
     """
-    numbered = ordered.withColumn("_mid", F.monotonically_increasing_id())
-    numbered = numbered.withColumn("_pid", F.shiftright("_mid", 33)).withColumn("_row", F.col("_mid").bitwiseAND((1 << 33) - 1)).drop("_mid")
+    mid, pid, row, base, n = unused(ordered.columns, "_mid", "_pid", "_row", "_base", "_n")
+    numbered = ordered.withColumn(mid, F.monotonically_increasing_id())
+    numbered = numbered.withColumn(pid, F.shiftright(mid, 33)).withColumn(row, F.col(mid).bitwiseAND((1 << 33) - 1)).drop(mid)
     table = stored(numbered, name)
-    totals = table.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    bases = totals.selectExpr("_pid", "coalesce(sum(_n) over (order by _pid rows between unbounded preceding and 1 preceding), 0) as _base")
-    return table.join(bases, "_pid").withColumn("position", F.col("_base") + F.col("_row")).drop("_base", "_row", "_pid")
+    totals = table.groupBy(pid).agg(F.count(F.lit(1)).alias(n))
+    bases = totals.selectExpr(pid, f"coalesce(sum({n}) over (order by {pid} rows between unbounded preceding and 1 preceding), 0) as {base}")
+    return table.join(bases, pid).withColumn("position", F.col(base) + F.col(row)).drop(base, row, pid)
 
 
 def new_pipeline_folder(spark: SparkSession) -> str:

@@ -12,7 +12,7 @@ Null values of a dimension are its lowest. Null texts have size 1 and the crc of
 the empty text. Ties on the curve go by id, then by text hash; repeated rows are
 spread by those and take neighbouring slots. An empty table gives no rows.
 Extra columns are kept by :func:`hilbert_runs`; those named hilbert, run, slot or
-position are replaced.
+position are replaced, as are names that begin with ``_dim_`` or ``_step_``.
 """
 
 from __future__ import annotations
@@ -80,8 +80,8 @@ def on_curve(rows: DataFrame, dims: dict[str, str], bits: int = BITS) -> DataFra
     """``rows`` with a column ``hilbert``; ``dims`` maps a dimension's name to its SQL expression."""
     out, steps = rows.selectExpr("*", *(f"{e} as _dim_{d}" for d, e in dims.items())), []
     for d in dims:
-        scale = rank_scale(out, f"_dim_{d}", bits, d).selectExpr("value as _v", f"step as _step_{d}")
-        out = out.join(scale, F.expr(f"_dim_{d} <=> _v"), "left").drop("_v")
+        scale = rank_scale(out, f"_dim_{d}", bits, d).selectExpr(f"value as _step_v_{d}", f"step as _step_{d}")
+        out = out.join(scale, F.expr(f"_dim_{d} <=> _step_v_{d}"), "left").drop(f"_step_v_{d}")
         steps.append(f"_step_{d}")
     return out.withColumn("hilbert", curve_column(steps, bits)).drop(*steps, *(f"_dim_{d}" for d in dims))
 
@@ -98,16 +98,17 @@ def hilbert_runs(rows: DataFrame, dims: dict[str, str], runs: int, ties: list[st
     return placed.withColumn("run", run).withColumn("slot", F.col("position") - start).drop("position")
 
 
-def write_runs(table: DataFrame, placed: DataFrame, key: str, dims: dict[str, str], folder: str) -> DataFrame:
-    """Write ``table``'s rows by run under ``folder`` and return its zone map: run, rows, least and largest value of each dimension."""
-    runs = placed.select(F.col(key).alias("_key"), "run", "slot", "hilbert")
-    joined = table.join(runs, F.col(key) == F.col("_key")).drop("_key")
-    joined.repartitionByRange("run", "slot").sortWithinPartitions("run", "slot").write.partitionBy("run").parquet(f"{folder}/runs")
-    written = table.sparkSession.read.parquet(f"{folder}/runs").selectExpr("run", *(f"{e} as {d}" for d, e in dims.items()))
+def write_runs(placed: DataFrame, dims: dict[str, str], folder: str) -> DataFrame:
+    """Write the rows of :func:`hilbert_runs` by run under ``folder`` and return the zone map: run, rows, least and largest value of each dimension.
+
+    Every row is written once, repeated ids and null ids too: rows carry their run, nothing is joined back.
+    """
+    placed.repartitionByRange("run", "slot").sortWithinPartitions("run", "slot").write.partitionBy("run").parquet(f"{folder}/runs")
+    written = placed.sparkSession.read.parquet(f"{folder}/runs").selectExpr("run", *(f"{e} as {d}" for d, e in dims.items()))
     ends = [f(d).alias(f"{n}_{d}") for d in dims for n, f in (("min", F.min), ("max", F.max))]
     zones = written.groupBy("run").agg(F.count(F.lit(1)).alias("rows"), *ends)
     zones.write.parquet(f"{folder}/zones")
-    return table.sparkSession.read.parquet(f"{folder}/zones")
+    return placed.sparkSession.read.parquet(f"{folder}/zones")
 
 
 #: The dimensions by which documents are looked up.
