@@ -150,6 +150,7 @@ def test_paraphrases_and_odd_rows(spark, odd_docs, no_docs):
 def test_license_spans(spark, no_docs):
     mit = next(t for n, t in license_scan.TEMPLATES if n == "MIT" and len(t) > 100)
     edited = mit.replace("free of charge", "free of any charge").replace("sublicense, ", "")
+    assert len(mit.split()) > 150
     text = f"Été notes.\nReleased under the MIT License.\n{edited} tail Licensed under CC BY-NC 4.0."
     docs = spark.createDataFrame([(1, text, "x"), (2, None, "x"), (3, "", "x"), (4, "the license of the house under the roof", "x"), (1, text, "x")], "doc_id long, text string, license string")
     got = license_scan.license_matches(docs).collect()
@@ -160,6 +161,52 @@ def test_license_spans(spark, no_docs):
     assert license_scan.license_matches(no_docs).count() == 0
 
 
+def plain_alignment(words, tokens):
+    """Most matching words of a template along any alignment with the whole text, no band: the longest common subsequence of any stretch as long."""
+    span, best = len(words) + license_scan.CHAIN, 0
+    for at in range(0, max(1, len(tokens) - span + 1), 4):
+        best = max(best, decontaminate.lcs(tokens[at : at + span + 4], words))
+    return best
+
+
+def test_licenses_against_full_alignment(spark):
+    """Every template against every text, without fingerprints or bands: the same texts hold licenses, of the same wordings."""
+    rng = random.Random(12)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    names = [t for t in license_scan.TEMPLATES if t[0] not in ("MIT-0", "X11", "0BSD")]  # wordings inside others
+    filler = lambda n: " ".join(f"f{rng.randrange(500)}" for _ in range(n))
+    for i, (_, wording) in enumerate(names):
+        words, n = wording.split(), len(wording.split())
+        for k, part in enumerate((words, words[: n // 2] + (filler(20).split() if n >= 20 else []) + words[n // 2 :], [w for w in words if rng.random() > 0.08], words[: n // 3])):
+            docs.append((10_000 + 10 * i + k, f"{filler(30)} {' '.join(part)} {filler(40)}"))
+    got = {}
+    for r in license_scan.license_matches(spark.createDataFrame(docs, "doc_id long, text string").repartition(8)).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    cut = [(name, [license_scan.clean(w) for w in t.encode().lower().split()]) for name, t in license_scan.TEMPLATES]
+    for doc, text in docs:
+        tokens = [license_scan.clean(w) for w in (text or "").encode().lower().split()]
+        held = set(tokens)
+        shares = {}
+        for name, words in cut:
+            if sum(w in held for w in words) >= license_scan.COVER * len(words):
+                shares[name] = max(shares.get(name, 0), plain_alignment(words, tokens) / len(words))
+        sure = {n for n, s in shares.items() if s >= license_scan.COVER + 0.1}
+        # scattered edits of a short wording can leave no run of words for a fingerprint
+        if doc < 10_000 or doc % 10 < 2 or len(text.split()) > 110:
+            assert bool(got.get(doc)) == bool(sure) or not sure, (doc, sure, got.get(doc))
+        assert all(shares.get(n, 0) >= license_scan.COVER for n in got.get(doc, ()))
+        if doc >= 10_000 and doc % 10 < 2:
+            assert names[(doc - 10_000) // 10][0] in got[doc], (doc, got.get(doc))
+
+
+def test_templates_from_a_table(spark, monkeypatch):
+    rows = [("Own", "one two three four five six"), ("Other", "uno due tre quattro cinque sei"), ("None", None), ("Empty", "")]
+    monkeypatch.setattr(license_scan, "TEMPLATE_BYTES", 20)
+    docs = spark.createDataFrame([(1, "x one two three four five six y"), (2, "uno due tre quattro cinque")], "doc_id long, text string")
+    got = license_scan.license_matches(docs, spark.createDataFrame(rows, "license string, wording string")).collect()
+    assert {(r.doc_id, r.license) for r in got} == {(1, "Own"), (2, "Other")}
+
+
 def test_winnowing_keeps_a_hash_of_each_run():
     hashes = np.random.default_rng(0).integers(0, 50, 400).astype(np.uint64)
     kept = license_scan.winnow(hashes)

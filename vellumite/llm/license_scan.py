@@ -4,19 +4,29 @@ Templates are cut into words and word ``GRAM``-grams; winnowing (Schleimer,
 Wilkerson and Aiken 2003) keeps the smallest hash of each ``WINNOW`` in a row. The
 kept hashes of all templates form an inverted index, as large as the templates.
 Texts are winnowed in the same way, so a run of GRAM + WINNOW - 1 equal words
-shares a kept hash. Hits of one template on nearby diagonals are one candidate,
-and each candidate is aligned with the template inside a band of ``BAND`` words
-to either side. Its coverage, the share of the template's words that match, and
-its span are reported if the coverage reaches ``COVER``. Of overlapping matches of
-one license the best is kept; a license found in several places has a row each.
-
-Null texts are empty; texts without a license have no rows. Repeated rows are
-reported each. An empty table gives no rows. Extra columns are not read. Texts are
-scanned whole.
+shares a kept hash. A template is a candidate where a text holds ``HITS`` of its
+kept hashes; hits on nearby diagonals are one line, and the template is aligned
+along each line inside a band of ``BAND`` words to either side. Aligned pieces
+that follow one another in the template and in the text, no more than ``CHAIN``
+words apart, are one match, so a wording with a passage put into its middle is
+found whole. The coverage, the share of the template's words that match, is
+reported with the span if it reaches ``COVER``. Of overlapping matches of one
+license the best is kept; where a match lies inside one of another license that
+matches more words, it goes too (a notice is part of longer ones). A license
+found in several places has a row each.
+
+Templates are :mod:`license_texts`, or rows (license, wording) of a table. They
+are the query set, broadcast up to ``TEMPLATE_BYTES``; more are scanned in
+blocks of that size, and overlaps are settled inside a block.
+
+Null texts are empty; texts without a license have no rows. Null or empty
+wordings match nothing. Repeated rows are reported each. An empty table gives no
+rows. Extra columns are not read. Texts are scanned whole.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -28,25 +38,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .license_texts import TEMPLATES
 
-GRAM, WINNOW, BAND, COVER = 3, 2, 8, 0.75
+GRAM, WINNOW, BAND, COVER = 3, 3, 8, 0.75
+HITS, CHAIN = 0.2, 48
+MISS, GAP = 0.5, 0.4  # what an alignment loses, in matches, for a word replaced, and for one put in or left out
+TEMPLATE_BYTES = 16 << 20
 OUTER = b".,;:!?\"'()[]*#/<>-"
 
-#: Wordings of common licenses and notices, (license, wording).
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions.'),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-)
-
 
 def clean(token: bytes) -> bytes:
     return token.strip(OUTER) or token
@@ -75,11 +74,15 @@ def winnow(hashes: np.ndarray) -> np.ndarray:
 
 class Scanner:
     def __init__(self, templates: tuple[tuple[str, str], ...]):
-        self.templates = [(name, [clean(t) for t in text.encode().lower().split()]) for name, text in templates]
+        cut = [(name, [clean(t) for t in (text or "").encode().lower().split()]) for name, text in templates]
+        self.templates = [(name, words) for name, words in cut if words]
         self.index: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.need = []
         for k, (_, words) in enumerate(self.templates):
             hashes = gram_hashes([crc32(w) for w in words])
-            for at in winnow(hashes).tolist():
+            kept = winnow(hashes).tolist()
+            self.need.append(max(1, int(HITS * len(kept))))
+            for at in kept:
                 self.index[int(hashes[at])].append((k, at))
         self.keys = np.array(sorted(self.index), np.uint64)
         self.seen: dict[bytes, int] = {}
@@ -104,35 +107,64 @@ class Scanner:
         if not len(kept):
             return []
         kept = kept[np.isin(hashes[kept], self.keys)]
-        diagonals: dict[int, set[int]] = defaultdict(set)
+        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for at in kept.tolist():
             for k, place in self.index[int(hashes[at])]:
-                diagonals[k].add(at - place)
+                hits[k].append((at, place))
         found = []
-        for k, lines in diagonals.items():
-            name, words = self.templates[k]
-            last = None
-            for line in sorted(lines):
-                if last is not None and line - last <= BAND // 2:
-                    continue
-                last = line
-                matched, first, stop = banded(words, tokens, line)
-                if matched >= COVER * len(words):
-                    found.append((name, first, stop, matched, matched / len(words)))
+        for k, places in hits.items():
+            if len({place for _, place in places}) >= self.need[k]:
+                name, words = self.templates[k]
+                found += [(name, *m, m[2] / len(words)) for m in chained(pieces(words, tokens, places)) if m[2] >= COVER * len(words)]
         best: list[tuple[str, int, int, int, float]] = []
-        for match in sorted(found, key=lambda m: (-m[3], -m[4], m[1])):
-            if not any(b[0] == match[0] and b[1] <= match[2] and match[1] <= b[2] for b in best):
+        for match in sorted(found, key=lambda m: (-m[3], -m[4], m[1], m[0])):
+            same = any(b[0] == match[0] and b[1] <= match[2] and match[1] <= b[2] for b in best)
+            inside = any(b[1] <= match[1] and match[2] <= b[2] and b[3] > match[3] for b in best)
+            if not same and not inside:
                 best.append(match)
         return sorted(best, key=lambda m: (m[1], m[0]))
 
 
-def banded(words: list[bytes], tokens: list[bytes], line: int) -> tuple[int, int, int]:
-    """Align ``words`` with ``tokens`` near the diagonal ``line``: most matches less a little for each gap, first and last token matched."""
+def pieces(words: list[bytes], tokens: list[bytes], hits: list[tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """Alignments of ``words`` along the lines of ``hits`` (token, word): (matches, first and last word, first and last token)."""
+    out, lines = set(), []  # a line: its diagonal and the first and last token hit
+    for line, at in sorted((at - place, at) for at, place in hits):
+        if lines and line - lines[-1][0] <= BAND // 2:
+            lines[-1][1], lines[-1][2] = min(lines[-1][1], at), max(lines[-1][2], at)
+        else:
+            lines.append([line, at, at])
+    for line, _, _ in lines:
+        found = banded(words, tokens, line)
+        if found[0]:
+            out.add(found)
+    return sorted(out, key=lambda p: (p[3], p[1]))
+
+
+def chained(found: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int]]:
+    """(first token, last token, matches) of each piece with the best run of pieces before it; what two pieces share counts once."""
+    best: list[tuple[int, int, int]] = []  # first token, last token, matches of the chain that ends with each piece
+    for i, (n, w0, w1, t0, t1) in enumerate(found):
+        chain = (t0, t1, n)
+        for j in range(i):
+            _, start_w, end_w, start_t, end_t = found[j]
+            if start_w < w0 and start_t < t0 and end_w < w1 and end_t < t1 and t0 - end_t <= CHAIN:
+                total = best[j][2] + n - max(0, end_w - w0 + 1, end_t - t0 + 1)
+                if total > chain[2]:
+                    chain = (best[j][0], t1, total)
+        best.append(chain)
+    return best
+
+
+def banded(words: list[bytes], tokens: list[bytes], line: int) -> tuple[int, int, int, int, int]:
+    """Align ``words`` with ``tokens`` near the diagonal ``line``: most matches less a little for each gap.
+
+    Returns the matches, the first and last word and the first and last token matched.
+    """
     lo = max(0, line - BAND)
     part = [clean(t) for t in tokens[lo : line + len(words) + BAND]]
     width = 2 * BAND + 1
-    # a row a template word, a column an offset from the diagonal; (score, matches, first, last)
-    none = (0.0, 0, -1, -1)
+    # a row a template word, a column an offset from the diagonal; (score, matches, first word, last word, first token, last token)
+    none = (0.0, 0, -1, -1, -1, -1)
     above = [none] * (width + 1)
     best = none
     for i, word in enumerate(words):
@@ -141,27 +173,52 @@ def banded(words: list[bytes], tokens: list[bytes], line: int) -> tuple[int, int
             j = line + i + c - BAND - lo
             step = above[c]
             if 0 <= j < len(part) and part[j] == word:
-                step = (step[0] + 1, step[1] + 1, step[2] if step[1] else j + lo, j + lo)
+                first = step[2], step[4]
+                if not step[1]:
+                    first = i, j + lo
+                step = (step[0] + 1, step[1] + 1, first[0], i, first[1], j + lo)
             else:
-                step = (step[0] - 0.2, *step[1:]) if step[0] > 0.2 else none
+                step = (step[0] - MISS, *step[1:]) if step[0] > MISS else none
             for other in (above[c + 1], left):
-                if other[0] - 0.1 > step[0]:
-                    step = (other[0] - 0.1, *other[1:])
+                if other[0] - GAP > step[0]:
+                    step = (other[0] - GAP, *other[1:])
             row.append(step)
             left = step
             if step[0] > best[0]:
                 best = step
         above = [*row, none]
-    return best[1], best[2], best[3]
+    return best[1:]
+
+
+def template_blocks(templates: DataFrame | tuple[tuple[str, str], ...]) -> Iterator[tuple[tuple[str, str], ...]]:
+    """Templates in blocks of up to ``TEMPLATE_BYTES``."""
+    rows = ((r[0], r[1]) for r in templates.toLocalIterator()) if isinstance(templates, DataFrame) else iter(templates)
+    held, used = [], 0
+    for name, wording in rows:
+        if held and used + len(wording or "") > TEMPLATE_BYTES:
+            yield tuple(held)
+            held, used = [], 0
+        held.append((name, wording))
+        used += len(wording or "")
+    yield tuple(held)
+
+
+def license_matches(docs: DataFrame, templates: DataFrame | tuple[tuple[str, str], ...] = TEMPLATES, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a match: doc_id, license, coverage, matched_words, first_word, last_word, start, stop (characters of the text).
+
+    ``templates`` are pairs or a table (license, wording).
+    """
+    blocks = [block_matches(docs, block, id_col, text_col) for block in template_blocks(templates)]
+    return functools.reduce(DataFrame.unionByName, blocks)
 
 
-def license_matches(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a match: doc_id, license, coverage, matched_words, first_word, last_word, start, stop (characters of the text)."""
+def block_matches(docs: DataFrame, templates: tuple[tuple[str, str], ...], id_col: str, text_col: str) -> DataFrame:
     schema = "doc_id long, license string, coverage double, matched_words int, first_word long, last_word long, start long, stop long"
     word = re.compile(common.WORD)
+    shared = docs.sparkSession.sparkContext.broadcast(templates)  # TEMPLATE_BYTES at most, but for a single longer wording
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates)
+        scanner = Scanner(shared.value)
         for batch in batches:
             rows: list[tuple] = []
             for i, text in enumerate(common.byte_texts(batch, "text")):
