@@ -87,13 +87,44 @@ def test_scores_against_brute_force(odd_docs):
 
 
 def test_repeats():
-    words, drawn = np.array([3, 4, 3, 3, 9]), np.log10(np.array([0.2, 0.1, 0.2, 0.2, 0.05]))
-    again, want = [0, 0, 1 / 2, 2 / 3, 0], 0.0
-    for i, (w, a) in enumerate(zip(drawn, again, strict=True)):
-        share = lattice_lm.REPEAT if i else 0
-        want += math.log10((1 - share) * 10**w + share * a)
-    got = lattice_lm.repeated([drawn, drawn - 1], words)
-    assert math.isclose(got[0], want) and got[1] < got[0]
+    assert np.allclose(lattice_lm.repeats(np.array([3, 4, 3, 3, 9])), np.array([0, 0, 1 / 2, 2 / 3, 0]) * lattice_lm.REPEAT)
+
+
+@pytest.mark.parametrize("head", [0, 5, 100_000])
+def test_whole_scores_against_brute_force(spark, odd_docs, monkeypatch, head):
+    """Every text's score again, word by word in Python, over all segmentations; whatever the tasks hold of the vocabulary."""
+    scores = {}
+    plain = lattice_lm.piece_scores
+    monkeypatch.setattr(lattice_lm, "piece_scores", lambda *a: scores.update(plain(*a)) or scores)
+    monkeypatch.setattr(lattice_lm, "HEAD", head)
+    docs = odd_docs.where("doc_id is null or doc_id <> 103").withColumn("text", F.expr("concat(text, ' new', doc_id, ' of of new', doc_id)"))
+    held = F.coalesce(F.col("doc_id") % 3 == 0, F.lit(False))
+    got = lattice_lm.lattice_scores(docs, held, PIECES, class_col="lang").collect()
+    rows = [(r.doc_id, r.lang or "", (r.text or "").encode().lower().split()) for r in docs.collect()]
+    counts, by = Counter(), {}
+    for d, k, ws in rows:
+        if d is None or d % 3:
+            counts.update([*ws, b""])
+            by.setdefault(k, Counter()).update([*ws, b""])
+    n, want, R, share = sum(counts.values()), [], lattice_lm.REPEAT, lattice_lm.COMMON
+    fresh = (sum(c == 1 for c in counts.values()) + 1) / (n + 2)
+    longest = max(map(len, scores))
+    spelled = {}
+    for w in {w for _, _, ws in rows for w in ws}:
+        text, sums = b" " + w, [1.0]
+        for j in range(1, len(text) + 1):
+            sums.append(sum(sums[i] * math.exp(scores[text[i:j]]) for i in range(max(0, j - longest), j) if text[i:j] in scores))
+        spelled[w] = sums[-1] * math.exp(scores[lattice_lm.END_OF_WORD])
+    for d, k, ws in rows:
+        own, total = by.get(k, Counter()), 0.0
+        size = sum(own.values())
+        for i, w in enumerate(ws):
+            drawn = (1 - fresh) * ((1 - share) * own[w] / max(size, 1) + share * counts[w] / n) + fresh * spelled[w]
+            again = ws[:i].count(w) / i if i else 0
+            total += math.log10((1 - R) * drawn + R * again if i else drawn)
+        total += math.log10((1 - fresh) * (own[b""] + 0.5) / (size + 1)) + (math.log10(1 - R) if ws else 0)
+        want.append((repr(d), len(ws) + 1, round(total, 6)))
+    assert sorted((repr(r.doc_id), r.n_tokens, round(r.score, 6)) for r in got) == sorted(want)
 
 
 def test_scores_beat_the_base_on_held_out_texts(spark):

@@ -11,48 +11,49 @@ Two more arcs span a whole word in the lattice, and are summed with the others:
 one for training words, by their counts, and one for words that the text has
 used before, by their share in it so far (``REPEAT``). The share of words that
 are left to spelling is the Good-Turing estimate, the share of training tokens
-seen once. Texts come in classes (languages, say): the counts of training words
-are kept by class, with a share ``COMMON`` of all classes' counts, and a text's
-probability is summed over the classes, whatever its own is said to be. The
-``CLASSES`` - 1 largest classes are told apart, the rest are one.
+seen once. Counts are kept by class (language, say), as many as there are; a text
+is scored by the counts of its own class with a share ``COMMON`` of all classes'.
 ``spelled_score`` is the sum over spellings alone. All are proper distributions,
-so ``score`` is a probability of the text; the base score is not one, as it
-gives each of endless unseen words the same share.
+so ``score`` is a probability of the text (of that class); the base score is not
+one, as it gives each of endless unseen words the same share.
 
 The vocabulary's stored scores are merge ranks, not probabilities, so the
-unigram scores are learned: first from the pieces into which the vocabulary cuts
-all distinct training words, then by one expectation-maximisation step over all
-segmentations of all of them. Counts cover every training text; nothing is capped.
-
-Scores come back to the texts by block: a block is a run of documents of up to
-``BLOCK_BYTES``; its distinct words are joined with the counts, and the block's
-texts meet its own small vocabulary in one task. A word has one row a block, so
-even the commonest is no hot key, and no task needs the whole vocabulary.
-
-Null texts are empty (the end alone). Null ids count as training rows. Repeated
-rows are scored each. With no training rows all words are spelled by uniform
-pieces. Very long texts make a block of their own. An empty table gives no rows.
-Extra columns are not read.
+unigram scores are learned from the training words seen once, all of them, as
+these are what spelling stands for: first from the pieces into which the
+vocabulary cuts them, then by ``EXPECTATIONS`` expectation-maximisation steps over
+all segmentations. Counts cover every training text; nothing is capped.
+
+Texts are read twice, once to count and once to score, and never shuffled. The
+``HEAD`` commonest words, a fixed number, go to every task, which scores them as it
+reads; each text's other words leave as rows, are joined with the counts and the
+spellings of all such words, each spelled once, and come back as sums by text.
+The commonest word of these rows is rare, so no key is hot.
+
+Null texts are empty (the end alone). Null ids count as training rows; null and
+empty classes are one. Repeated rows are scored each. With no training rows all
+words are spelled by uniform pieces. Very long texts are scored like others. An
+empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-BLOCK_BYTES = 24 << 20
-FLUSH = 200_000  # distinct words a task holds before it passes on its counts
+FLUSH = 300_000  # distinct words a task holds before it passes on its counts
+HEAD = 200_000  # words of a class, the commonest of all, that every task holds
 REPEAT = 0.1  # share of words drawn from the text's own words so far
-CLASSES, COMMON = 8, 0.02
+COMMON = 0.02
+EXPECTATIONS = 2
 END_OF_WORD = b"\n"  # no word holds it
 LOW = -1e300
 LOG10 = math.log(10)
@@ -143,31 +144,32 @@ def log_scores(counts: dict[bytes, float], pieces: Iterable[bytes], least: float
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c, by): counts over all texts, and by class 0 .. CLASSES - 1 (``cls``); the empty word is the end."""
+    """(word, c, by): counts over all texts, and ``by`` class (``cls``); the empty word is the end."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[Counter[bytes]] = [Counter() for _ in range(CLASSES)]
+        found: dict[str, Counter[bytes]] = defaultdict(Counter)
 
         def rows():
-            for k, counts in enumerate(found):
-                yield pa.record_batch({"word": pa.array(list(counts.keys()), pa.binary()), "cls": pa.array([k] * len(counts), pa.int32()), "c": pa.array(list(counts.values()), pa.int64())})
-                counts.clear()
+            for cls, counts in found.items():
+                yield pa.record_batch({"word": pa.array(list(counts.keys()), pa.binary()), "cls": pa.array([cls] * len(counts), pa.string()), "c": pa.array(list(counts.values()), pa.int64())})
+            found.clear()
 
         for batch in batches:
-            for k, text in zip(batch.column(0).to_pylist(), common.byte_texts(batch, "text"), strict=True):
-                found[k].update(text.lower().split())
-                found[k][b""] += 1
-                if sum(map(len, found)) > FLUSH:
+            for cls, text in zip(batch.column(0).to_pylist(), common.byte_texts(batch, "text"), strict=True):
+                found[cls].update(text.lower().split())
+                found[cls][b""] += 1
+                if sum(map(len, found.values())) > FLUSH:
                     yield from rows()
         yield from rows()
 
-    counts = docs.select("cls", "text").mapInArrow(count, "word binary, cls int, c long")
-    by = F.array(*(F.coalesce(F.sum(F.when(F.col("cls") == k, F.col("c"))), F.lit(0)) for k in range(CLASSES)))
-    return counts.groupBy("word").agg(F.sum("c").alias("c"), by.alias("by"))
+    # summed up by task; one shuffle serves both groupings
+    counts = docs.select("cls", "text").mapInArrow(count, "word binary, cls string, c long").repartition("word")
+    counts = counts.groupBy("word", "cls").agg(F.sum("c").alias("c"))
+    return counts.groupBy("word").agg(F.sum("c").alias("c"), F.map_from_entries(F.collect_list(F.struct("cls", "c"))).alias("by"))
 
 
 def piece_scores(words: DataFrame, model_path: str) -> dict[bytes, float]:
-    """Unigram scores of the vocabulary's pieces, learned from all distinct ``words``."""
+    """Unigram scores of the vocabulary's pieces, learned from all ``words`` (word, c) seen once."""
     pieces = byte_pieces(model_path)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,21 +184,23 @@ def piece_scores(words: DataFrame, model_path: str) -> dict[bytes, float]:
                     totals.update(ids)
         yield pa.record_batch({"piece": pa.array(list(totals), pa.int32()), "n": pa.array([float(n) for n in totals.values()], pa.float64())})
 
-    words = words.where("octet_length(word) > 0").select("word")
+    words = words.where("octet_length(word) > 0 and c = 1").select("word")
     # at most one row for each piece of the vocabulary
     found = {r.piece: r.n for r in words.mapInArrow(cut, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()}
-    first = {p: found.get(i, 0.0) for p, i in pieces.items()}
-    first[END_OF_WORD] = max(sum(found.values()) / 3, 1.0)
-    start = docs_broadcast(words, Lattice(log_scores(first, pieces)))
+    counts = {p: found.get(i, 0.0) for p, i in pieces.items()}
+    counts[END_OF_WORD] = max(sum(found.values()) / 3, 1.0)
+    for _ in range(EXPECTATIONS):
+        start = docs_broadcast(words, Lattice(log_scores(counts, pieces)))
 
-    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        into: dict[bytes, float] = {}
-        for batch in batches:
-            start.value.expect(batch.column(0).to_pylist(), into)
-        yield pa.record_batch({"piece": pa.array(list(into), pa.binary()), "n": pa.array(list(into.values()), pa.float64())})
+        def expect(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
+            into: dict[bytes, float] = {}
+            for batch in batches:
+                start.value.expect(batch.column(0).to_pylist(), into)
+            yield pa.record_batch({"piece": pa.array(list(into), pa.binary()), "n": pa.array(list(into.values()), pa.float64())})
 
-    sums = words.sortWithinPartitions("word").mapInArrow(expect, "piece binary, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
-    return log_scores({bytes(r.piece): r.n for r in sums}, pieces)
+        sums = words.sortWithinPartitions("word").mapInArrow(expect, "piece binary, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+        counts = {bytes(r.piece): r.n for r in sums}
+    return log_scores(counts, pieces)
 
 
 def docs_broadcast(df: DataFrame, value):
@@ -205,140 +209,136 @@ def docs_broadcast(df: DataFrame, value):
 
 
 def spelled(words: DataFrame, lattice) -> DataFrame:
-    """``words`` (word, c, by) with ``lp``, the log probability of the spelling."""
+    """``words`` with ``lp``, the log10 probability of the spelling."""
+    schema = words.withColumn("lp", F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch({"word": batch.column(0), "c": batch.column(1), "by": batch.column(2), "lp": pa.array(list(lattice.value.words(batch.column(0).to_pylist())), pa.float64())})
+            lp = np.fromiter(lattice.value.words(batch.column(0).to_pylist()), float, batch.num_rows) / LOG10
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lp)], names=[*batch.schema.names, "lp"])
+
+    return words.sortWithinPartitions("word").mapInArrow(run, schema)
+
+
+class Model(NamedTuple):
+    """What all words share: training tokens, distinct ones, the Good-Turing share of unseen words, and the sizes of classes."""
+
+    tokens: int
+    distinct: int
+    fresh: float
+    classes: DataFrame  # cls, size
+
+    def scored(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (word, cls, c, ck, lp, ...) with base, drawn (probability of the word in its class, not repeated) and lp; log10 but for drawn."""
+        sized = rows.join(self.classes.withColumnRenamed("cls", "_cls"), F.expr("cls = _cls"), "left").drop("_cls")
+        ratio = f"(1 - {COMMON}D) * ck / greatest(coalesce(size, 0), 1) + {COMMON}D * c / {max(self.tokens, 1)}D"
+        word = f"{1 - self.fresh!r}D * ({ratio}) + {self.fresh!r}D * pow(10D, lp)"
+        end = "octet_length(word) = 0"  # never spelled
+        return sized.selectExpr(
+            *(c for c in rows.columns if c != "lp"),
+            f"log10((c + 0.1D) / {self.tokens + 0.1 * (self.distinct + 1)!r}D) as base",
+            # a word too long for a probability keeps its logarithm
+            f"case when {end} then {1 - self.fresh!r}D * (ck + 0.5D) / (coalesce(size, 0) + 1) else {word} end as drawn",
+            f"case when {end} then log10({1 - self.fresh!r}D * (c + 0.5D) / {self.tokens + 1}D) else lp end as lp",
+        )
+
+
+class Head:
+    """The commonest words of each class and what they score."""
+
+    def __init__(self, rows: list):
+        self.at: dict[str, dict[bytes, int]] = defaultdict(dict)
+        for i, r in enumerate(rows):
+            self.at[r.cls][bytes(r.word)] = i
+        self.base = np.array([r.base for r in rows] + [0.0])
+        self.drawn = np.array([r.drawn for r in rows] + [1.0])
+        self.lp = np.array([r.lp for r in rows] + [0.0])
+
+
+def repeats(ids: np.ndarray) -> np.ndarray:
+    """For each place of a text the share, times ``REPEAT``, that its word has of the places before; the end is last."""
+    n = len(ids)
+    order, ranks = np.argsort(ids, kind="stable"), np.arange(n)
+    first = np.r_[True, ids[order][1:] != ids[order][:-1]]
+    before = np.empty(n)
+    before[order] = ranks - np.maximum.accumulate(np.where(first, ranks, 0))
+    return REPEAT * before / np.maximum(ranks, 1)
 
-    return words.sortWithinPartitions("word").mapInArrow(run, "word binary, c long, by array<long>, lp double")
 
+READ = "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, spelled double, cls string, word binary, n long, lead boolean, again array<double>"
 
-def block_words(blocked: DataFrame) -> DataFrame:
-    """(block, word): the distinct words of each block. ``blocked`` comes one partition a block or more."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, words = None, set()
+def read_texts(rows: DataFrame, head) -> DataFrame:
+    """``READ``: a row a text, summed over its words of the ``head``, and a row a text and other word, with its shares in the text so far (``again``)."""
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 2, *[pa.float64()] * 3, pa.string(), pa.binary(), pa.int64(), pa.bool_(), pa.list_(pa.float64())]
+    schema = pa.schema([pa.field(part.split()[0], kind) for part, kind in zip(READ.split(", "), kinds, strict=True)])
 
-        def rows():
-            for lo in range(0, len(listed := list(words)), 50_000):
-                part = listed[lo : lo + 50_000]
-                yield pa.record_batch({"block": pa.array([block] * len(part), pa.int64()), "word": pa.array(part, pa.binary())})
-
-        for batch in batches:
-            for at, text in zip(batch.column(0).to_pylist(), common.byte_texts(batch, "text"), strict=True):
-                if at != block:
-                    yield from rows()
-                    block, words = at, {b""}
-                words.update(text.lower().split())
-        yield from rows()
-
-    return blocked.select("block", "text").mapInArrow(run, "block long, word binary")
-
-
-def in_blocks(rows: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
-    """``rows`` with a column ``block``: runs of rows of one partition, each of about ``limit`` bytes of text at most."""
-    schema = rows.withColumn("block", F.lit(0).cast("long")).schema
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        block, used = TaskContext.get().partitionId() << 32, 0
+        known, key, out = head.value, TaskContext.get().partitionId() << 33, []
+        keep = math.log10(1 - REPEAT)
         for batch in batches:
-            sizes = pc.fill_null(pc.binary_length(pc.cast(batch.column(batch.schema.get_field_index("text")), pa.binary())), 0).to_pylist()
-            blocks = []
-            for size in sizes:
-                if used and used + size > limit:
-                    block, used = block + 1, 0
-                used += size
-                blocks.append(block)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(blocks, pa.int64())], names=[*batch.schema.names, "block"])
-
-    return rows.mapInArrow(run, schema)
-
-
-def classes(docs: DataFrame, class_col: str | None) -> Column:
-    """The class of each row, 0 .. CLASSES - 1: the commonest values of ``class_col`` in turn, then all others."""
-    if class_col is None:
-        return F.lit(0)
-    sizes = docs.groupBy(F.col(class_col).cast("string").alias("v")).agg(F.count(F.lit(1)).alias("n")).where("v is not null")
-    top = [r.v for r in sizes.orderBy(F.desc("n"), "v").limit(CLASSES - 1).collect()]
-    cls = F.lit(CLASSES - 1)
-    for k, v in enumerate(top):
-        cls = F.when(F.col(class_col).cast("string") == v, k).otherwise(cls)
-    return cls
+            for doc, held, cls, text in zip(*(batch.column(i).to_pylist() for i in range(3)), common.byte_texts(batch, "text"), strict=True):
+                key += 1
+                body, local = text.lower().split(), {}
+                number = local.setdefault
+                ids = np.fromiter([number(w, len(local)) for w in body], np.int64, len(body))
+                ids = np.append(ids, number(b"", len(local)))
+                get = known.at.get(cls, {}).get
+                place = np.fromiter([get(w, -1) for w in local], np.int64, len(local))
+                again, at = repeats(ids), place[ids]
+                listed = at >= 0
+                fresh = np.where(np.arange(len(ids)) > 0, 1 - REPEAT, 1.0)
+                score = np.log10(fresh[listed] * known.drawn[at[listed]] + again[listed]).sum()
+                out.append((key, doc, held, len(ids), int(listed.sum()), known.base[at].sum(), score, known.lp[at].sum(), None, None, None, None, None))
+                if (others := np.nonzero(place < 0)[0]).size:
+                    counts = np.bincount(ids, minlength=len(local))
+                    words, lead = list(local), int(ids[0])
+                    more = np.nonzero((again > 0) & ~listed)[0]
+                    shares: dict[int, list[float]] = defaultdict(list)
+                    for i, share in zip(ids[more].tolist(), again[more].tolist(), strict=True):
+                        shares[i].append(share)
+                    for i in others.tolist():
+                        out.append((key, None, None, None, None, None, None, None, cls, words[i], int(counts[i]), i == lead, shares.get(i)))
+                if len(out) > 20_000:
+                    yield batch_of(out)
+                    out = []
+        if out:
+            yield batch_of(out)
+
+    return rows.select("doc_id", "held_out", "cls", "text").mapInArrow(run, READ)
 
 
 def lattice_scores(docs: DataFrame, held_out: Column, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = None) -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), spelled_score."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text"), classes(docs, class_col).alias("cls"))
+    cls = F.coalesce(F.col(class_col).cast("string"), F.lit("")) if class_col else F.lit("")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), cls.alias("cls"), F.col(text_col).alias("text"))
     counts = common.stored(word_counts(rows.where("not held_out")), "word_counts")
     n, v, once = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.expr("cast(c = 1 as long)")), F.lit(0))).first()
-    ends = counts.where("octet_length(word) = 0").select("by").first()
-    sums = counts.agg(*(F.coalesce(F.sum(F.col("by")[k]), F.lit(0)) for k in range(CLASSES))).first()
-    used = [k for k in range(CLASSES) if sums[k]] or [0]
-    prior = np.array([ends.by[k] if ends else 1 for k in used], float)
-    prior = np.log10(prior / prior.sum())
+    sizes = counts.select(F.explode("by").alias("cls", "ck")).groupBy("cls").agg(F.sum("ck").alias("size"))
+    model = Model(n, v, (once + 1) / (n + 2), common.stored(sizes, "class_sizes"))  # Good-Turing share of words not seen
     lattice = docs_broadcast(rows, Lattice(piece_scores(counts, model_path)))
-    told = counts.select("word", "c", F.array(*(F.col("by")[k] for k in used)).alias("by"))  # classes that occur
-    words, sums = common.stored(spelled(told, lattice), "words"), [sums[k] for k in used]
-    fresh = (once + 1) / (n + 2)  # Good-Turing share of words not seen
-
-    blocked = common.stored(in_blocks(rows.drop("cls")), "blocks")
-    known = block_words(blocked).join(words, "word").select("block", "word", "c", "by", "lp")
-
-    def score(key: tuple, texts: pa.Table, vocabulary: pa.Table) -> pa.Table:
-        listed = vocabulary.column("word").to_pylist()
-        at = {w: i for i, w in enumerate(listed)}
-        c, lp = vocabulary.column("c").to_numpy().astype(float), vocabulary.column("lp").to_numpy()
-        bodies = [t.lower().split() for t in pc.fill_null(pc.cast(texts.column("text"), pa.binary()), b"").to_pylist()]
-        new = sorted({w for body in bodies for w in body if w not in at} | ({b""} if b"" not in at else set()))
-        # a block read in two tasks lists words twice, so there can be more rows than words
-        at |= {w: i for i, w in enumerate(new, len(listed))}
-        c = np.concatenate([c, np.zeros(len(new))])
-        lp = np.concatenate([lp, np.array(list(lattice.value.words(new)), float)]) / LOG10
-        base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
-        by = vocabulary.column("by").combine_chunks().flatten().to_numpy().reshape(-1, len(used)).astype(float)
-        by = np.concatenate([by, np.zeros((len(new), len(used)))])
-        end, drawn, spelling = at[b""], [], (math.log10(fresh) + lp) * LOG10
-        for k in range(len(used)):
-            share = (1 - COMMON) * by[:, k] / max(sums[k], 1) + COMMON * c / max(n, 1)
-            with np.errstate(divide="ignore"):
-                drawn.append(np.logaddexp(np.log((1 - fresh) * share), spelling) / LOG10)
-            # the end is never spelled
-            drawn[-1][end] = math.log10((1 - fresh) * (by[end, k] + 0.5) / (sums[k] + 1))
-        lp[end] = math.log10((1 - fresh) * (c[end] + 0.5) / (n + 1))
-        places = [np.fromiter(map(at.__getitem__, body), np.int64, len(body)) for body in bodies]
-        places = [np.append(p, end) for p in places]
-        return pa.table({
-            "doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"),
-            "n_tokens": pa.array([len(p) for p in places], pa.int64()), "n_known": pa.array([int((c[p] > 0).sum()) for p in places], pa.int64()),
-            "train_tokens": pa.array([n] * len(places), pa.int64()), "base_score": pa.array([float(base[p].sum()) for p in places], pa.float64()),
-            "score": pa.array([float(np.logaddexp.reduce((prior + repeated([d[p] for d in drawn], p)) * LOG10) / LOG10) for p in places], pa.float64()), "spelled_score": pa.array([float(lp[p].sum()) for p in places], pa.float64()),
-        })
-
-    grouped = blocked.groupBy("block").cogroup(known.groupBy("block"))
-    return grouped.applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, spelled_score double")
-
-
-def repeated(drawn: list[np.ndarray], words: np.ndarray) -> np.ndarray:
-    """Log10 probabilities of a text by class: each word drawn afresh (``drawn``) or from the words before it. The end is last and never repeated."""
-    n = len(words)
-    order = np.argsort(words, kind="stable")
-    ranks = np.arange(n)
-    first = np.r_[True, words[order][1:] != words[order][:-1]]
-    before = np.empty(n)
-    before[order] = ranks - np.maximum.accumulate(np.where(first, ranks, 0))  # how often the word came before
-    again = REPEAT * before / np.maximum(ranks, 1)
-    keep = np.where(ranks > 0, math.log10(1 - REPEAT), 0.0)
-    seen = np.nonzero(again)[0]
-    out = []
-    for d in drawn:
-        total = (d + keep).sum()
-        # only words that came before have a second way
-        fresh = (d[seen] + keep[seen]) * LOG10
-        out.append(total + (np.logaddexp(fresh, np.log(again[seen])) - fresh).sum() / LOG10)
-    return np.array(out)
+
+    pairs = counts.select("word", "c", F.explode("by").alias("cls", "ck")).orderBy(F.desc("ck"), "cls", "word").limit(HEAD)
+    listed = model.scored(spelled(common.stored(pairs, "head"), lattice)).select("word", "cls", "base", "drawn", "lp").collect()  # HEAD rows
+    read = common.stored(read_texts(rows, docs_broadcast(rows, Head(listed))), "read_texts")
+
+    others = read.where("word is not null").select("key", "cls", "word", "n", "lead", "again")
+    words = others.select("word").distinct().join(counts, "word", "left")
+    words = common.stored(spelled(words, lattice), "other_words")
+    met = model.scored(others.join(words, "word").withColumns({"c": F.expr("coalesce(c, 0)"), "ck": F.expr("coalesce(element_at(by, cls), 0)")}).drop("by"))
+    # the least a probability can be stands for spellings too long for one
+    d = "greatest(drawn, 1e-300D)"
+    score = f"greatest(log10({d}), lp + {math.log10(max(model.fresh, 1e-300))!r}D) + if(lead, 0D, {math.log10(1 - REPEAT)!r}D) + coalesce(aggregate(again, 0D, (s, a) -> s + log10({1 - REPEAT!r}D * {d} + a)), 0D)"
+    sums = met.selectExpr("key", "if(c > 0, n, 0L) as known", "n * base as base2", f"{score} as score2", "n * lp as spelled2")
+    sums = sums.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("known", "base2", "score2", "spelled2")))
+    out = read.where("word is null").join(sums, "key", "left")
+    total = lambda a, b: f"{a} + coalesce({b}, 0)"
+    return out.selectExpr("doc_id", "held_out", "n_tokens", f"{total('n_known', 'known')} as n_known", f"{n}L as train_tokens", f"{total('base', 'base2')} as base_score", f"{total('score', 'score2')} as score", f"{total('spelled', 'spelled2')} as spelled_score")
 
 
 def op3_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
