@@ -49,8 +49,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-FLUSH = 300_000  # distinct words a task holds before it passes on its counts
-HEAD = 200_000  # words of a class, the commonest of all, that every task holds
+FLUSH = 200_000  # distinct words a task holds before it passes on its counts
+HEAD = 100_000  # words of a class, the commonest of all, that every task holds
 REPEAT = 0.1  # share of words drawn from the text's own words so far
 COMMON = 0.02
 EXPECTATIONS = 2
@@ -304,7 +304,7 @@ def read_texts(rows: DataFrame, head) -> DataFrame:
                         shares[i].append(share)
                     for i in others.tolist():
                         out.append((key, None, None, None, None, None, None, None, cls, words[i], int(counts[i]), i == lead, shares.get(i)))
-                if len(out) > 20_000:
+                if len(out) > 8_000:
                     yield batch_of(out)
                     out = []
         if out:
