@@ -3,7 +3,7 @@
 import pytest
 
 from vellumite.operators.corpus import clean_folder, corpus_check, probe
-from vellumite.sources import planter
+from vellumite.plans import planted as planter
 from vellumite.sources.sink import SameFolder, write_files
 from vellumite.sources.tables import read_files
 
@@ -29,6 +29,18 @@ def test_clean_folder(spark, folder):
     assert sorted((r.error_code or "") for r in done.status.collect()) == ["", "", "", "corrupt", "encrypted", "signed"]
 
 
+def test_equal_names_in_other_folders(spark, tmp_path):
+    for i, name in ((2, "a/x.pdf"), (4, "b/x.pdf"), (6, "b/c d/x.pdf"), (8, "y.pdf"), (9, "y.PDF")):
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(planter.pdf(i, b"text %d" % i, "en", "s", 1))
+    _, written = clean_folder(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out")
+    assert sorted(r.error_code or "" for r in written.collect()) == ["", "", "", "", "cannotWrite"]
+    out = {str(p.relative_to(tmp_path / "out")): p.read_bytes() for p in (tmp_path / "out").rglob("*.pdf")}
+    assert sorted(out) == ["a/x-clean.pdf", "b/c d/x-clean.pdf", "b/x-clean.pdf", "y-clean.pdf"]
+    assert b"text 2" in out["a/x-clean.pdf"] and b"text 4" in out["b/x-clean.pdf"] and b"text 6" in out["b/c d/x-clean.pdf"]
+    assert not list((tmp_path / "out").rglob("*.part"))
+
+
 def test_originals_are_safe(spark, folder):
     files = read_files(spark, f"file://{folder}/in")
     with pytest.raises(SameFolder):

@@ -7,7 +7,8 @@ from vellumite.config import Limits, profile
 from vellumite.operators import inspect as I
 from vellumite.operators import objects as O
 from vellumite.operators import reach
-from vellumite.sources import planter, tables
+from vellumite.plans import planted as planter
+from vellumite.sources import tables
 from vellumite.sources import syntax as S
 
 
@@ -34,9 +35,20 @@ TRAILER = {S.Name("Root"): S.Ref(1, 0)}
 
 
 def test_gate(spark):
-    files = spark.createDataFrame([(0, 0, b""), (1, 9, b"%PDF-1.4x"), (2, 5, b"hello"), (3, 999, b"%PDF-" + b"x" * 994)], "doc_id long, length long, content binary")
+    files = spark.createDataFrame([(0, 0, b""), (1, 9, b"%PDF-1.4x"), (3, 999, b"%PDF-" + b"x" * 994), (4, 9, b"%PDF-1.4x"), (4, 9, b"%PDF-1.4y")], "doc_id long, length long, content binary")
     got = {r.doc_id: r.error_code for r in tables.gate(files, Limits(input_bytes=500)).collect()}
-    assert got == {0: "emptyInput", 1: None, 2: "notPDF", 3: "oversize"}
+    assert got == {0: "emptyInput", 1: None, 3: "oversize", 4: "cannotRead"}
+    status = {r.doc_id: r.error_code for r in tables.parse(files.unionByName(files.selectExpr("doc_id + 10 as doc_id", "5L as length", "cast(null as binary) as content")), Limits(input_bytes=500)).status.collect()}
+    assert status == {0: "emptyInput", 1: "corrupt", 3: "oversize", 4: "cannotRead", 10: "cannotRead", 11: "cannotRead", 13: "cannotRead", 14: "cannotRead"}
+
+
+def test_content_of_large_files_is_not_read(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pdf").write_bytes(one_file(base(), TRAILER))
+    (tmp_path / "in" / "b.pdf").write_bytes(b"%PDF-1.4" + bytes(5000))
+    files = tables.read_files(spark, f"file://{tmp_path}/in")
+    got = sorted(r.error_code or "" for r in tables.parse(files, Limits(input_bytes=2000)).status.collect())
+    assert got == ["", "oversize"]
 
 
 def test_damage_is_a_row_not_a_failure(spark):
@@ -56,15 +68,20 @@ def test_page_trees(spark):
     bare[2] = {N("Type"): N("Pages")}
     nested = base() | {4: {N("Type"): N("Page")}, 5: {N("Kids"): [S.Ref(3, 0), S.Ref(4, 0)]}}
     nested[2][N("Kids")] = [S.Ref(5, 0)]
-    t = parsed(spark, *(one_file(o, TRAILER) for o in (base(), cyclic, missing, bare, nested)))
-    assert {r.doc_id: r.pages for r in reach.page_counts(t.nodes).collect()} == {0: 1, 1: None, 2: None, 3: 1, 4: 2}
+    apart = base() | {4: {N("Type"): N("Page")}, 5: [S.Ref(3, 0), S.Ref(4, 0)]}
+    apart[2][N("Kids")] = S.Ref(5, 0)
+    number, dangling, doubled, empty = base(), base(), base(), base()
+    number[2][N("Kids")], dangling[2][N("Kids")], doubled[2][N("Kids")], empty[2][N("Kids")] = 7, S.Ref(99, 0), [S.Ref(2, 0), S.Ref(2, 0)], []
+    deep = base() | {3 + i: {N("Kids"): [S.Ref(4 + i, 0)]} for i in range(2000)} | {2003: {N("Type"): N("Page")}}
+    t = parsed(spark, *(one_file(o, TRAILER) for o in (base(), cyclic, missing, bare, nested, apart, number, dangling, doubled, empty, deep)))
+    assert {r.doc_id: r.pages for r in reach.page_counts(t.nodes).collect()} == {0: 1, 1: None, 2: None, 3: 1, 4: 2, 5: 2, 6: None, 7: None, 8: None, 9: 0, 10: 1}
 
 
 @pytest.mark.parametrize(
     "extra, signed",
     [
         ({"ByteRange": [1]}, False), ({"ByteRange": [1], "Contents": b"x"}, True), ({"FT": S.Name("Sig")}, False), ({"FT": S.Name("Sig"), "V": None}, False),
-        ({"FT": S.Name("Sig"), "V": S.Ref(9, 0)}, True), ({"X": [{S.Name("Type"): S.Name("Sig")}]}, True), ({"Filter": b"x ADBE.pkcs7 y"}, True), ({"Perms": {}}, False), ({"Perms": {S.Name("A"): 1}}, True),
+        ({"FT": S.Name("Sig"), "V": S.Ref(9, 0)}, True), ({"X": [{S.Name("Type"): S.Name("Sig")}]}, True), ({"Filter": b"x ADBE.pkcs7 y"}, True), ({"Perms": {}}, False), ({"X": {S.Name("Y"): [{S.Name("Perms"): {S.Name("UR3"): 1}}]}}, True), ({"X": {S.Name("Perms"): {S.Name("A"): 1}}}, False), ({"Perms": {S.Name("A"): 1}}, True),
     ],
 )
 def test_signatures(spark, extra, signed):
@@ -79,6 +96,53 @@ def test_reachability_ignores_dangling_cycles_and_orphans(spark):
     assert {r.obj for r in reach.sweep(t.nodes).select("obj").distinct().collect()} == {-1, 1, 2, 3}
 
 
+def test_chains_of_any_depth(spark):
+    N = S.Name
+    chain = base(Outlines=S.Ref(10, 0)) | {10 + i: {N("Next"): S.Ref(11 + i, 0)} for i in range(2000)} | {2010: {N("Last"): True}, 3000: {N("Orphan"): True}}
+    t = parsed(spark, one_file(chain, TRAILER), one_file(base(), TRAILER))
+    assert {r.doc_id: r.n for r in reach.reachable(t.nodes).groupBy("doc_id").agg(F.count("*").alias("n")).collect()} == {0: 2004, 1: 3}
+
+
+def test_the_last_of_entries_listed_twice_counts(spark):
+    good = one_file(base(), TRAILER)
+    at = good.index(b"xref\n") + 5
+    place = lambda n: b"%010d 00000 n \n" % good.index(b"%d 0 obj" % n)
+    twice = good[:at] + b"3 1\n" + place(1) + good[at:]
+    used_then_free = good.replace(b"trailer", b"3 1\n0000000000 00000 f \ntrailer")
+    t = parsed(spark, twice, used_then_free)
+    assert {r.doc_id: r.error_code for r in t.status.collect()} == {0: None, 1: None}
+    assert {(r.doc_id, r.obj) for r in t.nodes.where("node_id = 0 and obj >= 0").select("doc_id", "obj").collect()} == {(0, 1), (0, 2), (0, 3), (1, 1), (1, 2)}
+
+
+def test_bad_hybrids_and_streams_inside_object_streams(spark):
+    N = S.Name
+    bad = [one_file(base(), TRAILER | {N("XRefStm"): v}) for v in (b"x", 10**9, -1)]
+    file = planter.File(b"%PDF-1.5")
+    file.put(4, S.Stream({N("Type"): N("ObjStm"), N("N"): 1, N("First"): 4}, b"5 0 << /Length 1 >> stream\nx\nendstream"))
+    for n, v in base().items():
+        file.put(n, v)
+    file.stream_section([*range(7)], {5: (4, 0)}, TRAILER, 6, False)
+    t = parsed(spark, *bad, bytes(file.data))
+    assert {r.doc_id: r.error_code for r in t.status.collect()} == dict.fromkeys(range(4), "corrupt")
+
+
+def test_packable_streams(spark):
+    N = S.Name
+    cases = [({}, True), ({N("Subtype"): N("Image")}, True), ({N("Type"): N("XObject"), N("Subtype"): N("Image")}, False), ({N("Type"): N("Metadata")}, False), ({N("F"): b"x"}, False), ({N("Filter"): N("LZWDecode")}, False)]
+    objects = base() | {4 + i: S.Stream(c, b"a" * 100) for i, (c, _) in enumerate(cases)}
+    got = {r.obj: r.ok for r in O.objects(parsed(spark, one_file(objects, TRAILER)).nodes).where("kind = 'stream'").select("obj", O.packable().alias("ok")).collect()}
+    assert got == {4 + i: ok for i, (_, ok) in enumerate(cases)}
+
+
+def test_many_custom_keys_keep_their_order(spark):
+    N = S.Name
+    info = {N(f"K{i:04d}"): b"v" for i in range(1200)} | {N("Real"): 12345678901.5, N("Tiny"): 1e-7}
+    t = parsed(spark, one_file(base() | {4: info}, TRAILER | {N("Info"): S.Ref(4, 0), N("ID"): [S.Hex(b"A" * 16)] * 2}))
+    rows = I.findings(t.nodes, I.flags(t.nodes, O.objects(t.nodes))).orderBy("ord").collect()
+    assert [r.label for r in rows] == sorted(info) + [I.FILE_ID] and len({r.ord for r in rows}) == len(rows)
+    assert {r.label: r.value for r in rows if r.label in ("Real", "Tiny")} == {"Real": "12345678901.5", "Tiny": "0.0000001"}
+
+
 def test_info_quirks(spark):
     N = S.Name
     objects = base() | {4: {N("Title"): S.Ref(5, 0), N("Custom"): S.Ref(5, 0), N("Blank"): b"  ", N("Empty"): b"", N("Author"): b"\xff\xe9 \n", N("Trapped"): N("True")}, 5: {N("a"): 1}}
@@ -91,7 +155,7 @@ def test_info_quirks(spark):
 def test_image_eligibility(spark):
     N = S.Name
     image = {N("Type"): N("XObject"), N("Subtype"): N("Image"), N("Filter"): N("DCTDecode"), N("ColorSpace"): N("DeviceRGB")}
-    cases = [({}, True), ({N("BitsPerComponent"): 8}, True), ({N("BitsPerComponent"): 4}, False), ({N("ColorSpace"): N("DeviceCMYK")}, False), ({N("SMask"): S.Ref(9, 0)}, False), ({N("ImageMask"): False}, True), ({N("ImageMask"): True}, False), ({N("Filter"): [N("DCTDecode")]}, False)]
+    cases = [({}, True), ({N("BitsPerComponent"): 8}, True), ({N("BitsPerComponent"): 4}, False), ({N("ColorSpace"): N("DeviceCMYK")}, False), ({N("SMask"): S.Ref(9, 0)}, False), ({N("ImageMask"): False}, True), ({N("ImageMask"): True}, False), ({N("Filter"): [N("DCTDecode")]}, True), ({N("Filter"): [N("DCTDecode"), N("DCTDecode")]}, False), ({N("Filter"): [N("FlateDecode"), N("DCTDecode")]}, False), ({N("Filter"): [[N("DCTDecode")]]}, False)]
     objects = base() | {4 + i: S.Stream(image | c, planter.JPEG) for i, (c, _) in enumerate(cases)}
     t = parsed(spark, one_file(objects, TRAILER))
     got = {r.obj: r.ok for r in O.objects(t.nodes).where("kind = 'stream'").select("obj", O.eligible().alias("ok")).collect()}

@@ -6,7 +6,8 @@ import pytest
 
 from vellumite.config import LIMITS, Limits
 from vellumite.functions import jpeg
-from vellumite.sources import planter, tables
+from vellumite.plans import planted as planter
+from vellumite.sources import tables
 from vellumite.sources import syntax as S
 
 
@@ -64,19 +65,23 @@ def test_jpeg_scrub():
 def test_all_layouts_give_the_same_objects(doc):
     data = planter.pdf(doc, b"text \xc3\xa9 (", "en", "src", 7)
     wanted, _ = planter.objects_of(doc, b"text \xc3\xa9 (", "en", "src", 7)
+    if doc % 31 == 5 or doc % 37 == 5:
+        assert not data.startswith(b"%PDF-")
+        return
     if doc % 23 == 0:
         with pytest.raises(S.Bad):
             tables.sections(data, LIMITS)
         return
     entries, trailer = tables.sections(data, LIMITS)
-    best = {}
-    for e in sorted(entries, key=lambda e: (e[2], e[0], e[1])):
-        best.setdefault(e[2], e)
-    names = ("section_seq", "priority", "obj", "gen", "kind", "offset", "stream", "idx")
-    objects = tables.Objects(data, [dict(zip(names, e, strict=True)) for e in best.values() if e[4] != "free"], LIMITS)
+    last, best = {(e[3], e[0], e[2] == 1): e for e in sorted(entries, key=lambda e: (e[0], e[1]))}, {}
+    for e in sorted(last.values(), key=lambda e: (e[3], e[0], e[2])):
+        best.setdefault(e[3], e)
+    names = ("section_seq", "place", "priority", "obj", "gen", "kind", "offset", "stream", "idx")
+    objects = tables.Objects(data, [dict(zip(names, e, strict=True)) for e in best.values() if e[5] != "free"], LIMITS)
     got = {n: objects.get(n)[1] for n in sorted(objects.entries)}
     got = {n: v for n, v in got.items() if not (isinstance(v, S.Stream) and v.dict.get("Type") in ("ObjStm", "XRef"))}
-    assert {n: S.written(v) for n, v in got.items()} == {n: S.written(v) for n, v in wanted.items()}
+    lengths = {n for n, v in got.items() if n not in wanted and isinstance(v, int)}  # streams' lengths, by reference
+    assert {n: S.written(v) for n, v in got.items() if n not in lengths} == {n: S.written(v) for n, v in wanted.items()}
 
 
 def test_sections_that_point_at_each_other():

@@ -92,6 +92,11 @@ def estimate_text(estimates: DataFrame) -> DataFrame:
     return out.withColumns({"display": display, "caption": caption}).drop("_lo", "_hi", "_mid", "_span")
 
 
+def text_heavy_note(level: Column, text_heavy: Column) -> Column:
+    """A warning for the lossy levels of files that are mostly text; else null."""
+    return F.when((level >= 2) & text_heavy, "This PDF is mostly text/vectors — compression won’t shrink much.")
+
+
 def savings(original: Column, mid: Column) -> Column:
     """``−12%``, or null where less than 1 % is saved."""
     share = F.round((original - mid) / original * 100).cast("long")

@@ -26,13 +26,16 @@ def packed(payloads: pd.Series) -> pd.Series:
     return payloads.map(one)
 
 
-def pack(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``nodes`` with streams packed, and (doc_id, obj) of those streams."""
-    wanted = O.objects(nodes).where(O.packable()).select("doc_id", "obj")
-    raw = nodes.where("node_id = 0 and kind = 'stream'").join(wanted, ["doc_id", "obj"], "left_semi")
-    done = raw.select("doc_id", "obj", packed("bytes_val").alias("small")).where("small is not null")
-    joined = nodes.join(done, ["doc_id", "obj"], "left").where("not (small is not null and coalesce(top_key, '') in ('DecodeParms', 'DP'))")
-    changed = joined.withColumn("bytes_val", F.expr("case when small is not null and node_id = 0 then small else bytes_val end")).withColumn("int_val", F.expr("case when small is not null and depth = 1 and key = 'Length' then octet_length(small) else int_val end")).drop("small")
+def pack(nodes: DataFrame, objects: DataFrame, payloads: DataFrame) -> DataFrame:
+    """(doc_id, obj, payload) of the streams of ``nodes`` that packing shrinks, packed."""
+    kept = nodes.where("node_id = 0 and kind = 'stream'").select("doc_id", "obj")
+    wanted = objects.where(O.packable()).select("doc_id", "obj").join(kept, ["doc_id", "obj"], "left_semi")
+    return payloads.join(wanted, ["doc_id", "obj"], "left_semi").select("doc_id", "obj", packed("payload").alias("payload")).where("payload is not null")
+
+
+def with_filter(nodes: DataFrame, done: DataFrame) -> DataFrame:
+    """``nodes`` in which the streams of ``done`` (doc_id, obj) say that they are packed."""
+    done = done.select("doc_id", "obj")
+    changed = nodes.where("coalesce(top_key, '') not in ('DecodeParms', 'DP')").unionByName(nodes.where("top_key in ('DecodeParms', 'DP')").join(done, ["doc_id", "obj"], "left_anti"))
     values = {"node_id": "1073741824", "parent_id": "0", "depth": "1", "ord": "0", "gen": "0", "key": "'Filter'", "top_key": "'Filter'", "kind": "'name'", "bytes_val": "X'466C6174654465636F6465'"}
-    rows = done.selectExpr("doc_id", "obj", *(f"cast({values.get(f.name, 'null')} as {f.dataType.simpleString()}) as {f.name}" for f in nodes.schema if f.name not in ("doc_id", "obj")))
-    return changed.unionByName(rows), done.select("doc_id", "obj")
+    return changed.unionByName(done.selectExpr("doc_id", "obj", *(f"cast({values.get(f.name, 'null')} as {f.dataType.simpleString()}) as {f.name}" for f in nodes.schema if f.name not in ("doc_id", "obj"))))

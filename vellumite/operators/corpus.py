@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Options
 from ..functions.sizes import output_name, probed
-from ..sources.sink import write_files
+from ..sources.sink import relative_column, write_files
 from ..sources.tables import read_files
 from .sanitize import Cleaned, outcomes, sanitize
 
@@ -21,7 +21,8 @@ def clean_folder(spark: SparkSession, folder: str, target: str, options: Options
     """Clean all files under ``folder`` into ``target``; what was done, and (doc_id, written, error_code) of each file written."""
     files = read_files(spark, folder)
     done = sanitize(files, options, level)
-    named = done.files.join(files.select("doc_id", "path"), "doc_id").withColumn("name", output_name(F.col("path"), F.lit(level)))
+    inside = F.regexp_extract(relative_column(F.col("path"), folder), "^(.*/)?[^/]*$", 1)  # folders under the input folder
+    named = done.files.join(files.select("doc_id", "path"), "doc_id").withColumn("name", F.concat(inside, output_name(F.col("path"), F.lit(level))))
     return done, write_files(named, target, folder)
 
 

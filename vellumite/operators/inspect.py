@@ -2,30 +2,39 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..config import DEFAULT
+from ..config import DEFAULT, Options
+from ..sources import syntax as S
 from ..sources.scratch import stored
 from ..sources.tables import Tables
 from . import objects as O
 from .reach import page_counts, sweep
-from .strip import images_with_metadata, strip
+from .strip import strip
 
 #: Standard keys of the Info dictionary and their labels, in order of display.
 INFO_LABELS = (("Title", "Title"), ("Author", "Author"), ("Subject", "Subject"), ("Keywords", "Keywords"), ("Creator", "Creator"), ("Producer", "Producer"), ("CreationDate", "Creation date"), ("ModDate", "Modification date"))
 FILE_ID = "Trailer file ID"
 REPLACED = "Links copies of this file; replaced with a random one"
 STAYS = "Stays in the file"
+#: Places of findings in the order of display: standard keys from 0, custom ones from 100, then these.
+EMPTY_INFO, FLAGS = 1_000_000, 2_000_000
 
 TRIM = r"^\s+|\s+$"
 
 
+@F.pandas_udf(T.StringType())
+def plain_real(values: pd.Series) -> pd.Series:
+    """Reals as they stand in a file: plain decimals, no exponent."""
+    return values.map(lambda v: None if v is None or v != v else S.real(v).decode())
+
+
 def display(kind: str = "kind"):
     """The text of a scalar; null for arrays, dictionaries, references and null."""
-    number = F.when(F.col("kind") == "int", F.col("int_val").cast("string")).when(F.col("kind") == "real", F.col("real_val").cast("string")).when(F.col("kind") == "bool", F.col("bool_val").cast("string"))
+    number = F.when(F.col("kind") == "int", F.col("int_val").cast("string")).when(F.col("kind") == "real", plain_real("real_val")).when(F.col("kind") == "bool", F.col("bool_val").cast("string"))
     return F.when(F.col("kind") == "name", O.latin()).when(F.col("kind").isin("string", "hex"), O.text()).otherwise(number)
 
 
@@ -63,8 +72,8 @@ def counted(n: str, noun: str):
     return F.concat(F.col(n).cast("string"), F.lit(f" {noun}"), F.when(F.col(n) == 1, "").otherwise("s"))
 
 
-def findings(nodes: DataFrame, facts: DataFrame) -> DataFrame:
-    """(doc_id, ord, category, label, value), one row a finding, in the order of display."""
+def findings(nodes: DataFrame, facts: DataFrame, shortened: DataFrame | None = None) -> DataFrame:
+    """(doc_id, ord, category, label, value), one row a finding, in the order of display. ``shortened`` (doc_id, obj) are images that hold metadata."""
     info = info_entries(nodes).withColumn("value", F.regexp_replace("text", TRIM, ""))
     places = {k: i for i, (k, _) in enumerate(INFO_LABELS)}
     labels = F.create_map(*(F.lit(x) for pair in INFO_LABELS for x in pair))
@@ -73,23 +82,25 @@ def findings(nodes: DataFrame, facts: DataFrame) -> DataFrame:
     custom = custom.where("text is null or text = '' or value <> ''").selectExpr("doc_id", "100 + cast(row_number() over (partition by doc_id order by key) as int) as ord", "key as label", "case when text is null or text = '' then '(non-text value)' else value end as value")
     told = standard.unionByName(custom).withColumn("category", F.lit("Document info"))
     empty = info_dictionaries(nodes).join(told.select("doc_id").distinct(), "doc_id", "left_anti")
-    empty = empty.selectExpr("doc_id", "1000 as ord", "'Document info' as category", "'Info dictionary' as label", "'Present (empty fields)' as value")
-    shortened = images_with_metadata(nodes).groupBy("doc_id").agg(F.count(F.lit(1)).alias("images"))
-    facts = facts.join(shortened, "doc_id", "left").fillna(0, ["images"])
+    empty = empty.selectExpr("doc_id", f"{EMPTY_INFO} as ord", "'Document info' as category", "'Info dictionary' as label", "'Present (empty fields)' as value")
+    if shortened is None:
+        facts = facts.withColumn("images", F.lit(0))
+    else:
+        facts = facts.join(shortened.groupBy("doc_id").agg(F.count(F.lit(1)).alias("images")), "doc_id", "left").fillna(0, ["images"])
     rows = [
-        ("catalog_xmp", 2000, "XMP / streams", "Catalog XMP metadata", F.lit("Present")), ("other_xmp", 2001, "XMP / streams", "Page or object XMP metadata", F.lit("Present")),
-        ("piece_info", 2002, "XMP / streams", "Application private data (PieceInfo)", F.lit("Present")), ("has_id", 2003, "File identity", FILE_ID, F.lit(REPLACED)),
-        ("annotations > 0", 2004, "Annotations", "Annotation authors / dates", counted("annotations", "annotation")), ("images > 0", 2005, "Images", "JPEG EXIF / XMP / IPTC", counted("images", "image stream")),
-        ("signed", 2006, "Security", "Digital signature", F.lit("Detected: this file is not modified")),
+        ("catalog_xmp", FLAGS + 0, "XMP / streams", "Catalog XMP metadata", F.lit("Present")), ("other_xmp", FLAGS + 1, "XMP / streams", "Page or object XMP metadata", F.lit("Present")),
+        ("piece_info", FLAGS + 2, "XMP / streams", "Application private data (PieceInfo)", F.lit("Present")), ("has_id", FLAGS + 3, "File identity", FILE_ID, F.lit(REPLACED)),
+        ("annotations > 0", FLAGS + 4, "Annotations", "Annotation authors / dates", counted("annotations", "annotation")), ("images > 0", FLAGS + 5, "Images", "JPEG EXIF / XMP / IPTC", counted("images", "image stream")),
+        ("signed", FLAGS + 6, "Security", "Digital signature", F.lit("Detected: this file is not modified")),
     ]
     made = F.array(*(F.when(F.expr(c), F.struct(F.lit(o).alias("ord"), F.lit(k).alias("category"), F.lit(n).alias("label"), v.alias("value"))) for c, o, k, n, v in rows))
     flagged = facts.select("doc_id", F.explode(F.array_compact(made)).alias("f")).select("doc_id", "f.*")
     return told.select("doc_id", "ord", "category", "label", "value").unionByName(empty).unionByName(flagged)
 
 
-def kept_after_clean(nodes: DataFrame) -> DataFrame:
-    """The document as it would be saved: metadata detached, objects out of use dropped."""
-    return sweep(stored(strip(nodes, replace(DEFAULT, images=False, new_file_id=False)), "simulated"))
+def kept_after_clean(nodes: DataFrame, objects: DataFrame | None = None, options: Options = DEFAULT) -> DataFrame:
+    """The document as it would be saved: metadata detached, objects out of use dropped. Image bytes and the file ID are changed on writing."""
+    return sweep(stored(strip(nodes, options, objects), "stripped"))
 
 
 def residuals(kept_facts: DataFrame, signed: DataFrame) -> DataFrame:
@@ -128,7 +139,7 @@ def image_counts(kept: DataFrame, kept_objects: DataFrame) -> DataFrame:
 
 def with_pages(tables: Tables) -> DataFrame:
     """``status`` in which a page tree that cannot be followed, or is empty, is an error."""
-    pages = page_counts(tables.nodes)
-    joined = tables.status.join(pages, "doc_id", "left")
+    pages = stored(page_counts(tables.nodes), "pages")
+    joined = tables.status.join(pages, "doc_id", "left").withColumn("pages", F.expr("case when error_code is null then pages end"))
     bad = F.expr("error_code is null and coalesce(pages, 0) < 1")
     return joined.select("doc_id", F.when(bad, "corrupt").otherwise(F.col("error_code")).alias("error_code"), F.when(bad & F.col("pages").isNull(), "page tree cannot be followed").when(bad, "no pages").otherwise(F.col("reason")).alias("reason"), "pages")

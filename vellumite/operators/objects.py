@@ -32,11 +32,12 @@ def objects(nodes: DataFrame) -> DataFrame:
         F.max(F.when(F.col("node_id") == 0, F.col("kind"))).alias("kind"),
         named(nodes, "Type").alias("type_name"), named(nodes, "Subtype").alias("subtype"), named(nodes, "S").alias("action"), named(nodes, "FT").alias("field_type"),
         F.collect_set(F.when(F.col("depth") == 1, F.col("key"))).alias("keys"),
-        F.max(F.when((F.col("node_id") == 0) & (F.col("kind") == "stream"), F.octet_length("bytes_val"))).alias("payload_bytes"),
-        F.max(F.when((F.col("node_id") == 0) & (F.col("kind") == "stream"), F.substring("bytes_val", 1, 2))).alias("payload_start"),
+        F.max(F.when((F.col("node_id") == 0) & (F.col("kind") == "stream"), F.col("int_val"))).alias("payload_bytes"),
+        F.max(F.when((F.col("node_id") == 0) & (F.col("kind") == "stream"), F.col("bytes_val"))).alias("payload_start"),
         F.coalesce(F.bool_or(under("V") & (F.col("kind") != "null")), F.lit(False)).alias("has_value"),
         F.coalesce(F.bool_or(filters & (latin() == "DCTDecode")), F.lit(False)).alias("dct"),
-        named(nodes, "Filter").alias("single_filter"), named(nodes, "ColorSpace").alias("color_space"),
+        named(nodes, "Filter").alias("single_filter"), own(nodes, "Filter", F.col("kind")).alias("filter_kind"),
+        F.count_if((F.col("depth") == 2) & (F.col("top_key") == "Filter")).alias("n_filters"), F.coalesce(F.bool_or((F.col("depth") == 2) & filters & (latin() == "DCTDecode")), F.lit(False)).alias("dct_listed"), named(nodes, "ColorSpace").alias("color_space"),
         own(nodes, "BitsPerComponent", F.col("int_val")).alias("bits"),
         own(nodes, "ImageMask", F.col("bool_val")).alias("image_mask"),
         F.max(F.when((F.col("depth") == 2) & (F.col("top_key") == "ColorSpace") & (F.col("ord") == 0) & (F.col("kind") == "name"), latin())).alias("color_family"),
@@ -51,7 +52,8 @@ def has(key: str) -> Column:
 
 def eligible() -> Column:
     """Image streams that can be encoded again."""
-    plain = (F.col("subtype") == "Image") & (F.col("payload_bytes") >= 128) & (F.col("single_filter") == "DCTDecode") & (F.col("payload_start") == F.expr("X'FFD8'"))
+    sole = F.coalesce(F.col("single_filter") == "DCTDecode", F.lit(False)) | ((F.col("filter_kind") == "array") & (F.col("n_filters") == 1) & F.col("dct_listed"))
+    plain = (F.col("subtype") == "Image") & (F.col("payload_bytes") >= 128) & sole & (F.col("payload_start") == F.expr("X'FFD8'"))
     colors = F.col("color_space").isin("DeviceRGB", "DeviceGray") & ((F.col("bits") == 8) | ~has("BitsPerComponent"))
     unmasked = ~has("SMask") & ~has("Mask") & ~has("Decode") & ~has("SMaskInData") & ~F.coalesce("image_mask", has("ImageMask"))
     return F.coalesce(plain & colors & unmasked, F.lit(False))
@@ -60,7 +62,8 @@ def eligible() -> Column:
 def packable() -> Column:
     """Streams worth packing."""
     raw = (F.col("kind") == "stream") & (F.col("payload_bytes") >= 64) & ~F.col("dct") & ~has("Filter") & ~has("F")
-    return F.coalesce(raw & ~F.col("type_name").eqNullSafe("Metadata") & ~F.col("subtype").eqNullSafe("Image"), F.lit(False))
+    image = F.col("type_name").eqNullSafe("XObject") & F.col("subtype").eqNullSafe("Image")
+    return F.coalesce(raw & ~F.col("type_name").eqNullSafe("Metadata") & ~image, F.lit(False))
 
 
 def annotation() -> Column:
@@ -99,7 +102,9 @@ def signed(nodes: DataFrame) -> DataFrame:
     marks = F.coalesce(F.col("type_name") == "Sig", F.lit(False)) | F.coalesce((F.col("ft") == "Sig") & F.col("v"), F.lit(False)) | (F.col("br") & F.col("cf")) | F.col("mdp")
     marks = marks | F.coalesce(F.col("filter").rlike("adbe\\.pkcs7|adobe\\.ppklite|adobe\\.ppkms"), F.lit(False))
     by_dict = facts.where(marks).select("doc_id")
-    rights = nodes.where("depth = 2 and top_key = 'Perms' and key in ('DocMDP', 'UR', 'UR3')").select("doc_id")
+    # usage rights in a dictionary under /Perms, however deep
+    perms = inner.where("key = 'Perms' and kind = 'dict'").selectExpr("doc_id", "obj", "node_id as parent_id")
+    rights = inner.where("key in ('DocMDP', 'UR', 'UR3')").join(perms, ["doc_id", "obj", "parent_id"], "left_semi").select("doc_id")
     catalog = nodes.join(roots(nodes).withColumnRenamed("root", "obj"), ["doc_id", "obj"])
     direct = catalog.where("depth = 2 and top_key = 'Perms' and key is not null").select("doc_id")
     by_ref = catalog.where("depth = 1 and key = 'Perms' and kind = 'ref'").selectExpr("doc_id", "ref_obj as obj")

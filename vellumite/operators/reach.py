@@ -1,40 +1,53 @@
-"""Graph operators: what can be reached from the trailer, and the page tree. Frontier joins, a round a level."""
+"""Graph operators: what can be reached from the trailer, and the page tree.
+
+A document's graph has 500,000 objects at most (the limit of the parser) and no
+payloads, so it is walked in one grouped pass, to any depth. A graph that is not
+cut into documents is walked by frontier joins, a round a level.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import stored
 
-MAX_ROUNDS = 512
-
 
 def references(nodes: DataFrame) -> DataFrame:
     """(doc_id, src, dst): references from object to object; the trailer (-1) without /Prev and /XRefStm."""
     refs = nodes.where("kind = 'ref' and not (obj = -1 and top_key in ('Prev', 'XRefStm'))")
-    return refs.selectExpr("doc_id", "obj as src", "ref_obj as dst").distinct()
+    return refs.selectExpr("doc_id", "obj as src", "ref_obj as dst")
 
 
-def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """(doc_id, node): all nodes that can be reached from ``start`` (doc_id, node) over ``edges`` (doc_id, src, dst), itself included."""
-    edges = stored(edges, "edges")
-    seen = frontier = stored(start.select("doc_id", "node").distinct(), "reach_0")
-    for round_ in range(1, MAX_ROUNDS):
-        step = frontier.withColumnRenamed("node", "src").join(edges, ["doc_id", "src"]).selectExpr("doc_id", "dst as node").distinct()
-        frontier = stored(step.join(seen, ["doc_id", "node"], "left_anti"), f"reach_{round_}")
-        if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
-        if round_ % 16 == 0:
-            seen = stored(seen, "reached")
-    raise RuntimeError(f"more than {MAX_ROUNDS} levels")
+def walk(src: np.ndarray, dst: np.ndarray, start: int) -> np.ndarray:
+    """Nodes that can be reached from ``start``, itself included."""
+    names, places = np.unique(np.concatenate([[start], src, dst]), return_inverse=True)
+    begin, src, dst = places[0], places[1 : len(src) + 1], places[len(src) + 1 :]
+    order = np.argsort(src, kind="stable")
+    dst, starts = dst[order], np.searchsorted(src[order], np.arange(len(names) + 1))
+    seen = np.zeros(len(names), bool)
+    seen[begin] = True
+    pending = [begin]
+    while pending:
+        at = pending.pop()
+        near = dst[starts[at] : starts[at + 1]]
+        fresh = np.unique(near[~seen[near]])
+        seen[fresh] = True
+        pending.extend(fresh.tolist())
+    return names[seen]
 
 
 def reachable(nodes: DataFrame) -> DataFrame:
     """(doc_id, obj): objects in use, dangling numbers included."""
-    start = nodes.where("obj = -1").selectExpr("doc_id", "-1L as node").distinct()
-    return closure(references(nodes), start).where("node >= 0").selectExpr("doc_id", "node as obj")
+
+    def one(key: tuple, refs: pa.Table) -> pa.Table:
+        found = walk(refs.column("src").to_numpy(), refs.column("dst").to_numpy(), -1)
+        found = found[found >= 0]
+        return pa.table({"doc_id": pa.array(np.full(len(found), key[0].as_py()), pa.int64()), "obj": pa.array(found, pa.int64())})
+
+    return references(nodes).groupBy("doc_id").applyInArrow(one, "doc_id long, obj long")
 
 
 def sweep(nodes: DataFrame) -> DataFrame:
@@ -43,38 +56,66 @@ def sweep(nodes: DataFrame) -> DataFrame:
     return nodes.where("obj = -1").unionByName(nodes.where("obj >= 0").join(kept, ["doc_id", "obj"], "left_semi"))
 
 
+def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(origin, node): all nodes that can be reached from ``start`` (origin, node) over one graph's ``edges`` (src, dst), itself included."""
+    edges = stored(edges.distinct(), "edges")
+    seen = frontier = stored(start.select("origin", "node").distinct(), "reach")
+    rounds = 0
+    while not frontier.isEmpty():
+        step = frontier.withColumnRenamed("node", "src").join(edges, "src").selectExpr("origin", "dst as node").distinct()
+        frontier = stored(step.join(seen, ["origin", "node"], "left_anti"), "reach")
+        seen, rounds = seen.unionByName(frontier), rounds + 1
+        if rounds % 16 == 0:
+            seen = stored(seen, "reached")
+    return seen
+
+
+def pages_of(root: int | None, rows: list[dict]) -> int | None:
+    """Pages of the tree under ``root``; None where it cannot be followed (a node met twice, missing, or no dictionary)."""
+    kinds, pages, kids, items, page_type = {}, {}, {}, {}, set()
+    for r in rows:
+        obj, key = r["obj"], r["key"]
+        if r["depth"] == 0:
+            kinds[obj] = r["kind"]
+        elif r["depth"] == 2 or key is None:  # items of /Kids, or of an object that is an array
+            items.setdefault(obj, []).append((r["ord"], r["ref_obj"] if r["kind"] == "ref" else None))
+        elif key == "Pages":
+            pages[obj] = r["ref_obj"] if r["kind"] == "ref" else None
+        elif key == "Kids":
+            kids[obj] = (r["kind"], r["ref_obj"])
+        elif r["is_page"]:
+            page_type.add(obj)
+    pending, seen, count = [pages.get(root)], set(), 0
+    if kinds.get(root) not in ("dict", "stream"):
+        return None
+    while pending:
+        at = pending.pop()
+        if at is None or at in seen or kinds.get(at) not in ("dict", "stream"):
+            return None
+        seen.add(at)
+        kind, ref = kids.get(at, (None, None))
+        holder = at
+        if kind == "ref":
+            kind, holder = kinds.get(ref), ref
+        if at in page_type or at not in kids:
+            count += 1
+        elif kind == "array":
+            pending += [kid for _, kid in items.get(holder, [])]
+        else:
+            return None
+    return count
+
+
 def page_counts(nodes: DataFrame) -> DataFrame:
-    """(doc_id, pages): pages of the tree; null where it cannot be followed (a node met twice, missing, or no dictionary)."""
-    roots = nodes.where("obj = -1 and depth = 1 and key = 'Root'").selectExpr("doc_id", "ref_obj as obj")
-    top = nodes.where("depth = 1 and key = 'Pages'").join(roots, ["doc_id", "obj"]).selectExpr("doc_id", "ref_obj as obj")
-    dicts = nodes.groupBy("doc_id", "obj").agg(
-        F.bool_or(F.expr("node_id = 0 and kind in ('dict', 'stream')")).alias("is_dict"),
-        F.coalesce(F.bool_or(F.expr("depth = 1 and key = 'Type' and kind = 'name' and bytes_val = X'50616765'")), F.lit(False)).alias("is_page"),
-        F.coalesce(F.bool_or(F.expr("depth = 1 and key = 'Kids' and kind = 'array'")), F.lit(False)).alias("has_kids"),
-    )
-    dicts = stored(dicts, "page_nodes")
-    kids = stored(nodes.where("depth = 2 and top_key = 'Kids'").selectExpr("doc_id", "obj", "ref_obj as kid"), "kids")
-    level, levels = stored(top, "tree_0"), []
-    for depth in range(1, MAX_ROUNDS):
-        met = level.join(dicts, ["doc_id", "obj"], "left")
-        leaf = "coalesce(is_page or not has_kids, false)"
-        met = stored(met.selectExpr("doc_id", "obj", f"{leaf} as leaf", "not coalesce(is_dict, false) as bad"), f"met_{depth}")
-        levels.append(met)
-        level = stored(met.where("not leaf and not bad").join(kids, ["doc_id", "obj"]).selectExpr("doc_id", "kid as obj"), f"tree_{depth}")
-        if level.isEmpty():
-            break
-        # a tree deeper than its file has objects has a cycle: go no further there
-        if depth >= 64:
-            cyclic = levels[0].unionByName(levels[1]) if len(levels) > 1 else levels[0]
-            for more in levels[2:]:
-                cyclic = cyclic.unionByName(more)
-            twice = cyclic.groupBy("doc_id", "obj").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-            level = stored(level.join(twice, "doc_id", "left_anti"), f"tree_{depth}_open")
-            if level.isEmpty():
-                break
-    met = levels[0]
-    for more in levels[1:]:
-        met = met.unionByName(more)
-    met = met.groupBy("doc_id", "obj").agg(F.count(F.lit(1)).alias("n"), F.max("leaf").alias("leaf"), F.max("bad").alias("bad"))
-    counts = met.groupBy("doc_id").agg(F.expr("case when max(n) > 1 or max(bad) then null else sum(cast(leaf as int)) end").alias("pages"))
-    return nodes.where("obj = -1").select("doc_id").distinct().join(counts, "doc_id", "left").selectExpr("doc_id", "cast(pages as int) as pages")
+    """(doc_id, pages): pages of each document's tree; null where it cannot be followed."""
+    needed = "depth = 0 or depth = 1 and (key in ('Pages', 'Kids') or key = 'Type' and kind = 'name' or key is null) or depth = 2 and top_key = 'Kids' and key is null"
+    needed = nodes.where(f"obj >= 0 and ({needed}) or obj = -1 and depth = 1 and key = 'Root'")
+    rows = needed.selectExpr("doc_id", "obj", "depth", "ord", "key", "kind", "ref_obj", "key = 'Type' and bytes_val = X'50616765' as is_page")
+
+    def one(key: tuple, table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        root = next((r["ref_obj"] for r in rows if r["obj"] == -1 and r["kind"] == "ref"), None)
+        found = pages_of(root, [r for r in rows if r["obj"] >= 0])
+        return pa.table({"doc_id": pa.array([key[0].as_py()], pa.int64()), "pages": pa.array([found], pa.int32())})
+
+    return rows.groupBy("doc_id").applyInArrow(one, "doc_id long, pages int")

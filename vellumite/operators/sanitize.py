@@ -8,14 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, ERRORS, Options, profile
-from ..functions.sizes import size_label
-from ..sources.scratch import stored
+from ..functions.sizes import derived, size_label, text_heavy_note
+from ..sources.scratch import made, release, stored
 from ..sources.tables import Tables, parse
 from . import inspect as I
 from . import objects as O
-from .compress import pack
-from .reach import sweep
-from .strip import strip
+from .compress import pack, with_filter
+from .strip import images_with_metadata, new_ids
 from .write import write
 
 
@@ -25,10 +24,12 @@ class Inspection:
     status: DataFrame
     objects: DataFrame
     facts: DataFrame
+    scrubbed: DataFrame
     findings: DataFrame
     residuals: DataFrame
     inventory: DataFrame
     images: DataFrame
+    kept: DataFrame
 
 
 def inspect(files: DataFrame) -> Inspection:
@@ -36,44 +37,96 @@ def inspect(files: DataFrame) -> Inspection:
     tables = parse(files)
     status = stored(I.with_pages(tables), "page_status")
     good = status.where("error_code is null").select("doc_id")
-    nodes = stored(tables.nodes.join(good, "doc_id", "left_semi"), "good_nodes")
-    tables = Tables(tables.files, status, tables.docs.join(good, "doc_id", "left_semi"), tables.xref, nodes)
+    nodes = stored(tables.nodes.join(good, "doc_id", "left_semi"), "nodes")
+    tables = Tables(status, tables.docs.join(good, "doc_id", "left_semi"), tables.xref, nodes, tables.payloads)
     objects = stored(O.objects(nodes), "object_rows")
     facts = stored(I.flags(nodes, objects), "facts")
-    kept = stored(I.kept_after_clean(nodes), "kept")
+    scrubbed = stored(images_with_metadata(objects, tables.payloads), "scrubbed")
+    kept = stored(I.kept_after_clean(nodes, objects), "kept")
     kept_objects = stored(O.objects(kept), "kept_objects")
-    stays = I.residuals(I.flags(kept, kept_objects), facts.where("signed").select("doc_id"))
-    return Inspection(tables, status, objects, facts, stored(I.findings(nodes, facts), "findings"), stays, I.inventory(objects, tables.docs), I.image_counts(kept, kept_objects))
+    kept_facts = stored(I.flags(kept, kept_objects), "kept_facts")
+    stays = I.residuals(kept_facts, facts.where("signed").select("doc_id"))
+    images = stored(I.image_counts(kept, kept_objects), "image_counts")
+    return Inspection(tables, status, objects, facts, scrubbed, stored(I.findings(nodes, facts, scrubbed), "findings"), stays, I.inventory(objects, tables.docs), images, kept)
+
+
+def inspection_rows(files: DataFrame, seen: Inspection) -> DataFrame:
+    """The whole inspection of each file that can be read, one row a file; an encrypted file has a row that says so and nothing else.
+
+    doc_id, pages, the flags, the eight standard Info texts, counts, sizes, and ``findings`` and ``residuals`` as arrays in the order of display.
+    """
+    info = I.info_entries(seen.tables.nodes).where(F.col("key").isin(*(k for k, _ in I.INFO_LABELS)))
+    names = {"Title": "title", "Author": "author", "Subject": "subject", "Keywords": "keywords", "Creator": "creator", "Producer": "producer", "CreationDate": "creation_date", "ModDate": "mod_date"}
+    texts = info.groupBy("doc_id").agg(*(F.max(F.when(F.col("key") == k, F.col("text"))).alias(n) for k, n in names.items()))
+    told = lambda df, order, name: df.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*order, "label", "value"))).alias(name))
+    jpegs = seen.scrubbed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("jpegs_with_metadata"))
+    out = seen.status.where("error_code is null").select("doc_id", "pages").join(seen.facts, "doc_id")
+    residuals = seen.residuals.withColumn("category", F.lit(I.STAYS))
+    for part in (texts, jpegs, seen.images.selectExpr("doc_id", "images", "eligible as recompressible_images"), seen.inventory, told(seen.findings, ["ord", "category"], "findings"), told(residuals, ["category"], "residuals")):
+        out = out.join(part, "doc_id", "left")
+    out = out.fillna(0, ["jpegs_with_metadata", "images", "recompressible_images"])
+    # a signed file's fields are not told
+    out = out.withColumn("empty_signature_fields", F.expr("case when signed then 0 else empty_signature_fields end"))
+    stub = seen.status.where("error_code = 'encrypted'").select("doc_id").join(files.selectExpr("doc_id", "length as file_bytes"), "doc_id")
+    values = {"doc_id": F.col("doc_id"), "file_bytes": F.col("file_bytes"), "encrypted": F.lit(True)}
+    values["findings"] = F.array(F.struct(F.lit(I.FLAGS - 1).alias("ord"), F.lit("Security").alias("category"), F.lit("Encryption").alias("label"), F.lit("Password-protected").alias("value")))
+    blank = {"boolean": F.lit(False), "int": F.lit(0), "bigint": F.lit(0), "string": F.lit(None)}
+    stub = stub.select(*(values.get(f.name, blank.get(f.dataType.simpleString(), F.lit(None))).cast(f.dataType).alias(f.name) for f in out.schema))
+    return out.unionByName(stub)
 
 
 @dataclass
 class Cleaned:
-    """``files`` written (doc_id, length, content), ``status`` of all inputs, what was ``packed``, and both inspections."""
+    """``files`` written (doc_id, length, content), ``status`` of all inputs, what was ``packed`` and ``recompressed`` (doc_id, obj), and both inspections.
+
+    ``release`` deletes the scratch tables behind it, once its results have been used.
+    """
 
     files: DataFrame
     status: DataFrame
     packed: DataFrame
+    recompressed: DataFrame
     before: Inspection
     after: Inspection
+    scratch: list
 
+    def release(self) -> None:
+        release(self.scratch)
 
-def sanitize(files: DataFrame, options: Options = DEFAULT, level: int = 0) -> Cleaned:
-    before = inspect(files)
+
+def sanitize(files: DataFrame, options: Options = DEFAULT, level: int = 0, before: Inspection | None = None) -> Cleaned:
+    """Clean ``files``. Give ``before``, their inspection, to clean them at several levels: parsing, stripping and the sweep are done once."""
+    held = len(made())
+    before = inspect(files) if before is None else before
     refused = before.facts.where("signed").select("doc_id") if options.fail_if_signed else before.facts.where("false").select("doc_id")
-    nodes = before.tables.nodes.join(refused, "doc_id", "left_anti")
-    if not options.rewrite_only:
-        nodes = sweep(stored(strip(nodes, options), "stripped"))  # random ids: stored before use
-    packed = nodes.select("doc_id", "obj").where("false")
+    if options.rewrite_only:
+        nodes = before.tables.nodes
+    else:
+        nodes = before.kept if options == DEFAULT else stored(I.kept_after_clean(before.tables.nodes, before.objects, options), "kept")
+    nodes = nodes.join(refused, "doc_id", "left_anti")
+    changed = before.scrubbed if options.images else before.scrubbed.where("false")
+    packed = recompressed = before.scrubbed.where("false").select("doc_id", "obj")
     if profile(level).pack:
-        nodes, packed = pack(stored(nodes, "swept"))
-    out = stored(write(stored(nodes, "ready"), before.tables.docs), "cleaned")
+        small = stored(pack(nodes, before.objects, before.tables.payloads), "packed")
+        changed, packed = changed.unionByName(small), small.select("doc_id", "obj")
+    payloads = before.tables.payloads.join(nodes.where("node_id = 0 and kind = 'stream'").select("doc_id", "obj"), ["doc_id", "obj"], "left_semi")
+    payloads = payloads.join(changed.withColumnRenamed("payload", "_new"), ["doc_id", "obj"], "left").select("doc_id", "obj", F.coalesce("_new", "payload").alias("payload"))
+    if options.new_file_id:
+        nodes = new_ids(nodes)
+    out = stored(write(with_filter(nodes, packed), payloads, before.tables.docs), "cleaned")
     after = inspect(out)
     pages = after.status.selectExpr("doc_id", "pages as pages_after", "error_code as error_after")
     checked = before.status.join(refused.withColumn("refused", F.lit(True)), "doc_id", "left").join(pages, "doc_id", "left")
     lost = "error_code is null and refused is null and (error_after is not null or not (pages <=> pages_after))"
     status = checked.selectExpr("doc_id", f"case when refused then 'signed' when {lost} then 'corrupt' else error_code end as error_code", f"case when {lost} then 'pages changed' else reason end as reason", "pages")
+    status = stored(status, "clean_status")
     good = status.where("error_code is null").select("doc_id")
-    return Cleaned(out.join(good, "doc_id", "left_semi"), stored(status, "clean_status"), packed, before, after)
+    return Cleaned(out.join(good, "doc_id", "left_semi"), status, packed, recompressed, before, after, made()[held:])
+
+
+def removed(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Findings of ``before`` that are not found again, by category and label."""
+    return before.join(after, ["doc_id", "category", "label"], "left_anti")
 
 
 def report(done: Cleaned, level: int = 0) -> DataFrame:
@@ -83,16 +136,17 @@ def report(done: Cleaned, level: int = 0) -> DataFrame:
     after = done.after.findings.where("category <> 'Security'").join(good, "doc_id", "left_semi")
     item = F.struct("ord", "category", "label", "value")
     listed = lambda df, name: df.groupBy("doc_id").agg(F.sort_array(F.collect_list(item)).alias(name))
-    removed = listed(before.where(F.col("label") != I.FILE_ID).join(after, ["doc_id", "category", "label"], "left_anti"), "removed")
+    gone = listed(removed(before.where(F.col("label") != I.FILE_ID), after), "removed")
     left = listed(after.where(F.col("label") != I.FILE_ID), "left_behind")
     stays = done.after.residuals.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("label", "value"))).alias("still_present"))
     had_id = done.before.facts.selectExpr("doc_id", "has_id as replaced_file_id")
     packed = done.packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("streams_packed"))
+    coded = done.recompressed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("images_recompressed"))
     sizes = done.before.tables.docs.selectExpr("doc_id", "file_bytes as bytes_before")
     out = good.join(sizes, "doc_id").join(had_id, "doc_id")
-    for part in (removed, left, stays, packed, done.before.images.selectExpr("doc_id", "images as image_count")):
+    for part in (gone, left, stays, packed, coded, done.before.images.selectExpr("doc_id", "images as image_count")):
         out = out.join(part, "doc_id", "left")
-    out = out.fillna(0, ["streams_packed", "image_count"]).withColumns({"level": F.lit(level), "images_recompressed": F.lit(0)})
+    out = out.fillna(0, ["streams_packed", "image_count", "images_recompressed"]).withColumn("level", F.lit(level))
     out = out.withColumn("changes", F.expr("coalesce(size(removed), 0) + cast(replaced_file_id as int)"))
     return out.withColumn("message", message(level))
 
@@ -105,8 +159,13 @@ def message(level: int):
     left = F.size("left_behind")
     parts.append(F.when(F.col("left_behind").isNotNull(), F.concat(left.cast("string"), F.when(left == 1, " item is").otherwise(" items are"), F.lit(" still present: "), labels("left_behind"), F.lit("."))))
     if level > 0:
-        p = F.col("streams_packed")
-        parts.append(F.when(p == 0, "Compression found nothing it could shrink in this file.").otherwise(F.concat(F.lit("Compression packed "), p.cast("string"), F.lit(" uncompressed stream"), plural(p), F.lit("."))))
+        p, r, images = F.col("streams_packed"), F.col("images_recompressed"), F.col("image_count")
+        did = F.concat_ws(
+            " and ",
+            F.when(r > 0, F.concat(F.lit("re-encoded "), r.cast("string"), F.lit(" of "), images.cast("string"), F.lit(" image"), plural(images))),
+            F.when(p > 0, F.concat(F.lit("packed "), p.cast("string"), F.lit(" uncompressed stream"), plural(p))),
+        )
+        parts.append(F.when((p == 0) & (r == 0), "Compression found nothing it could shrink in this file.").otherwise(F.concat(F.lit("Compression "), did, F.lit("."))))
         smaller = F.concat(F.lit("The file went from "), size_label("bytes_before"), F.lit(" to "), size_label("bytes_after"), F.lit("."))
         parts.append(F.when(F.col("bytes_after") < F.col("bytes_before"), smaller).otherwise("The saved copy is not smaller than the original."))
     parts.append(F.when(F.col("still_present").isNotNull(), F.concat(F.lit("Still in the file: "), labels("still_present"), F.lit("."))))
@@ -123,6 +182,35 @@ def summary(done: Inspection) -> DataFrame:
     return out.selectExpr("doc_id", line, "residual_line")
 
 
+def scope_note(level, images, eligible):
+    """For the lossy levels: how much of a file they can act on; null for others."""
+    plural = F.when(images == 1, "").otherwise("s")
+    none = F.concat(F.lit("None of the "), images.cast("string"), F.lit(" image"), plural, F.lit(" in this PDF can be re-encoded, so this level does nothing more than Light."))
+    some = F.concat(eligible.cast("string"), F.lit(" of "), images.cast("string"), F.lit(" image"), plural, F.lit(" in this PDF can be re-encoded."))
+    note = F.when(images == 0, "This PDF has no images, so this level does nothing more than Light.").when(eligible == 0, none).otherwise(some)
+    return F.when(level >= 2, note)
+
+
+#: Titles of the action, by level (0, 1, higher) and whether there is metadata to remove.
+ACTIONS = (("Remove metadata and save…", "Save a rewritten copy…"), ("Remove metadata, pack and save…", "Pack and save…"), ("Remove metadata, compress and save…", "Compress and save…"))
+
+
+def action_title(level, removable):
+    """What saving will do; ``level`` is clamped."""
+    titles = [F.when(removable > 0, some).otherwise(none) for some, none in ACTIONS]
+    return F.when(level <= 0, titles[0]).when(level == 1, titles[1]).otherwise(titles[2])
+
+
+def review(done: Inspection) -> DataFrame:
+    """(doc_id, level, action, scope_note, text_note): what the review says of each level."""
+    removable = done.findings.where("category <> 'Security'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    out = done.status.where("error_code is null").select("doc_id").join(removable, "doc_id", "left").join(done.images, "doc_id", "left")
+    out = out.join(derived(done.inventory).select("doc_id", "text_heavy"), "doc_id").fillna(0, ["n", "images", "eligible"])
+    out = out.select("*", F.explode(F.array(*(F.lit(i) for i in range(5)))).alias("level"))
+    level = F.col("level")
+    return out.select("doc_id", "level", action_title(level, F.col("n")).alias("action"), scope_note(level, F.col("images"), F.col("eligible")).alias("scope_note"), text_heavy_note(level, F.col("text_heavy")).alias("text_note"))
+
+
 def outcomes(status: DataFrame) -> DataFrame:
     """(outcome, n): how many files ended in which way, commonest first."""
     counts = status.groupBy(F.coalesce("error_code", F.lit("cleaned")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))

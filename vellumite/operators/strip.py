@@ -18,7 +18,11 @@ from . import objects as O
 ANNOTATION_DATES, ANNOTATION_AUTHORS = ("M", "CreationDate"), ("T", "NM", "RC", "DS", "Subj")
 
 
-def strip(nodes: DataFrame, options: Options = DEFAULT) -> DataFrame:
+def strip(nodes: DataFrame, options: Options = DEFAULT, objects: DataFrame | None = None) -> DataFrame:
+    """``nodes`` without what ``options`` removes; the /ID and image bytes are :func:`new_ids` and :func:`images_with_metadata`.
+
+    ``objects`` is the table of :func:`objects.objects` for ``nodes``, where it is there already.
+    """
     if options.document_info:
         nodes = nodes.where("not (obj = -1 and top_key <=> 'Info')")
     if options.catalog_xmp or options.piece_info:
@@ -30,14 +34,11 @@ def strip(nodes: DataFrame, options: Options = DEFAULT) -> DataFrame:
         doomed = nodes.where("depth = 1 and obj >= 0 and key = 'Type' and kind = 'name' and bytes_val = X'4D65746164617461'").select("doc_id", "obj")
         nodes = nodes.join(doomed.distinct(), ["doc_id", "obj"], "left_anti")
     if options.annotations:
-        notes = O.objects(nodes.where("obj >= 0")).where(O.annotation()).select("doc_id", "obj", F.col("subtype").eqNullSafe("Widget").alias("widget"))
+        objects = O.objects(nodes) if objects is None else objects
+        notes = objects.where("obj >= 0").where(O.annotation()).select("doc_id", "obj", F.col("subtype").eqNullSafe("Widget").alias("widget"))
         nodes = nodes.join(notes, ["doc_id", "obj"], "left")
         gone = F.col("widget").isNotNull() & F.col("top_key").isin(*ANNOTATION_DATES) | ~F.coalesce("widget", F.lit(True)) & F.col("top_key").isin(*ANNOTATION_AUTHORS)
         nodes = nodes.where(~F.coalesce(gone, F.lit(False))).drop("widget")
-    if options.images:
-        nodes = scrub_images(nodes)
-    if options.new_file_id:
-        nodes = new_ids(nodes)
     return nodes
 
 
@@ -52,21 +53,15 @@ def scrubbed(payloads):
     return payloads.map(lambda p: jpeg.scrub(bytes(p)) if p is not None else None)
 
 
-def images_with_metadata(nodes: DataFrame) -> DataFrame:
+def images_with_metadata(objects: DataFrame, payloads: DataFrame) -> DataFrame:
     """(doc_id, obj, payload): DCT streams that a scrub shortens, scrubbed."""
-    dct = O.objects(nodes).where("kind = 'stream' and dct").select("doc_id", "obj")
-    payloads = nodes.where("node_id = 0 and kind = 'stream'").join(dct, ["doc_id", "obj"], "left_semi").select("doc_id", "obj", F.col("bytes_val").alias("before"))
-    return payloads.withColumn("payload", scrubbed("before")).where("octet_length(payload) <> octet_length(before)").select("doc_id", "obj", "payload")
-
-
-def scrub_images(nodes: DataFrame) -> DataFrame:
-    fixed = images_with_metadata(nodes)
-    joined = nodes.join(fixed, ["doc_id", "obj"], "left")
-    return joined.withColumn("bytes_val", F.expr("case when payload is not null and node_id = 0 then payload else bytes_val end")).withColumn("int_val", F.expr("case when payload is not null and depth = 1 and key = 'Length' then octet_length(payload) else int_val end")).drop("payload")
+    dct = objects.where("kind = 'stream' and dct").select("doc_id", "obj")
+    before = payloads.join(dct, ["doc_id", "obj"], "left_semi").withColumnRenamed("payload", "before")
+    return before.withColumn("payload", scrubbed("before")).where("octet_length(payload) <> octet_length(before)").select("doc_id", "obj", "payload")
 
 
 def new_ids(nodes: DataFrame) -> DataFrame:
-    """A trailer /ID of two random strings in place of the old one. Random: store the result before it is used twice."""
+    """A trailer /ID of two random strings in place of the old one, new ones each time it is computed."""
     docs = nodes.where("obj = -1").select("doc_id").distinct()
     columns = nodes.schema
 

@@ -5,16 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import syntax as S
+from ..sources.scratch import stored
 
 LEAF = {"null": lambda n: None, "bool": lambda n: n["bool_val"], "int": lambda n: n["int_val"], "real": lambda n: n["real_val"], "ref": lambda n: S.Ref(n["ref_obj"], n["ref_gen"]), "name": lambda n: S.Name(n["bytes_val"].decode("latin-1")), "hex": lambda n: S.Hex(n["bytes_val"]), "string": lambda n: bytes(n["bytes_val"])}
 
 
 def value_of(rows: list[dict]) -> object:
-    """An object's value from its rows, which come in the order of ``node_id``."""
+    """An object's value, or a stream's dictionary, from its rows, which come in the order of ``node_id``."""
     made: dict[int, object] = {}
     for n in rows:
         value = LEAF[n["kind"]](n) if n["kind"] in LEAF else [] if n["kind"] == "array" else {}
@@ -24,30 +25,52 @@ def value_of(rows: list[dict]) -> object:
                 around.append(value)
             else:
                 around[S.Name(n["key"])] = value
-    first = rows[0]
-    return S.Stream(made[0], bytes(first["bytes_val"])) if first["kind"] == "stream" else made[0]
+    return made[0]
 
 
-def bodies(nodes: DataFrame) -> DataFrame:
-    """(doc_id, obj, body): each object as it stands in the file; the trailer's dictionary under -1, without keys of the old layout."""
+def stream_parts(value: dict) -> tuple[bytes, bytes]:
+    """A stream's dictionary as it stands in a file, before and after the place of its /Length."""
+    sides = [{k: v for k, v in value.items() if (k < "Length") == first and k != "Length"} for first in (True, False)]
+    return S.written(sides[0])[:-2], S.written(sides[1])[3:]
+
+
+def parts(nodes: DataFrame) -> DataFrame:
+    """(doc_id, obj, gen, head, tail): each object as it stands in the file, a stream's up to and after its /Length (others have no tail);
+    the trailer's dictionary under -1, without keys of the old layout."""
     nodes = nodes.where("not (obj = -1 and coalesce(top_key, '') in ('Prev', 'XRefStm', 'Encrypt', 'Size'))")
     columns = ["node_id", "parent_id", "key", "kind", "bool_val", "int_val", "real_val", "bytes_val", "ref_obj", "ref_gen"]
     grouped = nodes.groupBy("doc_id", "obj", F.when(F.col("obj") >= 0, F.col("gen")).alias("gen")).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            heads, tails = [], []
             for obj, gen, rows in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                text = S.written(value_of(rows))
-                out.append(text if obj < 0 else b"%d %d obj\n" % (obj, gen or 0) + text + b"\nendobj\n")
-            yield pa.record_batch({"doc_id": batch.column(0), "obj": batch.column(1), "gen": batch.column(2), "body": pa.array(out, pa.binary())})
+                value, start = value_of(rows), b"" if obj < 0 else b"%d %d obj\n" % (obj, gen or 0)
+                head, tail = stream_parts(value) if rows[0]["kind"] == "stream" else (S.written(value) + (b"" if obj < 0 else END), None)
+                heads.append(start + head)
+                tails.append(tail)
+            yield pa.record_batch({"doc_id": batch.column(0), "obj": batch.column(1), "gen": batch.column(2), "head": pa.array(heads, pa.binary()), "tail": pa.array(tails, pa.binary())})
+
+    return grouped.select("doc_id", "obj", "gen", "rows").mapInArrow(run, "doc_id long, obj long, gen int, head binary, tail binary")
+
+
+END, STREAM, ENDSTREAM = b"\nendobj\n", b"\nstream\n", b"\nendstream"
 
-    return grouped.select("doc_id", "obj", "gen", "rows").mapInArrow(run, "doc_id long, obj long, gen int, body binary")
 
+def body() -> Column:
+    """An object of :func:`parts`, joined with its payload. The JVM puts the bytes between."""
+    length = F.concat(F.lit("/Length "), F.octet_length("payload").cast("string"), F.lit(" ")).cast("binary")
+    stream = F.concat("head", length, "tail", F.lit(STREAM), "payload", F.lit(ENDSTREAM + END))
+    return F.when(F.col("tail").isNull(), F.col("head")).otherwise(stream)
 
-def offsets(parts: DataFrame, head: int) -> DataFrame:
-    """``parts`` (doc_id, obj, body) with the offset of each object: the bytes of the head and of the objects before it."""
-    before = "coalesce(sum(octet_length(body)) over (partition by doc_id order by obj rows between unbounded preceding and 1 preceding), 0)"
+
+#: Bytes of the same, from the payload's length ``n`` alone.
+SIZE = f"octet_length(head) + if(tail is null, 0, octet_length(tail) + n + length(concat('/Length ', n, ' ')) + {len(STREAM + ENDSTREAM + END)})"
+
+
+def offsets(parts: DataFrame, head: int, size: str = "octet_length(body)") -> DataFrame:
+    """``parts`` (doc_id, obj, ...) with the offset of each object: the bytes of the head and of the objects before it."""
+    before = f"coalesce(sum({size}) over (partition by doc_id order by obj rows between unbounded preceding and 1 preceding), 0)"
     return parts.selectExpr("*", f"{head} + {before} as offset")
 
 
@@ -60,23 +83,29 @@ def gaps(placed: DataFrame) -> DataFrame:
 HEAD = b"%%PDF-%d.%d\n%%\xe2\xe3\xcf\xd3\n"
 
 
-def write(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, length, content): the files."""
-    made = bodies(nodes)
-    placed = offsets(made.where("obj >= 0"), len(HEAD % (1, 4)))
+def write(nodes: DataFrame, payloads: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, length, content): the files. ``payloads`` (doc_id, obj, payload) are the bytes of the streams.
+
+    Offsets come from lengths alone, so a payload moves twice: to its object, and to its file.
+    """
+    made = stored(parts(nodes), "parts")
+    lengths = payloads.select("doc_id", "obj", F.octet_length("payload").cast("long").alias("n"))
+    placed = offsets(made.where("obj >= 0").join(lengths, ["doc_id", "obj"], "left"), len(HEAD % (1, 4)), SIZE).select("doc_id", "obj", "gen", "offset")
     line = F.when(F.col("offset").isNull(), F.lit("0000000000 65535 f \n")).otherwise(F.concat(F.lpad(F.col("offset").cast("string"), 10, "0"), F.lit(" "), F.lpad(F.col("gen").cast("string"), 5, "0"), F.lit(" n \n")))
     table = gaps(placed).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("obj", line.alias("line")))), lambda e: e["line"]), "").alias("xref"), (F.max("obj") + 1).alias("size"))
-    body = placed.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("obj", "body"))), lambda e: e["body"]).alias("bodies"))
-    trailer = made.where("obj = -1").select("doc_id", F.col("body").alias("trailer"))
-    joined = docs.select("doc_id", "major", "minor").join(body, "doc_id").join(table, "doc_id").join(trailer, "doc_id")
+    bytes_ = made.where("obj >= 0").join(payloads, ["doc_id", "obj"], "left").select("doc_id", "obj", body().alias("body"))
+    bytes_ = bytes_.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("obj", "body"))), lambda e: e["body"]).alias("bodies"))
+    trailer = made.where("obj = -1").select("doc_id", F.col("head").alias("trailer"))
+    joined = docs.select("doc_id", "major", "minor").join(bytes_, "doc_id").join(table, "doc_id").join(trailer, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                head = HEAD % ((2, 0) if r["major"] >= 2 else (1, min(7, max(0, r["minor"]))))
-                data = head + b"".join(r["bodies"])
-                trailer = r["trailer"][:-2] + b"/Size %d >>" % r["size"]
-                data += b"xref\n0 %d\n" % r["size"] + r["xref"].encode() + b"trailer\n" + trailer + b"\nstartxref\n%d\n%%%%EOF\n" % len(data)
-                yield pa.record_batch({"doc_id": pa.array([r["doc_id"]], pa.int64()), "length": pa.array([len(data)], pa.int64()), "content": pa.array([data], pa.binary())})
+            for i in range(batch.num_rows):  # a file at a time
+                doc, major, minor, bodies, xref, size, trailer = (c[i] for c in batch.columns)
+                version = (2, 0) if major.as_py() >= 2 else (1, min(7, max(0, minor.as_py())))
+                data = b"".join([HEAD % version, *(b.as_buffer() for b in bodies)])
+                size = size.as_py()
+                end = b"xref\n0 %d\n" % size + xref.as_py().encode() + b"trailer\n" + trailer.as_py()[:-2] + b"/Size %d >>" % size + b"\nstartxref\n%d\n%%%%EOF\n" % len(data)
+                yield pa.record_batch({"doc_id": pa.array([doc.as_py()], pa.int64()), "length": pa.array([len(data) + len(end)], pa.int64()), "content": pa.array([data + end], pa.binary())})
 
     return joined.select("doc_id", "major", "minor", "bodies", "xref", "size", "trailer").mapInArrow(run, "doc_id long, length long, content binary")

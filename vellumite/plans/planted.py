@@ -1,4 +1,4 @@
-"""PDF files made from the rows of ``documents``, by arithmetic on their ids. Test data, not a feature.
+"""PDF files made from the rows of ``documents``, by arithmetic on their ids. Test data of the queries, not a feature.
 
 The rules stand in the README; what each file must yield follows from its row
 alone, so SQL over ``documents`` can say what every query must return.
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .syntax import Hex, Name, Ref, Stream, written
+from ..sources.syntax import Hex, Name, Ref, Stream, written
 
 XMP, ATTACHMENT, PROFILE = b"x" * 64, b"a" * 32, b"p" * 16
 #: SOI, APP1 (Exif), APP13, a quantisation table, filler after SOS, EOI: 200 bytes.
@@ -37,7 +37,9 @@ def objects_of(doc: int, text: bytes, lang: str, source: str, n_chars: int) -> t
     kids, resources = [], {N("Font"): {N("F1"): font}}
     if doc % 12 == 0:
         image = {N("Type"): N("XObject"), N("Subtype"): N("Image"), N("Width"): 8, N("Height"): 8, N("BitsPerComponent"): 8, N("ColorSpace"): N("DeviceRGB"), N("Filter"): N("DCTDecode")}
-        resources[N("XObject")] = {N("Im1"): add(Stream(image, JPEG))}
+        held = resources[N("XObject")] = {N("Im1"): add(Stream(image | ({N("Filter"): [N("DCTDecode")]} if doc % 24 else {}), JPEG))}
+        if doc % 24 == 0:  # an image and its mask: neither is encoded again
+            held[N("Im2")] = add(Stream(image | {N("SMask"): add(Stream(image, JPEG))}, JPEG))
     for i in range(pages):
         page = {N("Type"): N("Page"), N("Parent"): top, N("MediaBox"): [0, 0, 612, 792], N("Resources"): resources, N("Contents"): add(Stream({}, text))}
         if i == 0:
@@ -45,7 +47,14 @@ def objects_of(doc: int, text: bytes, lang: str, source: str, n_chars: int) -> t
             if doc % 6 == 0:
                 page[N("Metadata")] = add(Stream({N("Type"): N("Metadata"), N("Subtype"): N("XML")}, XMP))
         kids.append(add(page))
-    tree[N("Kids")] = kids
+    if doc % 41 == 7:  # the tree holds itself
+        kids.append(top)
+    tree[N("Kids")] = add(kids) if doc % 6 == 1 else kids
+    if doc % 97 == 3:  # a chain far deeper than any nesting
+        link = add({N("Last"): True})
+        for _ in range(599):
+            link = add({N("Next"): link})
+        catalog[N("Outlines")] = link
     if doc % 4 == 0:
         catalog[N("Metadata")] = add(Stream({N("Type"): N("Metadata"), N("Subtype"): N("XML")}, XMP))
     if doc % 7 == 0:
@@ -62,11 +71,15 @@ def objects_of(doc: int, text: bytes, lang: str, source: str, n_chars: int) -> t
         catalog[N("AcroForm")] = {N("Fields"): [add({N("FT"): N("Sig"), N("T"): b"sign here"})]}
     if doc % 19 == 0:
         catalog[N("Perms")] = {N("DocMDP"): add({N("Type"): N("Sig"), N("Filter"): N("Adobe.PPKLite")})}
+    if doc % 47 == 3:  # usage rights, not where the catalog has them
+        catalog[N("Extra")] = {N("Deep"): [{N("Perms"): {N("UR"): True}}]}
     info = {N("Title"): b"doc-%d" % doc, N("Author"): source.encode()}
     if doc % 2 == 0:
         info[N("Subject")] = lang.encode()
     if doc % 3 == 0:
         info[N("XChars")] = n_chars
+    if doc % 43 == 3:
+        info = {}
     trailer = {N("Root"): root, N("Info"): add(info)}
     if doc % 8 == 0:
         add({N("Orphan"): True})
@@ -83,14 +96,21 @@ class File:
     def __init__(self, head: bytes):
         self.data, self.places = bytearray(head + b"\n%\xe2\xe3\xcf\xd3\n"), {}
 
-    def put(self, obj: int, value: object) -> None:
+    def put(self, obj: int, value: object, length: int | None = None) -> None:
+        """``length``: the object that holds a stream's length, written before it."""
+        if length is not None:
+            self.put(length, len(value.data))
         self.places[obj] = len(self.data)
-        self.data += b"%d 0 obj\n" % obj + written(value) + b"\nendobj\n"
-
-    def table(self, numbers: list[int], trailer: dict, size: int) -> int:
-        """A classic section for ``numbers``; absent ones are free."""
+        if length is None:
+            body = written(value)
+        else:
+            body = written(value.dict | {Name("Length"): Ref(length, 0)}) + b"\nstream\n" + value.data + b"\nendstream"
+        self.data += b"%d 0 obj\n" % obj + body + b"\nendobj\n"
+
+    def table(self, numbers: list[int], trailer: dict, size: int, wrong_first: bool = False) -> int:
+        """A classic section for ``numbers``; absent ones are free. ``wrong_first``: object 1 is listed twice, first at a wrong place."""
         at = len(self.data)
-        self.data += b"xref\n"
+        self.data += b"xref\n" + (b"1 1\n%010d 00000 n \n" % self.places[2] if wrong_first else b"")
         for n in numbers:
             place = self.places.get(n)
             self.data += b"%d 1\n" % n + (b"%010d 00000 n \n" % place if place else b"0000000000 65535 f \n")
@@ -131,9 +151,10 @@ def pdf(doc: int, text: bytes, lang: str, source: str, n_chars: int) -> bytes:
     plain = {n for n, v in objects.items() if isinstance(v, Stream)}
     file = File(b"%PDF-1.4" if layout < 2 else b"%PDF-1.5")
     if layout == 0:
+        lengths = {n: size + i for i, n in enumerate(sorted(plain))} if doc % 4 == 0 else {}
         for n, v in objects.items():
-            file.put(n, v)
-        file.table(list(range(size)), trailer, size)
+            file.put(n, v, lengths.get(n))
+        file.table(list(range(size + len(lengths))), trailer, size + len(lengths), wrong_first=doc % 3 == 0)
     elif layout == 1:  # the Info dictionary is written twice; the second one counts
         info = trailer["Info"].obj
         for n, v in objects.items():
@@ -156,6 +177,10 @@ def pdf(doc: int, text: bytes, lang: str, source: str, n_chars: int) -> bytes:
         packed = file.pack(size, hidden)
         at = file.stream_section([*hidden, size + 1], packed, {}, size + 1, False)
         file.table([*range(size + 1)], trailer | {Name("XRefStm"): at}, size + 2)
+    if doc % 31 == 5:
+        return b""
+    if doc % 37 == 5:
+        return b"no header " + text
     return bytes(file.data[:40]) if doc % 23 == 0 else bytes(file.data)
 
 

@@ -1,6 +1,6 @@
 """All queries of the library by name, with SQL that says what each must return.
 
-Queries over PDFs read files planted from ``documents`` (:mod:`planter`), whose
+Queries over PDFs read files planted from ``documents`` (:mod:`planted`), whose
 content follows from each row by arithmetic; so their SQL knows nothing of PDFs.
 Parsing, inspecting and cleaning a planted corpus is done once a session and
 table folder, and shared by the queries over it.
@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 
 from ..functions import sizes
 from ..operators import inspect as I
-from ..operators import reach, sanitize, strip, write
-from ..sources import planter
+from ..operators import objects as O
+from ..operators import reach, sanitize, write
+from ..streaming import ingest
+from ..sources.scratch import stored
+from ..sources.tables import newest
+from . import planted
 
 FLAGSHIP = "q03_document_info"
 _shared: dict[tuple, object] = {}
@@ -32,15 +36,15 @@ def once(spark: SparkSession, sf_dir: str, what: str, make):
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planter.plant(table(spark, sf_dir, "documents"))
+    return once(spark, sf_dir, "files", lambda: stored(planted.plant(table(spark, sf_dir, "documents")), "planted"))
 
 
 def seen(spark: SparkSession, sf_dir: str) -> sanitize.Inspection:
-    return once(spark, sf_dir, "seen", lambda: cleaned(spark, sf_dir).before)
+    return once(spark, sf_dir, "seen", lambda: sanitize.inspect(files(spark, sf_dir)))
 
 
 def cleaned(spark: SparkSession, sf_dir: str, level: int = 0) -> sanitize.Cleaned:
-    return once(spark, sf_dir, f"cleaned {level}", lambda: sanitize.sanitize(files(spark, sf_dir), level=level))
+    return once(spark, sf_dir, f"cleaned {level}", lambda: sanitize.sanitize(files(spark, sf_dir), level=level, before=seen(spark, sf_dir)))
 
 
 def q01_status(spark, sf_dir):
@@ -56,7 +60,7 @@ def q03_document_info(spark, sf_dir):
 
 
 def q04_custom_info(spark, sf_dir):
-    return seen(spark, sf_dir).findings.where("ord between 100 and 999").select("doc_id", "label", "value")
+    return seen(spark, sf_dir).findings.where(f"ord >= 100 and ord < {I.EMPTY_INFO}").select("doc_id", "label", "value")
 
 
 def q05_page_count(spark, sf_dir):
@@ -84,9 +88,7 @@ def q10_residuals(spark, sf_dir):
 
 
 def q11_reachable(spark, sf_dir):
-    nodes = seen(spark, sf_dir).tables.nodes
-    kept = reach.sweep(strip.strip(nodes, sanitize.DEFAULT.__class__(images=False, new_file_id=False)))
-    return kept.where("obj >= 0 and node_id = 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"))
+    return seen(spark, sf_dir).kept.where("obj >= 0 and node_id = 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"))
 
 
 def q12_graph_closure(spark, sf_dir):
@@ -94,29 +96,40 @@ def q12_graph_closure(spark, sf_dir):
     down = nation.selectExpr("cast(n_regionkey as long) as src", "1000L + n_nationkey as dst")
     down = down.union(customer.selectExpr("1000L + c_nationkey", "1000000L + c_custkey")).union(orders.selectExpr("1000000L + o_custkey", "1000000000L + o_orderkey"))
     both = down.union(customer.selectExpr("1000000L + c_custkey", "1000L + c_nationkey"))
-    regions = table(spark, sf_dir, "region").selectExpr("cast(r_regionkey as long) as doc_id")
-    return reach.closure(regions.crossJoin(both.distinct()), regions.selectExpr("doc_id", "doc_id as node"))
+    regions = table(spark, sf_dir, "region").selectExpr("cast(r_regionkey as long) as origin")
+    return reach.closure(both, regions.selectExpr("origin", "origin as node")).selectExpr("origin as doc_id", "node")
 
 
 def q13_newest_wins(spark, sf_dir):
-    ranked = table(spark, sf_dir, "events").selectExpr("*", "row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as rank")
-    return ranked.where("rank = 1").select("user_id", "event_type", "event_id", "ts", "value")
+    """Events as cross-reference entries: users are files, event types objects, days sections."""
+    kind = "case event_id % 4 when 0 then 1 when 1 then 2 else 0 end as priority"
+    entries = table(spark, sf_dir, "events").selectExpr("user_id as doc_id", "event_type as obj", "datediff(date'2100-01-01', ts) as section_seq", kind, "event_id as place", "value")
+    return newest(entries).selectExpr("doc_id", "obj", "section_seq", "priority", "place", "value")
 
 
 def q14_sweep_semi(spark, sf_dir):
-    late = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select("l_orderkey")
-    orders = table(spark, sf_dir, "orders")
-    return orders.join(late, orders.o_orderkey == late.l_orderkey, "left_semi").select("o_orderkey", "o_custkey")
+    """Customers as files: their open orders are linked from the trailer, each order links its parts and the next order of the clerk's list."""
+    orders = table(spark, sf_dir, "orders").selectExpr("o_custkey as doc_id", "o_orderkey as obj", "o_orderstatus as status")
+    lines = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as obj", "1000000000L + l_partkey as part").join(orders.drop("status"), "obj")
+    ref = "'ref' as kind", "'k' as top_key"
+    trailer = orders.where("status = 'O'").selectExpr("doc_id", "-1L as obj", "1 as node_id", *ref, "obj as ref_obj")
+    own = orders.selectExpr("doc_id", "obj", "0 as node_id", "'dict' as kind", "cast(null as string) as top_key", "cast(null as long) as ref_obj")
+    links = lines.selectExpr("doc_id", "obj", "1 as node_id", *ref, "part as ref_obj")
+    parts = lines.selectExpr("doc_id", "part as obj", "0 as node_id", "'dict' as kind", "cast(null as string) as top_key", "cast(null as long) as ref_obj").distinct()
+    kept = reach.sweep(trailer.unionByName(own).unionByName(links).unionByName(parts))
+    return kept.where("obj >= 0 and node_id = 0").select("doc_id", "obj")
 
 
 def q15_report_anti(spark, sf_dir):
-    customer, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
-    return customer.join(orders, customer.c_custkey == orders.o_custkey, "left_anti").select("c_custkey", "c_mktsegment")
+    """Customers' segments as findings; those whose customer has filled orders are found again."""
+    before = table(spark, sf_dir, "customer").selectExpr("c_custkey as doc_id", "1 as ord", "c_mktsegment as category", "'segment' as label", "cast(c_nationkey as string) as value")
+    filled = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").selectExpr("o_custkey as doc_id").distinct()
+    return sanitize.removed(before, before.join(filled, "doc_id", "left_semi")).selectExpr("doc_id", "category", "value")
 
 
 def q16_running_offsets(spark, sf_dir):
-    parts = table(spark, sf_dir, "conversations").selectExpr("conv_id as doc_id", "turn as obj", "cast(text as binary) as body")
-    return write.offsets(parts, 0).selectExpr("doc_id", "obj as turn", "offset as start")
+    lines = table(spark, sf_dir, "lineitem").where("l_linenumber < 4").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.concat("l_returnflag", F.col("l_partkey").cast("string"))).cast("binary").alias("body"))
+    return write.offsets(lines.selectExpr("l_orderkey as doc_id", "l_linenumber as obj", "body"), 0).selectExpr("doc_id", "obj as line", "offset as start")
 
 
 def q17_gap_fill(spark, sf_dir):
@@ -148,10 +161,10 @@ def q21_report(spark, sf_dir):
 
 
 def q22_page_bytes_sha(spark, sf_dir):
-    after = cleaned(spark, sf_dir).after.tables.nodes
-    content = after.where("depth = 1 and key = 'Contents' and kind = 'ref'").selectExpr("doc_id", "ref_obj as obj")
-    streams = after.where("node_id = 0 and kind = 'stream'").join(content, ["doc_id", "obj"])
-    return streams.select("doc_id", F.sha2("bytes_val", 256).alias("sha")).groupBy("doc_id", "sha").agg(F.count(F.lit(1)).alias("pages"))
+    after = cleaned(spark, sf_dir).after.tables
+    content = after.nodes.where("depth = 1 and key = 'Contents' and kind = 'ref'").selectExpr("doc_id", "ref_obj as obj")
+    streams = after.payloads.join(content, ["doc_id", "obj"])
+    return streams.select("doc_id", F.sha2("payload", 256).alias("sha")).groupBy("doc_id", "sha").agg(F.count(F.lit(1)).alias("pages"))
 
 
 def q23_flate_packed(spark, sf_dir):
@@ -159,8 +172,7 @@ def q23_flate_packed(spark, sf_dir):
 
 
 def q24_jpeg_scrub(spark, sf_dir):
-    fixed = strip.images_with_metadata(seen(spark, sf_dir).tables.nodes)
-    return fixed.selectExpr("doc_id", "octet_length(payload) as bytes_after")
+    return seen(spark, sf_dir).scrubbed.selectExpr("doc_id", "octet_length(payload) as bytes_after")
 
 
 def q25_summary_lines(spark, sf_dir):
@@ -192,34 +204,93 @@ def q30_image_counts(spark, sf_dir):
     return seen(spark, sf_dir).images
 
 
+def q31_packable_streams(spark, sf_dir):
+    return seen(spark, sf_dir).objects.where(O.packable()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("streams"), F.sum("payload_bytes").alias("bytes"))
+
+
+def q32_review_texts(spark, sf_dir):
+    return sanitize.review(seen(spark, sf_dir)).drop("text_note")
+
+
+def q40_text_notes(spark, sf_dir):
+    rows = sizes.derived(synthetic_inventory(spark, sf_dir)).select("doc_id", "text_heavy", F.explode(F.array(*(F.lit(i) for i in range(5)))).alias("level"))
+    return rows.select("doc_id", "level", sizes.text_heavy_note(F.col("level"), F.col("text_heavy")).alias("note"))
+
+
+def q33_inspection_rows(spark, sf_dir):
+    rows = sanitize.inspection_rows(files(spark, sf_dir), seen(spark, sf_dir))
+    told = lambda c: F.array_join(F.transform(c, lambda e: e["label"]), "; ").alias(c)
+    columns = "doc_id", "pages", "encrypted", "signed", "title", "author", "subject", "keywords", "annotations", "jpegs_with_metadata", "empty_signature_fields", "images", "recompressible_images", "metadata_bytes"
+    return rows.select(*columns, told("findings"), F.coalesce(told("residuals"), F.lit("")).alias("residuals"))
+
+
+def q34_reached_is_written(spark, sf_dir):
+    nodes = cleaned(spark, sf_dir).after.tables.nodes
+    written, reached = nodes.where("obj >= 0 and node_id = 0").select("doc_id", "obj"), reach.reachable(nodes)
+    both = written.withColumn("w", F.lit(1)).join(reached.withColumn("r", F.lit(1)), ["doc_id", "obj"], "full")
+    return both.groupBy("doc_id").agg(F.count("w").alias("written"), F.count("r").alias("reached"), F.count_if(F.expr("w is null or r is null")).alias("differ"))
+
+
+def offered(spark, sf_dir):
+    """Files offered: users are sessions, events urls; every other url is local."""
+    url = "concat(case event_id % 3 when 0 then 'https://host/' when 1 then 'file:///in/' else 'FILE:///in/' end, event_id, '.pdf') as url"
+    phase = "element_at(array('idle', 'inspecting', 'review', 'working', 'done', 'failed'), cast(event_id div 50 % 6 as int) + 1) as phase"
+    return table(spark, sf_dir, "events").selectExpr("user_id as session", "event_id div 50 as offer", "event_id as place", url, phase)
+
+
+def q35_first_local_file(spark, sf_dir):
+    return ingest.to_review(offered(spark, sf_dir))
+
+
+def q36_within_band(spark, sf_dir):
+    rows = sizes.estimates(synthetic_inventory(spark, sf_dir)).withColumn("actual", F.expr("bytes_high * (1 + doc_id % 5) div 3"))
+    return rows.select("doc_id", "level", "actual", sizes.within_band(F.col("actual"), F.col("bytes_low"), F.col("bytes_high"), F.when(F.col("doc_id") % 2 == 0, "exact").otherwise("heuristic")).alias("inside"))
+
+
+def q37_exact_probe(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").selectExpr("doc_id", "cast(n_chars * 7 as long) as length", "cast(n_chars as long) * 30000 as input_bytes")
+    return sizes.probed(rows, 2)
+
+
+def q38_latest_choice(spark, sf_dir):
+    choices = table(spark, sf_dir, "events").selectExpr("user_id as session", "event_id as generation", "cast(event_id * 7 % 5 as int) as level")
+    return ingest.latest_choice(choices)
+
+
+def q39_plain_reals(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", I.plain_real("l_extendedprice").alias("price"), I.plain_real(F.col("l_discount") * 1e-6).alias("small"))
+
+
 QUERIES = {k: f for k, f in list(globals().items()) if k[:1] == "q" and k[1:3].isdigit()}
 
 GOOD = """
-    rows as (select *, case when doc_id % 23 = 0 then 'corrupt' when doc_id % 17 = 0 then 'encrypted' end as bad, doc_id % 19 = 0 as signed,
-                    doc_id % 4 as notes, 1 + doc_id % 3 as pages, (doc_id // 5) % 2 = 0 as has_id from documents),
+    rows as (select *, case when doc_id % 31 = 5 then 'emptyInput' when doc_id % 37 = 5 then 'notPDF' when doc_id % 23 = 0 then 'corrupt' when doc_id % 17 = 0 then 'encrypted' when doc_id % 41 = 7 then 'corrupt' end as bad,
+                    doc_id % 19 = 0 or doc_id % 47 = 3 as signed, doc_id % 43 = 3 as no_info,
+                    doc_id % 4 as notes, 1 + doc_id % 3 as pages, (doc_id // 5) % 2 = 0 as has_id, case when doc_id % 24 = 0 then 3 when doc_id % 12 = 0 then 1 else 0 end as images from documents),
     good as (select * from rows where bad is null),
     clean as (select * from good where not signed)"""
 
-FINDINGS = """
+FINDINGS = f"""
     findings as (
-        select doc_id, 0 as ord, 'Document info' as category, 'Title' as label, 'doc-' || doc_id as value from good
-        union all select doc_id, 1, 'Document info', 'Author', source from good
-        union all select doc_id, 2, 'Document info', 'Subject', lang from good where doc_id % 2 = 0
-        union all select doc_id, 101, 'Document info', 'XChars', cast(n_chars as varchar) from good where doc_id % 3 = 0
-        union all select doc_id, 2000, 'XMP / streams', 'Catalog XMP metadata', 'Present' from good where doc_id % 4 = 0
-        union all select doc_id, 2001, 'XMP / streams', 'Page or object XMP metadata', 'Present' from good where doc_id % 6 = 0
-        union all select doc_id, 2002, 'XMP / streams', 'Application private data (PieceInfo)', 'Present' from good where doc_id % 7 = 0
-        union all select doc_id, 2003, 'File identity', 'Trailer file ID', 'Links copies of this file; replaced with a random one' from good where has_id
-        union all select doc_id, 2004, 'Annotations', 'Annotation authors / dates', notes || case when notes = 1 then ' annotation' else ' annotations' end from good where notes > 0
-        union all select doc_id, 2005, 'Images', 'JPEG EXIF / XMP / IPTC', '1 image stream' from good where doc_id % 12 = 0
-        union all select doc_id, 2006, 'Security', 'Digital signature', 'Detected: this file is not modified' from good where signed),
+        select doc_id, 0 as ord, 'Document info' as category, 'Title' as label, 'doc-' || doc_id as value from good where not no_info
+        union all select doc_id, 1, 'Document info', 'Author', source from good where not no_info
+        union all select doc_id, 2, 'Document info', 'Subject', lang from good where doc_id % 2 = 0 and not no_info
+        union all select doc_id, 101, 'Document info', 'XChars', cast(n_chars as varchar) from good where doc_id % 3 = 0 and not no_info
+        union all select doc_id, {I.EMPTY_INFO}, 'Document info', 'Info dictionary', 'Present (empty fields)' from good where no_info
+        union all select doc_id, {I.FLAGS}, 'XMP / streams', 'Catalog XMP metadata', 'Present' from good where doc_id % 4 = 0
+        union all select doc_id, {I.FLAGS + 1}, 'XMP / streams', 'Page or object XMP metadata', 'Present' from good where doc_id % 6 = 0
+        union all select doc_id, {I.FLAGS + 2}, 'XMP / streams', 'Application private data (PieceInfo)', 'Present' from good where doc_id % 7 = 0
+        union all select doc_id, {I.FLAGS + 3}, 'File identity', 'Trailer file ID', 'Links copies of this file; replaced with a random one' from good where has_id
+        union all select doc_id, {I.FLAGS + 4}, 'Annotations', 'Annotation authors / dates', notes || case when notes = 1 then ' annotation' else ' annotations' end from good where notes > 0
+        union all select doc_id, {I.FLAGS + 5}, 'Images', 'JPEG EXIF / XMP / IPTC', images || case when images = 1 then ' image stream' else ' image streams' end from good where images > 0
+        union all select doc_id, {I.FLAGS + 6}, 'Security', 'Digital signature', 'Detected: this file is not modified' from good where signed),
     stays as (
         select doc_id, 'JavaScript' as label, 'Scripts are not removed' as value from good where doc_id % 11 = 0
         union all select doc_id, 'Attached files', 'Attachments and their contents are not removed' from good where doc_id % 13 = 0
         union all select doc_id, 'Color profiles', 'ICC profiles and output intents are not removed' from good where doc_id % 10 = 0
         union all select doc_id, 'Empty signature field', '1 unsigned field, kept as is' from good where doc_id % 9 = 0 and not signed)"""
 
-KEPT = "4 + 2 * pages + notes + (doc_id % 11 = 0)::int + 2 * (doc_id % 13 = 0)::int + 2 * (doc_id % 10 = 0)::int + (doc_id % 9 = 0)::int + (doc_id % 12 = 0)::int + (doc_id % 19 = 0)::int"
+KEPT = "4 + 2 * pages + notes + (doc_id % 11 = 0)::int + 2 * (doc_id % 13 = 0)::int + 2 * (doc_id % 10 = 0)::int + (doc_id % 9 = 0)::int + images + (doc_id % 19 = 0)::int + (doc_id % 6 = 1)::int + 600 * (doc_id % 97 = 3)::int"
 
 
 def estimate_sql() -> str:
@@ -267,11 +338,11 @@ ORACLES = {
     "q01_status": f"with {GOOD} select doc_id, case when bad is not null then bad when signed then 'signed' end as error_code from rows",
     "q02_outcome_counts": f"with {GOOD} select case when bad is not null then bad when signed then 'signed' else 'cleaned' end as outcome, count(*) as n from rows group by 1",
     "q03_document_info": f"with {GOOD}, {FINDINGS} select doc_id, label, value from findings where ord < 100",
-    "q04_custom_info": f"with {GOOD}, {FINDINGS} select doc_id, label, value from findings where ord between 100 and 999",
+    "q04_custom_info": f"with {GOOD}, {FINDINGS} select doc_id, label, value from findings where ord >= 100 and ord < {I.EMPTY_INFO}",
     "q05_page_count": f"with {GOOD} select doc_id, cast(pages as int) as pages from good",
     "q06_flags": f"with {GOOD} select doc_id, true as has_info, has_id, doc_id % 4 = 0 as catalog_xmp, doc_id % 6 = 0 as other_xmp, doc_id % 7 = 0 as piece_info, doc_id % 11 = 0 as script, doc_id % 13 = 0 as attachments, doc_id % 10 = 0 as profiles, signed from good",
     "q07_annotation_counts": f"with {GOOD} select doc_id, notes as n from good",
-    "q08_inventory": f"with {GOOD} select doc_id, 200 * (doc_id % 12 = 0)::bigint as image_bytes, 64 * (doc_id % 4 = 0)::bigint + 64 * (doc_id % 6 = 0)::bigint as metadata_bytes, pages * strlen(text) + 32 * (doc_id % 13 = 0)::bigint + 16 * (doc_id % 10 = 0)::bigint as other_bytes, 200 * (doc_id % 12 = 0)::bigint as recompressible_bytes from good",
+    "q08_inventory": f"with {GOOD} select doc_id, 200 * images::bigint as image_bytes, 64 * (doc_id % 4 = 0)::bigint + 64 * (doc_id % 6 = 0)::bigint as metadata_bytes, pages * strlen(text) + 32 * (doc_id % 13 = 0)::bigint + 16 * (doc_id % 10 = 0)::bigint as other_bytes, 200 * ((doc_id % 12 = 0)::bigint + (doc_id % 24 = 0)::bigint) as recompressible_bytes from good",
     "q09_findings_all": f"with {GOOD}, {FINDINGS} select * from findings",
     "q10_residuals": f"with {GOOD}, {FINDINGS} select * from stays",
     "q11_reachable": f"with {GOOD} select doc_id, {KEPT} as kept from good",
@@ -284,10 +355,17 @@ ORACLES = {
         walk as (select r_regionkey::bigint as doc_id, r_regionkey::bigint as node from region
                  union select doc_id, dst from walk join edges on node = src)
         select doc_id, node from walk""",
-    "q13_newest_wins": "select user_id, event_type, event_id, ts, value from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as rank from events) where rank = 1",
-    "q14_sweep_semi": "select o_orderkey, o_custkey from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R')",
-    "q15_report_anti": "select c_custkey, c_mktsegment from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'F')",
-    "q16_running_offsets": "select conv_id as doc_id, turn, cast(coalesce(sum(strlen(text)) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) as bigint) as start from conversations",
+    "q13_newest_wins": """
+        with entries as (select user_id as doc_id, event_type as obj, date_diff('day', ts::date, date '2100-01-01')::int as section_seq, (case event_id % 4 when 0 then 1 when 1 then 2 else 0 end)::int as priority, event_id as place, value from events),
+        lasts as (select * from entries qualify row_number() over (partition by doc_id, obj, section_seq, priority = 1 order by place desc) = 1)
+        select * from lasts qualify row_number() over (partition by doc_id, obj order by section_seq, priority) = 1""",
+    "q14_sweep_semi": """
+        with held as (select o_custkey as doc_id, o_orderkey as obj from orders where o_orderstatus = 'O')
+        select doc_id, obj from held union select doc_id, 1000000000 + l_partkey from held join lineitem on l_orderkey = obj""",
+    "q15_report_anti": "select c_custkey as doc_id, c_mktsegment as category, c_nationkey::varchar as value from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'F')",
+    "q16_running_offsets": """
+        with parts as (select l_orderkey as doc_id, l_linenumber as line, min(l_returnflag || l_partkey) as body from lineitem where l_linenumber < 4 group by 1, 2)
+        select doc_id, line, cast(coalesce(sum(strlen(body)) over (partition by doc_id order by line rows between unbounded preceding and 1 preceding), 0) as bigint) as start from parts""",
     "q17_gap_fill": """
         with placed as (select distinct l_orderkey as doc_id, l_linenumber::bigint as obj from lineitem where l_quantity > 25),
         slots as (select doc_id, unnest(generate_series(0, max(obj))) as obj from placed group by doc_id)
@@ -305,14 +383,14 @@ ORACLES = {
                || case when kept_n > 0 then 'Still in the file: ' || labels || '. ' else '' end || 'Your original file was not changed.' as message
         from told""",
     "q22_page_bytes_sha": f"with {GOOD} select doc_id, sha256(text) as sha, pages from clean",
-    "q24_jpeg_scrub": f"with {GOOD} select doc_id, 156 as bytes_after from good where doc_id % 12 = 0",
+    "q24_jpeg_scrub": f"with {GOOD} select doc_id, 156 as bytes_after from good join (values (1), (2), (3)) t(i) on i <= images",
     "q25_summary_lines": f"""
         with {GOOD}, {FINDINGS},
         gone as (select doc_id, count(*) as n from findings where category <> 'Security' group by 1),
         kept as (select doc_id, 'Stays in the file: ' || string_agg(label, ', ' order by label) || '.' as residual_line from stays group by 1)
         select g.doc_id, pages || ' page' || case when pages = 1 then '' else 's' end || case when signed then ' · signed' else ' · ' || n || ' metadata item' || case when n = 1 then '' else 's' end || ' to remove' end as summary_line, residual_line
         from good g join gone using (doc_id) left join kept using (doc_id)""",
-    "q26_error_text": f"with {GOOD} select doc_id, case when bad = 'corrupt' then 'This PDF is damaged or incomplete.' when bad = 'encrypted' then 'PDF is password-protected.' else 'Signed PDFs are not modified.' end as text from rows where bad is not null or signed",
+    "q26_error_text": f"with {GOOD} select doc_id, case when bad in ('emptyInput', 'notPDF') then 'Not a PDF.' when bad = 'corrupt' then 'This PDF is damaged or incomplete.' when bad = 'encrypted' then 'PDF is password-protected.' else 'Signed PDFs are not modified.' end as text from rows where bad is not null or signed",
     "q27_estimate_text": f"""
         with {estimate_sql()}, mid as (select *, (bytes_low + bytes_high) // 2 as bytes_mid from est),
         share as (select *, round((file_bytes - bytes_mid)::double / file_bytes * 100)::bigint as pct from mid)
@@ -320,5 +398,42 @@ ORACLES = {
                case when bytes_mid < file_bytes and pct >= 1 then '−' || pct || '%' end as savings from share""",
     "q28_output_names": "select doc_id, 'doc.' || doc_id || '-' || case greatest(0, least(4, doc_id % 8 - 2)) when 0 then 'clean' when 1 then 'clean-light' when 2 then 'clean-balanced' when 3 then 'clean-strong' else 'clean-max' end || '.pdf' as name from documents",
     "q29_target_pixels": "with s as (select doc_id, (1 + n_chars % 5000)::int as w, (1 + doc_id * 7 % 3000)::int as h from documents), t as (select *, least(1::double, 1600::double / greatest(w, h)) as k from s) select doc_id, greatest(1, round(w * k)::int) as width, greatest(1, round(h * k)::int) as height from t",
-    "q30_image_counts": f"with {GOOD} select doc_id, 1 as images, 1 as eligible from good where doc_id % 12 = 0",
+    "q30_image_counts": f"with {GOOD} select doc_id, images, 1 as eligible from good where images > 0",
+    "q31_packable_streams": f"with {GOOD} select doc_id, pages as streams, pages * strlen(text) as bytes from good where strlen(text) >= 64",
+    "q32_review_texts": f"""
+        with {GOOD}, {FINDINGS},
+        gone as (select doc_id, count(*) as n from findings where category <> 'Security' group by 1),
+        told as (select g.doc_id, images, coalesce(n, 0) as n, unnest(range(5))::int as level from good g left join gone using (doc_id))
+        select doc_id, level,
+               case when n > 0 then case level when 0 then 'Remove metadata and save…' when 1 then 'Remove metadata, pack and save…' else 'Remove metadata, compress and save…' end
+                    else case level when 0 then 'Save a rewritten copy…' when 1 then 'Pack and save…' else 'Compress and save…' end end as action,
+               case when level < 2 then null when images = 0 then 'This PDF has no images, so this level does nothing more than Light.'
+                    else '1 of ' || images || ' image' || case when images = 1 then '' else 's' end || ' in this PDF can be re-encoded.' end as scope_note
+        from told""",
+    "q40_text_notes": f"with {estimate_sql()} select doc_id, unnest(range(5))::int as level, case when level >= 2 and heavy then 'This PDF is mostly text/vectors — compression won’t shrink much.' end as note from a",
+    "q33_inspection_rows": f"""
+        with {GOOD}, {FINDINGS},
+        told as (select doc_id, string_agg(label, '; ' order by ord) as findings from findings group by 1),
+        kept as (select doc_id, string_agg(label, '; ' order by label) as residuals from stays group by 1)
+        select g.doc_id, pages::int as pages, false as encrypted, signed, case when not no_info then 'doc-' || g.doc_id end as title, case when not no_info then source end as author,
+               case when g.doc_id % 2 = 0 and not no_info then lang end as subject, null::varchar as keywords, notes as annotations, images as jpegs_with_metadata,
+               case when signed then 0 else (g.doc_id % 9 = 0)::int end as empty_signature_fields, images, (images > 0)::int as recompressible_images,
+               64 * (g.doc_id % 4 = 0)::bigint + 64 * (g.doc_id % 6 = 0)::bigint as metadata_bytes, findings, coalesce(residuals, '') as residuals
+        from good g join told using (doc_id) left join kept using (doc_id)
+        union all select doc_id, 0, true, false, null, null, null, null, 0, 0, 0, 0, 0, 0, 'Encryption', '' from rows where bad = 'encrypted'""",
+    "q34_reached_is_written": f"with {GOOD} select doc_id, {KEPT} as written, {KEPT} as reached, 0 as differ from clean",
+    "q35_first_local_file": """
+        with told as (select user_id as session, event_id // 50 as offer, event_id as place, case event_id % 3 when 0 then 'https://host/' when 1 then 'file:///in/' else 'FILE:///in/' end || event_id || '.pdf' as url, event_id // 50 % 6 as phase from events)
+        select session, offer, min_by(url, place) as url from told where url ilike 'file:%' and phase not in (1, 3) group by 1, 2""",
+    "q36_within_band": f"""
+        with {estimate_sql()}, told as (select *, bytes_high * (1 + doc_id % 5) // 3 as actual, (bytes_low + bytes_high) // 2 as mid from est)
+        select doc_id, level, actual, case when actual between bytes_low and bytes_high then true when mid <= 0 then false
+               when doc_id % 2 = 0 then abs(actual - mid)::double / mid <= 0.05 else abs(actual - mid)::double / mid <= 0.55 or (actual <= bytes_high and actual >= bytes_low // 2) end as inside from told""",
+    "q37_exact_probe": """
+        select doc_id, 2 as level, greatest(1, n - greatest(32, n // 100)) as bytes_low, n + greatest(32, n // 100) as bytes_high, 0.98::double as confidence, 'exact' as method
+        from (select doc_id, n_chars * 7 as n, n_chars * 30000 as input_bytes from documents) where input_bytes <= 15728640""",
+    "q38_latest_choice": "select user_id as session, max_by((event_id * 7 % 5)::int, event_id) as level from events group by 1",
+    "q39_plain_reals": """
+        select l_orderkey, l_linenumber, regexp_replace(l_extendedprice::varchar, '\\.0$', '') as price,
+               case when l_discount = 0 then '0' else rtrim(printf('%.20f', round(l_discount * 100) / 1e8)[1:10], '0') end as small from lineitem""",
 }

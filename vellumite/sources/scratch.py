@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[tuple[SparkSession, str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a folder of our own only where it is unset on a single local JVM."""
@@ -15,7 +17,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     master = spark.sparkContext.master
     if not master.startswith("local") or master.startswith("local-"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="spark-vellumite-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", own)
     return own
@@ -23,5 +25,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    _made.append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def made() -> list[tuple[SparkSession, str]]:
+    """Scratch tables written so far."""
+    return list(_made)
+
+
+def release(tables: list[tuple[SparkSession, str]]) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    for entry in tables:
+        if entry in _made:
+            spark, path = entry
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+            _made.remove(entry)

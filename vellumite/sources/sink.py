@@ -1,54 +1,95 @@
-"""Cleaned files to a folder that all executors mount."""
+"""Cleaned files to a folder on any file system that Arrow can write to."""
 
 from __future__ import annotations
 
 import os
+import posixpath
+import uuid
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class SameFolder(ValueError):
     """The output folder holds the inputs."""
 
 
+def is_local(path: str) -> bool:
+    return urlparse(path).scheme in ("", "file")
+
+
 def local(path: str) -> str:
     return os.path.realpath(unquote(urlparse(path).path) if path.startswith("file:") else path)
 
 
+def opened(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of ``folder``, and the folder's path in it."""
+    return (fs.LocalFileSystem(), local(folder)) if is_local(folder) else fs.FileSystem.from_uri(folder)
+
+
+def relative(path: str, source: str) -> str:
+    """``path`` as it stands under ``source``."""
+    inside, root = (unquote(urlparse(p).path) for p in (path, source))
+    root = posixpath.normpath(root)
+    inside = posixpath.normpath(inside)
+    return inside[len(root) :].lstrip("/") if inside.startswith(root.rstrip("/") + "/") else posixpath.basename(inside)
+
+
+def relative_column(path, source: str):
+    @F.pandas_udf(T.StringType())
+    def run(paths):
+        return paths.map(lambda p: relative(p, source))
+
+    return run(path)
+
+
 def write_files(files: DataFrame, folder: str, source: str | None = None) -> DataFrame:
     """Write ``files`` (doc_id, name, content, and path where the input is a file) under ``folder``.
 
-    Returns doc_id, written (path) and error_code. Each file is written under
-    another name and then renamed, so it is there whole or not at all, and a
-    task that runs twice gives the same. Originals are never written over: the
-    folder must not be the one the inputs came from, and a file that is its own
-    input by another name is refused.
+    Names may hold folders, which are made; of files with one name the first (by
+    path, then id) is written, the others are refused. Returns doc_id, written (path) and
+    error_code. Each file is written under another name and then renamed, so it
+    is there whole or not at all, and a task that runs twice gives the same.
+    Originals are never written over: the folder must not be the one the inputs
+    came from, and a file that is its own input by another name is refused.
     """
-    target = local(folder)
-    if source is not None and local(source) == target:
+    if is_local(folder):
+        if source is not None and is_local(source) and local(source) == local(folder):
+            raise SameFolder("the output folder is the input folder")
+        os.makedirs(local(folder), exist_ok=True)
+    elif source is not None and source.rstrip("/") == folder.rstrip("/"):
         raise SameFolder("the output folder is the input folder")
-    os.makedirs(target, exist_ok=True)
-    has_path = "path" in files.columns
+    path = F.col("path") if "path" in files.columns else F.lit(None).cast("string")
+    files = files.select("doc_id", "name", "content", path.alias("path"))
+    # names alone are compared
+    order = "row_number() over (partition by name order by path, doc_id) > 1 as taken"
+    taken = files.select("doc_id", "name", "path").selectExpr("doc_id", order).where("taken")
 
-    def one(name: str, content: bytes, path: str | None) -> tuple[str | None, str | None]:
-        out = os.path.join(target, os.path.basename(name))
-        if path is not None and os.path.exists(out) and os.path.exists(local(path)) and os.path.samefile(out, local(path)):
+    def one(store: fs.FileSystem, root: str, name: str, content: bytes, path: str | None) -> tuple[str | None, str | None]:
+        # a whole path or URI gives its last part only
+        name = posixpath.basename(name) if name.startswith("/") or urlparse(name).scheme else posixpath.normpath("/" + name).lstrip("/")
+        out = posixpath.join(root, name)
+        if path is not None and is_local(folder) and is_local(path) and os.path.exists(out) and os.path.exists(local(path)) and os.path.samefile(out, local(path)):
             return None, "cannotWrite"
-        partial = f"{out}.{os.getpid()}.part"
+        partial = f"{out}.{uuid.uuid4().hex[:12]}.part"
         try:
-            with open(partial, "wb") as f:
+            store.create_dir(posixpath.dirname(out), recursive=True)
+            with store.open_output_stream(partial) as f:
                 f.write(content)
-            os.replace(partial, out)
-        except OSError:
+            store.move(partial, out)
+        except (OSError, pa.ArrowException):
             return None, "cannotWrite"
         return out, None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = opened(folder)
         for batch in batches:
-            done = [one(r["name"], r["content"], r.get("path")) for r in batch.to_pylist()]
+            done = [(None, "cannotWrite") if r["taken"] else one(store, root, r["name"], r["content"], r["path"]) for r in batch.to_pylist()]
             yield pa.record_batch({"doc_id": batch.column(0), "written": pa.array([w for w, _ in done], pa.string()), "error_code": pa.array([e for _, e in done], pa.string())})
 
-    return files.select("doc_id", "name", "content", *(["path"] if has_path else [])).mapInArrow(run, "doc_id long, written string, error_code string")
+    return files.join(taken, "doc_id", "left").mapInArrow(run, "doc_id long, written string, error_code string")

@@ -7,7 +7,9 @@ places that won. Nothing a file does can fail the job: it gets a row in ``status
 
 ``nodes`` holds one row a value, in the order of the file: ``node_id`` 0 is the
 object itself, ``parent_id`` the value around it, ``top_key`` the key of the
-object's own dictionary that it is under. Object -1 is the trailer.
+object's own dictionary that it is under. Object -1 is the trailer. The bytes of
+streams are in ``payloads``, a column of their own that only the steps that
+change or write them read; a stream's node has their number and the first two.
 """
 
 from __future__ import annotations
@@ -25,32 +27,36 @@ from ..config import LIMITS, Limits
 from . import syntax as S
 from .scratch import stored
 
-ENTRY = "section_seq int, priority int, obj long, gen int, kind string, offset long, stream long, idx int"
+ENTRY = "section_seq int, place int, priority int, obj long, gen int, kind string, offset long, stream long, idx int"
 NODE = "obj long, gen int, node_id int, parent_id int, depth int, ord int, key string, top_key string, kind string, bool_val boolean, int_val long, real_val double, bytes_val binary, ref_obj long, ref_gen int"
+OUT_BYTES = 8 << 20  # of files whose values leave a task together
 STREAM_ONLY = ("Length", "Filter", "DecodeParms", "W", "Index", "Type", "F")
 
 
 @dataclass
 class Tables:
-    """``files`` (doc_id, content, length), ``status`` (doc_id, error_code, reason), ``docs``, ``xref``, ``nodes``."""
+    """``status`` (doc_id, error_code, reason) of all files, ``docs``, ``xref``, ``nodes``, and ``payloads`` (doc_id, obj, payload)."""
 
-    files: DataFrame
     status: DataFrame
     docs: DataFrame
     xref: DataFrame
     nodes: DataFrame
+    payloads: DataFrame
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
     """All PDF files under ``folder``: doc_id (a hash of the path), path, length, content."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[pP][dD][fF]").load(folder)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[pP][dD][fF]")
+    # what cannot be read is left out of a pass over the content, not of the listing, and so becomes a row in the status
+    found = found.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(folder)
     return found.select(F.xxhash64("path").alias("doc_id"), "path", "length", "content")
 
 
 def gate(files: DataFrame, limits: Limits = LIMITS) -> DataFrame:
-    """``files`` with ``error_code`` for those that are not read at all. The length is looked at first."""
-    code = F.when(F.col("length") == 0, "emptyInput").when(F.col("length") > limits.input_bytes, "oversize").when(F.col("content").isNull(), "cannotRead").when(~F.expr("startswith(content, X'255044462D')"), "notPDF")
-    return files.withColumn("error_code", code)
+    """(doc_id, length, error_code, reason): files that are not read at all have a code. No content is looked at."""
+    listed = files.groupBy("doc_id").agg(F.max("length").alias("length"), F.count(F.lit(1)).alias("n"))
+    code = F.when(F.col("n") > 1, "cannotRead").when(F.col("length") == 0, "emptyInput").when(F.col("length") > limits.input_bytes, "oversize")
+    return listed.select("doc_id", "length", code.alias("error_code"), F.when(F.col("n") > 1, "files with one id").alias("reason"))
 
 
 def version(data: bytes) -> tuple[int, int]:
@@ -77,7 +83,7 @@ def classic(data: bytes, at: int, limits: Limits) -> tuple[list[tuple], dict]:
             if not e:
                 raise S.Bad("damaged cross-reference table")
             at, used = e.end(), e[3] == b"n" and int(e[1]) > 0
-            entries.append((0 if used else 2, obj, int(e[2]), "used" if used else "free", int(e[1]) if used else None, None, None))
+            entries.append((len(entries), 0 if used else 2, obj, int(e[2]), "used" if used else "free", int(e[1]) if used else None, None, None))
 
 
 def from_stream(stream: S.Stream, budget: list[int], priority: int) -> tuple[list[tuple], dict]:
@@ -101,11 +107,11 @@ def from_stream(stream: S.Stream, budget: list[int], priority: int) -> tuple[lis
     entries = []
     for obj, kind, b, c in zip(numbers, *fields, strict=True):
         if kind == 1:
-            entries.append((priority, obj, c, "used", b, None, None))
+            entries.append((len(entries), priority, obj, c, "used", b, None, None))
         elif kind == 2:
-            entries.append((priority, obj, 0, "packed", None, b, c))
+            entries.append((len(entries), priority, obj, 0, "packed", None, b, c))
         else:
-            entries.append((priority, obj, 0, "free", None, None, None))
+            entries.append((len(entries), priority, obj, 0, "free", None, None, None))
     return entries, {k: v for k, v in d.items() if k not in STREAM_ONLY}
 
 
@@ -117,13 +123,19 @@ def sections(data: bytes, limits: Limits) -> tuple[list[tuple], dict]:
         raise S.Bad("no cross-reference")
     entries, newest, seen, budget, seq = [], None, set(), [limits.inflated_bytes], 0
     while at is not None:
-        if at in seen or len(seen) >= limits.sections or not 0 <= at < len(data):
+        if at in seen or not 0 <= at < len(data):
             raise S.Bad("cross-reference sections do not end")
+        if len(seen) >= limits.sections:
+            raise S.Bad("too many cross-reference sections", "unsupported")
         seen.add(at)
         start = S.skip(data, at)
         if data.startswith(b"xref", start):
             own, trailer = classic(data, start + 4, limits)
-            if isinstance(hybrid := trailer.get("XRefStm"), int):
+            if "XRefStm" in trailer:
+                hybrid = trailer["XRefStm"]
+                if type(hybrid) is not int or not 0 <= hybrid < len(data) or hybrid in seen:
+                    raise S.Bad("bad /XRefStm")
+                seen.add(hybrid)
                 own += from_stream(xref_stream(data, hybrid), budget, 1)[0]
         else:
             own, trailer = from_stream(xref_stream(data, at), budget, 0)
@@ -150,7 +162,7 @@ def flatten(obj: int, gen: int, value: object) -> list[tuple]:
         v, parent, depth, place, key, top = stack.pop()
         me, raw = len(rows), None
         if isinstance(v, S.Stream):
-            kind, raw, items = "stream", v.data, v.dict
+            kind, raw, items = "stream", v.data[:2], v.dict
         elif isinstance(v, dict):
             kind, items = "dict", v
         elif isinstance(v, S.Ref):
@@ -161,7 +173,7 @@ def flatten(obj: int, gen: int, value: object) -> list[tuple]:
             kind, items = {type(None): "null", bool: "bool", int: "int", float: "real", S.Name: "name", S.Hex: "hex"}.get(type(v), "string"), None
             raw = v.encode("latin-1") if kind == "name" else bytes(v) if kind in ("hex", "string") else None
         is_ref = kind == "ref"
-        rows.append((obj, gen, me, parent, depth, place, key, top, kind, v if kind == "bool" else None, v if kind == "int" else None, v if kind == "real" else None, raw, v.obj if is_ref else None, v.gen if is_ref else None))
+        rows.append((obj, gen, me, parent, depth, place, key, top, kind, v if kind == "bool" else None, v if kind == "int" else len(v.data) if kind == "stream" else None, v if kind == "real" else None, raw, v.obj if is_ref else None, v.gen if is_ref else None))
         if isinstance(items, dict):
             children = [(c, me, depth + 1, i, str(k), str(k) if depth == 0 else top) for i, (k, c) in enumerate(items.items())]
         else:
@@ -214,10 +226,17 @@ class Objects:
             head = body[:first].split()
             if len(head) < 2 * n or not all(h.isdigit() for h in head[: 2 * n]):
                 raise S.Bad("bad object stream")
-            self.members[obj] = [(int(a), S.read(body, first + int(b), self.limits.depth)[0]) for a, b in zip(head[: 2 * n : 2], head[1 : 2 * n : 2], strict=True)]
+            self.members[obj] = [(int(a), self.member(body, first + int(b))) for a, b in zip(head[: 2 * n : 2], head[1 : 2 * n : 2], strict=True)]
         return self.members[obj]
 
 
+    def member(self, body: bytes, at: int) -> object:
+        value, at = S.read(body, at, self.limits.depth)
+        if isinstance(value, dict) and body.startswith(b"stream", S.skip(body, at)):
+            raise S.Bad("a stream inside an object stream")
+        return value
+
+
 def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [()] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
@@ -236,15 +255,19 @@ def scan(files: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     full = pa.schema([*flat, pa.field("node", pa.struct(list(node)))])
 
     def one(doc: int, data: bytes) -> list[tuple]:
-        none = (None,) * 8
+        none = (None,) * 9
         try:
+            if data is None:
+                raise S.Bad("no content", "cannotRead")
+            if not data.startswith(b"%PDF-"):
+                raise S.Bad("no header", "notPDF")
             major, minor = version(data)
             entries, trailer = sections(data, limits)
             if "Encrypt" in trailer:
                 raise S.Bad("encrypted", "encrypted")
             if not isinstance(trailer.get("Root"), S.Ref):
                 raise S.Bad("no document catalog")
-            if len({e[2] for e in entries}) > limits.objects or (isinstance(trailer.get("Size"), int) and trailer["Size"] > limits.objects):
+            if len({e[3] for e in entries}) > limits.objects or (isinstance(trailer.get("Size"), int) and trailer["Size"] > limits.objects):
                 raise S.Bad("too many objects")
             rows = [(doc, None, None, major, minor, *e, None) for e in entries]
             return rows + [(doc, None, None, major, minor, *none, dict(zip(node.names, r, strict=True))) for r in flatten(-1, 0, trailer)]
@@ -262,19 +285,26 @@ def scan(files: DataFrame, limits: Limits = LIMITS) -> DataFrame:
 
 
 def newest(entries: DataFrame) -> DataFrame:
-    """The entry of each object that counts: newer sections first; within one, a table's used entry, the hybrid stream's, then free."""
-    rank = "row_number() over (partition by doc_id, obj order by section_seq, priority, kind desc) as rank"
-    return entries.selectExpr("*", rank).where("rank = 1").drop("rank")
+    """The entry of each object that counts, of (doc_id, obj, section_seq, priority, place, ...).
+
+    Of entries in one table or stream the last; then newer sections first, and within one a table's used entry, the hybrid stream's, then free.
+    """
+    last = "row_number() over (partition by doc_id, obj, section_seq, priority = 1 order by place desc) as last"
+    rank = "row_number() over (partition by doc_id, obj order by section_seq, priority) as rank"
+    return entries.selectExpr("*", last).where("last = 1").selectExpr("*", rank).where("rank = 1").drop("last", "rank")
 
 
 def parse(files: DataFrame, limits: Limits = LIMITS) -> Tables:
-    """All tables of ``files`` (doc_id, content, length)."""
-    gated = stored(gate(files, limits), "files")
-    ready = gated.where("error_code is null").select("doc_id", "content")
+    """All tables of ``files`` (doc_id, length, content). Content is read only of files that pass the gate."""
+    gated = stored(gate(files.select("doc_id", "length"), limits), "gate")
+    ready = files.where((F.col("length") > 0) & (F.col("length") <= limits.input_bytes)).select("doc_id", "content")
+    twice = gated.where("reason is not null").select("doc_id")
+    if not twice.isEmpty():
+        ready = ready.join(twice, "doc_id", "left_anti")
     found = stored(scan(ready, limits), "scan")
     xref = newest(found.where("obj is not null").select("doc_id", *(c.split()[0] for c in ENTRY.split(", "))))
     places = xref.where("kind <> 'free'").groupBy("doc_id").agg(F.collect_list(F.struct("obj", "gen", "kind", "offset", "stream", "idx")).alias("entries"))
-    schema = "doc_id long, " + NODE
+    schema = f"doc_id long, {NODE}, payload binary"
     shape = arrow(schema)
 
     def one(doc: int, data: bytes, entries: list[dict]) -> list[tuple]:
@@ -282,25 +312,41 @@ def parse(files: DataFrame, limits: Limits = LIMITS) -> Tables:
             objects, rows = Objects(data, entries, limits), []
             for obj in sorted(objects.entries):
                 gen, value = objects.get(obj)
-                if not (isinstance(value, S.Stream) and value.dict.get("Type") in ("ObjStm", "XRef")):
-                    rows += [(doc, *r) for r in flatten(obj, gen, value)]
+                if isinstance(value, S.Stream):
+                    if value.dict.get("Type") not in ("ObjStm", "XRef"):
+                        first, *rest = flatten(obj, gen, value)
+                        rows.append((doc, *first, value.data))
+                        rows += [(doc, *r, None) for r in rest]
+                else:
+                    rows += [(doc, *r, None) for r in flatten(obj, gen, value)]
             return rows
         except Exception as e:
             code = e.code if isinstance(e, S.Bad) else "corrupt"
-            return [(doc, -2, None, 0, None, 0, 0, code, None, "error", None, None, None, str(e).encode(), None, None)]
+            return [(doc, -2, None, 0, None, 0, 0, code, None, "error", None, None, None, str(e).encode(), None, None, None)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows, size = [], 0
             for i in range(batch.num_rows):
-                yield to_batch(one(*(batch.column(c)[i].as_py() for c in range(3))), shape)
+                data = batch.column(1)[i].as_py()
+                rows += one(batch.column(0)[i].as_py(), data, batch.column(2)[i].as_py())
+                size += len(data)
+                if size > OUT_BYTES:
+                    yield to_batch(rows, shape)
+                    rows, size = [], 0
+            if rows:
+                yield to_batch(rows, shape)
 
     read = stored(ready.join(places, "doc_id").select("doc_id", "content", "entries").mapInArrow(run, schema), "objects")
-    errors = gated.where("error_code is not null").selectExpr("doc_id", "error_code", "cast(null as string) as reason")
+    unread = gated.where("error_code is null").join(found.select("doc_id").distinct(), "doc_id", "left_anti").selectExpr("doc_id", "'cannotRead' as error_code", "'no content' as reason")
+    errors = gated.where("error_code is not null").select("doc_id", "error_code", "reason").unionByName(unread)
     errors = errors.unionByName(found.where("error_code is not null").select("doc_id", "error_code", "reason"))
     errors = errors.unionByName(read.where("obj = -2").selectExpr("doc_id", "key as error_code", "cast(bytes_val as string) as reason"))
+    status = stored(gated.select("doc_id").join(errors, "doc_id", "left"), "status")
+    good = status.where("error_code is null").select("doc_id")
     trailer = found.where("node is not null").select("doc_id", "node.*")
-    nodes = read.where("obj >= 0").unionByName(trailer).join(errors.select("doc_id"), "doc_id", "left_anti")
-    status = gated.select("doc_id").join(errors, "doc_id", "left")
+    nodes = read.where("obj >= 0").drop("payload").unionByName(trailer).join(good, "doc_id", "left_semi")
     docs = found.where("obj is null and error_code is null").groupBy("doc_id").agg(F.max("major").alias("major"), F.max("minor").alias("minor"))
-    docs = docs.join(gated.select("doc_id", F.col("length").alias("file_bytes")), "doc_id")
-    return Tables(gated, stored(status, "status"), stored(docs, "docs"), xref, stored(nodes, "nodes"))
+    docs = docs.join(gated.select("doc_id", F.col("length").alias("file_bytes")), "doc_id").join(good, "doc_id", "left_semi")
+    payloads = read.where("payload is not null").select("doc_id", "obj", "payload")
+    return Tables(status, stored(docs, "docs"), xref, nodes, payloads)

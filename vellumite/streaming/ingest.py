@@ -24,3 +24,16 @@ def each_batch(spark: SparkSession, folder: str, checkpoint: str, handle: Callab
 def latest_choice(choices: DataFrame) -> DataFrame:
     """(session, level): the newest choice of each session; ``generation`` counts its choices, older ones are dropped."""
     return choices.groupBy("session").agg(F.max_by("level", "generation").alias("level"))
+
+
+#: Phases in which a program takes a new file.
+OPEN_PHASES = ("idle", "review", "done", "failed")
+
+
+def to_review(offered: DataFrame) -> DataFrame:
+    """(session, offer, url): of the urls of each offer the first that is a local file, where the session's ``phase`` takes files.
+
+    ``offered`` has session, offer, place, url and phase. What is offered while a file is read or written is dropped.
+    """
+    local = offered.where(F.lower("url").startswith("file:") & F.col("phase").isin(*OPEN_PHASES))
+    return local.groupBy("session", "offer").agg(F.min_by("url", "place").alias("url"))
