@@ -149,14 +149,14 @@ def test_lcs():
 def test_leaks_against_brute_force(spark, sf):
     docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
-    block, want = decontaminate.Block([(r.item_id, r.text) for r in bench.collect()]), set()
+    segments, want = [s for r in bench.collect() for s in decontaminate.segments_of(r.item_id, r.text)], set()
     for r in docs.collect():
         words = [w.strip(decontaminate.OUTER) for w in r.text.encode().lower().split()]
         for a in range(0, max(1, len(words) - decontaminate.STEP), decontaminate.STEP):
             window = words[a : a + decontaminate.WINDOW]
-            want |= {(r.doc_id, item) for item, part, _ in block.segments if decontaminate.lcs(window, part) >= decontaminate.COVER * len(part)}
+            want |= {(r.doc_id, item) for item, part, _ in segments if decontaminate.lcs(window, part) >= decontaminate.COVER * len(part)}
     assert want and want <= got
-    assert all(any(decontaminate.lcs([w.strip(decontaminate.OUTER) for w in docs.where(F.col("doc_id") == d).first().text.encode().lower().split()], p) >= 0.5 * len(p) for i, p, _ in block.segments if i == item) for d, item in got - want)
+    assert all(any(decontaminate.lcs([w.strip(decontaminate.OUTER) for w in docs.where(F.col("doc_id") == d).first().text.encode().lower().split()], p) >= 0.5 * len(p) for i, p, _ in segments if i == item) for d, item in got - want)
 
 
 def test_paraphrases_and_odd_rows(spark, odd_docs, no_docs):

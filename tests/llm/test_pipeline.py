@@ -33,10 +33,10 @@ def grouped(texts):
     return {i: find(i) for i in ids}
 
 
-def leaky(text, block):
+def leaky(text, segments):
     words = [w.strip(D.OUTER) for w in (text or "").encode().lower().split()]
     windows = [words[a : a + D.WINDOW] for a in range(0, max(1, len(words) - D.STEP), D.STEP)]
-    return max((D.lcs(w, part) / len(part) for w in windows for _, part, _ in block.segments), default=0)
+    return max((D.lcs(w, part) / len(part) for w in windows for _, part, _ in segments), default=0)
 
 
 def test_stages(spark, tmp_path):
@@ -52,10 +52,10 @@ def test_stages(spark, tmp_path):
     before, after = texts(good), texts(unique)
     assert 0 < len(before) < first.count()
     assert sorted(after) == sorted(set(grouped(before).values()))
-    block = D.Block([(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()])
+    segments = [s for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() for s in D.segments_of(r.item_id, r.text)]
     held = texts(clean)
     for i, text in after.items():
-        share = leaky(text, block)
+        share = leaky(text, segments)
         assert (i not in held) if share >= D.COVER else (i in held or share >= D.PARAPHRASE)
     copies = Counter(r.doc_id for r in mixed.collect())
     assert copies == Counter({r.doc_id: r.copies for r in mixing.mix(clean).collect() if r.copies})
