@@ -157,7 +157,10 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Ordina
     if not table.num_rows:
         return None
     rows = [(np.frombuffer(i.as_buffer(), np.int32), np.frombuffer(v.as_buffer(), np.float32)) for i, v in zip(table.column("index"), table.column("value"), strict=True)]
-    return OrdinalModel.fit(rows, table.column("grade").to_numpy())
+    model = OrdinalModel.fit(rows, table.column("grade").to_numpy())
+    del rows, table, found
+    pa.default_memory_pool().release_unused()  # the driver keeps the model alone
+    return model
 
 
 def score(docs: DataFrame, model: OrdinalModel | None, *, keep: float = KEEP) -> DataFrame:
