@@ -186,3 +186,46 @@ def test_offsets_and_gaps(spark):
     placed = write.offsets(parts, 10)
     assert {(r.doc_id, r.obj): r.offset for r in placed.collect()} == {(1, 1): 10, (1, 4): 13, (2, 2): 10}
     assert {(r.doc_id, r.obj) for r in write.gaps(placed).where("offset is null").collect()} == {(1, 0), (1, 2), (1, 3), (2, 0), (2, 1)}
+
+
+def test_images_encoded_again(spark):
+    """Levels 2 to 4: never larger, as large as the level allows, gray where nearly gray, masks and odd images left, no metadata."""
+    import numpy as np
+
+    from vellumite.functions import jpeg_codec as J
+    from vellumite.operators.sanitize import report, sanitize
+
+    N = S.Name
+    y, x = np.mgrid[:700, :1000]
+    waves = lambda *shift: np.clip(np.stack([100 + 15 * s + 60 * np.sin(x / (5 + s)) * np.cos(y / 9) + 30 * ((x * 7 + y * 3) % 5 / 5 - 0.5) for s in shift], -1), 0, 255).astype(np.uint8)
+    exif = b"\xff\xe1\x00\x16Exif\x00\x00" + b"E" * 14
+    colour, nearly, gray = (J.encode(i, 1.0) for i in (waves(0, 2, 4), waves(1, 1, 1), waves(3)))
+    colour = colour[:2] + exif + colour[2:]
+    image = lambda space, **more: {N("Type"): N("XObject"), N("Subtype"): N("Image"), N("Width"): 1000, N("Height"): 700, N("ColorSpace"): N(space), N("Filter"): N("DCTDecode")} | {N(k): v for k, v in more.items()}
+    streams = {4: S.Stream(image("DeviceRGB", DecodeParms={N("ColorTransform"): 1}), colour), 5: S.Stream(image("DeviceRGB"), nearly), 6: S.Stream(image("DeviceGray"), gray), 7: S.Stream(image("DeviceGray"), colour), 8: S.Stream(image("DeviceGray"), gray), 9: S.Stream(image("DeviceRGB", SMask=S.Ref(8, 0)), nearly)}
+    streams[10] = S.Stream(image("DeviceRGB"), planter.JPEG)
+    objects = base(Held=[S.Ref(n, 0) for n in streams]) | streams
+    files = spark.createDataFrame([(1, len(c), c) for c in [one_file(objects, TRAILER)]], "doc_id long, length long, content binary")
+    from vellumite.operators.sanitize import inspect
+
+    seen, last = inspect(files), None
+    for level, edge in ((2, 1600), (4, 900)):
+        done = sanitize(files, level=level, before=seen)
+        told = report(done, level).first()
+        after = {r.obj: r for r in done.after.objects.where("kind = 'stream'").collect()}
+        payloads = {r.obj: r.payload for r in done.after.tables.payloads.collect()}
+        assert told.images_recompressed == 3 and told.image_count == 7 and "re-encoded 3 of 7 images" in told.message
+        for n in (4, 5, 6):
+            assert after[n].width == min(1000, edge) and len(payloads[n]) < len(streams[n].data) and b"Exif" not in payloads[n]
+            assert after[n].color_space == ("DeviceGray" if n == 6 or level == 4 and n == 5 else "DeviceRGB") and after[n]["bits"] == 8
+            assert J.decode(payloads[n]).shape == (after[n].height, after[n].width, 1 if after[n].color_space == "DeviceGray" else 3)
+        assert "DecodeParms" not in after[4]["keys"]
+        assert all(payloads[n] == J_scrubbed(streams[n].data) for n in (7, 8, 9, 10))
+        assert last is None or told.bytes_after < last
+        last = told.bytes_after
+
+
+def J_scrubbed(data):
+    from vellumite.functions.jpeg import scrub
+
+    return scrub(data)

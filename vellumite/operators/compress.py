@@ -1,4 +1,4 @@
-"""Packing of streams that were stored as they are."""
+"""Packing of streams that were stored as they are, and images encoded again."""
 
 from __future__ import annotations
 
@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..config import Profile
+from ..functions import jpeg_codec as codec
+from ..functions.jpeg import scrub
+from ..functions.sizes import target_pixels
 from . import objects as O
 
 #: A packed stream must save more than this.
@@ -39,3 +43,57 @@ def with_filter(nodes: DataFrame, done: DataFrame) -> DataFrame:
     changed = nodes.where("coalesce(top_key, '') not in ('DecodeParms', 'DP')").unionByName(nodes.where("top_key in ('DecodeParms', 'DP')").join(done, ["doc_id", "obj"], "left_anti"))
     values = {"node_id": "1073741824", "parent_id": "0", "depth": "1", "ord": "0", "gen": "0", "key": "'Filter'", "top_key": "'Filter'", "kind": "'name'", "bytes_val": "X'466C6174654465636F6465'"}
     return changed.unionByName(done.selectExpr("doc_id", "obj", *(f"cast({values.get(f.name, 'null')} as {f.dataType.simpleString()}) as {f.name}" for f in nodes.schema if f.name not in ("doc_id", "obj"))))
+
+
+#: A picture whose colours differ by less than this on average is gray to the level that looks.
+NEARLY_GRAY = 12
+#: Fixed value: quality where a profile names none.
+USUAL_QUALITY = 0.75
+
+
+def again(data: bytes, width: int, height: int, gray: bool, to: tuple[int, int], profile: Profile) -> tuple[bytes, bool] | None:
+    """A JPEG encoded again at another size, and whether it is gray now; None unless it is what its dictionary says and becomes smaller."""
+    image = codec.decode(data)
+    if image is None or image.shape != (height, width, 1 if gray else 3):
+        return None
+    if not gray and profile.gray and codec.average_chroma(image) < NEARLY_GRAY:
+        image, gray = image.astype(float) @ [[0.299], [0.587], [0.114]], True
+    out = scrub(codec.encode(codec.scaled(image, *to), USUAL_QUALITY if profile.quality is None else profile.quality))
+    return (out, gray) if len(out) < len(data) else None
+
+
+def recompress(nodes: DataFrame, objects: DataFrame, payloads: DataFrame, masks: DataFrame, profile: Profile) -> DataFrame:
+    """(doc_id, obj, payload, width, height, gray) of the images of ``nodes`` that become smaller when encoded again; ``masks`` (doc_id, obj) are left."""
+    kept = nodes.where("node_id = 0 and kind = 'stream'").select("doc_id", "obj")
+    images = objects.where(O.eligible()).where("width > 0 and height > 0").selectExpr("doc_id", "obj", "cast(width as int) as width", "cast(height as int) as height", "color_space = 'DeviceGray' as gray")
+    images = images.join(kept, ["doc_id", "obj"], "left_semi").join(masks, ["doc_id", "obj"], "left_anti")
+    edge = profile.edge or (1 << 30)
+    to_width, to_height = target_pixels(F.col("width"), F.col("height"), edge)
+    found = payloads.join(images.withColumns({"to_width": to_width, "to_height": to_height}), ["doc_id", "obj"])
+
+    @F.pandas_udf("struct<payload: binary, gray: boolean>")
+    def encoded(payload: pd.Series, width: pd.Series, height: pd.Series, gray: pd.Series, to_width: pd.Series, to_height: pd.Series) -> pd.DataFrame:
+        rows = zip(payload, width, height, gray, to_width, to_height, strict=True)
+        made = [again(bytes(p), w, h, bool(g), (tw, th), profile) or (None, None) for p, w, h, g, tw, th in rows]
+        return pd.DataFrame(made, columns=["payload", "gray"], index=payload.index)
+
+    done = found.withColumn("made", encoded("payload", "width", "height", "gray", "to_width", "to_height")).where("made.payload is not null")
+    return done.selectExpr("doc_id", "obj", "made.payload", "to_width as width", "to_height as height", "made.gray")
+
+
+#: Keys that an image encoded again has anew; /DecodeParms goes.
+IMAGE_KEYS = ("Width", "Height", "BitsPerComponent", "Filter", "ColorSpace", "DecodeParms")
+
+
+def with_image_keys(nodes: DataFrame, done: DataFrame) -> DataFrame:
+    """``nodes`` in which the images of ``done`` (:func:`recompress`) say what they are now."""
+    done = done.select("doc_id", "obj", "width", "height", "gray")
+    old = F.col("top_key").isin(*IMAGE_KEYS) & (F.col("depth") > 0)
+    rest = nodes.where(~F.coalesce(old, F.lit(False))).unionByName(nodes.where(old).join(done.select("doc_id", "obj"), ["doc_id", "obj"], "left_anti"))
+    name = lambda text: f"cast('{text}' as binary)"
+    values = [("Width", "int", "cast(width as long)", "null"), ("Height", "int", "cast(height as long)", "null"), ("BitsPerComponent", "int", "8L", "null")]
+    values += [("Filter", "name", "null", name("DCTDecode")), ("ColorSpace", "name", "null", f"if(gray, {name('DeviceGray')}, {name('DeviceRGB')})")]
+    made = ", ".join(f"struct('{k}' as key, '{kind}' as kind, cast({number} as long) as int_val, cast({raw} as binary) as bytes_val, {1073741825 + i} as node_id)" for i, (k, kind, number, raw) in enumerate(values))
+    rows = done.select("doc_id", "obj", F.explode(F.expr(f"array({made})")).alias("v"))
+    fixed = {"key": "v.key", "top_key": "v.key", "kind": "v.kind", "int_val": "v.int_val", "bytes_val": "v.bytes_val", "node_id": "v.node_id", "parent_id": "0", "depth": "1", "ord": "0", "gen": "0"}
+    return rest.unionByName(rows.selectExpr("doc_id", "obj", *(f"cast({fixed.get(f.name, 'null')} as {f.dataType.simpleString()}) as {f.name}" for f in nodes.schema if f.name not in ("doc_id", "obj"))))

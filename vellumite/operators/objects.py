@@ -38,7 +38,7 @@ def objects(nodes: DataFrame) -> DataFrame:
         F.coalesce(F.bool_or(filters & (latin() == "DCTDecode")), F.lit(False)).alias("dct"),
         named(nodes, "Filter").alias("single_filter"), own(nodes, "Filter", F.col("kind")).alias("filter_kind"),
         F.count_if((F.col("depth") == 2) & (F.col("top_key") == "Filter")).alias("n_filters"), F.coalesce(F.bool_or((F.col("depth") == 2) & filters & (latin() == "DCTDecode")), F.lit(False)).alias("dct_listed"), named(nodes, "ColorSpace").alias("color_space"),
-        own(nodes, "BitsPerComponent", F.col("int_val")).alias("bits"),
+        own(nodes, "BitsPerComponent", F.col("int_val")).alias("bits"), own(nodes, "Width", F.col("int_val")).alias("width"), own(nodes, "Height", F.col("int_val")).alias("height"),
         own(nodes, "ImageMask", F.col("bool_val")).alias("image_mask"),
         F.max(F.when((F.col("depth") == 2) & (F.col("top_key") == "ColorSpace") & (F.col("ord") == 0) & (F.col("kind") == "name"), latin())).alias("color_family"),
         F.coalesce(F.bool_or((F.col("depth") == 2) & (F.col("top_key") == "Names") & (F.col("key") == "EmbeddedFiles")), F.lit(False)).alias("names_files"),

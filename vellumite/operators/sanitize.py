@@ -13,7 +13,7 @@ from ..sources.scratch import made, release, stored
 from ..sources.tables import Tables, parse
 from . import inspect as I
 from . import objects as O
-from .compress import pack, with_filter
+from .compress import pack, recompress, with_filter, with_image_keys
 from .strip import images_with_metadata, new_ids
 from .write import write
 
@@ -106,11 +106,17 @@ def sanitize(files: DataFrame, options: Options = DEFAULT, level: int = 0, befor
     nodes = nodes.join(refused, "doc_id", "left_anti")
     changed = before.scrubbed if options.images else before.scrubbed.where("false")
     packed = recompressed = before.scrubbed.where("false").select("doc_id", "obj")
+    if profile(level).edge:
+        images = before.objects.where(O.eligible()).select("doc_id", "obj")
+        images = replaced(before.tables.payloads.join(images, ["doc_id", "obj"], "left_semi"), changed)
+        coded = stored(recompress(nodes, before.objects, images, I.mask_targets(nodes), profile(level)), "recompressed")
+        changed = changed.join(coded, ["doc_id", "obj"], "left_anti").unionByName(coded.select("doc_id", "obj", "payload"))
+        nodes, recompressed = with_image_keys(nodes, coded), coded.select("doc_id", "obj")
     if profile(level).pack:
         small = stored(pack(nodes, before.objects, before.tables.payloads), "packed")
         changed, packed = changed.unionByName(small), small.select("doc_id", "obj")
     payloads = before.tables.payloads.join(nodes.where("node_id = 0 and kind = 'stream'").select("doc_id", "obj"), ["doc_id", "obj"], "left_semi")
-    payloads = payloads.join(changed.withColumnRenamed("payload", "_new"), ["doc_id", "obj"], "left").select("doc_id", "obj", F.coalesce("_new", "payload").alias("payload"))
+    payloads = replaced(payloads, changed)
     if options.new_file_id:
         nodes = new_ids(nodes)
     out = stored(write(with_filter(nodes, packed), payloads, before.tables.docs), "cleaned")
@@ -124,6 +130,11 @@ def sanitize(files: DataFrame, options: Options = DEFAULT, level: int = 0, befor
     return Cleaned(out.join(good, "doc_id", "left_semi"), status, packed, recompressed, before, after, made()[held:])
 
 
+def replaced(payloads: DataFrame, changed: DataFrame) -> DataFrame:
+    """``payloads`` with the bytes of ``changed`` where there are any."""
+    return payloads.join(changed.withColumnRenamed("payload", "_new"), ["doc_id", "obj"], "left").select("doc_id", "obj", F.coalesce("_new", "payload").alias("payload"))
+
+
 def removed(before: DataFrame, after: DataFrame) -> DataFrame:
     """Findings of ``before`` that are not found again, by category and label."""
     return before.join(after, ["doc_id", "category", "label"], "left_anti")

@@ -9,9 +9,11 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..functions.jpeg_codec import encode
 from ..sources.syntax import Hex, Name, Ref, Stream, written
 
 XMP, ATTACHMENT, PROFILE = b"x" * 64, b"a" * 32, b"p" * 16
@@ -19,6 +21,16 @@ XMP, ATTACHMENT, PROFILE = b"x" * 64, b"a" * 32, b"p" * 16
 JPEG = b"\xff\xd8" + b"\xff\xe1\x00\x16Exif\x00\x00" + b"E" * 14 + b"\xff\xed\x00\x12Photoshop" + b"P" * 7 + b"\xff\xdb\x00\x43" + bytes(65) + b"\xff\xda\x00\x08" + bytes(6) + b"s" * 73 + b"\xff\xd9"
 
 
+def photo() -> bytes:
+    """A picture of 160 by 120, all waves, at a quality that any level undercuts."""
+    y, x = np.mgrid[:120, :160]
+    planes = [128 + 60 * np.sin(x / (3 + c)) * np.cos(y / (2 + c)) + 60 * ((x * 7 + y * 13 + 5 * c) % 11 / 11 - 0.5) for c in range(3)]
+    return encode(np.clip(np.stack(planes, -1), 0, 255).astype(np.uint8), 1.0)
+
+
+PHOTO = photo()
+
+
 def objects_of(doc: int, text: bytes, lang: str, source: str, n_chars: int) -> tuple[dict[int, object], dict]:
     """Objects by number and the trailer."""
     N, pages, objects = Name, 1 + doc % 3, {}
@@ -40,6 +52,9 @@ def objects_of(doc: int, text: bytes, lang: str, source: str, n_chars: int) -> t
         held = resources[N("XObject")] = {N("Im1"): add(Stream(image | ({N("Filter"): [N("DCTDecode")]} if doc % 24 else {}), JPEG))}
         if doc % 24 == 0:  # an image and its mask: neither is encoded again
             held[N("Im2")] = add(Stream(image | {N("SMask"): add(Stream(image, JPEG))}, JPEG))
+    if doc % 36 == 0:
+        image = {N("Type"): N("XObject"), N("Subtype"): N("Image"), N("Width"): 160, N("Height"): 120, N("BitsPerComponent"): 8, N("ColorSpace"): N("DeviceRGB"), N("Filter"): N("DCTDecode")}
+        resources[N("XObject")][N("Photo")] = add(Stream(image, PHOTO))
     for i in range(pages):
         page = {N("Type"): N("Page"), N("Parent"): top, N("MediaBox"): [0, 0, 612, 792], N("Resources"): resources, N("Contents"): add(Stream({}, text))}
         if i == 0:

@@ -217,6 +217,14 @@ def q40_text_notes(spark, sf_dir):
     return rows.select("doc_id", "level", sizes.text_heavy_note(F.col("level"), F.col("text_heavy")).alias("note"))
 
 
+def q41_images_recompressed(spark, sf_dir):
+    done = cleaned(spark, sf_dir, 2)
+    rows = sanitize.report(done, 2)
+    sizes_ = done.after.objects.where(O.eligible()).groupBy("doc_id").agg(F.max("payload_bytes").alias("largest"), F.max("width").alias("width"))
+    smaller = F.col("largest") < len(planted.PHOTO)
+    return rows.join(sizes_, "doc_id", "left").select("doc_id", "images_recompressed", "image_count", F.coalesce("width", F.lit(0)).alias("width"), F.coalesce(smaller, F.lit(True)).alias("smaller"), (F.col("message").contains("re-encoded")).alias("told"))
+
+
 def q33_inspection_rows(spark, sf_dir):
     rows = sanitize.inspection_rows(files(spark, sf_dir), seen(spark, sf_dir))
     told = lambda c: F.array_join(F.transform(c, lambda e: e["label"]), "; ").alias(c)
@@ -266,7 +274,7 @@ QUERIES = {k: f for k, f in list(globals().items()) if k[:1] == "q" and k[1:3].i
 GOOD = """
     rows as (select *, case when doc_id % 31 = 5 then 'emptyInput' when doc_id % 37 = 5 then 'notPDF' when doc_id % 23 = 0 then 'corrupt' when doc_id % 17 = 0 then 'encrypted' when doc_id % 41 = 7 then 'corrupt' end as bad,
                     doc_id % 19 = 0 or doc_id % 47 = 3 as signed, doc_id % 43 = 3 as no_info,
-                    doc_id % 4 as notes, 1 + doc_id % 3 as pages, (doc_id // 5) % 2 = 0 as has_id, case when doc_id % 24 = 0 then 3 when doc_id % 12 = 0 then 1 else 0 end as images from documents),
+                    doc_id % 4 as notes, 1 + doc_id % 3 as pages, (doc_id // 5) % 2 = 0 as has_id, case when doc_id % 24 = 0 then 3 when doc_id % 12 = 0 then 1 else 0 end as images, (doc_id % 36 = 0)::int as photos from documents),
     good as (select * from rows where bad is null),
     clean as (select * from good where not signed)"""
 
@@ -290,7 +298,7 @@ FINDINGS = f"""
         union all select doc_id, 'Color profiles', 'ICC profiles and output intents are not removed' from good where doc_id % 10 = 0
         union all select doc_id, 'Empty signature field', '1 unsigned field, kept as is' from good where doc_id % 9 = 0 and not signed)"""
 
-KEPT = "4 + 2 * pages + notes + (doc_id % 11 = 0)::int + 2 * (doc_id % 13 = 0)::int + 2 * (doc_id % 10 = 0)::int + (doc_id % 9 = 0)::int + images + (doc_id % 19 = 0)::int + (doc_id % 6 = 1)::int + 600 * (doc_id % 97 = 3)::int"
+KEPT = "4 + 2 * pages + notes + (doc_id % 11 = 0)::int + 2 * (doc_id % 13 = 0)::int + 2 * (doc_id % 10 = 0)::int + (doc_id % 9 = 0)::int + images + photos + (doc_id % 19 = 0)::int + (doc_id % 6 = 1)::int + 600 * (doc_id % 97 = 3)::int"
 
 
 def estimate_sql() -> str:
@@ -342,7 +350,7 @@ ORACLES = {
     "q05_page_count": f"with {GOOD} select doc_id, cast(pages as int) as pages from good",
     "q06_flags": f"with {GOOD} select doc_id, true as has_info, has_id, doc_id % 4 = 0 as catalog_xmp, doc_id % 6 = 0 as other_xmp, doc_id % 7 = 0 as piece_info, doc_id % 11 = 0 as script, doc_id % 13 = 0 as attachments, doc_id % 10 = 0 as profiles, signed from good",
     "q07_annotation_counts": f"with {GOOD} select doc_id, notes as n from good",
-    "q08_inventory": f"with {GOOD} select doc_id, 200 * images::bigint as image_bytes, 64 * (doc_id % 4 = 0)::bigint + 64 * (doc_id % 6 = 0)::bigint as metadata_bytes, pages * strlen(text) + 32 * (doc_id % 13 = 0)::bigint + 16 * (doc_id % 10 = 0)::bigint as other_bytes, 200 * ((doc_id % 12 = 0)::bigint + (doc_id % 24 = 0)::bigint) as recompressible_bytes from good",
+    "q08_inventory": f"with {GOOD} select doc_id, 200 * images::bigint + {len(planted.PHOTO)} * photos::bigint as image_bytes, 64 * (doc_id % 4 = 0)::bigint + 64 * (doc_id % 6 = 0)::bigint as metadata_bytes, pages * strlen(text) + 32 * (doc_id % 13 = 0)::bigint + 16 * (doc_id % 10 = 0)::bigint as other_bytes, 200 * ((doc_id % 12 = 0)::bigint + (doc_id % 24 = 0)::bigint) + {len(planted.PHOTO)} * photos::bigint as recompressible_bytes from good",
     "q09_findings_all": f"with {GOOD}, {FINDINGS} select * from findings",
     "q10_residuals": f"with {GOOD}, {FINDINGS} select * from stays",
     "q11_reachable": f"with {GOOD} select doc_id, {KEPT} as kept from good",
@@ -398,18 +406,19 @@ ORACLES = {
                case when bytes_mid < file_bytes and pct >= 1 then '−' || pct || '%' end as savings from share""",
     "q28_output_names": "select doc_id, 'doc.' || doc_id || '-' || case greatest(0, least(4, doc_id % 8 - 2)) when 0 then 'clean' when 1 then 'clean-light' when 2 then 'clean-balanced' when 3 then 'clean-strong' else 'clean-max' end || '.pdf' as name from documents",
     "q29_target_pixels": "with s as (select doc_id, (1 + n_chars % 5000)::int as w, (1 + doc_id * 7 % 3000)::int as h from documents), t as (select *, least(1::double, 1600::double / greatest(w, h)) as k from s) select doc_id, greatest(1, round(w * k)::int) as width, greatest(1, round(h * k)::int) as height from t",
-    "q30_image_counts": f"with {GOOD} select doc_id, images, 1 as eligible from good where images > 0",
+    "q30_image_counts": f"with {GOOD} select doc_id, images + photos as images, 1 + photos as eligible from good where images > 0",
     "q31_packable_streams": f"with {GOOD} select doc_id, pages as streams, pages * strlen(text) as bytes from good where strlen(text) >= 64",
     "q32_review_texts": f"""
         with {GOOD}, {FINDINGS},
         gone as (select doc_id, count(*) as n from findings where category <> 'Security' group by 1),
-        told as (select g.doc_id, images, coalesce(n, 0) as n, unnest(range(5))::int as level from good g left join gone using (doc_id))
+        told as (select g.doc_id, images + photos as images, 1 + photos as eligible, coalesce(n, 0) as n, unnest(range(5))::int as level from good g left join gone using (doc_id))
         select doc_id, level,
                case when n > 0 then case level when 0 then 'Remove metadata and save…' when 1 then 'Remove metadata, pack and save…' else 'Remove metadata, compress and save…' end
                     else case level when 0 then 'Save a rewritten copy…' when 1 then 'Pack and save…' else 'Compress and save…' end end as action,
                case when level < 2 then null when images = 0 then 'This PDF has no images, so this level does nothing more than Light.'
-                    else '1 of ' || images || ' image' || case when images = 1 then '' else 's' end || ' in this PDF can be re-encoded.' end as scope_note
+                    else eligible || ' of ' || images || ' image' || case when images = 1 then '' else 's' end || ' in this PDF can be re-encoded.' end as scope_note
         from told""",
+    "q41_images_recompressed": f"with {GOOD} select doc_id, photos as images_recompressed, images + photos as image_count, case when photos = 1 then 160 when images > 0 then 8 else 0 end::bigint as width, true as smaller, photos = 1 as told from clean",
     "q40_text_notes": f"with {estimate_sql()} select doc_id, unnest(range(5))::int as level, case when level >= 2 and heavy then 'This PDF is mostly text/vectors — compression won’t shrink much.' end as note from a",
     "q33_inspection_rows": f"""
         with {GOOD}, {FINDINGS},
@@ -417,7 +426,7 @@ ORACLES = {
         kept as (select doc_id, string_agg(label, '; ' order by label) as residuals from stays group by 1)
         select g.doc_id, pages::int as pages, false as encrypted, signed, case when not no_info then 'doc-' || g.doc_id end as title, case when not no_info then source end as author,
                case when g.doc_id % 2 = 0 and not no_info then lang end as subject, null::varchar as keywords, notes as annotations, images as jpegs_with_metadata,
-               case when signed then 0 else (g.doc_id % 9 = 0)::int end as empty_signature_fields, images, (images > 0)::int as recompressible_images,
+               case when signed then 0 else (g.doc_id % 9 = 0)::int end as empty_signature_fields, images + photos as images, (images > 0)::int + photos as recompressible_images,
                64 * (g.doc_id % 4 = 0)::bigint + 64 * (g.doc_id % 6 = 0)::bigint as metadata_bytes, findings, coalesce(residuals, '') as residuals
         from good g join told using (doc_id) left join kept using (doc_id)
         union all select doc_id, 0, true, false, null, null, null, null, 0, 0, 0, 0, 0, 0, 'Encryption', '' from rows where bad = 'encrypted'""",
