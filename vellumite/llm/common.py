@@ -111,6 +111,22 @@ def with_position(ordered: DataFrame, name: str) -> DataFrame:
     return table.join(bases, pid).withColumn("position", F.col(base) + F.col(row)).drop(base, row, pid)
 
 
+def with_sums_ahead(rows: DataFrame, order: list[Column], sums: dict[str, str], name: str) -> DataFrame:
+    """``rows`` with a column for each of ``sums``: an expression's sum over the rows that come before in ``order``.
+
+    Sums inside range partitions, and of the partitions ahead: no task sees all rows.
+    """
+    mid, pid = unused(rows.columns, "_mid", "_pid")
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(mid, F.monotonically_increasing_id())
+    table = stored(dealt.withColumn(pid, F.shiftright(mid, 33)), name)
+    inner = f"over (partition by {pid} order by {mid} rows between unbounded preceding and 1 preceding)"
+    local = table.selectExpr("*", *(f"coalesce(sum({e}) {inner}, 0) as {k}" for k, e in sums.items()))
+    parts = table.groupBy(pid).agg(*(F.sum(F.expr(e)).alias(f"_of_{k}") for k, e in sums.items()))
+    ahead = f"over (order by {pid} rows between unbounded preceding and 1 preceding)"  # a row a partition
+    bases = parts.selectExpr(pid, *(f"coalesce(sum(_of_{k}) {ahead}, 0) as _to_{k}" for k in sums))
+    return local.join(bases, pid).select(*rows.columns, *(F.expr(f"{k} + _to_{k}").alias(k) for k in sums))
+
+
 def new_pipeline_folder(spark: SparkSession) -> str:
     """A folder for the results of stages, not a scratch folder."""
     return f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex[:12]}"

@@ -33,14 +33,16 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     and L follows from running sums.
     """
     per = common.stored(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "source_sizes")
-    weight = "element_at(array({}), cast((row_number() over (order by source asc nulls last) - 1) % {} as int) + 1) as weight".format(",".join(map(str, weights)), len(weights))
-    per = per.selectExpr("source", "source_size", weight)
+    by_source = F.asc_nulls_last("source")
+    weight = "element_at(array({}), cast(place % {} as int) + 1) as weight".format(",".join(map(str, weights)), len(weights))
+    per = common.with_sums_ahead(per, [by_source], {"place": "1L"}, "source_places").selectExpr("source", "source_size", weight)
     per = per.selectExpr("*", f"{cap}D * source_size as most", f"{cap}D * source_size / weight as level")
-    order = "order by level, source nulls last"
-    per = per.selectExpr("*", f"{share}D * sum(source_size) over () as budget", f"coalesce(sum(most) over ({order} rows between unbounded preceding and 1 preceding), 0D) as full", f"sum(weight) over ({order} rows between current row and unbounded following) as open")
+    per = common.with_sums_ahead(per, [F.asc("level"), by_source], {"full": "source_size", "taken": "weight"}, "source_levels")
+    words, weighs = per.agg(F.sum("source_size"), F.sum("weight")).first()
     # the first source in that order whose level is above what is left for each weight sets the water level
-    per = per.selectExpr("*", "(budget - full) / open as water").selectExpr("*", "min(case when water < level then struct(level, water) end) over () as mark")
-    target = "case when mark is null or level <= mark.water then most else mark.water * weight end"
+    per = per.withColumn("water", F.expr(f"({share * (words or 0)!r}D - {cap}D * full) / ({weighs or 1} - taken)"))
+    mark = per.where("water < level").agg(F.min(F.struct("level", "water")).alias("mark")).first().mark
+    target = "most" if mark is None else f"case when level <= {mark.water!r}D then most else {mark.water!r}D * weight end"
     return per.selectExpr("source", "weight", "source_size", f"{target} as target")
 
 
