@@ -63,6 +63,29 @@ def profile(level: int) -> Profile:
     return PROFILES[max(0, min(4, level))]
 
 
+#: Sentences of reviews and reports, by what they tell. Braces are filled in.
+SENTENCES = {
+    "nothing removed": "No metadata was found to remove; this is a rewritten copy.",
+    "removed": "Removed {n} metadata item{s} from this copy.",
+    "one left": "{n} item is still present: {labels}.",
+    "left": "{n} items are still present: {labels}.",
+    "not compressed": "Compression found nothing it could shrink in this file.",
+    "compressed": "Compression {what}.",
+    "re-encoded": "re-encoded {n} of {all} image{s}",
+    "packed": "packed {n} uncompressed stream{s}",
+    "smaller": "The file went from {before} to {after}.",
+    "not smaller": "The saved copy is not smaller than the original.",
+    "stays": "Still in the file: {labels}.",
+    "original": "Your original file was not changed.",
+    "no images": "This PDF has no images, so this level does nothing more than Light.",
+    "no eligible images": "None of the {all} image{s} in this PDF can be re-encoded, so this level does nothing more than Light.",
+    "eligible images": "{n} of {all} image{s} in this PDF can be re-encoded.",
+    "mostly text": "This PDF is mostly text/vectors — compression won’t shrink much.",
+}
+
+#: Titles of the action, by level (0, 1, higher) and whether there is metadata to remove.
+ACTIONS = (("Remove metadata and save…", "Save a rewritten copy…"), ("Remove metadata, pack and save…", "Pack and save…"), ("Remove metadata, compress and save…", "Compress and save…"))
+
 #: Error codes and what they say.
 ERRORS = {
     "emptyInput": "Not a PDF.",

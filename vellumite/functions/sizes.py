@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import LIMITS, PROFILES
+from ..config import LIMITS, PROFILES, SENTENCES
 
 
 @F.pandas_udf(T.StringType())
@@ -78,7 +78,7 @@ def estimates(inventory: DataFrame) -> DataFrame:
 def probed(written: DataFrame, level: int) -> DataFrame:
     """Exact estimates from files that were written as a trial: (doc_id, length) with input_bytes."""
     pad = "greatest(32, length div 100)"
-    out = written.where(F.col("input_bytes") <= LIMITS.probe_bytes)
+    out = written.where(should_probe(F.col("input_bytes")))
     return out.selectExpr("doc_id", f"{level} as level", f"greatest(1, length - {pad}) as bytes_low", f"length + {pad} as bytes_high", "0.98D as confidence", "'exact' as method")
 
 
@@ -94,7 +94,18 @@ def estimate_text(estimates: DataFrame) -> DataFrame:
 
 def text_heavy_note(level: Column, text_heavy: Column) -> Column:
     """A warning for the lossy levels of files that are mostly text; else null."""
-    return F.when((level >= 2) & text_heavy, "This PDF is mostly text/vectors — compression won’t shrink much.")
+    return F.when(is_lossy(level) & text_heavy, SENTENCES["mostly text"])
+
+
+def is_lossy(level: Column) -> Column:
+    """Whether a level (clamped) encodes images again."""
+    lossy = [p.level for p in PROFILES if p.edge is not None or p.quality is not None]
+    return F.greatest(F.lit(0), F.least(F.lit(4), level)).isin(lossy)
+
+
+def should_probe(size: Column) -> Column:
+    """Whether a file is small enough for an exact estimate."""
+    return (size > 0) & (size <= LIMITS.probe_bytes)
 
 
 def savings(original: Column, mid: Column) -> Column:

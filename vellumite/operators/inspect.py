@@ -23,6 +23,9 @@ STAYS = "Stays in the file"
 #: Places of findings in the order of display: standard keys from 0, custom ones from 100, then these.
 EMPTY_INFO, FLAGS = 1_000_000, 2_000_000
 
+#: What stays, and why.
+RESIDUALS = {"JavaScript": "Scripts are not removed", "Attached files": "Attachments and their contents are not removed", "Color profiles": "ICC profiles and output intents are not removed"}
+
 TRIM = r"^\s+|\s+$"
 
 
@@ -106,8 +109,7 @@ def kept_after_clean(nodes: DataFrame, objects: DataFrame | None = None, options
 def residuals(kept_facts: DataFrame, signed: DataFrame) -> DataFrame:
     """(doc_id, label, value): what is found and stays."""
     rows = [
-        ("script", "JavaScript", F.lit("Scripts are not removed")), ("attachments", "Attached files", F.lit("Attachments and their contents are not removed")),
-        ("profiles", "Color profiles", F.lit("ICC profiles and output intents are not removed")),
+        *((flag, label, F.lit(RESIDUALS[label])) for flag, label in (("script", "JavaScript"), ("attachments", "Attached files"), ("profiles", "Color profiles"))),
         ("empty_signature_fields > 0 and not coalesce(was_signed, false)", "Empty signature field", F.concat(counted("empty_signature_fields", "unsigned field"), F.lit(", kept as is"))),
     ]
     facts = kept_facts.join(signed.withColumn("was_signed", F.lit(True)), "doc_id", "left")

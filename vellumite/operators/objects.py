@@ -83,6 +83,15 @@ def profiled() -> Column:
     return F.coalesce(F.col("type_name") == "OutputIntent", F.lit(False)) | F.coalesce(F.col("color_family") == "ICCBased", F.lit(False))
 
 
+def integers(nodes: DataFrame, key: str) -> DataFrame:
+    """(doc_id, obj, value): the integer under ``key`` of each object's own dictionary, given there or by reference to an object of that generation."""
+    own = nodes.where("depth = 1").where(F.col("key") == key)
+    near = own.where("kind = 'int'").selectExpr("doc_id", "obj", "int_val as value")
+    whole = nodes.where("obj >= 0 and node_id = 0 and kind = 'int'").selectExpr("doc_id", "obj as ref_obj", "gen as ref_gen", "int_val as value")
+    far = own.where("kind = 'ref'").select("doc_id", "obj", "ref_obj", "ref_gen").join(whole, ["doc_id", "ref_obj", "ref_gen"]).select("doc_id", "obj", "value")
+    return near.unionByName(far)
+
+
 def roots(nodes: DataFrame) -> DataFrame:
     """(doc_id, root): the catalog's object number."""
     return nodes.where("obj = -1 and depth = 1 and key = 'Root' and kind = 'ref'").selectExpr("doc_id", "ref_obj as root")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, ERRORS, Options, profile
-from ..functions.sizes import derived, size_label, text_heavy_note
+from ..config import ACTIONS, DEFAULT, ERRORS, SENTENCES, Options, profile
+from ..functions.sizes import derived, is_lossy, size_label, text_heavy_note
 from ..sources.scratch import made, release, stored
 from ..sources.tables import Tables, parse
 from . import inspect as I
@@ -58,11 +59,11 @@ def inspection_rows(files: DataFrame, seen: Inspection) -> DataFrame:
     info = I.info_entries(seen.tables.nodes).where(F.col("key").isin(*(k for k, _ in I.INFO_LABELS)))
     names = {"Title": "title", "Author": "author", "Subject": "subject", "Keywords": "keywords", "Creator": "creator", "Producer": "producer", "CreationDate": "creation_date", "ModDate": "mod_date"}
     texts = info.groupBy("doc_id").agg(*(F.max(F.when(F.col("key") == k, F.col("text"))).alias(n) for k, n in names.items()))
-    told = lambda df, order, name: df.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*order, "label", "value"))).alias(name))
+    rows = lambda df, order, name: df.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*order, "label", "value"))).alias(name))
     jpegs = seen.scrubbed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("jpegs_with_metadata"))
     out = seen.status.where("error_code is null").select("doc_id", "pages").join(seen.facts, "doc_id")
     residuals = seen.residuals.withColumn("category", F.lit(I.STAYS))
-    for part in (texts, jpegs, seen.images.selectExpr("doc_id", "images", "eligible as recompressible_images"), seen.inventory, told(seen.findings, ["ord", "category"], "findings"), told(residuals, ["category"], "residuals")):
+    for part in (texts, jpegs, seen.images.selectExpr("doc_id", "images", "eligible as recompressible_images"), seen.inventory, rows(seen.findings, ["ord", "category"], "findings"), rows(residuals, ["category"], "residuals")):
         out = out.join(part, "doc_id", "left")
     out = out.fillna(0, ["jpegs_with_metadata", "images", "recompressible_images"])
     # a signed file's fields are not told
@@ -162,26 +163,30 @@ def report(done: Cleaned, level: int = 0) -> DataFrame:
     return out.withColumn("message", message(level))
 
 
+def told(sentence: str, **values):
+    """One of ``SENTENCES`` with its braces filled in by columns; null where one of them is."""
+    parts = re.split(r"\{(\w+)\}", SENTENCES[sentence])
+    return F.concat(*(values[p].cast("string") if i % 2 else F.lit(p) for i, p in enumerate(parts) if p))
+
+
+def plural(n):
+    return F.when(n == 1, "").otherwise("s")
+
+
 def message(level: int):
     """The sentence on what was done."""
     n, labels = F.col("changes"), lambda c: F.array_join(F.transform(c, lambda e: e["label"]), ", ")
-    plural = lambda c: F.when(c == 1, "").otherwise("s")
-    parts = [F.when(n == 0, "No metadata was found to remove; this is a rewritten copy.").otherwise(F.concat(F.lit("Removed "), n.cast("string"), F.lit(" metadata item"), plural(n), F.lit(" from this copy.")))]
     left = F.size("left_behind")
-    parts.append(F.when(F.col("left_behind").isNotNull(), F.concat(left.cast("string"), F.when(left == 1, " item is").otherwise(" items are"), F.lit(" still present: "), labels("left_behind"), F.lit("."))))
+    parts = [F.when(n == 0, told("nothing removed")).otherwise(told("removed", n=n, s=plural(n)))]
+    parts.append(F.when(left == 1, told("one left", n=left, labels=labels("left_behind"))).when(left > 1, told("left", n=left, labels=labels("left_behind"))))
     if level > 0:
         p, r, images = F.col("streams_packed"), F.col("images_recompressed"), F.col("image_count")
-        did = F.concat_ws(
-            " and ",
-            F.when(r > 0, F.concat(F.lit("re-encoded "), r.cast("string"), F.lit(" of "), images.cast("string"), F.lit(" image"), plural(images))),
-            F.when(p > 0, F.concat(F.lit("packed "), p.cast("string"), F.lit(" uncompressed stream"), plural(p))),
-        )
-        parts.append(F.when((p == 0) & (r == 0), "Compression found nothing it could shrink in this file.").otherwise(F.concat(F.lit("Compression "), did, F.lit("."))))
-        smaller = F.concat(F.lit("The file went from "), size_label("bytes_before"), F.lit(" to "), size_label("bytes_after"), F.lit("."))
-        parts.append(F.when(F.col("bytes_after") < F.col("bytes_before"), smaller).otherwise("The saved copy is not smaller than the original."))
-    parts.append(F.when(F.col("still_present").isNotNull(), F.concat(F.lit("Still in the file: "), labels("still_present"), F.lit("."))))
-    parts.append(F.lit("Your original file was not changed."))
-    return F.concat_ws(" ", *parts)
+        did = F.concat_ws(" and ", F.when(r > 0, told("re-encoded", n=r, all=images, s=plural(images))), F.when(p > 0, told("packed", n=p, s=plural(p))))
+        parts.append(F.when((p == 0) & (r == 0), told("not compressed")).otherwise(told("compressed", what=did)))
+        smaller = told("smaller", before=size_label("bytes_before"), after=size_label("bytes_after"))
+        parts.append(F.when(F.col("bytes_after") < F.col("bytes_before"), smaller).otherwise(told("not smaller")))
+    parts.append(F.when(F.col("still_present").isNotNull(), told("stays", labels=labels("still_present"))))
+    return F.concat_ws(" ", *parts, told("original"))
 
 
 def summary(done: Inspection) -> DataFrame:
@@ -195,15 +200,8 @@ def summary(done: Inspection) -> DataFrame:
 
 def scope_note(level, images, eligible):
     """For the lossy levels: how much of a file they can act on; null for others."""
-    plural = F.when(images == 1, "").otherwise("s")
-    none = F.concat(F.lit("None of the "), images.cast("string"), F.lit(" image"), plural, F.lit(" in this PDF can be re-encoded, so this level does nothing more than Light."))
-    some = F.concat(eligible.cast("string"), F.lit(" of "), images.cast("string"), F.lit(" image"), plural, F.lit(" in this PDF can be re-encoded."))
-    note = F.when(images == 0, "This PDF has no images, so this level does nothing more than Light.").when(eligible == 0, none).otherwise(some)
-    return F.when(level >= 2, note)
-
-
-#: Titles of the action, by level (0, 1, higher) and whether there is metadata to remove.
-ACTIONS = (("Remove metadata and save…", "Save a rewritten copy…"), ("Remove metadata, pack and save…", "Pack and save…"), ("Remove metadata, compress and save…", "Compress and save…"))
+    note = F.when(images == 0, told("no images")).when(eligible == 0, told("no eligible images", all=images, s=plural(images)))
+    return F.when(is_lossy(level), note.otherwise(told("eligible images", n=eligible, all=images, s=plural(images))))
 
 
 def action_title(level, removable):

@@ -65,6 +65,8 @@ def objects_of(doc: int, text: bytes, lang: str, source: str, n_chars: int) -> t
     if doc % 41 == 7:  # the tree holds itself
         kids.append(top)
     tree[N("Kids")] = add(kids) if doc % 6 == 1 else kids
+    if doc % 6 == 1:
+        tree[N("Count")] = add(pages)
     if doc % 97 == 3:  # a chain far deeper than any nesting
         link = add({N("Last"): True})
         for _ in range(599):

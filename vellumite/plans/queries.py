@@ -225,6 +225,14 @@ def q41_images_recompressed(spark, sf_dir):
     return rows.join(sizes_, "doc_id", "left").select("doc_id", "images_recompressed", "image_count", F.coalesce("width", F.lit(0)).alias("width"), F.coalesce(smaller, F.lit(True)).alias("smaller"), (F.col("message").contains("re-encoded")).alias("told"))
 
 
+def q42_integers(spark, sf_dir):
+    return O.integers(seen(spark, sf_dir).tables.nodes, "Count").select("doc_id", "value")
+
+
+def q43_versions(spark, sf_dir):
+    return cleaned(spark, sf_dir).after.tables.docs.select("doc_id", "major", "minor")
+
+
 def q33_inspection_rows(spark, sf_dir):
     rows = sanitize.inspection_rows(files(spark, sf_dir), seen(spark, sf_dir))
     told = lambda c: F.array_join(F.transform(c, lambda e: e["label"]), "; ").alias(c)
@@ -298,7 +306,7 @@ FINDINGS = f"""
         union all select doc_id, 'Color profiles', 'ICC profiles and output intents are not removed' from good where doc_id % 10 = 0
         union all select doc_id, 'Empty signature field', '1 unsigned field, kept as is' from good where doc_id % 9 = 0 and not signed)"""
 
-KEPT = "4 + 2 * pages + notes + (doc_id % 11 = 0)::int + 2 * (doc_id % 13 = 0)::int + 2 * (doc_id % 10 = 0)::int + (doc_id % 9 = 0)::int + images + photos + (doc_id % 19 = 0)::int + (doc_id % 6 = 1)::int + 600 * (doc_id % 97 = 3)::int"
+KEPT = "4 + 2 * pages + notes + (doc_id % 11 = 0)::int + 2 * (doc_id % 13 = 0)::int + 2 * (doc_id % 10 = 0)::int + (doc_id % 9 = 0)::int + images + photos + (doc_id % 19 = 0)::int + 2 * (doc_id % 6 = 1)::int + 600 * (doc_id % 97 = 3)::int"
 
 
 def estimate_sql() -> str:
@@ -419,6 +427,8 @@ ORACLES = {
                     else eligible || ' of ' || images || ' image' || case when images = 1 then '' else 's' end || ' in this PDF can be re-encoded.' end as scope_note
         from told""",
     "q41_images_recompressed": f"with {GOOD} select doc_id, photos as images_recompressed, images + photos as image_count, case when photos = 1 then 160 when images > 0 then 8 else 0 end::bigint as width, true as smaller, photos = 1 as told from clean",
+    "q42_integers": f"with {GOOD} select doc_id, pages as value from good",
+    "q43_versions": f"with {GOOD} select doc_id, 1 as major, case when doc_id % 5 < 2 then 4 else 5 end as minor from clean",
     "q40_text_notes": f"with {estimate_sql()} select doc_id, unnest(range(5))::int as level, case when level >= 2 and heavy then 'This PDF is mostly text/vectors — compression won’t shrink much.' end as note from a",
     "q33_inspection_rows": f"""
         with {GOOD}, {FINDINGS},
@@ -440,7 +450,7 @@ ORACLES = {
                when doc_id % 2 = 0 then abs(actual - mid)::double / mid <= 0.05 else abs(actual - mid)::double / mid <= 0.55 or (actual <= bytes_high and actual >= bytes_low // 2) end as inside from told""",
     "q37_exact_probe": """
         select doc_id, 2 as level, greatest(1, n - greatest(32, n // 100)) as bytes_low, n + greatest(32, n // 100) as bytes_high, 0.98::double as confidence, 'exact' as method
-        from (select doc_id, n_chars * 7 as n, n_chars * 30000 as input_bytes from documents) where input_bytes <= 15728640""",
+        from (select doc_id, n_chars * 7 as n, n_chars * 30000 as input_bytes from documents) where input_bytes > 0 and input_bytes <= 15728640""",
     "q38_latest_choice": "select user_id as session, max_by((event_id * 7 % 5)::int, event_id) as level from events group by 1",
     "q39_plain_reals": """
         select l_orderkey, l_linenumber, regexp_replace(l_extendedprice::varchar, '\\.0$', '') as price,
