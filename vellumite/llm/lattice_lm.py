@@ -273,15 +273,18 @@ def read_texts(rows: DataFrame, head) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 2, *[pa.float64()] * 3, pa.string(), pa.binary(), pa.int64(), pa.bool_(), pa.list_(pa.float64())]
     schema = pa.schema([pa.field(part.split()[0], kind) for part, kind in zip(READ.split(", "), kinds, strict=True)])
 
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema=schema)
+    def batch_of(**columns: pa.Array | list) -> pa.RecordBatch:
+        """The columns given, nulls in the others."""
+        n = len(columns["key"])
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        known, key, out = head.value, TaskContext.get().partitionId() << 33, []
-        keep = math.log10(1 - REPEAT)
+        known, key = head.value, TaskContext.get().partitionId() << 33
         for batch in batches:
+            texts: dict[str, list] = {f.name: [] for f in list(schema)[:8]}
+            words: dict[str, list] = {name: [] for name in ("key", "cls", "word", "n", "lead", "again")}
             for doc, held, cls, text in zip(*(batch.column(i).to_pylist() for i in range(3)), common.byte_texts(batch, "text"), strict=True):
                 key += 1
                 body, local = text.lower().split(), {}
@@ -292,23 +295,32 @@ def read_texts(rows: DataFrame, head) -> DataFrame:
                 place = np.fromiter([get(w, -1) for w in local], np.int64, len(local))
                 again, at = repeats(ids), place[ids]
                 listed = at >= 0
-                fresh = np.where(np.arange(len(ids)) > 0, 1 - REPEAT, 1.0)
+                fresh = np.full(len(ids), 1 - REPEAT)
+                fresh[0] = 1.0
                 score = np.log10(fresh[listed] * known.drawn[at[listed]] + again[listed]).sum()
-                out.append((key, doc, held, len(ids), int(listed.sum()), known.base[at].sum(), score, known.lp[at].sum(), None, None, None, None, None))
+                for name, value in zip(texts, (key, doc, held, len(ids), int(listed.sum()), known.base[at].sum(), score, known.lp[at].sum()), strict=True):
+                    texts[name].append(value)
                 if (others := np.nonzero(place < 0)[0]).size:
-                    counts = np.bincount(ids, minlength=len(local))
-                    words, lead = list(local), int(ids[0])
-                    more = np.nonzero((again > 0) & ~listed)[0]
-                    shares: dict[int, list[float]] = defaultdict(list)
-                    for i, share in zip(ids[more].tolist(), again[more].tolist(), strict=True):
-                        shares[i].append(share)
-                    for i in others.tolist():
-                        out.append((key, None, None, None, None, None, None, None, cls, words[i], int(counts[i]), i == lead, shares.get(i)))
-                if len(out) > 8_000:
-                    yield batch_of(out)
-                    out = []
-        if out:
-            yield batch_of(out)
+                    mine = list(local)
+                    shares: list = [None] * len(others)
+                    if (more := np.nonzero((again > 0) & ~listed)[0]).size:
+                        for i, share in zip(np.searchsorted(others, ids[more]).tolist(), again[more].tolist(), strict=True):
+                            if shares[i] is None:
+                                shares[i] = []
+                            shares[i].append(share)
+                    words["key"] += [key] * len(others)
+                    words["cls"] += [cls] * len(others)
+                    words["word"] += [mine[i] for i in others.tolist()]
+                    words["n"] += np.bincount(ids, minlength=len(local))[others].tolist()
+                    words["lead"] += (others == ids[0]).tolist()
+                    words["again"] += shares
+                if len(words["key"]) > FLUSH // 8:
+                    yield batch_of(**words)
+                    words = {name: [] for name in words}
+            if words["key"]:
+                yield batch_of(**words)
+            if texts["key"]:
+                yield batch_of(**texts)
 
     return rows.select("doc_id", "held_out", "cls", "text").mapInArrow(run, READ)
 
