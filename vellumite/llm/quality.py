@@ -153,11 +153,13 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Ordina
                 yield pa.record_batch({"doc_id": part.column(0), "grade": part.column(2), "index": pa.array([np.array(i, np.int32).tobytes() for i, _ in pairs], pa.binary()), "value": pa.array([np.array(v, np.float32).tobytes() for _, v in pairs], pa.binary())})
 
     found = rated.select("doc_id", "text", F.col("grade").cast("int")).mapInArrow(extract, "doc_id long, grade int, index binary, value binary")
-    table = found.toArrow().sort_by("doc_id").combine_chunks()
+    table = found.toArrow()
     if not table.num_rows:
         return None
+    # in the order of ids, without a copy
+    order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
     rows = [(np.frombuffer(i.as_buffer(), np.int32), np.frombuffer(v.as_buffer(), np.float32)) for i, v in zip(table.column("index"), table.column("value"), strict=True)]
-    model = OrdinalModel.fit(rows, table.column("grade").to_numpy())
+    model = OrdinalModel.fit([rows[i] for i in order], table.column("grade").to_numpy()[order])
     del rows, table, found
     pa.default_memory_pool().release_unused()  # the driver keeps the model alone
     return model
