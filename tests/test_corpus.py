@@ -56,3 +56,14 @@ def test_probe_holds_the_size(spark, folder):
     files = read_files(spark, f"file://{folder}/in").where("path like '%/1.pdf'")
     got = probe(files, 1).collect()
     assert len(got) == 1 and got[0].bytes_high - got[0].bytes_low == 64 and got[0].method == "exact"
+
+
+def test_scratch_is_released(spark, folder):
+    from vellumite.operators.sanitize import sanitize
+    from vellumite.sources import scratch
+
+    before = scratch.made()
+    done = sanitize(read_files(spark, f"file://{folder}/in"))
+    assert done.files.count() == 3 and len(scratch.made()) > len(before)
+    done.release()
+    assert scratch.made() == before
