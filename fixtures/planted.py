@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..functions.jpeg_codec import encode
-from ..sources.syntax import Hex, Name, Ref, Stream, written
+from vellumite.config import LIMITS
+from vellumite.functions.jpeg_codec import encode
+from vellumite.sources.syntax import Hex, Name, Ref, Stream, written
 
 XMP, ATTACHMENT, PROFILE = b"x" * 64, b"a" * 32, b"p" * 16
 #: SOI, APP1 (Exif), APP13, a quantisation table, filler after SOS, EOI: 200 bytes.
@@ -88,6 +89,8 @@ def objects_of(doc: int, text: bytes, lang: str, source: str, n_chars: int) -> t
         catalog[N("AcroForm")] = {N("Fields"): [add({N("FT"): N("Sig"), N("T"): b"sign here"})]}
     if doc % 19 == 0:
         catalog[N("Perms")] = {N("DocMDP"): add({N("Type"): N("Sig"), N("Filter"): N("Adobe.PPKLite")})}
+    if doc % 59 == REFERENCE:
+        catalog[N("Font")] = Ref(font.obj, 3_000_000_000)
     if doc % 47 == 3:  # usage rights, not where the catalog has them
         catalog[N("Extra")] = {N("Deep"): [{N("Perms"): {N("UR"): True}}]}
     info = {N("Title"): b"doc-%d" % doc, N("Author"): source.encode()}
@@ -111,7 +114,7 @@ class File:
     """Bytes under construction, and where their objects are."""
 
     def __init__(self, head: bytes):
-        self.data, self.places = bytearray(head + b"\n%\xe2\xe3\xcf\xd3\n"), {}
+        self.data, self.places, self.free = bytearray(head + b"\n%\xe2\xe3\xcf\xd3\n"), {}, b"65535"
 
     def put(self, obj: int, value: object, length: int | None = None) -> None:
         """``length``: the object that holds a stream's length, written before it."""
@@ -130,7 +133,7 @@ class File:
         self.data += b"xref\n" + (b"1 1\n%010d 00000 n \n" % self.places[2] if wrong_first else b"")
         for n in numbers:
             place = self.places.get(n)
-            self.data += b"%d 1\n" % n + (b"%010d 00000 n \n" % place if place else b"0000000000 65535 f \n")
+            self.data += b"%d 1\n" % n + (b"%010d 00000 n \n" % place if place else b"0000000000 " + self.free + b" f \n")
         self.data += b"trailer\n" + written(trailer | {Name("Size"): size}) + b"\nstartxref\n%d\n%%%%EOF\n" % at
         return at
 
@@ -162,11 +165,40 @@ class File:
         return {n: (own, i) for i, n in enumerate(members)}
 
 
+#: What some ids leave over when divided by 59, and the damage that file has.
+HOSTILE = {2: "section far out", 5: "reference far out", 6: "object far out", 7: "size far out", 9: "previous section is itself", 10: "streams hold each other"}
+VERSION, FREE, REFERENCE, OVERSIZE = 1, 3, 4, 11
+TOO_LONG = LIMITS.input_bytes + 1
+
+
+def hostile(damage: str) -> bytes:
+    """A one-page file that would be sound but for one number."""
+    head, far = b"%PDF-1.4\n", b"99999999999999999999"
+    catalog = b"<< /Type /Catalog /Pages 2 0 R " + (b"/X " + far + b" 0 R " if damage == "reference far out" else b"") + b">>"
+    places, data = [], head
+    for n, body in enumerate((catalog, b"<< /Type /Pages /Count 1 /Kids [3 0 R] >>", b"<< /Type /Page /Parent 2 0 R >>"), 1):
+        places.append(len(data))
+        data += b"%d 0 obj\n" % n + body + b"\nendobj\n"
+    at = len(data)
+    if damage == "streams hold each other":
+        rows = b"".join(bytes([k]) + a.to_bytes(4, "big") + b"\0\0" for k, a in ((0, 0), *((1, p) for p in places), (2, 5), (2, 4), (1, at)))
+        return data + b"6 0 obj\n" + written(Stream({Name("Type"): Name("XRef"), Name("W"): [1, 4, 2], Name("Size"): 7, Name("Root"): Ref(1, 0)}, rows)) + b"\nendobj\nstartxref\n%d\n%%%%EOF\n" % at
+    data += b"xref\n0 4\n0000000000 65535 f \n" + b"".join(b"%010d 00000 n \n" % p for p in places)
+    if damage in ("section far out", "object far out"):
+        data += (far if damage == "section far out" else b"3000000000") + b" 1\n%010d 00000 n \n" % places[2]
+    size = 600_000 if damage == "size far out" else 4
+    prev = b"/Prev %d " % at if damage == "previous section is itself" else b""
+    return data + b"trailer\n<< /Root 1 0 R /Size %d " % size + prev + b">>\nstartxref\n%d\n%%%%EOF\n" % at
+
+
 def pdf(doc: int, text: bytes, lang: str, source: str, n_chars: int) -> bytes:
+    if doc % 59 in HOSTILE and doc % 31 != 5 and doc % 37 != 5:
+        return hostile(HOSTILE[doc % 59])
     objects, trailer = objects_of(doc, text, lang, source, n_chars)
     size, layout = len(objects) + 1, doc % 5
     plain = {n for n, v in objects.items() if isinstance(v, Stream)}
-    file = File(b"%PDF-1.4" if layout < 2 else b"%PDF-1.5")
+    file = File(b"%PDF-99999999999" if doc % 59 == VERSION else b"%PDF-1.4" if layout < 2 else b"%PDF-1.5")
+    file.free = b"9999999999" if doc % 59 == FREE else b"65535"
     if layout == 0:
         lengths = {n: size + i for i, n in enumerate(sorted(plain))} if doc % 4 == 0 else {}
         for n, v in objects.items():
@@ -202,12 +234,14 @@ def pdf(doc: int, text: bytes, lang: str, source: str, n_chars: int) -> bytes:
 
 
 def plant(documents: DataFrame) -> DataFrame:
-    """(doc_id, length, content): one PDF a row of ``documents``."""
+    """(doc_id, length, content): one PDF a row of ``documents``; files above the limit have their length only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pylist()
             made = [pdf(r["doc_id"], (r["text"] or "").encode(), r["lang"] or "", r["source"] or "", r["n_chars"] or 0) for r in rows]
-            yield pa.record_batch({"doc_id": batch.column(0), "length": pa.array([len(m) for m in made], pa.int64()), "content": pa.array(made, pa.binary())})
+            lengths = [TOO_LONG if r["doc_id"] % 59 == OVERSIZE else len(m) for r, m in zip(rows, made, strict=True)]
+            made = [b"" if n == TOO_LONG else m for n, m in zip(lengths, made, strict=True)]
+            yield pa.record_batch({"doc_id": batch.column(0), "length": pa.array(lengths, pa.int64()), "content": pa.array(made, pa.binary())})
 
     return documents.select("doc_id", "text", "lang", "source", "n_chars").mapInArrow(run, "doc_id long, length long, content binary")

@@ -3,7 +3,7 @@
 import pytest
 
 from vellumite.operators.corpus import clean_folder, corpus_check, probe
-from vellumite.plans import planted as planter
+from fixtures import planted as planter
 from vellumite.sources.sink import SameFolder, write_files
 from vellumite.sources.tables import read_files
 

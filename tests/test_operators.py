@@ -7,7 +7,7 @@ from vellumite.config import Limits, profile
 from vellumite.operators import inspect as I
 from vellumite.operators import objects as O
 from vellumite.operators import reach
-from vellumite.plans import planted as planter
+from fixtures import planted as planter
 from vellumite.sources import tables
 from vellumite.sources import syntax as S
 

@@ -6,7 +6,7 @@ import pytest
 
 from vellumite.config import LIMITS, Limits
 from vellumite.functions import jpeg
-from vellumite.plans import planted as planter
+from fixtures import planted as planter
 from vellumite.sources import tables
 from vellumite.sources import syntax as S
 

@@ -53,7 +53,10 @@ USUAL_QUALITY = 0.75
 
 def again(data: bytes, width: int, height: int, gray: bool, to: tuple[int, int], profile: Profile) -> tuple[bytes, bool] | None:
     """A JPEG encoded again at another size, and whether it is gray now; None unless it is what its dictionary says and becomes smaller."""
-    image = codec.decode(data)
+    try:
+        image = codec.decode(data)
+    except Exception:  # a damaged image stays as it is
+        return None
     if image is None or image.shape != (height, width, 1 if gray else 3):
         return None
     if not gray and profile.gray and codec.average_chroma(image) < NEARLY_GRAY:

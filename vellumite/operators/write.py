@@ -91,7 +91,8 @@ def write(nodes: DataFrame, payloads: DataFrame, docs: DataFrame) -> DataFrame:
     made = stored(parts(nodes), "parts")
     lengths = payloads.select("doc_id", "obj", F.octet_length("payload").cast("long").alias("n"))
     placed = offsets(made.where("obj >= 0").join(lengths, ["doc_id", "obj"], "left"), len(HEAD % (1, 4)), SIZE).select("doc_id", "obj", "gen", "offset")
-    line = F.when(F.col("offset").isNull(), F.lit("0000000000 65535 f \n")).otherwise(F.concat(F.lpad(F.col("offset").cast("string"), 10, "0"), F.lit(" "), F.lpad(F.col("gen").cast("string"), 5, "0"), F.lit(" n \n")))
+    free = F.when(F.col("obj") == 0, F.lit("0000000000 65535 f \n")).otherwise(F.lit("0000000000 00000 f \n"))
+    line = F.when(F.col("offset").isNull(), free).otherwise(F.concat(F.lpad(F.col("offset").cast("string"), 10, "0"), F.lit(" "), F.lpad(F.col("gen").cast("string"), 5, "0"), F.lit(" n \n")))
     table = gaps(placed).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("obj", line.alias("line")))), lambda e: e["line"]), "").alias("xref"), (F.max("obj") + 1).alias("size"))
     bytes_ = made.where("obj >= 0").join(payloads, ["doc_id", "obj"], "left").select("doc_id", "obj", body().alias("body"))
     bytes_ = bytes_.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("obj", "body"))), lambda e: e["body"]).alias("bodies"))

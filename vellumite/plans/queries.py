@@ -1,6 +1,6 @@
 """All queries of the library by name, with SQL that says what each must return.
 
-Queries over PDFs read files planted from ``documents`` (:mod:`planted`), whose
+Queries over PDFs read files planted from ``documents`` (:mod:`fixtures.planted`), whose
 content follows from each row by arithmetic; so their SQL knows nothing of PDFs.
 Parsing, inspecting and cleaning a planted corpus is done once a session and
 table folder, and shared by the queries over it.
@@ -8,6 +8,7 @@ table folder, and shared by the queries over it.
 
 from __future__ import annotations
 
+from fixtures import planted
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +19,6 @@ from ..operators import reach, sanitize, write
 from ..streaming import ingest
 from ..sources.scratch import stored
 from ..sources.tables import newest
-from . import planted
 
 FLAGSHIP = "q03_document_info"
 _shared: dict[tuple, object] = {}
@@ -280,7 +280,7 @@ def q39_plain_reals(spark, sf_dir):
 QUERIES = {k: f for k, f in list(globals().items()) if k[:1] == "q" and k[1:3].isdigit()}
 
 GOOD = """
-    rows as (select *, case when doc_id % 31 = 5 then 'emptyInput' when doc_id % 37 = 5 then 'notPDF' when doc_id % 23 = 0 then 'corrupt' when doc_id % 17 = 0 then 'encrypted' when doc_id % 41 = 7 then 'corrupt' end as bad,
+    rows as (select *, case when doc_id % 59 = 11 then 'oversize' when doc_id % 31 = 5 then 'emptyInput' when doc_id % 37 = 5 then 'notPDF' when doc_id % 59 in (6, 7) then 'unsupported' when doc_id % 59 in (2, 5, 9, 10) then 'corrupt' when doc_id % 23 = 0 then 'corrupt' when doc_id % 17 = 0 then 'encrypted' when doc_id % 41 = 7 then 'corrupt' end as bad,
                     doc_id % 19 = 0 or doc_id % 47 = 3 as signed, doc_id % 43 = 3 as no_info,
                     doc_id % 4 as notes, 1 + doc_id % 3 as pages, (doc_id // 5) % 2 = 0 as has_id, case when doc_id % 24 = 0 then 3 when doc_id % 12 = 0 then 1 else 0 end as images, (doc_id % 36 = 0)::int as photos from documents),
     good as (select * from rows where bad is null),
@@ -406,7 +406,7 @@ ORACLES = {
         kept as (select doc_id, 'Stays in the file: ' || string_agg(label, ', ' order by label) || '.' as residual_line from stays group by 1)
         select g.doc_id, pages || ' page' || case when pages = 1 then '' else 's' end || case when signed then ' · signed' else ' · ' || n || ' metadata item' || case when n = 1 then '' else 's' end || ' to remove' end as summary_line, residual_line
         from good g join gone using (doc_id) left join kept using (doc_id)""",
-    "q26_error_text": f"with {GOOD} select doc_id, case when bad in ('emptyInput', 'notPDF') then 'Not a PDF.' when bad = 'corrupt' then 'This PDF is damaged or incomplete.' when bad = 'encrypted' then 'PDF is password-protected.' else 'Signed PDFs are not modified.' end as text from rows where bad is not null or signed",
+    "q26_error_text": f"with {GOOD} select doc_id, case when bad in ('emptyInput', 'notPDF') then 'Not a PDF.' when bad = 'corrupt' then 'This PDF is damaged or incomplete.' when bad = 'encrypted' then 'PDF is password-protected.' when bad = 'oversize' then 'PDF is too large.' when bad = 'unsupported' then 'This PDF uses a structure that cannot be read.' else 'Signed PDFs are not modified.' end as text from rows where bad is not null or signed",
     "q27_estimate_text": f"""
         with {estimate_sql()}, mid as (select *, (bytes_low + bytes_high) // 2 as bytes_mid from est),
         share as (select *, round((file_bytes - bytes_mid)::double / file_bytes * 100)::bigint as pct from mid)
@@ -428,7 +428,7 @@ ORACLES = {
         from told""",
     "q41_images_recompressed": f"with {GOOD} select doc_id, photos as images_recompressed, images + photos as image_count, case when photos = 1 then 160 when images > 0 then 8 else 0 end::bigint as width, true as smaller, photos = 1 as told from clean",
     "q42_integers": f"with {GOOD} select doc_id, pages as value from good",
-    "q43_versions": f"with {GOOD} select doc_id, 1 as major, case when doc_id % 5 < 2 then 4 else 5 end as minor from clean",
+    "q43_versions": f"with {GOOD} select doc_id, case when doc_id % 59 = 1 then 2 else 1 end as major, case when doc_id % 59 = 1 then 0 when doc_id % 5 < 2 then 4 else 5 end as minor from clean",
     "q40_text_notes": f"with {estimate_sql()} select doc_id, unnest(range(5))::int as level, case when level >= 2 and heavy then 'This PDF is mostly text/vectors — compression won’t shrink much.' end as note from a",
     "q33_inspection_rows": f"""
         with {GOOD}, {FINDINGS},

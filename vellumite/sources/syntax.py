@@ -121,8 +121,8 @@ def read(data: bytes, at: int, depth: int = 256) -> tuple[object, int]:
         elif kind == "num":
             value = number(m[0])
         elif kind == "ref":
-            obj, gen = m[0].split()[:2]
-            value = Ref(int(obj), int(gen))
+            obj, gen = (number(n) for n in m[0].split()[:2])
+            value = Ref(obj, gen)
         elif kind == "name":
             value = Name(re.sub(rb"#([0-9A-Fa-f]{2})", lambda h: bytes([int(h[1], 16)]), m["name"]).decode("latin-1"))
         elif kind == "hex":

@@ -15,7 +15,7 @@ change or write them read; a stream's node has their number and the first two.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +28,7 @@ from . import syntax as S
 from .scratch import stored
 
 ENTRY = "section_seq int, place int, priority int, obj long, gen int, kind string, offset long, stream long, idx int"
-NODE = "obj long, gen int, node_id int, parent_id int, depth int, ord int, key string, top_key string, kind string, bool_val boolean, int_val long, real_val double, bytes_val binary, ref_obj long, ref_gen int"
+NODE = "obj long, gen int, node_id int, parent_id int, depth int, ord int, key string, top_key string, kind string, bool_val boolean, int_val long, real_val double, bytes_val binary, ref_obj long, ref_gen long"
 OUT_BYTES = 8 << 20  # of files whose values leave a task together
 STREAM_ONLY = ("Length", "Filter", "DecodeParms", "W", "Index", "Type", "F")
 
@@ -59,9 +59,16 @@ def gate(files: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     return listed.select("doc_id", "length", code.alias("error_code"), F.when(F.col("n") > 1, "files with one id").alias("reason"))
 
 
+#: Numbers of a header above this say no more than this does.
+MOST_VERSION = 99
+#: Generations of objects in use; the format has no larger ones.
+MOST_GEN = 65535
+MOST = (1 << 63) - 1
+
+
 def version(data: bytes) -> tuple[int, int]:
     m = re.match(rb"%PDF-(\d+)(?:\.(\d+))?", data[:16])
-    return (int(m[1]) or 1, int(m[2]) if m[2] else 4) if m else (1, 4)
+    return (min(int(m[1]), MOST_VERSION) or 1, min(int(m[2]), MOST_VERSION) if m[2] else 4) if m else (1, 4)
 
 
 def classic(data: bytes, at: int, limits: Limits) -> tuple[list[tuple], dict]:
@@ -77,16 +84,21 @@ def classic(data: bytes, at: int, limits: Limits) -> tuple[list[tuple], dict]:
         m = start.match(data, at)
         if not m or int(m[2]) > limits.objects:
             raise S.Bad("damaged cross-reference table")
+        if int(m[1]) + int(m[2]) > MOST:
+            raise S.Bad("object number out of range")
         at = m.end()
         for obj in range(int(m[1]), int(m[1]) + int(m[2])):
             e = line.match(data, at)
             if not e:
                 raise S.Bad("damaged cross-reference table")
             at, used = e.end(), e[3] == b"n" and int(e[1]) > 0
-            entries.append((len(entries), 0 if used else 2, obj, int(e[2]), "used" if used else "free", int(e[1]) if used else None, None, None))
+            if used and (int(e[2]) > MOST_GEN or int(e[1]) > MOST):
+                raise S.Bad("cross-reference entry out of range")
+            # a free entry's generation is of no use to a reader
+            entries.append((len(entries), 0 if used else 2, obj, int(e[2]) if used else 0, "used" if used else "free", int(e[1]) if used else None, None, None))
 
 
-def from_stream(stream: S.Stream, budget: list[int], priority: int) -> tuple[list[tuple], dict]:
+def from_stream(stream: S.Stream, budget: list[int], priority: int, limits: Limits) -> tuple[list[tuple], dict]:
     """Entries and trailer of a cross-reference stream."""
     d = stream.dict
     widths = d.get("W")
@@ -101,11 +113,14 @@ def from_stream(stream: S.Stream, budget: list[int], priority: int) -> tuple[lis
     for w in widths:
         fields.append([int.from_bytes(r, "big") for r in map(bytes, table[:, at : at + w])] if w else [1 if not at else 0] * len(table))
         at += w
-    if any(v >= 1 << 63 for f in fields for v in f):
+    if any(v > MOST for f in fields for v in f) or any(a + c > MOST for a, c in zip(index[::2], index[1::2], strict=True)):
         raise S.Bad("field out of range")
     numbers = [n for a, c in zip(index[::2], index[1::2], strict=True) for n in range(a, a + c)]
     entries = []
     for obj, kind, b, c in zip(numbers, *fields, strict=True):
+        if kind in (1, 2) and c > MOST_GEN:  # a generation, or a place among the members of a stream
+            if kind == 1 or c > limits.objects:
+                raise S.Bad("field out of range")
         if kind == 1:
             entries.append((len(entries), priority, obj, c, "used", b, None, None))
         elif kind == 2:
@@ -136,9 +151,9 @@ def sections(data: bytes, limits: Limits) -> tuple[list[tuple], dict]:
                 if type(hybrid) is not int or not 0 <= hybrid < len(data) or hybrid in seen:
                     raise S.Bad("bad /XRefStm")
                 seen.add(hybrid)
-                own += from_stream(xref_stream(data, hybrid), budget, 1)[0]
+                own += from_stream(xref_stream(data, hybrid), budget, 1, limits)[0]
         else:
-            own, trailer = from_stream(xref_stream(data, at), budget, 0)
+            own, trailer = from_stream(xref_stream(data, at), budget, 0, limits)
         entries += [(seq, *e) for e in own]
         newest = trailer if newest is None else newest
         at, seq = trailer.get("Prev"), seq + 1
@@ -242,6 +257,28 @@ def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def guarded(files: Iterator[tuple[int, bytes, list[tuple]]], failed: Callable[[int, Exception], tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches of the rows of whole files, (id, content, rows), about ``OUT_BYTES`` of content each. A file whose rows don't fit their columns has the row ``failed`` makes."""
+
+    def made(held: list[tuple[int, list[tuple]]]) -> pa.RecordBatch:
+        try:
+            return to_batch([r for _, rows in held for r in rows], schema)
+        except Exception as e:  # nothing a file says may end the job
+            if len(held) == 1:
+                return to_batch([failed(held[0][0], e)], schema)
+            return pa.concat_batches([made([one]) for one in held])
+
+    held, size = [], 0
+    for doc, data, rows in files:
+        held.append((doc, rows))
+        size += len(data or b"") + 64 * len(rows)
+        if size > OUT_BYTES:
+            yield made(held)
+            held, size = [], 0
+    if held:
+        yield made(held)
+
+
 def arrow(ddl: str) -> pa.Schema:
     kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}
     return pa.schema([(n, kinds[k]) for n, k in (c.split() for c in ddl.split(", "))])
@@ -267,19 +304,25 @@ def scan(files: DataFrame, limits: Limits = LIMITS) -> DataFrame:
                 raise S.Bad("encrypted", "encrypted")
             if not isinstance(trailer.get("Root"), S.Ref):
                 raise S.Bad("no document catalog")
-            if len({e[3] for e in entries}) > limits.objects or (isinstance(trailer.get("Size"), int) and trailer["Size"] > limits.objects):
-                raise S.Bad("too many objects")
+            most = max((e[3] for e in entries if e[5] != "free"), default=0)
+            if max(len({e[3] for e in entries}), most + 1, trailer["Size"] if isinstance(trailer.get("Size"), int) else 0) > limits.objects:
+                raise S.Bad("too many objects", "unsupported")
             rows = [(doc, None, None, major, minor, *e, None) for e in entries]
             return rows + [(doc, None, None, major, minor, *none, dict(zip(node.names, r, strict=True))) for r in flatten(-1, 0, trailer)]
-        except S.Bad as e:
-            return [(doc, e.code, str(e), None, None, *none, None)]
-        except Exception as e:  # whatever else a damaged file provokes
-            return [(doc, "corrupt", type(e).__name__, None, None, *none, None)]
+        except Exception as e:  # whatever a damaged file provokes
+            return [failed(doc, e)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def failed(doc: int, e: Exception) -> tuple:
+        return doc, e.code if isinstance(e, S.Bad) else "corrupt", str(e) if isinstance(e, S.Bad) else type(e).__name__, None, None, *(None,) * 9, None
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, list[tuple]]]:
         for batch in batches:
             for i in range(batch.num_rows):
-                yield to_batch(one(batch.column(0)[i].as_py(), batch.column(1)[i].as_py()), full)
+                doc, data = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                yield doc, b"", one(doc, data)  # the content does not leave the task
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from guarded(read(batches), failed, full)
 
     return files.select("doc_id", "content").mapInArrow(run, ddl)
 
@@ -321,21 +364,20 @@ def parse(files: DataFrame, limits: Limits = LIMITS) -> Tables:
                     rows += [(doc, *r, None) for r in flatten(obj, gen, value)]
             return rows
         except Exception as e:
-            code = e.code if isinstance(e, S.Bad) else "corrupt"
-            return [(doc, -2, None, 0, None, 0, 0, code, None, "error", None, None, None, str(e).encode(), None, None, None)]
+            return [failed(doc, e)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def failed(doc: int, e: Exception) -> tuple:
+        code = e.code if isinstance(e, S.Bad) else "corrupt"
+        return doc, -2, None, 0, None, 0, 0, code, None, "error", None, None, None, str(e).encode(), None, None, None
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, list[tuple]]]:
         for batch in batches:
-            rows, size = [], 0
             for i in range(batch.num_rows):
-                data = batch.column(1)[i].as_py()
-                rows += one(batch.column(0)[i].as_py(), data, batch.column(2)[i].as_py())
-                size += len(data)
-                if size > OUT_BYTES:
-                    yield to_batch(rows, shape)
-                    rows, size = [], 0
-            if rows:
-                yield to_batch(rows, shape)
+                doc, data = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                yield doc, data, one(doc, data, batch.column(2)[i].as_py())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from guarded(parsed(batches), failed, shape)
 
     read = stored(ready.join(places, "doc_id").select("doc_id", "content", "entries").mapInArrow(run, schema), "objects")
     unread = gated.where("error_code is null").join(found.select("doc_id").distinct(), "doc_id", "left_anti").selectExpr("doc_id", "'cannotRead' as error_code", "'no content' as reason")
