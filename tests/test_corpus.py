@@ -54,7 +54,7 @@ def test_originals_are_safe(spark, folder):
 
 def test_probe_holds_the_size(spark, folder):
     files = read_files(spark, f"file://{folder}/in").where("path like '%/1.pdf'")
-    got = probe(files, 1).collect()
+    got = probe(files, (1,)).collect()
     assert len(got) == 1 and got[0].bytes_high - got[0].bytes_low == 64 and got[0].method == "exact"
 
 

@@ -23,7 +23,7 @@ def test_values(text, value):
     assert got == value and type(got) is type(value)
 
 
-@pytest.mark.parametrize("text", [b"", b"[1", b"(open", b"<4x>", b"<< /A >>", b"<< 1 2 >>", b"99999999999999999999", b"[" * 300 + b"]" * 300])
+@pytest.mark.parametrize("text", [b"", b"[1", b"(open", b"<4x>", b"<< /A >>", b"<< 1 2 >>", b"99999999999999999999 0 R", b"[" * 300 + b"]" * 300])
 def test_damaged_values(text):
     with pytest.raises(S.Bad):
         S.read(text, 0)

@@ -75,11 +75,11 @@ def estimates(inventory: DataFrame) -> DataFrame:
     return out.select("doc_id", F.explode(F.expr(f"array({rows})")).alias("e")).select("doc_id", "e.*", F.lit("heuristic").alias("method"))
 
 
-def probed(written: DataFrame, level: int) -> DataFrame:
-    """Exact estimates from files that were written as a trial: (doc_id, length) with input_bytes."""
+def probed(sizes: DataFrame) -> DataFrame:
+    """Exact estimates from the sizes of cleaned files: (doc_id, level, length) with input_bytes."""
     pad = "greatest(32, length div 100)"
-    out = written.where(should_probe(F.col("input_bytes")))
-    return out.selectExpr("doc_id", f"{level} as level", f"greatest(1, length - {pad}) as bytes_low", f"length + {pad} as bytes_high", "0.98D as confidence", "'exact' as method")
+    out = sizes.where(should_probe(F.col("input_bytes")))
+    return out.selectExpr("doc_id", "level", f"greatest(1, length - {pad}) as bytes_low", f"length + {pad} as bytes_high", "0.98D as confidence", "'exact' as method")
 
 
 def estimate_text(estimates: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ from ..config import DEFAULT, Options
 from ..functions.sizes import output_name, probed
 from ..sources.sink import relative_column, write_files
 from ..sources.tables import read_files
-from .sanitize import Cleaned, outcomes, sanitize
+from .lengths import exact_sizes
+from .sanitize import Cleaned, inspect, outcomes, sanitize
 
 
 def corpus_check(spark: SparkSession, folder: str) -> DataFrame:
@@ -26,7 +27,7 @@ def clean_folder(spark: SparkSession, folder: str, target: str, options: Options
     return done, write_files(named, target, folder)
 
 
-def probe(files: DataFrame, level: int = 0) -> DataFrame:
-    """Exact size estimates of ``files`` by a trial clean; files above the limit, and refused ones, have none."""
-    out = sanitize(files, level=level).files.select("doc_id", "length")
-    return probed(out.join(files.select("doc_id", F.col("length").alias("input_bytes")), "doc_id"), level)
+def probe(files: DataFrame, levels: tuple[int, ...] = (0, 1, 2, 3, 4)) -> DataFrame:
+    """Exact size estimates of ``files`` at ``levels``, from one inspection and lengths alone; files above the limit, and refused ones, have none."""
+    sizes = exact_sizes(inspect(files), levels=levels).join(files.select("doc_id", F.col("length").alias("input_bytes")), "doc_id")
+    return probed(sizes)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import sizes
 from ..operators import inspect as I
 from ..operators import objects as O
-from ..operators import reach, sanitize, write
+from ..operators import lengths, reach, sanitize, write
 from ..streaming import ingest
 from ..sources.scratch import stored
 from ..sources.tables import newest
@@ -247,6 +247,19 @@ def q34_reached_is_written(spark, sf_dir):
     return both.groupBy("doc_id").agg(F.count("w").alias("written"), F.count("r").alias("reached"), F.count_if(F.expr("w is null or r is null")).alias("differ"))
 
 
+def q44_exact_sizes(spark, sf_dir):
+    """Sizes of cleaned files from lengths alone, at level 0."""
+    return lengths.exact_sizes(seen(spark, sf_dir), levels=(0,)).select("doc_id", "length")
+
+
+def q45_exact_probe_levels(spark, sf_dir):
+    """Sizes told from lengths, against what a clean at levels 0 to 2 writes."""
+    told = lengths.exact_sizes(seen(spark, sf_dir), levels=(0, 1, 2))
+    made = [cleaned(spark, sf_dir, i).files.selectExpr("doc_id", f"{i} as level", "length as written") for i in (0, 1, 2)]
+    both = told.join(made[0].unionByName(made[1]).unionByName(made[2]), ["doc_id", "level"], "full")
+    return both.selectExpr("doc_id", "level", "length <=> written as equal")
+
+
 def offered(spark, sf_dir):
     """Files offered: users are sessions, events urls; every other url is local."""
     url = "concat(case event_id % 3 when 0 then 'https://host/' when 1 then 'file:///in/' else 'FILE:///in/' end, event_id, '.pdf') as url"
@@ -264,8 +277,8 @@ def q36_within_band(spark, sf_dir):
 
 
 def q37_exact_probe(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").selectExpr("doc_id", "cast(n_chars * 7 as long) as length", "cast(n_chars as long) * 30000 as input_bytes")
-    return sizes.probed(rows, 2)
+    rows = table(spark, sf_dir, "documents").selectExpr("doc_id", "cast(n_chars * 7 as long) as length", "cast(n_chars as long) * 30000 as input_bytes", "2 as level")
+    return sizes.probed(rows)
 
 
 def q38_latest_choice(spark, sf_dir):
@@ -350,6 +363,55 @@ def label_sql(n: str) -> str:
     return "case " + " ".join(cases) + " end"
 
 
+def stream_sql(keys: str, n: str) -> str:
+    """Bytes of a stream of ``n`` bytes whose dictionary has ``keys``."""
+    return f"length('<< {keys}/Length ' || {n} || ' >>') + {n} + {len(write.STREAM + write.ENDSTREAM)}"
+
+
+_IMAGE = "/BitsPerComponent 8 /ColorSpace /DeviceRGB /Height {0} /Subtype /Image /Type /XObject /Width {1} /Filter {2} "
+
+#: What the cleaned file of each row takes up: objects by number, (doc_id, obj, n), from the planter's rules.
+SIZES = f"""
+    nums as (select *, 4 + notes as w, doc_id % 6 = 0 as xmp, doc_id % 6 = 1 as far, doc_id % 97 = 3 as deep from clean),
+    nums1 as (select *, w + images + photos as p0 from nums),
+    nums2 as (select *, p0 + 2 * pages + xmp::int as e0 from nums1),
+    nums3 as (select *, e0 + 2 * far::int as e1, e0 + 2 * far::int + 600 * deep::int as e2 from nums2),
+    nums4 as (select *, e2 + (doc_id % 4 = 0)::int + (doc_id % 7 = 0)::int as e4 from nums3),
+    nums5 as (select *, e4 + (doc_id % 11 = 0)::int as e5 from nums4),
+    nums6 as (select *, e5 + 2 * (doc_id % 13 = 0)::int as e6 from nums5),
+    nums7 as (select *, e6 + 2 * (doc_id % 10 = 0)::int as e7 from nums6),
+    sheets as (select *, unnest(range(pages)) as i from nums7),
+    sheets1 as (select *, p0 + 1 + 2 * i + (i > 0 and xmp)::int as c, p0 + 2 + 2 * i + xmp::int as p from sheets),
+    kids as (select doc_id, string_agg(p || ' 0 R', ' ' order by i) as kids from sheets1 group by 1),
+    held as (
+        select doc_id, 1 as obj, length('<< ' || case when doc_id % 13 = 0 then '/AF [' || e6 || ' 0 R] ' else '' end || case when doc_id % 9 = 0 then '/AcroForm << /Fields [' || (e7 + 1) || ' 0 R] >> ' else '' end
+            || case when doc_id % 59 = 4 then '/Font 3 3000000000 R ' else '' end || case when doc_id % 11 = 0 then '/OpenAction ' || e5 || ' 0 R ' else '' end || case when deep then '/Outlines ' || e2 || ' 0 R ' else '' end
+            || case when doc_id % 10 = 0 then '/OutputIntents [' || e7 || ' 0 R] ' else '' end || '/Pages 2 0 R /Type /Catalog >>') as n from nums7
+        union all select doc_id, 2, length('<< ' || case when far then '/Count ' || e1 || ' 0 R /Kids ' || (e1 - 1) || ' 0 R' else '/Count ' || pages || ' /Kids [' || kids || ']' end || ' /Type /Pages >>') from nums7 join kids using (doc_id)
+        union all select doc_id, 3, length('<< /BaseFont /Helvetica /Subtype /Type1 /Type /Font >>') from clean
+        union all select doc_id, 3 + unnest(range(1, notes + 1)), length('<< /Rect [0 0 9 9] /Subtype /Text /Type /Annot >>') from nums7
+        union all select doc_id, w, length('<< /Rect [0 0 9 9] /Subtype /Widget /T (field) /Type /Annot >>') from nums7
+        union all select doc_id, w + 1, {stream_sql(_IMAGE.format(8, 8, "' || case when doc_id % 24 = 0 then '/DCTDecode' else '[/DCTDecode]' end || '"), '156')} from nums7 where images > 0
+        union all select doc_id, w + 2, {stream_sql(_IMAGE.format(8, 8, '/DCTDecode'), '156')} from nums7 where images = 3
+        union all select doc_id, w + 3, {stream_sql(_IMAGE.format(8, 8, '/DCTDecode') + "/SMask ' || (w + 2) || ' 0 R ", '156')} from nums7 where images = 3
+        union all select doc_id, p0, {stream_sql(_IMAGE.format(120, 160, '/DCTDecode'), str(len(planted.PHOTO)))} from nums7 where photos = 1
+        union all select doc_id, c, {stream_sql('', 'strlen(text)')} from sheets1
+        union all select doc_id, p, length('<< ' || case when i = 0 then '/Annots [' || array_to_string(list_transform(range(4, w + 1), lambda x: x || ' 0 R'), ' ') || '] ' else '' end || '/Contents ' || c || ' 0 R /MediaBox [0 0 612 792] /Parent 2 0 R /Resources << /Font << /F1 3 0 R >> '
+            || case when images > 0 then '/XObject << /Im1 ' || (w + 1) || ' 0 R ' || case when images = 3 then '/Im2 ' || (w + 3) || ' 0 R ' else '' end || case when photos = 1 then '/Photo ' || p0 || ' 0 R ' else '' end || '>> ' else '' end || '>> /Type /Page >>') from sheets1
+        union all select doc_id, e1 - 1, length('[' || kids || ']') from nums7 join kids using (doc_id) where far
+        union all select doc_id, e1, length(pages::varchar) from nums7 where far
+        union all select doc_id, e1 + 1, length('<< /Last true >>') from nums7 where deep
+        union all select doc_id, x, length('<< /Next ' || (x - 1) || ' 0 R >>') from (select doc_id, e1 + unnest(range(2, 601)) as x from nums7 where deep)
+        union all select doc_id, e5, length('<< /JS (app.beep\\(\\)) /S /JavaScript >>') from nums7 where doc_id % 11 = 0
+        union all select doc_id, e6 - 1, {stream_sql('/Type /EmbeddedFile ', '32')} from nums7 where doc_id % 13 = 0
+        union all select doc_id, e6, length('<< /EF << /F ' || (e6 - 1) || ' 0 R >> /F (a.txt) /Type /Filespec >>') from nums7 where doc_id % 13 = 0
+        union all select doc_id, e7 - 1, {stream_sql('/N 3 ', '16')} from nums7 where doc_id % 10 = 0
+        union all select doc_id, e7, length('<< /DestOutputProfile ' || (e7 - 1) || ' 0 R /Type /OutputIntent >>') from nums7 where doc_id % 10 = 0
+        union all select doc_id, e7 + 1, length('<< /FT /Sig /T (sign here) >>') from nums7 where doc_id % 9 = 0),
+    bodies as (select doc_id, 15 + sum(n + length(obj || ' 0 obj') + 9)::bigint as body, max(obj) + 1 as size from held group by 1),
+    sized as (select doc_id, body + length('xref' || chr(10) || '0 ' || size) + 1 + 20 * size + 8 + length('<< /ID [' || repeat('<' || repeat('A', 32) || '> ', 2)) - 1 + length('] /Root 1 0 R /Size ' || size || ' >>') + 11 + length(body::varchar) + 7 as length from bodies)"""
+
+
 ORACLES = {
     "q01_status": f"with {GOOD} select doc_id, case when bad is not null then bad when signed then 'signed' end as error_code from rows",
     "q02_outcome_counts": f"with {GOOD} select case when bad is not null then bad when signed then 'signed' else 'cleaned' end as outcome, count(*) as n from rows group by 1",
@@ -427,6 +489,8 @@ ORACLES = {
                     else eligible || ' of ' || images || ' image' || case when images = 1 then '' else 's' end || ' in this PDF can be re-encoded.' end as scope_note
         from told""",
     "q41_images_recompressed": f"with {GOOD} select doc_id, photos as images_recompressed, images + photos as image_count, case when photos = 1 then 160 when images > 0 then 8 else 0 end::bigint as width, true as smaller, photos = 1 as told from clean",
+    "q44_exact_sizes": f"with {GOOD}, {SIZES} select doc_id, length from sized",
+    "q45_exact_probe_levels": f"with {GOOD} select doc_id, unnest(range(3))::int as level, true as equal from clean",
     "q42_integers": f"with {GOOD} select doc_id, pages as value from good",
     "q43_versions": f"with {GOOD} select doc_id, case when doc_id % 59 = 1 then 2 else 1 end as major, case when doc_id % 59 = 1 then 0 when doc_id % 5 < 2 then 4 else 5 end as minor from clean",
     "q40_text_notes": f"with {estimate_sql()} select doc_id, unnest(range(5))::int as level, case when level >= 2 and heavy then 'This PDF is mostly text/vectors — compression won’t shrink much.' end as note from a",

@@ -84,12 +84,11 @@ def literal(data: bytes, at: int) -> tuple[bytes, int]:
 
 
 def number(text: bytes) -> int | float:
-    if b"." in text:
+    """An integer of 64 bits, or else a real."""
+    if b"." in text or len(text) > 20:
         return float(text)
     value = int(text)
-    if -(1 << 63) <= value < 1 << 63:
-        return value
-    raise Bad("number out of range")
+    return value if -(1 << 63) <= value < 1 << 63 else float(text)
 
 
 def read(data: bytes, at: int, depth: int = 256) -> tuple[object, int]:
@@ -121,8 +120,9 @@ def read(data: bytes, at: int, depth: int = 256) -> tuple[object, int]:
         elif kind == "num":
             value = number(m[0])
         elif kind == "ref":
-            obj, gen = (number(n) for n in m[0].split()[:2])
-            value = Ref(obj, gen)
+            value = Ref(*(number(n) for n in m[0].split()[:2]))
+            if not all(isinstance(n, int) for n in value):
+                raise Bad("reference out of range")
         elif kind == "name":
             value = Name(re.sub(rb"#([0-9A-Fa-f]{2})", lambda h: bytes([int(h[1], 16)]), m["name"]).decode("latin-1"))
         elif kind == "hex":
