@@ -166,8 +166,8 @@ class File:
 
 
 #: What some ids leave over when divided by 59, and the damage that file has.
-HOSTILE = {2: "section far out", 5: "reference far out", 6: "object far out", 7: "size far out", 9: "previous section is itself", 10: "streams hold each other"}
-VERSION, FREE, REFERENCE, OVERSIZE = 1, 3, 4, 11
+HOSTILE = {42: "section far out", 45: "reference far out", 46: "object far out", 47: "size far out", 49: "previous section is itself", 50: "streams hold each other"}
+VERSION, FREE, REFERENCE, OVERSIZE = 41, 43, 44, 51
 TOO_LONG = LIMITS.input_bytes + 1
 
 

@@ -61,7 +61,7 @@ def test_jpeg_scrub():
     assert jpeg.scrub(b"GIF89a") == b"GIF89a"
 
 
-@pytest.mark.parametrize("doc", range(1, 60))
+@pytest.mark.parametrize("doc", [i for i in range(1, 60) if i not in planter.HOSTILE])
 def test_all_layouts_give_the_same_objects(doc):
     data = planter.pdf(doc, b"text \xc3\xa9 (", "en", "src", 7)
     wanted, _ = planter.objects_of(doc, b"text \xc3\xa9 (", "en", "src", 7)

@@ -16,8 +16,8 @@ from ..functions import sizes
 from ..operators import inspect as I
 from ..operators import objects as O
 from ..operators import lengths, reach, sanitize, write
-from ..streaming import ingest
-from ..sources.scratch import stored
+from ..streaming import ingest, sessions
+from ..sources.scratch import new_folder, stored
 from ..sources.tables import newest
 
 FLAGSHIP = "q03_document_info"
@@ -271,6 +271,30 @@ def q35_first_local_file(spark, sf_dir):
     return ingest.to_review(offered(spark, sf_dir))
 
 
+def arriving_events(spark, sf_dir):
+    """The events as a stream; a pattern, as the table may be one file or a folder."""
+    return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
+
+
+#: Milliseconds that a choice waits in q46, whose events are hours apart.
+QUERY_WAIT = 6 * 3600 * 1000
+
+
+def q46_debounced_choices(spark, sf_dir):
+    """Users are sessions, events choices of a level, in event time."""
+    choices = arriving_events(spark, sf_dir).selectExpr("user_id as session", "timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01', ts) as generation", "cast(ts as timestamp) as at").withWatermark("at", "0 seconds")
+    choices = choices.withColumn("level", F.expr("cast(generation % 5 as int)"))
+    return sessions.drained(sessions.debounced(choices, QUERY_WAIT, "at"), new_folder(spark, "debounced"))
+
+
+def q47_offers_by_phase(spark, sf_dir):
+    """Users are sessions; every fourth event changes the phase, the others offer a url."""
+    phase = "case when event_id % 4 = 0 then element_at(array('idle', 'inspecting', 'review', 'working', 'done', 'failed'), cast(event_id div 4 % 6 as int) + 1) end as phase"
+    url = "case when event_id % 4 > 0 then concat(case event_id % 3 when 0 then 'https://host/' when 1 then 'file:///in/' else 'FILE:///in/' end, event_id, '.pdf') end as url"
+    rows = arriving_events(spark, sf_dir).selectExpr("user_id as session", "event_id as place", phase, url)
+    return sessions.drained(sessions.taken_offers(rows), new_folder(spark, "offers"))
+
+
 def q36_within_band(spark, sf_dir):
     rows = sizes.estimates(synthetic_inventory(spark, sf_dir)).withColumn("actual", F.expr("bytes_high * (1 + doc_id % 5) div 3"))
     return rows.select("doc_id", "level", "actual", sizes.within_band(F.col("actual"), F.col("bytes_low"), F.col("bytes_high"), F.when(F.col("doc_id") % 2 == 0, "exact").otherwise("heuristic")).alias("inside"))
@@ -293,7 +317,7 @@ def q39_plain_reals(spark, sf_dir):
 QUERIES = {k: f for k, f in list(globals().items()) if k[:1] == "q" and k[1:3].isdigit()}
 
 GOOD = """
-    rows as (select *, case when doc_id % 59 = 11 then 'oversize' when doc_id % 31 = 5 then 'emptyInput' when doc_id % 37 = 5 then 'notPDF' when doc_id % 59 in (6, 7) then 'unsupported' when doc_id % 59 in (2, 5, 9, 10) then 'corrupt' when doc_id % 23 = 0 then 'corrupt' when doc_id % 17 = 0 then 'encrypted' when doc_id % 41 = 7 then 'corrupt' end as bad,
+    rows as (select *, case when doc_id % 59 = 51 then 'oversize' when doc_id % 31 = 5 then 'emptyInput' when doc_id % 37 = 5 then 'notPDF' when doc_id % 59 in (46, 47) then 'unsupported' when doc_id % 59 in (42, 45, 49, 50) then 'corrupt' when doc_id % 23 = 0 then 'corrupt' when doc_id % 17 = 0 then 'encrypted' when doc_id % 41 = 7 then 'corrupt' end as bad,
                     doc_id % 19 = 0 or doc_id % 47 = 3 as signed, doc_id % 43 = 3 as no_info,
                     doc_id % 4 as notes, 1 + doc_id % 3 as pages, (doc_id // 5) % 2 = 0 as has_id, case when doc_id % 24 = 0 then 3 when doc_id % 12 = 0 then 1 else 0 end as images, (doc_id % 36 = 0)::int as photos from documents),
     good as (select * from rows where bad is null),
@@ -385,7 +409,7 @@ SIZES = f"""
     kids as (select doc_id, string_agg(p || ' 0 R', ' ' order by i) as kids from sheets1 group by 1),
     held as (
         select doc_id, 1 as obj, length('<< ' || case when doc_id % 13 = 0 then '/AF [' || e6 || ' 0 R] ' else '' end || case when doc_id % 9 = 0 then '/AcroForm << /Fields [' || (e7 + 1) || ' 0 R] >> ' else '' end
-            || case when doc_id % 59 = 4 then '/Font 3 3000000000 R ' else '' end || case when doc_id % 11 = 0 then '/OpenAction ' || e5 || ' 0 R ' else '' end || case when deep then '/Outlines ' || e2 || ' 0 R ' else '' end
+            || case when doc_id % 59 = 44 then '/Font 3 3000000000 R ' else '' end || case when doc_id % 11 = 0 then '/OpenAction ' || e5 || ' 0 R ' else '' end || case when deep then '/Outlines ' || e2 || ' 0 R ' else '' end
             || case when doc_id % 10 = 0 then '/OutputIntents [' || e7 || ' 0 R] ' else '' end || '/Pages 2 0 R /Type /Catalog >>') as n from nums7
         union all select doc_id, 2, length('<< ' || case when far then '/Count ' || e1 || ' 0 R /Kids ' || (e1 - 1) || ' 0 R' else '/Count ' || pages || ' /Kids [' || kids || ']' end || ' /Type /Pages >>') from nums7 join kids using (doc_id)
         union all select doc_id, 3, length('<< /BaseFont /Helvetica /Subtype /Type1 /Type /Font >>') from clean
@@ -492,7 +516,7 @@ ORACLES = {
     "q44_exact_sizes": f"with {GOOD}, {SIZES} select doc_id, length from sized",
     "q45_exact_probe_levels": f"with {GOOD} select doc_id, unnest(range(3))::int as level, true as equal from clean",
     "q42_integers": f"with {GOOD} select doc_id, pages as value from good",
-    "q43_versions": f"with {GOOD} select doc_id, case when doc_id % 59 = 1 then 2 else 1 end as major, case when doc_id % 59 = 1 then 0 when doc_id % 5 < 2 then 4 else 5 end as minor from clean",
+    "q43_versions": f"with {GOOD} select doc_id, case when doc_id % 59 = 41 then 2 else 1 end as major, case when doc_id % 59 = 41 then 0 when doc_id % 5 < 2 then 4 else 5 end as minor from clean",
     "q40_text_notes": f"with {estimate_sql()} select doc_id, unnest(range(5))::int as level, case when level >= 2 and heavy then 'This PDF is mostly text/vectors — compression won’t shrink much.' end as note from a",
     "q33_inspection_rows": f"""
         with {GOOD}, {FINDINGS},
@@ -508,6 +532,14 @@ ORACLES = {
     "q35_first_local_file": """
         with told as (select user_id as session, event_id // 50 as offer, event_id as place, case event_id % 3 when 0 then 'https://host/' when 1 then 'file:///in/' else 'FILE:///in/' end || event_id || '.pdf' as url, event_id // 50 % 6 as phase from events)
         select session, offer, min_by(url, place) as url from told where url ilike 'file:%' and phase not in (1, 3) group by 1, 2""",
+    "q46_debounced_choices": f"""
+        with c as (select distinct user_id as session, date_diff('microsecond', timestamp '2024-01-01', ts) as generation from events),
+        n as (select *, lead(generation) over (partition by session order by generation) as next, max(generation) over () as last from c)
+        select session, generation, cast(generation % 5 as int) as level from n where coalesce(next, last) // 1000 - generation // 1000 >= {QUERY_WAIT}""",
+    "q47_offers_by_phase": """
+        with e as (select user_id as session, event_id as place, case when event_id % 4 = 0 then event_id // 4 % 6 end as phase, case event_id % 3 when 0 then 'https://host/' when 1 then 'file:///in/' else 'FILE:///in/' end || event_id || '.pdf' as url from events),
+        now as (select *, coalesce(last_value(phase ignore nulls) over (partition by session order by place), 0) as held from e)
+        select session, place, url from now where phase is null and url ilike 'file:%' and held not in (1, 3)""",
     "q36_within_band": f"""
         with {estimate_sql()}, told as (select *, bytes_high * (1 + doc_id % 5) // 3 as actual, (bytes_low + bytes_high) // 2 as mid from est)
         select doc_id, level, actual, case when actual between bytes_low and bytes_high then true when mid <= 0 then false

@@ -1,11 +1,21 @@
-"""Cleaned files to a folder on any file system that Arrow can write to."""
+"""Cleaned files to a folder on any file system that Arrow can write to, all of them or none.
+
+The folder is a sink of Spark's data source API. Tasks put their files into a
+hidden folder beside the target, each under another name first, so a task that
+runs twice leaves the same. When all tasks are done the driver commits: where the
+target is not there yet, by one rename; else file by file behind a mark that says
+so, and :func:`finish` goes on with what a commit left when its driver died. A
+job that fails leaves nothing.
+"""
 
 from __future__ import annotations
 
+import json
 import os
 import posixpath
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
@@ -13,6 +23,9 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+
+from .scratch import shared_dir, stored
 
 
 class SameFolder(ValueError):
@@ -48,48 +61,158 @@ def relative_column(path, source: str):
     return run(path)
 
 
+#: Marks a folder of files whose commit has begun.
+MARK = ".commit"
+#: A task with more files that cannot be written ends the job.
+MOST_FAILED = 1000
+
+
+def plain_name(name: str) -> str:
+    """A name under the folder; of a whole path or URI the last part only."""
+    return posixpath.basename(name) if name.startswith("/") or urlparse(name).scheme else posixpath.normpath("/" + name).lstrip("/")
+
+
+@F.pandas_udf(T.StringType())
+def plain_names(names):
+    return names.map(plain_name)
+
+
+def staging(root: str, job: str) -> str:
+    return posixpath.join(posixpath.dirname(root), f".{posixpath.basename(root)}.{job}")
+
+
+def move_all(store: fs.FileSystem, source: str, root: str) -> None:
+    """Move the files under ``source`` to the same places under ``root``, over those that are there, and drop ``source``."""
+    found = store.get_file_info(fs.FileSelector(source, recursive=True))
+    for f in sorted(found, key=lambda f: f.path):
+        inside = f.path[len(source) :].lstrip("/")
+        to = posixpath.join(root, inside)
+        if f.type == fs.FileType.Directory:
+            store.create_dir(to, recursive=True)
+        elif inside != MARK:
+            if not isinstance(store, fs.LocalFileSystem) and store.get_file_info(to).type == fs.FileType.File:
+                store.delete_file(to)
+            store.move(f.path, to)
+    store.delete_dir(source)
+
+
+def finish(folder: str) -> int:
+    """Go on with commits into ``folder`` that were cut off; how many there were."""
+    store, root = opened(folder)
+    around = posixpath.dirname(root)
+    begun = [f.path for f in store.get_file_info(fs.FileSelector(around, allow_not_found=True)) if f.base_name.startswith(f".{posixpath.basename(root)}.") and f.type == fs.FileType.Directory]
+    begun = [p for p in begun if store.get_file_info(posixpath.join(p, MARK)).type == fs.FileType.File]
+    for path in begun:
+        move_all(store, path, root)
+    return len(begun)
+
+
+@dataclass
+class Staged(WriterCommitMessage):
+    """Ids of a task's files that could not be written."""
+
+    failed: list[int]
+
+
+class FolderWriter(DataSourceArrowWriter):
+    def __init__(self, options: dict[str, str]):
+        self.folder, self.job, self.receipt = options["folder"], options["job"], options["receipt"]
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Staged:
+        store, root = opened(self.folder)
+        around, failed = staging(root, self.job), []
+        for batch in iterator:
+            for i in range(batch.num_rows):
+                doc, name, content, path = (c[i] for c in batch.columns)
+                if not self.put(store, root, around, name.as_py(), content, path.as_py()):
+                    failed.append(doc.as_py())
+                    if len(failed) > MOST_FAILED:
+                        raise OSError(f"more than {MOST_FAILED} files of one task cannot be written")
+        return Staged(failed)
+
+    def put(self, store: fs.FileSystem, root: str, around: str, name: str, content: pa.Scalar, path: str | None) -> bool:
+        out = posixpath.join(root, name)
+        if path is not None and is_local(self.folder) and is_local(path) and os.path.exists(out) and os.path.exists(local(path)) and os.path.samefile(out, local(path)):
+            return False
+        staged = posixpath.join(around, name)
+        partial = f"{staged}.{uuid.uuid4().hex[:12]}.part"
+        try:
+            store.create_dir(posixpath.dirname(staged), recursive=True)
+            with store.open_output_stream(partial) as f:
+                f.write(content.as_buffer())
+            if not isinstance(store, fs.LocalFileSystem) and store.get_file_info(staged).type == fs.FileType.File:
+                store.delete_file(staged)
+            store.move(partial, staged)
+        except (OSError, pa.ArrowException):
+            return False
+        return True
+
+    def commit(self, messages: list[Staged | None]) -> None:
+        store, root = opened(self.folder)
+        around = staging(root, self.job)
+        there = store.get_file_info(around).type == fs.FileType.Directory
+        for f in store.get_file_info(fs.FileSelector(around, recursive=True)) if there else ():
+            if f.path.endswith(".part"):  # of a task that was killed
+                store.delete_file(f.path)
+        if there and store.get_file_info(root).type == fs.FileType.NotFound:
+            store.move(around, root)
+        elif there:
+            store.open_output_stream(posixpath.join(around, MARK)).close()
+            move_all(store, around, root)
+        store, receipt = opened(self.receipt)
+        with store.open_output_stream(receipt) as f:
+            f.write("".join(json.dumps({"doc_id": d}) + "\n" for m in messages if m for d in m.failed).encode())
+
+    def abort(self, messages: list[Staged | None]) -> None:
+        store, root = opened(self.folder)
+        around = staging(root, self.job)
+        if store.get_file_info(around).type == fs.FileType.Directory:
+            store.delete_dir(around)
+
+
+class CommittedFolder(DataSource):
+    """Rows (doc_id, name, content, path) as files of a folder; options ``folder``, ``job`` (a name no other job has) and ``receipt`` (a file for the ids that failed)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "vellumite_files"
+
+    def schema(self) -> str:
+        return "doc_id long, name string, content binary, path string"
+
+    def writer(self, schema: T.StructType, overwrite: bool) -> FolderWriter:
+        return FolderWriter(self.options)
+
+
 def write_files(files: DataFrame, folder: str, source: str | None = None) -> DataFrame:
-    """Write ``files`` (doc_id, name, content, and path where the input is a file) under ``folder``.
+    """Write ``files`` (doc_id, name, content, and path where the input is a file) under ``folder``, now, all or nothing.
 
     Names may hold folders, which are made; of files with one name the first (by
     path, then id) is written, the others are refused. Returns doc_id, written (path) and
-    error_code. Each file is written under another name and then renamed, so it
-    is there whole or not at all, and a task that runs twice gives the same.
+    error_code; what it returns may be read any number of times, nothing is written again.
     Originals are never written over: the folder must not be the one the inputs
     came from, and a file that is its own input by another name is refused.
     """
+    spark = files.sparkSession
     if is_local(folder):
         if source is not None and is_local(source) and local(source) == local(folder):
             raise SameFolder("the output folder is the input folder")
-        os.makedirs(local(folder), exist_ok=True)
     elif source is not None and source.rstrip("/") == folder.rstrip("/"):
         raise SameFolder("the output folder is the input folder")
+    finish(folder)
     path = F.col("path") if "path" in files.columns else F.lit(None).cast("string")
-    files = files.select("doc_id", "name", "content", path.alias("path"))
-    # names alone are compared
+    files = files.select("doc_id", plain_names("name").alias("name"), "content", path.alias("path"))
+    # names alone are compared, and contents are moved for it only where some are taken
     order = "row_number() over (partition by name order by path, doc_id) > 1 as taken"
-    taken = files.select("doc_id", "name", "path").selectExpr("doc_id", order).where("taken")
-
-    def one(store: fs.FileSystem, root: str, name: str, content: bytes, path: str | None) -> tuple[str | None, str | None]:
-        # a whole path or URI gives its last part only
-        name = posixpath.basename(name) if name.startswith("/") or urlparse(name).scheme else posixpath.normpath("/" + name).lstrip("/")
-        out = posixpath.join(root, name)
-        if path is not None and is_local(folder) and is_local(path) and os.path.exists(out) and os.path.exists(local(path)) and os.path.samefile(out, local(path)):
-            return None, "cannotWrite"
-        partial = f"{out}.{uuid.uuid4().hex[:12]}.part"
-        try:
-            store.create_dir(posixpath.dirname(out), recursive=True)
-            with store.open_output_stream(partial) as f:
-                f.write(content)
-            store.move(partial, out)
-        except (OSError, pa.ArrowException):
-            return None, "cannotWrite"
-        return out, None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = opened(folder)
-        for batch in batches:
-            done = [(None, "cannotWrite") if r["taken"] else one(store, root, r["name"], r["content"], r["path"]) for r in batch.to_pylist()]
-            yield pa.record_batch({"doc_id": batch.column(0), "written": pa.array([w for w, _ in done], pa.string()), "error_code": pa.array([e for _, e in done], pa.string())})
-
-    return files.join(taken, "doc_id", "left").mapInArrow(run, "doc_id long, written string, error_code string")
+    names = stored(files.select("doc_id", "name", "path").selectExpr("doc_id", "name", order), "names")
+    taken = names.where("taken").select("doc_id")
+    if not taken.isEmpty():
+        files = files.join(taken, "doc_id", "left_anti")
+    job = uuid.uuid4().hex[:12]
+    receipt = f"{shared_dir(spark)}/receipt-{job}.json"
+    spark.dataSource.register(CommittedFolder)
+    files.write.format(CommittedFolder.name()).mode("append").options(folder=folder, job=job, receipt=receipt).save()
+    failed = spark.read.schema("doc_id long").json(receipt).withColumn("failed", F.lit(True))
+    told = names.join(failed, "doc_id", "left").withColumn("lost", F.expr("taken or coalesce(failed, false)"))
+    out = F.concat(F.lit(opened(folder)[1].rstrip("/") + "/"), F.col("name"))
+    return told.select("doc_id", F.when(~F.col("lost"), out).alias("written"), F.when(F.col("lost"), "cannotWrite").alias("error_code"))
