@@ -4,12 +4,15 @@ Templates are cut into words and word ``GRAM``-grams; winnowing (Schleimer,
 Wilkerson and Aiken 2003) keeps the smallest hash of each ``WINNOW`` in a row. The
 kept hashes of all templates form an inverted index, as large as the templates.
 Texts are winnowed in the same way, so a run of GRAM + WINNOW - 1 equal words
-shares a kept hash. A template is a candidate where a text holds ``HITS`` of its
+shares a kept hash. Shorter templates, which a text's winnowing may miss, are in
+an index of their own, with the hashes of all their runs of GRAM words (or of
+all their words, where they have fewer), and are looked up among all runs of a
+text. So a whole wording of any length is found wherever it stands. A template is a candidate where a text holds ``HITS`` of its
 kept hashes; hits on nearby diagonals are one line, and the template is aligned
 along each line inside a band of ``BAND`` words to either side. Aligned pieces
-that follow one another in the template and in the text, no more than ``CHAIN``
-words apart, are one match, so a wording with a passage put into its middle is
-found whole. The coverage, the share of the template's words that match, is
+that follow one another in the template and in the text, no more words apart
+than the template has (``CHAIN`` at least), are one match, so a wording with a
+passage put into its middle is found whole. The coverage, the share of the template's words that match, is
 reported with the span if it reaches ``COVER``. Of overlapping matches of one
 license the best is kept; where a match lies inside one of another license that
 matches more words, it goes too (a notice is part of longer ones). A license
@@ -51,14 +54,14 @@ def clean(token: bytes) -> bytes:
     return token.strip(OUTER) or token
 
 
-def gram_hashes(words: list[int]) -> np.ndarray:
-    """Hash of each run of ``GRAM`` words, from word hashes."""
+def gram_hashes(words: list[int], size: int = GRAM) -> np.ndarray:
+    """Hash of each run of ``size`` words, from word hashes."""
     w = np.array(words, np.uint64)
-    n = len(w) - GRAM + 1
+    n = len(w) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
-    for i in range(GRAM):
+    for i in range(size):
         out = (out ^ w[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
     return out
@@ -78,13 +81,22 @@ class Scanner:
         self.templates = [(name, words) for name, words in cut if words]
         self.index: dict[int, list[tuple[int, int]]] = defaultdict(list)
         self.need = []
+        short: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for k, (_, words) in enumerate(self.templates):
-            hashes = gram_hashes([crc32(w) for w in words])
+            numbers = [crc32(w) for w in words]
+            if len(words) < GRAM + WINNOW - 1:  # no window of a text need keep a hash of it
+                size = min(GRAM, len(words))
+                for at, h in enumerate(gram_hashes(numbers, size).tolist()):
+                    short[size][h].append((k, at))
+                self.need.append(1)
+                continue
+            hashes = gram_hashes(numbers)
             kept = winnow(hashes).tolist()
             self.need.append(max(1, int(HITS * len(kept))))
             for at in kept:
                 self.index[int(hashes[at])].append((k, at))
         self.keys = np.array(sorted(self.index), np.uint64)
+        self.short = {size: (np.array(sorted(index), np.uint64), dict(index)) for size, index in short.items()}
         self.seen: dict[bytes, int] = {}
 
     def numbers(self, tokens: list[bytes]) -> list[int]:
@@ -102,27 +114,42 @@ class Scanner:
     def scan(self, text: bytes) -> list[tuple[str, int, int, int, float]]:
         """(license, first word, last word, matching words, coverage) of every match."""
         tokens = text.lower().split()
-        hashes = gram_hashes(self.numbers(tokens))
+        numbers = self.numbers(tokens)
+        hashes = gram_hashes(numbers)
         kept = winnow(hashes)
-        if not len(kept):
-            return []
-        kept = kept[np.isin(hashes[kept], self.keys)]
         hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for at in kept.tolist():
+        for at in kept[np.isin(hashes[kept], self.keys)].tolist():
             for k, place in self.index[int(hashes[at])]:
                 hits[k].append((at, place))
+        for size, (keys, index) in self.short.items():
+            runs = gram_hashes(numbers, size)
+            for at in np.flatnonzero(np.isin(runs, keys)).tolist():
+                for k, place in index[int(runs[at])]:
+                    hits[k].append((at, place))
         found = []
         for k, places in hits.items():
             if len({place for _, place in places}) >= self.need[k]:
                 name, words = self.templates[k]
-                found += [(name, *m, m[2] / len(words)) for m in chained(pieces(words, tokens, places)) if m[2] >= COVER * len(words)]
-        best: list[tuple[str, int, int, int, float]] = []
-        for match in sorted(found, key=lambda m: (-m[3], -m[4], m[1], m[0])):
-            same = any(b[0] == match[0] and b[1] <= match[2] and match[1] <= b[2] for b in best)
-            inside = any(b[1] <= match[1] and match[2] <= b[2] and b[3] > match[3] for b in best)
-            if not same and not inside:
-                best.append(match)
-        return sorted(best, key=lambda m: (m[1], m[0]))
+                found += [(name, *m, m[2] / len(words)) for m in chained(pieces(words, tokens, places), len(words)) if m[2] >= COVER * len(words)]
+        return best_of(found)
+
+
+#: Words a cell; matches are compared with those that share a cell with them only.
+CELL = 64
+
+
+def best_of(found: list[tuple[str, int, int, int, float]]) -> list[tuple[str, int, int, int, float]]:
+    """``found`` without those that overlap a better match of their license, or lie inside a larger one of any."""
+    out: list[tuple[str, int, int, int, float]] = []
+    cells: dict[int, list[tuple[str, int, int, int, float]]] = defaultdict(list)
+    for match in sorted(set(found), key=lambda m: (-m[3], -m[4], m[1], m[0])):
+        spans = range(match[1] // CELL, match[2] // CELL + 1)
+        same = any(b[0] == match[0] and b[1] <= match[2] and match[1] <= b[2] for c in spans for b in cells[c])
+        if not same and not any(b[1] <= match[1] and match[2] <= b[2] and b[3] > match[3] for b in cells[spans[0]]):
+            out.append(match)
+            for c in spans:
+                cells[c].append(match)
+    return sorted(out, key=lambda m: (m[1], m[0]))
 
 
 def pieces(words: list[bytes], tokens: list[bytes], hits: list[tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:
@@ -140,14 +167,21 @@ def pieces(words: list[bytes], tokens: list[bytes], hits: list[tuple[int, int]])
     return sorted(out, key=lambda p: (p[3], p[1]))
 
 
-def chained(found: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int]]:
-    """(first token, last token, matches) of each piece with the best run of pieces before it; what two pieces share counts once."""
+def chained(found: list[tuple[int, int, int, int, int]], size: int) -> list[tuple[int, int, int]]:
+    """(first token, last token, matches) of each piece with the best run of pieces before it; what two pieces share counts once.
+
+    ``found`` are in the order of their first tokens, of a template of ``size`` words; no piece is longer than that and its band.
+    """
+    gap = max(CHAIN, size)
+    reach = gap + size + 2 * BAND
     best: list[tuple[int, int, int]] = []  # first token, last token, matches of the chain that ends with each piece
     for i, (n, w0, w1, t0, t1) in enumerate(found):
         chain = (t0, t1, n)
-        for j in range(i):
+        for j in range(i - 1, -1, -1):
             _, start_w, end_w, start_t, end_t = found[j]
-            if start_w < w0 and start_t < t0 and end_w < w1 and end_t < t1 and t0 - end_t <= CHAIN:
+            if t0 - start_t > reach:
+                break
+            if start_w < w0 and start_t < t0 and end_w < w1 and end_t < t1 and t0 - end_t <= gap:
                 total = best[j][2] + n - max(0, end_w - w0 + 1, end_t - t0 + 1)
                 if total > chain[2]:
                     chain = (best[j][0], t1, total)
