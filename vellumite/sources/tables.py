@@ -111,9 +111,13 @@ def from_stream(stream: S.Stream, budget: list[int], priority: int, limits: Limi
     table = np.frombuffer(data[: sum(index[1::2]) * width], np.uint8).reshape(-1, width)
     fields, at = [], 0
     for w in widths:
-        fields.append([int.from_bytes(r, "big") for r in map(bytes, table[:, at : at + w])] if w else [1 if not at else 0] * len(table))
+        if w == 8 and (table[:, at] > 127).any():
+            raise S.Bad("field out of range")
+        # big-endian: a weighted sum of the bytes
+        weights = np.array([1 << 8 * (w - 1 - i) for i in range(w)], np.int64)
+        fields.append((table[:, at : at + w].astype(np.int64) @ weights if w else np.full(len(table), 0 if at else 1)).tolist())
         at += w
-    if any(v > MOST for f in fields for v in f) or any(a + c > MOST for a, c in zip(index[::2], index[1::2], strict=True)):
+    if any(a + c > MOST for a, c in zip(index[::2], index[1::2], strict=True)):
         raise S.Bad("field out of range")
     numbers = [n for a, c in zip(index[::2], index[1::2], strict=True) for n in range(a, a + c)]
     entries = []
