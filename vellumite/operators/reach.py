@@ -57,17 +57,64 @@ def sweep(nodes: DataFrame) -> DataFrame:
 
 
 def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """(origin, node): all nodes that can be reached from ``start`` (origin, node) over one graph's ``edges`` (src, dst), itself included."""
+    """(origin, node): all nodes that can be reached from ``start`` (origin, node) over one graph's ``edges`` (src, dst), itself included.
+
+    Chains - nodes with one way in and one way out - are not walked link by link:
+    their links are numbered by pointer doubling, in rounds as many as the
+    logarithm of the longest, and a walk crosses a chain in one step. So rounds
+    follow the branchings on the way, not the depth.
+    """
     edges = stored(edges.distinct(), "edges")
+    links, ends = chains(edges)
+    # an edge into a chain leads to its end; the chain's own first edges are kept by number
+    heads = stored(links.select("node", "chain", "place"), "chain_places")
     seen = frontier = stored(start.select("origin", "node").distinct(), "reach")
+    entries = None
     rounds = 0
     while not frontier.isEmpty():
-        step = frontier.withColumnRenamed("node", "src").join(edges, "src").selectExpr("origin", "dst as node").distinct()
+        # of what is new: nodes of chains enter them, others follow their edges
+        placed = frontier.join(heads, "node", "left")
+        entered = placed.where("chain is not null").groupBy("origin", "chain").agg(F.min("place").alias("place"))
+        if entries is not None:
+            entered = entered.join(entries.select("origin", "chain", F.col("place").alias("had")), ["origin", "chain"], "left").where("had is null or place < had").drop("had")
+        entered = stored(entered, "entered")
+        entries = entered if entries is None else stored(entries.unionByName(entered).groupBy("origin", "chain").agg(F.min("place").alias("place")), "entries")
+        step = placed.where("chain is null").withColumnRenamed("node", "src").join(edges, "src").selectExpr("origin", "dst as node")
+        step = step.unionByName(entered.join(ends, "chain").selectExpr("origin", "leaves_to as node")).distinct()
         frontier = stored(step.join(seen, ["origin", "node"], "left_anti"), "reach")
         seen, rounds = seen.unionByName(frontier), rounds + 1
         if rounds % 16 == 0:
             seen = stored(seen, "reached")
-    return seen
+    if entries is None:
+        return seen
+    inside = entries.withColumnRenamed("place", "first").join(heads, "chain").where("place >= first").select("origin", "node")
+    return seen.unionByName(inside).distinct()
+
+
+def chains(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, chain, place) of the nodes with one edge in and one out, and (chain, leaves_to) of the chains they form.
+
+    ``edges`` are distinct. A ring of such nodes is cut at its smallest.
+    """
+    out = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("ways"), F.min("dst").alias("to"))
+    into = edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("in"), F.min("src").alias("of"))
+    inner = stored(out.where("ways = 1").join(into.where("in = 1"), "node").where("to <> node").select("node", "of", "to"), "inner")
+    # up: the node ``far`` links nearer the head, null where the head is nearer; least: the smallest node passed
+    first = inner.join(inner.select(F.col("node").alias("of"), F.lit(True).alias("chained")), "of", "left")
+    jumps = stored(first.selectExpr("node", "if(chained, of, null) as up", "if(chained, 1L, 0L) as far", "if(chained, least(node, of), node) as least", "if(chained, null, node) as head"), "jumps")
+    most, rounds = inner.count(), 0
+    while (1 << rounds) <= 2 * most and not jumps.where("head is null").isEmpty():
+        ahead = jumps.selectExpr("node as up", "up as up2", "far as far2", "least as least2", "head as head2")
+        jumps = stored(jumps.join(ahead, "up", "left").selectExpr("node", "if(up is null, null, up2) as up", "far + coalesce(far2, 0) as far", "least(least, least2) as least", "coalesce(head, head2) as head"), "jumps")
+        rounds += 1
+    ringed = jumps.where("head is null")
+    if not ringed.isEmpty():  # what has no head after so many doublings goes round
+        cut = ringed.where("node = least").select(F.col("node").alias("cut"))
+        return chains(edges.join(cut, F.col("src") == F.col("cut"), "left_anti"))
+    links = stored(jumps.selectExpr("node", "head as chain", "far as place"), "links")
+    last = links.groupBy("chain").agg(F.max("place").alias("place"))
+    ends = links.join(last, ["chain", "place"]).join(inner, "node").selectExpr("chain", "to as leaves_to")
+    return links, stored(ends, "chain_ends")
 
 
 def pages_of(root: int | None, rows: list[dict]) -> int | None:

@@ -34,12 +34,12 @@ class Inspection:
 
 
 def inspect(files: DataFrame) -> Inspection:
-    """Everything that is told about ``files`` (doc_id, length, content)."""
+    """Everything that is told about ``files`` (doc_id, length, content), or of files listed by :func:`ranges.list_files`, of which ranges are read only."""
     tables = parse(files)
     status = stored(I.with_pages(tables), "page_status")
     good = status.where("error_code is null").select("doc_id")
     nodes = stored(tables.nodes.join(good, "doc_id", "left_semi"), "nodes")
-    tables = Tables(status, tables.docs.join(good, "doc_id", "left_semi"), tables.xref, nodes, tables.payloads)
+    tables = Tables(status, tables.docs.join(good, "doc_id", "left_semi"), tables.xref, nodes, tables.payloads, tables.taken)
     objects = stored(O.objects(nodes), "object_rows")
     facts = stored(I.flags(nodes, objects), "facts")
     scrubbed = stored(images_with_metadata(objects, tables.payloads), "scrubbed")

@@ -17,8 +17,10 @@ from ..operators import inspect as I
 from ..operators import objects as O
 from ..operators import lengths, reach, sanitize, write
 from ..streaming import ingest, sessions
+from ..sources import sink
+from ..sources.ranges import list_files
 from ..sources.scratch import new_folder, stored
-from ..sources.tables import newest
+from ..sources.tables import newest, parse
 
 FLAGSHIP = "q03_document_info"
 _shared: dict[tuple, object] = {}
@@ -108,7 +110,7 @@ def q13_newest_wins(spark, sf_dir):
 
 
 def q14_sweep_semi(spark, sf_dir):
-    """Customers as files: their open orders are linked from the trailer, each order links its parts and the next order of the clerk's list."""
+    """Customers as files: their open orders are linked from the trailer, and each order links its parts."""
     orders = table(spark, sf_dir, "orders").selectExpr("o_custkey as doc_id", "o_orderkey as obj", "o_orderstatus as status")
     lines = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as obj", "1000000000L + l_partkey as part").join(orders.drop("status"), "obj")
     ref = "'ref' as kind", "'k' as top_key"
@@ -128,8 +130,9 @@ def q15_report_anti(spark, sf_dir):
 
 
 def q16_running_offsets(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber < 4").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.concat("l_returnflag", F.col("l_partkey").cast("string"))).cast("binary").alias("body"))
-    return write.offsets(lines.selectExpr("l_orderkey as doc_id", "l_linenumber as obj", "body"), 0).selectExpr("doc_id", "obj as line", "offset as start")
+    """Suppliers' lines, thousands each, as the objects of a file."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_orderkey", "l_linenumber").agg(F.min(F.concat("l_returnflag", F.col("l_partkey").cast("string"))).cast("binary").alias("body"))
+    return write.offsets(lines.selectExpr("l_suppkey as doc_id", "l_orderkey * 10 + l_linenumber as obj", "body"), 0).selectExpr("doc_id", "obj as line", "offset as start")
 
 
 def q17_gap_fill(spark, sf_dir):
@@ -295,6 +298,25 @@ def q47_offers_by_phase(spark, sf_dir):
     return sessions.drained(sessions.taken_offers(rows), new_folder(spark, "offers"))
 
 
+def q48_deep_closure(spark, sf_dir):
+    """All events as one chain in the order of their ids, with a few ways out; regions start along it."""
+    events = table(spark, sf_dir, "events")
+    edges = events.selectExpr("event_id as src", "event_id + 1 as dst").unionByName(events.where("event_id % 10000 = 5000").selectExpr("event_id as src", "-event_id as dst"))
+    most = events.agg(F.max("event_id")).first()[0] or 0
+    starts = table(spark, sf_dir, "region").selectExpr("cast(r_regionkey as long) as origin", f"r_regionkey * {most}L div 5 as node")
+    return reach.closure(edges, starts).selectExpr("origin as doc_id", "node")
+
+
+def q49_folder_by_ranges(spark, sf_dir):
+    """The files in folders, written by the committed sink, listed, and read by ranges."""
+    folder = new_folder(spark, "folder")
+    sink.write_files(files(spark, sf_dir).selectExpr("doc_id", "concat('d', doc_id % 7, '/', doc_id, '.pdf') as name", "content"), folder)
+    tables = parse(list_files(spark, folder))
+    paths = list_files(spark, folder).selectExpr("doc_id", "cast(regexp_extract(path, '([0-9]+).pdf$', 1) as long) as number")
+    told = paths.join(I.with_pages(tables), "doc_id").join(tables.taken, "doc_id", "left")
+    return told.selectExpr("number as doc_id", "error_code", "pages", "coalesce(bytes_read > 0, false) as read")
+
+
 def q36_within_band(spark, sf_dir):
     rows = sizes.estimates(synthetic_inventory(spark, sf_dir)).withColumn("actual", F.expr("bytes_high * (1 + doc_id % 5) div 3"))
     return rows.select("doc_id", "level", "actual", sizes.within_band(F.col("actual"), F.col("bytes_low"), F.col("bytes_high"), F.when(F.col("doc_id") % 2 == 0, "exact").otherwise("heuristic")).alias("inside"))
@@ -466,7 +488,7 @@ ORACLES = {
         select doc_id, obj from held union select doc_id, 1000000000 + l_partkey from held join lineitem on l_orderkey = obj""",
     "q15_report_anti": "select c_custkey as doc_id, c_mktsegment as category, c_nationkey::varchar as value from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'F')",
     "q16_running_offsets": """
-        with parts as (select l_orderkey as doc_id, l_linenumber as line, min(l_returnflag || l_partkey) as body from lineitem where l_linenumber < 4 group by 1, 2)
+        with parts as (select l_suppkey as doc_id, l_orderkey * 10 + l_linenumber as line, min(l_returnflag || l_partkey) as body from lineitem group by 1, 2)
         select doc_id, line, cast(coalesce(sum(strlen(body)) over (partition by doc_id order by line rows between unbounded preceding and 1 preceding), 0) as bigint) as start from parts""",
     "q17_gap_fill": """
         with placed as (select distinct l_orderkey as doc_id, l_linenumber::bigint as obj from lineitem where l_quantity > 25),
@@ -540,6 +562,12 @@ ORACLES = {
         with e as (select user_id as session, event_id as place, case when event_id % 4 = 0 then event_id // 4 % 6 end as phase, case event_id % 3 when 0 then 'https://host/' when 1 then 'file:///in/' else 'FILE:///in/' end || event_id || '.pdf' as url from events),
         now as (select *, coalesce(last_value(phase ignore nulls) over (partition by session order by place), 0) as held from e)
         select session, place, url from now where phase is null and url ilike 'file:%' and held not in (1, 3)""",
+    "q48_deep_closure": """
+        with m as (select max(event_id) as most from events), r as (select r_regionkey::bigint as doc_id, r_regionkey * most // 5 as start from region, m)
+        select doc_id, event_id as node from r join events on event_id >= start
+        union all select doc_id, most + 1 from r, m
+        union all select doc_id, -event_id from r join events on event_id >= start and event_id % 10000 = 5000""",
+    "q49_folder_by_ranges": f"with {GOOD} select doc_id, case when bad = 'oversize' then 'emptyInput' else bad end as error_code, case when bad is null then pages end::int as pages, coalesce(bad, '') not in ('oversize', 'emptyInput') as read from rows",
     "q36_within_band": f"""
         with {estimate_sql()}, told as (select *, bytes_high * (1 + doc_id % 5) // 3 as actual, (bytes_low + bytes_high) // 2 as mid from est)
         select doc_id, level, actual, case when actual between bytes_low and bytes_high then true when mid <= 0 then false

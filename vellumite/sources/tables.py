@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import LIMITS, Limits
+from . import ranges as R
 from . import syntax as S
 from .scratch import stored
 
@@ -42,6 +43,7 @@ class Tables:
     xref: DataFrame
     nodes: DataFrame
     payloads: DataFrame
+    taken: DataFrame | None = None
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -136,7 +138,7 @@ def from_stream(stream: S.Stream, budget: list[int], priority: int, limits: Limi
 
 def sections(data: bytes, limits: Limits) -> tuple[list[tuple], dict]:
     """Entries of all sections, (section_seq, priority, ...), newest section first; and the newest trailer."""
-    found = list(re.finditer(rb"startxref\s+(\d+)", data[-65536:]))
+    found = list(re.finditer(rb"startxref\s+(\d+)", bytes(data[-65536:])))
     at = int(found[-1][1]) if found else -1
     if not 0 <= at < len(data):
         raise S.Bad("no cross-reference")
@@ -147,17 +149,13 @@ def sections(data: bytes, limits: Limits) -> tuple[list[tuple], dict]:
         if len(seen) >= limits.sections:
             raise S.Bad("too many cross-reference sections", "unsupported")
         seen.add(at)
-        start = S.skip(data, at)
-        if data.startswith(b"xref", start):
-            own, trailer = classic(data, start + 4, limits)
-            if "XRefStm" in trailer:
-                hybrid = trailer["XRefStm"]
-                if type(hybrid) is not int or not 0 <= hybrid < len(data) or hybrid in seen:
-                    raise S.Bad("bad /XRefStm")
-                seen.add(hybrid)
-                own += from_stream(xref_stream(data, hybrid), budget, 1, limits)[0]
-        else:
-            own, trailer = from_stream(xref_stream(data, at), budget, 0, limits)
+        own, trailer, table = section(data, at, limits, budget)
+        if table and "XRefStm" in trailer:
+            hybrid = trailer["XRefStm"]
+            if type(hybrid) is not int or not 0 <= hybrid < len(data) or hybrid in seen:
+                raise S.Bad("bad /XRefStm")
+            seen.add(hybrid)
+            own += from_stream(xref_stream(data, hybrid), budget, 1, limits)[0]
         entries += [(seq, *e) for e in own]
         newest = trailer if newest is None else newest
         at, seq = trailer.get("Prev"), seq + 1
@@ -166,11 +164,27 @@ def sections(data: bytes, limits: Limits) -> tuple[list[tuple], dict]:
     return entries, newest
 
 
-def xref_stream(data: bytes, at: int) -> S.Stream:
-    value = S.indirect(data, at)[2]
+def section(data: bytes | R.Ranges, at: int, limits: Limits, budget: list[int]) -> tuple[list[tuple], dict, bool]:
+    """Entries and trailer of the section at ``at``, and whether it is a table."""
+
+    def read(part: bytes, whole: bool = True):
+        start = S.skip(part, 0 if part is not data else at)
+        return (*classic(part, start + 4, limits), True) if part.startswith(b"xref", start) else None
+
+    if isinstance(data, R.Ranges):
+        start = data[at : at + R.OBJECT]
+        is_table = start.startswith(b"xref", S.skip(start, 0))
+        found = R.grown(data, at, R.SECTION, read) if is_table else None
+    else:
+        found = read(data)
+    return found or (*from_stream(xref_stream(data, at), budget, 0, limits), False)
+
+
+def xref_stream(data: bytes | R.Ranges, at: int) -> S.Stream:
+    value = (R.indirect if isinstance(data, R.Ranges) else S.indirect)(data, at)[2]
     if not isinstance(value, S.Stream):
         raise S.Bad("no cross-reference stream")
-    return value
+    return R.near(value)
 
 
 def flatten(obj: int, gen: int, value: object) -> list[tuple]:
@@ -204,7 +218,7 @@ def flatten(obj: int, gen: int, value: object) -> list[tuple]:
 class Objects:
     """Objects of one file by number, read when asked for."""
 
-    def __init__(self, data: bytes, entries: list[dict], limits: Limits):
+    def __init__(self, data: bytes | R.Ranges, entries: list[dict], limits: Limits):
         self.data, self.limits, self.budget = data, limits, [limits.inflated_bytes]
         self.entries, self.done, self.open, self.members = {e["obj"]: e for e in entries}, {}, set(), {}
 
@@ -221,7 +235,7 @@ class Objects:
                     raise S.Bad("object is not where it should be")
                 self.done[obj] = 0, members[e["idx"]][1]
             else:
-                number, gen, value = S.indirect(self.data, e["offset"], self.length, self.limits.depth)
+                number, gen, value = (R.indirect if isinstance(self.data, R.Ranges) else S.indirect)(self.data, e["offset"], self.length, self.limits.depth)
                 if (number, gen) != (obj, e["gen"]):
                     raise S.Bad("another object at offset")
                 self.done[obj] = gen, value
@@ -241,7 +255,7 @@ class Objects:
             n, first = value.dict.get("N"), value.dict.get("First")
             if not (isinstance(n, int) and isinstance(first, int) and n >= 0):
                 raise S.Bad("bad object stream")
-            body = S.structural(value, self.budget)
+            body = S.structural(R.near(value), self.budget)
             head = body[:first].split()
             if len(head) < 2 * n or not all(h.isdigit() for h in head[: 2 * n]):
                 raise S.Bad("bad object stream")
@@ -288,6 +302,31 @@ def arrow(ddl: str) -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (c.split() for c in ddl.split(", "))])
 
 
+#: The number under which the bytes read of a file are told.
+READ = -3
+#: Where a file's bytes come from: a column, or ranges of the file itself.
+SOURCE = lambda files: ["content"] if "content" in files.columns else ["path", "length"]
+
+
+def contents(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes | R.Ranges | None]]:
+    """(doc_id, bytes) of a batch with doc_id and content, or path and length; None for what cannot be read."""
+    names = batch.schema.names
+    for i in range(batch.num_rows):
+        doc = batch.column(0)[i].as_py()
+        if "content" in names:
+            yield doc, batch.column(names.index("content"))[i].as_py()
+            continue
+        try:
+            data = R.Ranges(batch.column(names.index("path"))[i].as_py(), batch.column(names.index("length"))[i].as_py())
+        except OSError:
+            yield doc, None
+            continue
+        try:
+            yield doc, data
+        finally:
+            data.close()
+
+
 def scan(files: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """First pass: a row an entry (``obj`` from the sections), the newest trailer's rows (``obj`` -1), or one row with an error."""
     ddl = f"doc_id long, error_code string, reason string, major int, minor int, {ENTRY}, node struct<{NODE.replace(' ', ': ').replace(',: ', ', ')}>"
@@ -295,14 +334,15 @@ def scan(files: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     node = arrow(NODE)
     full = pa.schema([*flat, pa.field("node", pa.struct(list(node)))])
 
-    def one(doc: int, data: bytes) -> list[tuple]:
+    def one(doc: int, data: bytes | R.Ranges) -> list[tuple]:
         none = (None,) * 9
         try:
             if data is None:
                 raise S.Bad("no content", "cannotRead")
-            if not data.startswith(b"%PDF-"):
+            head = data[:16]
+            if not head.startswith(b"%PDF-"):
                 raise S.Bad("no header", "notPDF")
-            major, minor = version(data)
+            major, minor = version(head)
             entries, trailer = sections(data, limits)
             if "Encrypt" in trailer:
                 raise S.Bad("encrypted", "encrypted")
@@ -321,14 +361,16 @@ def scan(files: DataFrame, limits: Limits = LIMITS) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, list[tuple]]]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                doc, data = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                yield doc, b"", one(doc, data)  # the content does not leave the task
+            for doc, data in contents(batch):
+                rows = one(doc, data)
+                if isinstance(data, R.Ranges):
+                    rows.append((doc, None, None, None, None, *(None,) * 9, dict.fromkeys(node.names) | {"obj": READ, "int_val": data.taken}))
+                yield doc, b"", rows  # the content does not leave the task
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from guarded(read(batches), failed, full)
 
-    return files.select("doc_id", "content").mapInArrow(run, ddl)
+    return files.select("doc_id", *SOURCE(files)).mapInArrow(run, ddl)
 
 
 def newest(entries: DataFrame) -> DataFrame:
@@ -342,9 +384,14 @@ def newest(entries: DataFrame) -> DataFrame:
 
 
 def parse(files: DataFrame, limits: Limits = LIMITS) -> Tables:
-    """All tables of ``files`` (doc_id, length, content). Content is read only of files that pass the gate."""
+    """All tables of ``files`` (doc_id, length, content). Content is read only of files that pass the gate.
+
+    Files without content, (doc_id, path, length) of :func:`ranges.list_files`, are
+    read by ranges; ``payloads`` then has the JPEG streams only, which an inspection
+    needs, and ``taken`` the bytes read of each file.
+    """
     gated = stored(gate(files.select("doc_id", "length"), limits), "gate")
-    ready = files.where((F.col("length") > 0) & (F.col("length") <= limits.input_bytes)).select("doc_id", "content")
+    ready = files.where((F.col("length") > 0) & (F.col("length") <= limits.input_bytes)).select("doc_id", *SOURCE(files))
     twice = gated.where("reason is not null").select("doc_id")
     if not twice.isEmpty():
         ready = ready.join(twice, "doc_id", "left_anti")
@@ -354,7 +401,11 @@ def parse(files: DataFrame, limits: Limits = LIMITS) -> Tables:
     schema = f"doc_id long, {NODE}, payload binary"
     shape = arrow(schema)
 
-    def one(doc: int, data: bytes, entries: list[dict]) -> list[tuple]:
+    def wanted(stream: S.Stream) -> bytes | None:
+        how = stream.dict.get("Filter")
+        return bytes(stream.data[:]) if isinstance(stream.data, bytes) or "DCTDecode" in (how if isinstance(how, list) else [how]) else None
+
+    def one(doc: int, data: bytes | R.Ranges, entries: list[dict]) -> list[tuple]:
         try:
             objects, rows = Objects(data, entries, limits), []
             for obj in sorted(objects.entries):
@@ -362,7 +413,7 @@ def parse(files: DataFrame, limits: Limits = LIMITS) -> Tables:
                 if isinstance(value, S.Stream):
                     if value.dict.get("Type") not in ("ObjStm", "XRef"):
                         first, *rest = flatten(obj, gen, value)
-                        rows.append((doc, *first, value.data))
+                        rows.append((doc, *first, wanted(value)))
                         rows += [(doc, *r, None) for r in rest]
                 else:
                     rows += [(doc, *r, None) for r in flatten(obj, gen, value)]
@@ -376,23 +427,27 @@ def parse(files: DataFrame, limits: Limits = LIMITS) -> Tables:
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, list[tuple]]]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                doc, data = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                yield doc, data, one(doc, data, batch.column(2)[i].as_py())
+            for i, (doc, data) in enumerate(contents(batch)):
+                rows = one(doc, data, batch.column(batch.num_columns - 1)[i].as_py())
+                if isinstance(data, R.Ranges):
+                    rows.append((doc, READ, None, 0, None, 0, 0, None, None, "read", None, data.taken, None, None, None, None, None))
+                yield doc, data if isinstance(data, bytes) else b"", rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from guarded(parsed(batches), failed, shape)
 
-    read = stored(ready.join(places, "doc_id").select("doc_id", "content", "entries").mapInArrow(run, schema), "objects")
+    read = stored(ready.join(places, "doc_id").select("doc_id", *SOURCE(files), "entries").mapInArrow(run, schema), "objects")
     unread = gated.where("error_code is null").join(found.select("doc_id").distinct(), "doc_id", "left_anti").selectExpr("doc_id", "'cannotRead' as error_code", "'no content' as reason")
     errors = gated.where("error_code is not null").select("doc_id", "error_code", "reason").unionByName(unread)
     errors = errors.unionByName(found.where("error_code is not null").select("doc_id", "error_code", "reason"))
     errors = errors.unionByName(read.where("obj = -2").selectExpr("doc_id", "key as error_code", "cast(bytes_val as string) as reason"))
     status = stored(gated.select("doc_id").join(errors, "doc_id", "left"), "status")
     good = status.where("error_code is null").select("doc_id")
-    trailer = found.where("node is not null").select("doc_id", "node.*")
+    trailer = found.where("node.obj = -1").select("doc_id", "node.*")
     nodes = read.where("obj >= 0").drop("payload").unionByName(trailer).join(good, "doc_id", "left_semi")
-    docs = found.where("obj is null and error_code is null").groupBy("doc_id").agg(F.max("major").alias("major"), F.max("minor").alias("minor"))
+    docs = found.where("node.obj = -1").groupBy("doc_id").agg(F.max("major").alias("major"), F.max("minor").alias("minor"))
     docs = docs.join(gated.select("doc_id", F.col("length").alias("file_bytes")), "doc_id").join(good, "doc_id", "left_semi")
     payloads = read.where("payload is not null").select("doc_id", "obj", "payload")
-    return Tables(status, stored(docs, "docs"), xref, nodes, payloads)
+    taken = found.where(f"node.obj = {READ}").select("doc_id", "node.int_val").unionByName(read.where(f"obj = {READ}").select("doc_id", "int_val"))
+    taken = taken.groupBy("doc_id").agg(F.sum("int_val").alias("bytes_read"))
+    return Tables(status, stored(docs, "docs"), xref, nodes, payloads, taken)
