@@ -19,6 +19,13 @@ from . import objects as O
 LEAST_SAVED = 48
 
 
+#: Streams above this are packed in parts of this many bytes, each by a task of its own.
+PART = 8 << 20
+#: Fixed value: the first two bytes of what zlib packs as usual.
+ZLIB_HEAD = b"\x78\x9c"
+ADLER = 65521
+
+
 @F.pandas_udf(T.BinaryType())
 def packed(payloads: pd.Series) -> pd.Series:
     """Deflated bytes where they are enough smaller and unpack to the same; else null."""
@@ -30,11 +37,68 @@ def packed(payloads: pd.Series) -> pd.Series:
     return payloads.map(one)
 
 
-def pack(nodes: DataFrame, objects: DataFrame, payloads: DataFrame) -> DataFrame:
+def deflated(raw: bytes, last: bool) -> bytes:
+    """A part of a deflate stream that ends at a whole byte, so that parts made apart can stand one after the other."""
+    z = zlib.compressobj(wbits=-15)
+    return z.compress(raw) + z.flush(zlib.Z_FINISH if last else zlib.Z_SYNC_FLUSH)
+
+
+def adler_of(parts: list[tuple[int, int]]) -> int:
+    """The Adler-32 sum of bytes from those of their parts, (sum, length) each."""
+    low, high = 1, 0
+    for adler, n in parts:
+        a, b = adler & 0xFFFF, adler >> 16
+        high = (high + b + n * (low - 1)) % ADLER
+        low = (low + a - 1) % ADLER
+    return high << 16 | low
+
+
+PACKED_PART = T.StructType([T.StructField("packed", T.BinaryType()), T.StructField("adler", T.LongType()), T.StructField("n", T.LongType())])
+
+
+@F.pandas_udf(PACKED_PART)
+def packed_part(raw: pd.Series, last: pd.Series) -> pd.DataFrame:
+    rows = []
+    for data, end in zip(raw, last, strict=True):
+        small = deflated(data, bool(end))
+        same = zlib.decompressobj(wbits=-15).decompress(small) == data
+        rows.append((small if same else None, zlib.adler32(data), len(data)))
+    return pd.DataFrame(rows, columns=["packed", "adler", "n"], index=raw.index)
+
+
+@F.pandas_udf(T.BinaryType())
+def joined_parts(parts: pd.Series) -> pd.Series:
+    """One zlib stream from its packed parts in order, where it is enough smaller; else null."""
+
+    def one(rows: list) -> bytes | None:
+        if any(r["packed"] is None for r in rows):
+            return None
+        adler = adler_of([(r["adler"], r["n"]) for r in rows])
+        small = b"".join([ZLIB_HEAD, *(r["packed"] for r in rows), adler.to_bytes(4, "big")])
+        return small if len(small) + LEAST_SAVED < sum(r["n"] for r in rows) else None
+
+    return parts.map(one)
+
+
+def pack_large(payloads: DataFrame, part: int = PART) -> DataFrame:
+    """:func:`packed` of long payloads: cut into parts, which are dealt over the tasks, packed, checked, and put together."""
+    ends = f"int((octet_length(payload) - 1) div {part})"
+    cut = payloads.selectExpr("doc_id", "obj", "payload", f"explode(sequence(0, {ends})) as at")
+    cut = cut.selectExpr("doc_id", "obj", "at", f"substring(payload, at * {part} + 1, {part}) as raw", f"at = {ends} as last")
+    made = cut.repartition("doc_id", "obj", "at").select("doc_id", "obj", "at", packed_part("raw", "last").alias("made"))
+    whole = made.groupBy("doc_id", "obj").agg(F.sort_array(F.collect_list(F.struct("at", "made"))).alias("parts"))
+    return whole.select("doc_id", "obj", joined_parts(F.transform("parts", lambda p: p["made"])).alias("payload")).where("payload is not null")
+
+
+def pack(nodes: DataFrame, objects: DataFrame, payloads: DataFrame, part: int = PART) -> DataFrame:
     """(doc_id, obj, payload) of the streams of ``nodes`` that packing shrinks, packed."""
     kept = nodes.where("node_id = 0 and kind = 'stream'").select("doc_id", "obj")
-    wanted = objects.where(O.packable()).select("doc_id", "obj").join(kept, ["doc_id", "obj"], "left_semi")
-    return payloads.join(wanted, ["doc_id", "obj"], "left_semi").select("doc_id", "obj", packed("payload").alias("payload")).where("payload is not null")
+    wanted = objects.where(O.packable()).select("doc_id", "obj", "payload_bytes").join(kept, ["doc_id", "obj"], "left_semi")
+    short = payloads.join(wanted.where(f"payload_bytes <= {part}"), ["doc_id", "obj"], "left_semi").select("doc_id", "obj", packed("payload").alias("payload")).where("payload is not null")
+    long = wanted.where(f"payload_bytes > {part}").select("doc_id", "obj")
+    if long.isEmpty():
+        return short
+    return short.unionByName(pack_large(payloads.join(long, ["doc_id", "obj"], "left_semi"), part))
 
 
 def with_filter(nodes: DataFrame, done: DataFrame) -> DataFrame:
