@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from vellumite.config import ERRORS, LIMITS, profile
 from vellumite.operators.compress import again
-from vellumite.operators.sanitize import sanitize
+from vellumite.operators.sanitize import inspect, sanitize
 from vellumite.sources import syntax as S
+from vellumite.sources.scratch import made as made_tables
 from vellumite.sources.tables import guarded, parse, version
 
 
@@ -45,6 +46,25 @@ def test_far_generation_is_kept(spark):
     assert b"/Font 3 3000000000 R" in bytes(done.files.first().content)
 
 
+def test_lost_page_is_refused(spark):
+    """A page that a clean takes for metadata would be gone from the copy: the file is refused, the good one beside it is not; the inspection of what a clean wrote needs no second clean."""
+    N, file = S.Name, planter.File(b"%PDF-1.4")
+    page = {N("Type"): N("Metadata"), N("Parent"): S.Ref(2, 0)}
+    for n, v in {1: {N("Type"): N("Catalog"), N("Pages"): S.Ref(2, 0)}, 2: {N("Type"): N("Pages"), N("Count"): 2, N("Kids"): [S.Ref(3, 0), S.Ref(4, 0)]}, 3: {N("Type"): N("Page"), N("Parent"): S.Ref(2, 0)}, 4: page}.items():
+        file.put(n, v)
+    file.table([*range(5)], {N("Root"): S.Ref(1, 0)}, 5)
+    held = len(made_tables())
+    done = sanitize(frame(spark, {1: bytes(file.data), 72: made(72)}))
+    assert len(made_tables()) - held <= 33
+    got = {r.doc_id: (r.error_code, r.reason) for r in done.status.collect()}
+    assert got == {1: ("corrupt", "pages changed"), 72: (None, None)} and [r.doc_id for r in done.files.select("doc_id").collect()] == [72]
+    whole = inspect(done.files)
+    for name in ("residuals", "images", "inventory", "findings"):
+        a, b = getattr(done.after, name).where("doc_id = 72"), getattr(whole, name)
+        assert a.exceptAll(b).collect() == [] == b.exceptAll(a).collect(), name
+    assert done.after.kept.where("doc_id = 72").count() == whole.kept.count()
+
+
 def test_versions():
     assert version(b"%PDF-99999999999") == (99, 4) and version(b"%PDF-1.7") == (1, 7) and version(b"%PDF-2.0 ") == (2, 0) and version(b"%PDF-") == (1, 4)
 

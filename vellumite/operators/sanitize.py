@@ -33,8 +33,11 @@ class Inspection:
     kept: DataFrame
 
 
-def inspect(files: DataFrame) -> Inspection:
-    """Everything that is told about ``files`` (doc_id, length, content), or of files listed by :func:`ranges.list_files`, of which ranges are read only."""
+def inspect(files: DataFrame, cleaned: bool = False) -> Inspection:
+    """Everything that is told about ``files`` (doc_id, length, content), or of files listed by :func:`ranges.list_files`, of which ranges are read only.
+
+    ``cleaned``: the files come out of a clean with the usual options, so another one would keep all of them.
+    """
     tables = parse(files)
     status = stored(I.with_pages(tables), "page_status")
     good = status.where("error_code is null").select("doc_id")
@@ -43,11 +46,15 @@ def inspect(files: DataFrame) -> Inspection:
     objects = stored(O.objects(nodes), "object_rows")
     facts = stored(I.flags(nodes, objects), "facts")
     scrubbed = stored(images_with_metadata(objects, tables.payloads), "scrubbed")
-    kept = stored(I.kept_after_clean(nodes, objects), "kept")
-    kept_objects = stored(O.objects(kept), "kept_objects")
-    kept_facts = stored(I.flags(kept, kept_objects), "kept_facts")
+    if cleaned:
+        kept, kept_objects, kept_facts = nodes, objects, facts
+    else:
+        kept = stored(I.kept_after_clean(nodes, objects), "kept")
+        kept_objects = stored(O.objects(kept), "kept_objects")
+        kept_facts = stored(I.flags(kept, kept_objects), "kept_facts")
     stays = I.residuals(kept_facts, facts.where("signed").select("doc_id"))
-    images = stored(I.image_counts(kept, kept_objects), "image_counts")
+    images = I.image_counts(kept, kept_objects)
+    images = images if cleaned else stored(images, "image_counts")
     return Inspection(tables, status, objects, facts, scrubbed, stored(I.findings(nodes, facts, scrubbed), "findings"), stays, I.inventory(objects, tables.docs), images, kept)
 
 
@@ -121,7 +128,7 @@ def sanitize(files: DataFrame, options: Options = DEFAULT, level: int = 0, befor
     if options.new_file_id:
         nodes = new_ids(nodes)
     out = stored(write(with_filter(nodes, packed), payloads, before.tables.docs), "cleaned")
-    after = inspect(out)
+    after = inspect(out, cleaned=options == DEFAULT)
     pages = after.status.selectExpr("doc_id", "pages as pages_after", "error_code as error_after")
     checked = before.status.join(refused.withColumn("refused", F.lit(True)), "doc_id", "left").join(pages, "doc_id", "left")
     lost = "error_code is null and refused is null and (error_after is not null or not (pages <=> pages_after))"

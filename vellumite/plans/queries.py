@@ -192,6 +192,12 @@ def q27_estimate_text(spark, sf_dir):
     return rows.join(original, "doc_id").select("doc_id", "level", "bytes_mid", "caption", sizes.savings(F.col("file_bytes"), F.col("bytes_mid")).alias("savings"))
 
 
+def q50_estimate_display(spark, sf_dir):
+    """Ranges as they are shown, of estimates and of exact sizes."""
+    shown = sizes.estimate_text(sizes.estimates(synthetic_inventory(spark, sf_dir))).unionByName(sizes.estimate_text(q37_exact_probe(spark, sf_dir)))
+    return shown.select("doc_id", "level", "method", "display", "caption")
+
+
 def q28_output_names(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").selectExpr("doc_id", "concat('/in/', source, '/doc.', doc_id, '.PDF') as path", "cast(doc_id % 8 - 2 as int) as level")
     return rows.select("doc_id", sizes.output_name(F.col("path"), F.col("level")).alias("name"))
@@ -520,6 +526,13 @@ ORACLES = {
         share as (select *, round((file_bytes - bytes_mid)::double / file_bytes * 100)::bigint as pct from mid)
         select doc_id, level, bytes_mid, case when confidence >= 0.8 then 'Estimate' when confidence >= 0.6 then 'Rough estimate' else 'Rough estimate — actual may differ' end as caption,
                case when bytes_mid < file_bytes and pct >= 1 then '−' || pct || '%' end as savings from share""",
+    "q50_estimate_display": f"""
+        with {estimate_sql()}, probe as (select doc_id, 2 as level, greatest(1, n - greatest(32, n // 100)) as bytes_low, n + greatest(32, n // 100) as bytes_high, 0.98::double as confidence, 'exact' as method
+            from (select doc_id, n_chars * 7 as n, n_chars * 30000 as input_bytes from documents) where input_bytes > 0 and input_bytes <= 15728640),
+        both_ as (select doc_id, level, bytes_low, bytes_high, confidence, 'heuristic' as method from est union all select * from probe),
+        told as (select *, {label_sql('bytes_low')} as lo, {label_sql('bytes_high')} as hi, {label_sql('((bytes_low + bytes_high) // 2)')} as mid, (bytes_high - bytes_low)::double / greatest(1, bytes_high) as span from both_)
+        select doc_id, level, method, case when bytes_high <= 0 then '0 bytes' when method = 'exact' and (lo = hi or span < 0.04) then mid when span < 0.08 or lo = hi then '~' || hi else '~' || lo || '–' || hi end as display,
+               case when method = 'exact' then 'Measured from a dry-run export' when confidence >= 0.8 then 'Estimate' when confidence >= 0.6 then 'Rough estimate' else 'Rough estimate — actual may differ' end as caption from told""",
     "q28_output_names": "select doc_id, 'doc.' || doc_id || '-' || case greatest(0, least(4, doc_id % 8 - 2)) when 0 then 'clean' when 1 then 'clean-light' when 2 then 'clean-balanced' when 3 then 'clean-strong' else 'clean-max' end || '.pdf' as name from documents",
     "q29_target_pixels": "with s as (select doc_id, (1 + n_chars % 5000)::int as w, (1 + doc_id * 7 % 3000)::int as h from documents), t as (select *, least(1::double, 1600::double / greatest(w, h)) as k from s) select doc_id, greatest(1, round(w * k)::int) as width, greatest(1, round(h * k)::int) as height from t",
     "q30_image_counts": f"with {GOOD} select doc_id, images + photos as images, 1 + photos as eligible from good where images > 0",
