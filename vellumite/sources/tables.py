@@ -349,7 +349,7 @@ def scan(files: DataFrame, limits: Limits = LIMITS) -> DataFrame:
             if not isinstance(trailer.get("Root"), S.Ref):
                 raise S.Bad("no document catalog")
             most = max((e[3] for e in entries if e[5] != "free"), default=0)
-            if max(len({e[3] for e in entries}), most + 1, trailer["Size"] if isinstance(trailer.get("Size"), int) else 0) > limits.objects:
+            if max(len({e[3] for e in entries}), most + 1, trailer["Size"] if isinstance(trailer.get("Size"), (int, float)) else 0) > limits.objects:
                 raise S.Bad("too many objects", "unsupported")
             rows = [(doc, None, None, major, minor, *e, None) for e in entries]
             return rows + [(doc, None, None, major, minor, *none, dict(zip(node.names, r, strict=True))) for r in flatten(-1, 0, trailer)]
