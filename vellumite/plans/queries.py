@@ -38,7 +38,8 @@ def once(spark: SparkSession, sf_dir: str, what: str, make):
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return once(spark, sf_dir, "files", lambda: stored(planted.plant(table(spark, sf_dir, "documents")), "planted"))
+    # dealt by id: a table of one file, or of few row groups, would be planted and parsed by as few tasks
+    return once(spark, sf_dir, "files", lambda: stored(planted.plant(table(spark, sf_dir, "documents").repartition("doc_id")), "planted"))
 
 
 def seen(spark: SparkSession, sf_dir: str) -> sanitize.Inspection:
