@@ -45,3 +45,14 @@ def test_graphs_of_all_kinds(spark, monkeypatch):
     got = reach.closure(frame(edges, "src long, dst long"), frame(start, "origin int, node long"))
     assert sorted((r.origin, r.node) for r in got.collect()) == sorted(walked(edges, start))
     assert written.count("jumps") <= 20
+
+
+def test_dead_ends_along_a_chain_take_no_rounds(spark, monkeypatch):
+    edges = {(i, i + 1) for i in range(400)} | {(i, -i) for i in range(5, 400, 10)} | {(-15, -15), (-25, -1000), (-1000, -1001)}
+    start, written = {(0, 0), (1, 200), (2, -25), (3, -35), (4, 9999)}, []
+    stored = reach.stored
+    monkeypatch.setattr(reach, "stored", lambda df, name: written.append(name) or stored(df, name))
+    frame = lambda rows, ddl: spark.createDataFrame(sorted(rows), ddl)
+    got = reach.closure(frame(edges, "src long, dst long"), frame(start, "origin int, node long"))
+    assert sorted((r.origin, r.node) for r in got.collect()) == sorted(walked(edges, start))
+    assert written.count("reach") <= 6

@@ -59,16 +59,49 @@ def sweep(nodes: DataFrame) -> DataFrame:
 def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
     """(origin, node): all nodes that can be reached from ``start`` (origin, node) over one graph's ``edges`` (src, dst), itself included.
 
-    Chains - nodes with one way in and one way out - are not walked link by link:
-    their links are numbered by pointer doubling, in rounds as many as the
-    logarithm of the longest, and a walk crosses a chain in one step. So rounds
-    follow the branchings on the way, not the depth.
+    Dead ends - nodes with no way out but to themselves - beside a way that leads on
+    are left out of the walk and met at its end, by one join each time they were
+    taken off. Chains - nodes
+    with one way in and one way out - are not walked link by link: their links are
+    numbered by pointer doubling, in rounds as many as the logarithm of the longest,
+    and a walk crosses a chain in one step. So rounds follow the branchings on the
+    way that lead on, not the depth.
     """
     edges = stored(edges.distinct(), "edges")
+    start = stored(start.select("origin", "node").distinct(), "starts")
+    tails = []
+    for _ in range(DEAD_ENDS):
+        edges, dead = without_dead_ends(edges)
+        if dead is None:
+            break
+        tails.append(dead)
+    seen = walk_chains(edges, start)
+    for dead in reversed(tails):
+        ends = seen.withColumnRenamed("node", "src").join(dead, "src").selectExpr("origin", "dst as node")
+        seen = seen.unionByName(ends).distinct()
+    return seen
+
+
+#: Times that dead ends are taken off at most.
+DEAD_ENDS = 4
+
+
+def without_dead_ends(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``edges`` apart from those into nodes that have no way out, where their source has another way that leads on; and those, None where there are none."""
+    led = edges.where("src <> dst")
+    on = led.select(F.col("src").alias("dst")).distinct().withColumn("on", F.lit(True))
+    marked = led.join(on, "dst", "left").selectExpr("src", "dst", "on is not null as on")
+    marked = stored(marked.selectExpr("src", "dst", "not on and max(on) over (partition by src) as dead"), "led")
+    dead = marked.where("dead").select("src", "dst")
+    return (edges, None) if dead.isEmpty() else (marked.where("not dead").select("src", "dst"), dead)
+
+
+def walk_chains(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """:func:`closure` of distinct ``edges``, chains crossed in one step."""
     links, ends = chains(edges)
     # an edge into a chain leads to its end; the chain's own first edges are kept by number
     heads = stored(links.select("node", "chain", "place"), "chain_places")
-    seen = frontier = stored(start.select("origin", "node").distinct(), "reach")
+    seen = frontier = start
     entries = None
     rounds = 0
     while not frontier.isEmpty():
