@@ -9,8 +9,7 @@
    Martinsson and Tropp 2011, with power iterations) gives the latent space, of
    a sixth as many dimensions as there are segments, between ``RANK``'s two. Each
    multiplication with the matrix is a Spark job; only term-by-rank matrices
-   reach the driver. The space is fitted on the passages that a hash picks,
-   ``SVD_PASSAGES`` or about so many; every passage is searched.
+   reach the driver. The space is fitted on all passages, and all are searched.
 4. Every passage is a candidate for each segment with which its cosine in the
    latent space reaches ``COSINE``. A passage that holds ``COVER`` of a segment's
    words is one whatever its cosine, so no copy is lost by the rank of the space.
@@ -44,10 +43,10 @@ from . import common
 
 SEGMENT, STEP, WINDOW = 32, 32, 64
 RANK, EXTRA, POWER = (48, 128), 16, 1
-SVD_PASSAGES = 200_000
 COSINE, COVER, PARAPHRASE, ANSWER = 0.2, 0.7, 0.5, 0.8
 ITEM_BLOCK, BLOCKS = 16_000, 8  # words of a block of items, and blocks for one reading of the texts
 CHUNK = 1 << 16  # words of texts that a task handles together
+GRAM = 1 << 12  # and in a step of the fit
 SLAB = 512
 OUTER = b".,;:!?\"'()[]"
 
@@ -158,73 +157,65 @@ def windows_of(words: int) -> int:
 
 
 def frequencies(coded: DataFrame, terms: int) -> DataFrame:
-    """(term, n): texts that hold each term; -1 counts the texts, -2 their windows."""
+    """(term, n): texts that hold each term; -1 counts the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = windows = 0
+        total = 0
         df = np.zeros(terms, np.int64)
         for batch in batches:
             for packed in batch.column(0).to_pylist():
                 ids = unpacked(packed)
                 used = np.unique(ids)
                 df[used[used >= 0]] += 1
-                total, windows = total + 1, windows + windows_of(len(ids))
+                total += 1
         used = np.nonzero(df)[0]
-        yield pa.record_batch({"term": pa.array([-2, -1, *used.tolist()], pa.int64()), "n": pa.array([windows, total, *df[used].tolist()], pa.int64())})
+        yield pa.record_batch({"term": pa.array([-1, *used.tolist()], pa.int64()), "n": pa.array([total, *df[used].tolist()], pa.int64())})
 
     return coded.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def sampled(coded: DataFrame, columns, share: float) -> DataFrame:
-    """(terms): the block's terms of the windows that a hash of text and place picks, about ``share`` of all; int32 bytes."""
+def pieces(ids: np.ndarray, words: int = CHUNK) -> Iterator[tuple[int, np.ndarray]]:
+    """(first word, part): a very long text goes in parts that share a step, so no window is cut."""
+    for lo in range(0, max(len(ids) - STEP, 1), words):
+        yield lo, ids[lo : lo + words + STEP]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = columns.value
-        for batch in batches:
-            out = []
-            for packed in batch.column(0).to_pylist():
-                ids = unpacked(packed)
-                place = np.arange(windows_of(len(ids)), dtype=np.uint64)
-                mixed = (place + np.uint64(zlib.crc32(packed))) * np.uint64(0x9E3779B97F4A7C15)
-                for w in np.nonzero((mixed >> np.uint64(32)) < share * 2**32)[0].tolist():
-                    part = own[ids[w * STEP : w * STEP + WINDOW]]
-                    out.append(part[part >= 0].tobytes())
-            yield pa.record_batch({"terms": pa.array(out, pa.binary())})
-
-    return coded.select("ids").mapInArrow(run, "terms binary")
-
-
-def latent(held: list[bytes], idf: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Unit TF-IDF passages times ``basis``; with the flat terms and their weights."""
-    parts = [np.frombuffer(b, np.int32) for b in held]
-    sizes = np.array([len(p) for p in parts])
-    terms = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-    owner = np.repeat(np.arange(len(parts)), sizes)
-    cell, place = np.unique(owner.astype(np.int64) * len(idf) + terms, return_inverse=True)
-    tf = np.bincount(place, minlength=len(cell))
-    owner, terms = cell // len(idf), (cell % len(idf)).astype(np.int64)
-    weight = tf * idf[terms]
-    norms = np.sqrt(np.maximum(np.bincount(owner, weight**2, len(parts)), 1e-12))
-    weight = (weight / norms[owner]).astype(np.float32)
-    out = np.zeros((len(parts), basis.shape[1]), np.float32)
-    if len(owner):
-        rows, starts = np.unique(owner, return_index=True)
-        out[rows] = np.add.reduceat(basis[terms] * weight[:, None], starts, axis=0)
-    return out, np.stack([owner, terms]), weight
-
-
-def gram_times(found: DataFrame, block, basis: np.ndarray) -> np.ndarray:
-    """(A^T A) basis for the TF-IDF matrix A of the passages and the block's segments: one job, summed by slabs of terms."""
-    shared = found.sparkSession.sparkContext.broadcast(basis)
+
+def cells_of(texts: list[np.ndarray], terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(window, term, times), by window and term, of all windows of ``texts`` (term numbers, -1: none); and how many windows each text has."""
+    windows = np.array([windows_of(len(t)) for t in texts], np.int64)
+    first = np.cumsum([0, *windows])
+    sizes = np.array([len(t) for t in texts], np.int64)
+    ids = np.concatenate([*texts, np.zeros(0, np.int64)])
+    at = np.nonzero(ids >= 0)[0]
+    text = np.repeat(np.arange(len(texts)), sizes)[at]
+    step = (at - (np.cumsum(sizes) - sizes)[text]) // STEP
+    term = ids[at].astype(np.int64)
+    # each place lies in the window of its step and in the one before
+    one, two = step < windows[text], step > 0
+    cells = np.concatenate([(first[text] + step)[one] * terms + term[one], (first[text] + step - 1)[two] * terms + term[two]])
+    cells, tf = np.unique(cells, return_counts=True)
+    return cells // terms, cells % terms, tf, windows
+
+
+def gram_times(coded: DataFrame, block, columns, basis: np.ndarray) -> np.ndarray:
+    """(A^T A) basis for the TF-IDF matrix A of all passages and the block's segments: one job, summed by slabs of terms."""
+    shared = coded.sparkSession.sparkContext.broadcast(basis)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        b, basis = block.value, shared.value
+        b, own, basis = block.value, columns.value, shared.value
         total = np.zeros(basis.shape, np.float64)
+        texts, size = [], 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                add_gram(total, batch.column(0).slice(lo, 1024).to_pylist(), b.idf, basis)
+            for packed in batch.column(0).to_pylist():
+                for _, part in pieces(own[unpacked(packed)], GRAM):
+                    texts.append(part)
+                    size += len(part)
+                    if size > GRAM:
+                        add_gram(total, texts, b.idf, basis)
+                        texts, size = [], 0
+        add_gram(total, texts, b.idf, basis)
         pid = TaskContext.get().partitionId()
         slabs = range(0, len(total), SLAB)
         yield pa.record_batch({"part": pa.array([pid % 32] * len(slabs), pa.int32()), "slab": pa.array(slabs, pa.int32()), "sums": pa.array([total[i : i + SLAB].tobytes() for i in slabs], pa.binary())})
@@ -234,31 +225,40 @@ def gram_times(found: DataFrame, block, basis: np.ndarray) -> np.ndarray:
         return pa.table({"part": table.column("part")[:1], "slab": table.column("slab")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
 
     schema = "part int, slab int, sums binary"
-    sums = found.select("terms").mapInArrow(run, schema).groupBy("part", "slab").applyInArrow(add, schema).groupBy("slab").applyInArrow(add, schema)
+    sums = coded.select("ids").mapInArrow(run, schema).groupBy("part", "slab").applyInArrow(add, schema).groupBy("slab").applyInArrow(add, schema)
     out = np.zeros(basis.shape, np.float64)
     for r in sums.collect():  # terms x rank numbers
         part = np.frombuffer(r.sums, np.float64).reshape(-1, basis.shape[1])
         out[r.slab : r.slab + len(part)] = part
-    add_gram(out, [np.array(part, np.int32).tobytes() for _, part, _ in block.value.segments], block.value.idf, basis)
+    parts = [np.array(part, np.int32) for _, part, _ in block.value.segments]
+    for i in range(0, len(parts), 128):
+        add_gram(out, parts[i : i + 128], block.value.idf, basis)
     return out
 
 
-def add_gram(total: np.ndarray, held: list[bytes], idf: np.ndarray, basis: np.ndarray) -> None:
-    y, (owner, terms), weight = latent(held, idf, basis)
-    order = np.argsort(terms, kind="stable")
-    if len(order):
-        used, starts = np.unique(terms[order], return_index=True)
-        total[used] += np.add.reduceat(y[owner[order]] * weight[order][:, None], starts, axis=0)
+def add_gram(total: np.ndarray, texts: list[np.ndarray], idf: np.ndarray, basis: np.ndarray) -> None:
+    """Add (A^T A) ``basis`` to ``total`` for the windows of ``texts``."""
+    window, term, tf, _ = cells_of(texts, len(idf))
+    if not len(window):
+        return
+    weight = tf.astype(np.float32) * idf[term]
+    rows, starts, sizes = np.unique(window, return_index=True, return_counts=True)
+    weight /= np.repeat(np.sqrt(np.add.reduceat(weight * weight, starts)), sizes)
+    # a matrix of the terms at hand: some hundred windows at most
+    used, at = np.unique(term, return_inverse=True)
+    matrix = np.zeros((len(rows), len(used)), np.float32)
+    matrix[np.repeat(np.arange(len(rows)), sizes), at] = weight
+    total[used] += matrix.T @ (matrix @ basis[used])
 
 
-def latent_basis(found: DataFrame, block) -> np.ndarray:
+def latent_basis(coded: DataFrame, block, columns) -> np.ndarray:
     """Right singular vectors (terms x rank) of the TF-IDF matrix by randomised SVD."""
     terms, rank = len(block.value.words), block.value.rank()
     width = min(rank + EXTRA, terms)
     q = np.linalg.qr(np.random.default_rng(11).standard_normal((terms, width)))[0]
     for _ in range(POWER):
-        q = np.linalg.qr(gram_times(found, block, q.astype(np.float32)))[0]
-    core = gram_times(found, block, q.astype(np.float32))
+        q = np.linalg.qr(gram_times(coded, block, columns, q.astype(np.float32)))[0]
+    core = gram_times(coded, block, columns, q.astype(np.float32))
     values, vectors = np.linalg.eigh(q.T @ core)
     return (q @ vectors[:, ::-1][:, :rank]).astype(np.float32)
 
@@ -272,20 +272,8 @@ def search(texts: list[np.ndarray], block: Block, weighted: np.ndarray, goal: np
 
     ``weighted`` is the basis by term weight.
     """
-    windows = np.array([windows_of(len(t)) for t in texts])
+    window, term, tf, windows = cells_of(texts, len(block.words))
     first = np.cumsum([0, *windows])
-    total = int(first[-1])
-    sizes = np.array([len(t) for t in texts])
-    ids = np.concatenate([*texts, np.zeros(0, np.int64)])
-    at = np.nonzero(ids >= 0)[0]
-    text = np.repeat(np.arange(len(texts)), sizes)[at]
-    step = (at - (np.cumsum(sizes) - sizes)[text]) // STEP
-    term = ids[at].astype(np.int64)
-    # each place lies in the window of its step and in the one before
-    one, two = step < windows[text], step > 0
-    cells = np.concatenate([(first[text] + step)[one] * len(block.words) + term[one], (first[text] + step - 1)[two] * len(block.words) + term[two]])
-    cells, tf = np.unique(cells, return_counts=True)
-    window, term = cells // len(block.words), cells % len(block.words)
     rows, starts = np.unique(window, return_index=True)
     if not len(rows):
         return
@@ -331,9 +319,7 @@ def matches(coded: DataFrame, block, columns, basis: np.ndarray) -> DataFrame:
         for batch in batches:
             for doc, packed in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
                 ids = own[unpacked(packed)]
-                # a very long text goes in parts that share a step, so no window is cut
-                for lo in range(0, max(len(ids) - STEP, 1), CHUNK):
-                    part = ids[lo : lo + CHUNK + STEP]
+                for lo, part in pieces(ids):
                     if lo or len(ids) > CHUNK + STEP:
                         if docs:
                             yield leaky(docs, texts, b, weighted, goal)
@@ -386,8 +372,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             # from the group's numbers to the block's; the last place is that of no term
             columns = np.array([block.terms.get(w, -1) for w in terms] + [-1], np.int32)
             columns, shared = (spark.sparkContext.broadcast(v) for v in (columns, block))
-            found = common.stored(sampled(coded, columns, min(1.0, SVD_PASSAGES / max(counts.get(-2, 0), 1))), "passages")
-            out.append(matches(coded, shared, columns, latent_basis(found, shared)))
+            out.append(matches(coded, shared, columns, latent_basis(coded, shared, columns)))
     return functools.reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], LEAK)
 
 
