@@ -90,15 +90,18 @@ def pack_large(payloads: DataFrame, part: int = PART) -> DataFrame:
     return whole.select("doc_id", "obj", joined_parts(F.transform("parts", lambda p: p["made"])).alias("payload")).where("payload is not null")
 
 
-def pack(nodes: DataFrame, objects: DataFrame, payloads: DataFrame, part: int = PART) -> DataFrame:
-    """(doc_id, obj, payload) of the streams of ``nodes`` that packing shrinks, packed."""
-    kept = nodes.where("node_id = 0 and kind = 'stream'").select("doc_id", "obj")
-    wanted = objects.where(O.packable()).select("doc_id", "obj", "payload_bytes").join(kept, ["doc_id", "obj"], "left_semi")
-    short = payloads.join(wanted.where(f"payload_bytes <= {part}"), ["doc_id", "obj"], "left_semi").select("doc_id", "obj", packed("payload").alias("payload")).where("payload is not null")
-    long = wanted.where(f"payload_bytes > {part}").select("doc_id", "obj")
-    if long.isEmpty():
-        return short
-    return short.unionByName(pack_large(payloads.join(long, ["doc_id", "obj"], "left_semi"), part))
+def pack(payloads: DataFrame, part: int = PART) -> DataFrame:
+    """(doc_id, obj, payload, shrunk): all streams worth packing, in use or not, packed where that shrinks them, else as they are.
+
+    Which ones these are is told by their ``role``, so short ones, most of all, are packed where they lie.
+    """
+    wanted = payloads.where("role = 'pack'")
+    short = wanted.where(f"n <= {part}").select("doc_id", "obj", "payload", packed("payload").alias("small"))
+    long = wanted.where(f"n > {part}")
+    if not long.isEmpty():
+        made = pack_large(long, part).withColumnRenamed("payload", "small")
+        short = short.unionByName(long.select("doc_id", "obj", "payload").join(made, ["doc_id", "obj"], "left"))
+    return short.selectExpr("doc_id", "obj", "coalesce(small, payload) as payload", "small is not null as shrunk")
 
 
 def with_filter(nodes: DataFrame, done: DataFrame) -> DataFrame:

@@ -103,7 +103,7 @@ def findings(nodes: DataFrame, facts: DataFrame, shortened: DataFrame | None = N
 
 def kept_after_clean(nodes: DataFrame, objects: DataFrame | None = None, options: Options = DEFAULT) -> DataFrame:
     """The document as it would be saved: metadata detached, objects out of use dropped. Image bytes and the file ID are changed on writing."""
-    return sweep(stored(strip(nodes, options, objects), "stripped"))
+    return sweep(strip(nodes, options, objects))
 
 
 def residuals(kept_facts: DataFrame, signed: DataFrame) -> DataFrame:
@@ -139,9 +139,13 @@ def image_counts(kept: DataFrame, kept_objects: DataFrame) -> DataFrame:
     return marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("images"), F.count_if(F.expr("ok and mask is null")).alias("eligible"))
 
 
+#: Reasons of a file whose objects could be read but not its pages.
+LOST_PAGES = ("page tree cannot be followed", "no pages")
+
+
 def with_pages(tables: Tables) -> DataFrame:
     """``status`` in which a page tree that cannot be followed, or is empty, is an error."""
     pages = stored(page_counts(tables.nodes), "pages")
     joined = tables.status.join(pages, "doc_id", "left").withColumn("pages", F.expr("case when error_code is null then pages end"))
     bad = F.expr("error_code is null and coalesce(pages, 0) < 1")
-    return joined.select("doc_id", F.when(bad, "corrupt").otherwise(F.col("error_code")).alias("error_code"), F.when(bad & F.col("pages").isNull(), "page tree cannot be followed").when(bad, "no pages").otherwise(F.col("reason")).alias("reason"), "pages")
+    return joined.select("doc_id", F.when(bad, "corrupt").otherwise(F.col("error_code")).alias("error_code"), F.when(bad & F.col("pages").isNull(), LOST_PAGES[0]).when(bad, LOST_PAGES[1]).otherwise(F.col("reason")).alias("reason"), "pages")

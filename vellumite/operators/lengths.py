@@ -98,7 +98,9 @@ def changes(seen, nodes: DataFrame, scrubbed: DataFrame, levels: tuple[int, ...]
     sized = lambda changed, n, level: object_lengths(changed).where("obj >= 0").join(n.selectExpr("doc_id", "obj", "n"), ["doc_id", "obj"]).select("doc_id", "obj", F.lit(level).alias("level"), F.expr(IN_FILE).alias("other"))
     packs = [i for i in levels if profile(i).pack]
     if packs:
-        small = stored(pack(nodes, seen.objects, seen.tables.payloads).selectExpr("doc_id", "obj", "cast(octet_length(payload) as long) as n"), "packed_lengths")
+        # a clean has them packed; else their lengths alone are kept
+        small = seen.made("packed") or pack(seen.tables.payloads)
+        small = stored(small.where("shrunk").selectExpr("doc_id", "obj", "cast(octet_length(payload) as long) as n"), "packed_lengths")
         own = nodes.join(small.select("doc_id", "obj"), ["doc_id", "obj"], "left_semi")
         once = sized(with_filter(own, small), small, packs[0]).drop("level")
         parts.append(once.select("*", F.explode(F.array(*(F.lit(i) for i in packs))).alias("level")))
@@ -107,7 +109,7 @@ def changes(seen, nodes: DataFrame, scrubbed: DataFrame, levels: tuple[int, ...]
         if profile(i).edge:
             if masks is None:
                 masks, wanted = I.mask_targets(nodes), seen.objects.where(O.eligible()).select("doc_id", "obj")
-                images = seen.tables.payloads.join(wanted, ["doc_id", "obj"], "left_semi").join(scrubbed.withColumnRenamed("payload", "_new"), ["doc_id", "obj"], "left")
+                images = seen.tables.payloads.where("role = 'dct'").join(wanted, ["doc_id", "obj"], "left_semi").join(scrubbed.withColumnRenamed("payload", "_new"), ["doc_id", "obj"], "left")
                 images = images.select("doc_id", "obj", F.coalesce("_new", "payload").alias("payload"))
             coded = recompress(nodes, seen.objects, images, masks, profile(i))
             coded = stored(coded.selectExpr("doc_id", "obj", "cast(octet_length(payload) as long) as n", "width", "height", "gray"), "image_lengths")

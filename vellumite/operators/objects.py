@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import LEAST_PACKED
+
+
 def text() -> Column:
     """A string's bytes as UTF-8 where that is valid, else as Latin-1."""
     return F.coalesce(F.try_validate_utf8(F.col("bytes_val").cast("string")), latin())
@@ -61,7 +64,7 @@ def eligible() -> Column:
 
 def packable() -> Column:
     """Streams worth packing."""
-    raw = (F.col("kind") == "stream") & (F.col("payload_bytes") >= 64) & ~F.col("dct") & ~has("Filter") & ~has("F")
+    raw = (F.col("kind") == "stream") & (F.col("payload_bytes") >= LEAST_PACKED) & ~F.col("dct") & ~has("Filter") & ~has("F")
     image = F.col("type_name").eqNullSafe("XObject") & F.col("subtype").eqNullSafe("Image")
     return F.coalesce(raw & ~F.col("type_name").eqNullSafe("Metadata") & ~image, F.lit(False))
 

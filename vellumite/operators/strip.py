@@ -25,27 +25,34 @@ def strip(nodes: DataFrame, options: Options = DEFAULT, objects: DataFrame | Non
     """
     if options.document_info:
         nodes = nodes.where("not (obj = -1 and top_key <=> 'Info')")
-    if options.catalog_xmp or options.piece_info:
+    if options.object_metadata:  # the catalog's too
+        keys = ["Metadata", *(["PieceInfo", "LastModified"] if options.piece_info else [])]
+        nodes = nodes.where(~((F.col("obj") >= 0) & under(keys)))
+    elif options.catalog_xmp or options.piece_info:
         keys = ["Metadata"] * options.catalog_xmp + ["PieceInfo"] * options.piece_info
         nodes = without(nodes, O.roots(nodes).withColumnRenamed("root", "obj"), keys)
-    if options.object_metadata:
-        keys = ["Metadata", *(["PieceInfo", "LastModified"] if options.piece_info else [])]
-        nodes = nodes.where(~((F.col("obj") >= 0) & F.coalesce(F.col("top_key").isin(keys), F.lit(False))))
-        doomed = nodes.where("depth = 1 and obj >= 0 and key = 'Type' and kind = 'name' and bytes_val = X'4D65746164617461'").select("doc_id", "obj")
-        nodes = nodes.join(doomed.distinct(), ["doc_id", "obj"], "left_anti")
+    whole = nodes
     if options.annotations:
         objects = O.objects(nodes) if objects is None else objects
         notes = objects.where("obj >= 0").where(O.annotation()).select("doc_id", "obj", F.col("subtype").eqNullSafe("Widget").alias("widget"))
-        nodes = nodes.join(notes, ["doc_id", "obj"], "left")
-        gone = F.col("widget").isNotNull() & F.col("top_key").isin(*ANNOTATION_DATES) | ~F.coalesce("widget", F.lit(True)) & F.col("top_key").isin(*ANNOTATION_AUTHORS)
-        nodes = nodes.where(~F.coalesce(gone, F.lit(False))).drop("widget")
+        nodes = without(nodes, notes.select("doc_id", "obj"), list(ANNOTATION_DATES), notes.where("not widget").select("doc_id", "obj"), list(ANNOTATION_AUTHORS))
+    if options.object_metadata:
+        doomed = whole.where("depth = 1 and obj >= 0 and key = 'Type' and kind = 'name' and bytes_val = X'4D65746164617461'").select("doc_id", "obj")
+        nodes = nodes.join(doomed.distinct(), ["doc_id", "obj"], "left_anti")
     return nodes
 
 
-def without(nodes: DataFrame, objects: DataFrame, keys: list[str]) -> DataFrame:
-    """``nodes`` without ``keys`` in the own dictionaries of ``objects``."""
-    marked = nodes.join(objects.distinct().withColumn("_hit", F.lit(True)), ["doc_id", "obj"], "left")
-    return marked.where(~(F.coalesce("_hit", F.lit(False)) & F.coalesce(F.col("top_key").isin(keys), F.lit(False)))).drop("_hit")
+def under(keys: list[str]):
+    return F.coalesce(F.col("top_key").isin(keys), F.lit(False))
+
+
+def without(nodes: DataFrame, *pairs) -> DataFrame:
+    """``nodes`` without some keys in the own dictionaries of some objects, given in turn: objects, keys, and so on. Only the rows under these keys are joined."""
+    keys = [k for names in pairs[1::2] for k in names]
+    out = nodes.where(~under(keys))
+    for objects, names in zip(pairs[::2], pairs[1::2], strict=True):
+        out = out.unionByName(nodes.where(under(names)).join(objects.distinct(), ["doc_id", "obj"], "left_anti"))
+    return out
 
 
 @F.pandas_udf(T.BinaryType())
@@ -56,7 +63,7 @@ def scrubbed(payloads):
 def images_with_metadata(objects: DataFrame, payloads: DataFrame) -> DataFrame:
     """(doc_id, obj, payload): DCT streams that a scrub shortens, scrubbed."""
     dct = objects.where("kind = 'stream' and dct").select("doc_id", "obj")
-    before = payloads.join(dct, ["doc_id", "obj"], "left_semi").withColumnRenamed("payload", "before")
+    before = payloads.where("role = 'dct'").join(dct, ["doc_id", "obj"], "left_semi").withColumnRenamed("payload", "before")
     return before.withColumn("payload", scrubbed("before")).where("octet_length(payload) <> octet_length(before)").select("doc_id", "obj", "payload")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,37 +36,38 @@ def stream_parts(value: dict) -> tuple[bytes, bytes]:
 
 
 def parts(nodes: DataFrame) -> DataFrame:
-    """(doc_id, obj, gen, head, tail): each object as it stands in the file, a stream's up to and after its /Length (others have no tail);
-    the trailer's dictionary under -1, without keys of the old layout."""
+    """(doc_id, obj, gen, head, tail, packed_head, packed_tail): each object as it stands in the file, a stream's up to and after its /Length (others have no tail),
+    and as it stands there once it is packed; the trailer's dictionary under -1, without keys of the old layout."""
     nodes = nodes.where("not (obj = -1 and coalesce(top_key, '') in ('Prev', 'XRefStm', 'Encrypt', 'Size'))")
     columns = ["node_id", "parent_id", "key", "kind", "bool_val", "int_val", "real_val", "bytes_val", "ref_obj", "ref_gen"]
     grouped = nodes.groupBy("doc_id", "obj", F.when(F.col("obj") >= 0, F.col("gen")).alias("gen")).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            heads, tails = [], []
+            made = []
             for obj, gen, rows in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 value, start = value_of(rows), b"" if obj < 0 else b"%d %d obj\n" % (obj, gen or 0)
-                head, tail = stream_parts(value) if rows[0]["kind"] == "stream" else (S.written(value) + (b"" if obj < 0 else END), None)
-                heads.append(start + head)
-                tails.append(tail)
-            yield pa.record_batch({"doc_id": batch.column(0), "obj": batch.column(1), "gen": batch.column(2), "head": pa.array(heads, pa.binary()), "tail": pa.array(tails, pa.binary())})
-
-    return grouped.select("doc_id", "obj", "gen", "rows").mapInArrow(run, "doc_id long, obj long, gen int, head binary, tail binary")
-
-
+                if rows[0]["kind"] != "stream":
+                    made.append((start + S.written(value) + (b"" if obj < 0 else END), None, None, None))
+                    continue
+                head, tail = stream_parts(value)
+                if "Filter" in value:
+                    made.append((start + head, tail, None, None))
+                    continue
+                other, end = stream_parts({k: v for k, v in value.items() if k not in ("DecodeParms", "DP")} | {S.Name("Filter"): S.Name("FlateDecode")})
+                made.append((start + head, tail, start + other, end))
+            columns = list(zip(*made, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, pa.binary()) for c in columns)], names=["doc_id", "obj", "gen", *PART_BYTES])
+
+    return grouped.select("doc_id", "obj", "gen", "rows").mapInArrow(run, "doc_id long, obj long, gen int, " + ", ".join(f"{c} binary" for c in PART_BYTES))
+
+
+PART_BYTES = ("head", "tail", "packed_head", "packed_tail")
 END, STREAM, ENDSTREAM = b"\nendobj\n", b"\nstream\n", b"\nendstream"
 
 
-def body() -> Column:
-    """An object of :func:`parts`, joined with its payload. The JVM puts the bytes between."""
-    length = F.concat(F.lit("/Length "), F.octet_length("payload").cast("string"), F.lit(" ")).cast("binary")
-    stream = F.concat("head", length, "tail", F.lit(STREAM), "payload", F.lit(ENDSTREAM + END))
-    return F.when(F.col("tail").isNull(), F.col("head")).otherwise(stream)
-
-
-#: Bytes of the same, from the payload's length ``n`` alone.
-SIZE = f"octet_length(head) + if(tail is null, 0, octet_length(tail) + n + length(concat('/Length ', n, ' ')) + {len(STREAM + ENDSTREAM + END)})"
+#: Bytes of an object of :func:`parts` in a file, from the lengths of its ``head`` and ``tail`` and its payload's length ``n``.
+SIZE = f"head + if(tail is null, 0, tail + n + length(concat('/Length ', n, ' ')) + {len(STREAM + ENDSTREAM + END)})"
 
 
 def offsets(parts: DataFrame, head: int, size: str = "octet_length(body)") -> DataFrame:
@@ -83,30 +85,69 @@ def gaps(placed: DataFrame) -> DataFrame:
 HEAD = b"%%PDF-%d.%d\n%%\xe2\xe3\xcf\xd3\n"
 
 
-def write(nodes: DataFrame, payloads: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, length, content): the files. ``payloads`` (doc_id, obj, payload) are the bytes of the streams.
+def layered(layers: list[DataFrame]) -> DataFrame:
+    """One table of ``layers``, ``rank`` telling which; the last one that has an object counts."""
+    ranked = [t.withColumn("rank", F.lit(i)) for i, t in enumerate(layers)]
+    out = ranked[0]
+    for t in ranked[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out
 
-    Offsets come from lengths alone, so a payload moves twice: to its object, and to its file.
+
+def write(made: list[DataFrame], payloads: list[DataFrame], docs: DataFrame) -> DataFrame:
+    """(doc_id, length, content): the files. ``made`` are layers of :func:`parts`, ``payloads`` of streams' bytes (doc_id, obj, payload, and ``shrunk`` of
+    those that may be packed); of an object the last layer that has it counts.
+
+    Offsets come from lengths alone. The bytes move once: parts and payloads are dealt by file and put together there in the order of their numbers,
+    so neither is joined with the other, and payloads of objects that have no part are left out.
     """
-    made = stored(parts(nodes), "parts")
-    lengths = payloads.select("doc_id", "obj", F.octet_length("payload").cast("long").alias("n"))
-    placed = offsets(made.where("obj >= 0").join(lengths, ["doc_id", "obj"], "left"), len(HEAD % (1, 4)), SIZE).select("doc_id", "obj", "gen", "offset")
+    parts_, payloads_ = layered(made), layered([t if "shrunk" in t.columns else t.withColumn("shrunk", F.lit(False)) for t in payloads])
+    told = parts_.select("doc_id", "obj", F.struct("rank", "gen", *(F.octet_length(c).cast("long").alias(c) for c in PART_BYTES)).alias("part"), F.lit(None).cast("struct<rank: int, n: long, shrunk: boolean>").alias("own"))
+    told = told.unionByName(payloads_.select("doc_id", "obj", F.lit(None).cast(told.schema["part"].dataType).alias("part"), F.struct("rank", F.octet_length("payload").cast("long").alias("n"), "shrunk").alias("own")))
+    last = told.groupBy("doc_id", "obj").agg(F.max("part").alias("part"), F.max("own").alias("own")).where("obj >= 0 and part is not null")
+    shrunk = "coalesce(own.shrunk and part.packed_tail is not null, false)"
+    sized = last.selectExpr("doc_id", "obj", "part.gen as gen", f"if({shrunk}, part.packed_head, part.head) as head", f"if({shrunk}, part.packed_tail, part.tail) as tail", "own.n as n")
+    placed = offsets(sized, len(HEAD % (1, 4)), SIZE).select("doc_id", "obj", "gen", "offset")
     free = F.when(F.col("obj") == 0, F.lit("0000000000 65535 f \n")).otherwise(F.lit("0000000000 00000 f \n"))
     line = F.when(F.col("offset").isNull(), free).otherwise(F.concat(F.lpad(F.col("offset").cast("string"), 10, "0"), F.lit(" "), F.lpad(F.col("gen").cast("string"), 5, "0"), F.lit(" n \n")))
     table = gaps(placed).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("obj", line.alias("line")))), lambda e: e["line"]), "").alias("xref"), (F.max("obj") + 1).alias("size"))
-    bytes_ = made.where("obj >= 0").join(payloads, ["doc_id", "obj"], "left").select("doc_id", "obj", body().alias("body"))
-    bytes_ = bytes_.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("obj", "body"))), lambda e: e["body"]).alias("bodies"))
-    trailer = made.where("obj = -1").select("doc_id", F.col("head").alias("trailer"))
-    joined = docs.select("doc_id", "major", "minor").join(bytes_, "doc_id").join(table, "doc_id").join(trailer, "doc_id")
+    heads = docs.select("doc_id", "major", "minor").join(table, "doc_id").withColumn("obj", F.lit(-1).cast("long")).withColumn("rank", F.lit(0))
+    # of one object first its parts, then its payloads, the last layer first
+    rows = parts_.withColumn("what", F.lit(0)).unionByName(payloads_.select("doc_id", "obj", "rank", "payload", "shrunk").withColumn("what", F.lit(1)), allowMissingColumns=True)
+    rows = rows.unionByName(heads.withColumn("what", F.lit(2)), allowMissingColumns=True)
+    rows = rows.repartition("doc_id").sortWithinPartitions("doc_id", "obj", "what", F.desc("rank"))
+    columns = ["doc_id", "obj", "what", *PART_BYTES, "payload", "shrunk", "major", "minor", "xref", "size"]
+
+    def file_of(rows: Iterator[dict]) -> bytes | None:
+        """A file from its rows; None where its objects, its trailer or its table are missing."""
+        trailer, about, bodies = None, None, []
+        for obj, own in itertools.groupby(rows, lambda r: r["obj"]):
+            first, payload = None, None
+            for r in own:
+                if r["what"] == 0:
+                    first = first or r
+                elif r["what"] == 1:
+                    payload = payload or r
+                else:
+                    about = r
+            if obj < 0:
+                trailer = first
+            elif first and first["tail"] is None:
+                bodies.append(first["head"])
+            elif first:
+                data, way = payload["payload"], "packed_" if payload["shrunk"] and first["packed_tail"] is not None else ""
+                bodies += [first[way + "head"], b"/Length %d " % len(data), first[way + "tail"], STREAM, data, ENDSTREAM, END]
+        if trailer is None or about is None or not bodies:
+            return None
+        version = (2, 0) if about["major"] >= 2 else (1, min(7, max(0, about["minor"])))
+        data = b"".join([HEAD % version, *bodies])
+        return data + b"xref\n0 %d\n" % about["size"] + about["xref"].encode() + b"trailer\n" + trailer["head"][:-2] + b"/Size %d >>" % about["size"] + b"\nstartxref\n%d\n%%%%EOF\n" % len(data)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):  # a file at a time
-                doc, major, minor, bodies, xref, size, trailer = (c[i] for c in batch.columns)
-                version = (2, 0) if major.as_py() >= 2 else (1, min(7, max(0, minor.as_py())))
-                data = b"".join([HEAD % version, *(b.as_buffer() for b in bodies)])
-                size = size.as_py()
-                end = b"xref\n0 %d\n" % size + xref.as_py().encode() + b"trailer\n" + trailer.as_py()[:-2] + b"/Size %d >>" % size + b"\nstartxref\n%d\n%%%%EOF\n" % len(data)
-                yield pa.record_batch({"doc_id": pa.array([doc.as_py()], pa.int64()), "length": pa.array([len(data) + len(end)], pa.int64()), "content": pa.array([data + end], pa.binary())})
-
-    return joined.select("doc_id", "major", "minor", "bodies", "xref", "size", "trailer").mapInArrow(run, "doc_id long, length long, content binary")
+        rows = (dict(zip(columns, r, strict=True)) for b in batches for at in range(0, b.num_rows, 256) for r in zip(*(c.to_pylist() for c in b.slice(at, 256).columns), strict=True))
+        for doc, own in itertools.groupby(rows, lambda r: r["doc_id"]):
+            data = file_of(own)
+            if data is not None:  # a file at a time
+                yield pa.record_batch({"doc_id": pa.array([doc], pa.int64()), "length": pa.array([len(data)], pa.int64()), "content": pa.array([data], pa.binary())})
+
+    return rows.select(*columns).mapInArrow(run, "doc_id long, length long, content binary")

@@ -1,9 +1,10 @@
 """From files to tables: status, cross-reference entries, and the values of all objects as rows.
 
-Reading is two Python passes over the bytes with a Spark merge between them. The
-first finds each file's cross-reference sections and gives their entries; a
-window keeps the newest of each object; the second pass reads the objects at the
-places that won. Nothing a file does can fail the job: it gets a row in ``status``.
+A file's bytes are read once, where they lie, and never shuffled: its task finds
+the cross-reference sections, keeps the newest entry of each object (:func:`won`,
+of at most as many as a file may have), and reads the objects at the places that
+won. ``xref`` has the same entries by Spark's windows (:func:`newest`), for who
+asks for them. Nothing a file does can fail the job: it gets a row in ``status``.
 
 ``nodes`` holds one row a value, in the order of the file: ``node_id`` 0 is the
 object itself, ``parent_id`` the value around it, ``top_key`` the key of the
@@ -36,7 +37,10 @@ STREAM_ONLY = ("Length", "Filter", "DecodeParms", "W", "Index", "Type", "F")
 
 @dataclass
 class Tables:
-    """``status`` (doc_id, error_code, reason) of all files, ``docs``, ``xref``, ``nodes``, and ``payloads`` (doc_id, obj, payload)."""
+    """``status`` (doc_id, error_code, reason) of all files, ``docs``, ``xref``, ``nodes``, and ``payloads`` (doc_id, obj, n, role, payload).
+
+    ``role`` tells without a join what may be done to a stream: 'pack' where :func:`objects.packable` holds, 'dct' where a filter is DCTDecode.
+    """
 
     status: DataFrame
     docs: DataFrame
@@ -327,50 +331,73 @@ def contents(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes | R.Ranges | No
             data.close()
 
 
-def scan(files: DataFrame, limits: Limits = LIMITS) -> DataFrame:
-    """First pass: a row an entry (``obj`` from the sections), the newest trailer's rows (``obj`` -1), or one row with an error."""
-    ddl = f"doc_id long, error_code string, reason string, major int, minor int, {ENTRY}, node struct<{NODE.replace(' ', ': ').replace(',: ', ', ')}>"
-    flat = arrow("doc_id long, error_code string, reason string, major int, minor int, " + ENTRY)
-    node = arrow(NODE)
-    full = pa.schema([*flat, pa.field("node", pa.struct(list(node)))])
-
-    def one(doc: int, data: bytes | R.Ranges) -> list[tuple]:
-        none = (None,) * 9
-        try:
-            if data is None:
-                raise S.Bad("no content", "cannotRead")
-            head = data[:16]
-            if not head.startswith(b"%PDF-"):
-                raise S.Bad("no header", "notPDF")
-            major, minor = version(head)
-            entries, trailer = sections(data, limits)
-            if "Encrypt" in trailer:
-                raise S.Bad("encrypted", "encrypted")
-            if not isinstance(trailer.get("Root"), S.Ref):
-                raise S.Bad("no document catalog")
-            most = max((e[3] for e in entries if e[5] != "free"), default=0)
-            if max(len({e[3] for e in entries}), most + 1, trailer["Size"] if isinstance(trailer.get("Size"), (int, float)) else 0) > limits.objects:
-                raise S.Bad("too many objects", "unsupported")
-            rows = [(doc, None, None, major, minor, *e, None) for e in entries]
-            return rows + [(doc, None, None, major, minor, *none, dict(zip(node.names, r, strict=True))) for r in flatten(-1, 0, trailer)]
-        except Exception as e:  # whatever a damaged file provokes
-            return [failed(doc, e)]
+def opened(data: bytes | R.Ranges | None, limits: Limits) -> tuple[int, int, list[tuple], dict]:
+    """Version, entries of all sections and newest trailer of a file that can be read."""
+    if data is None:
+        raise S.Bad("no content", "cannotRead")
+    head = data[:16]
+    if not head.startswith(b"%PDF-"):
+        raise S.Bad("no header", "notPDF")
+    entries, trailer = sections(data, limits)
+    if "Encrypt" in trailer:
+        raise S.Bad("encrypted", "encrypted")
+    if not isinstance(trailer.get("Root"), S.Ref):
+        raise S.Bad("no document catalog")
+    most = max((e[3] for e in entries if e[5] != "free"), default=0)
+    if max(len({e[3] for e in entries}), most + 1, trailer["Size"] if isinstance(trailer.get("Size"), (int, float)) else 0) > limits.objects:
+        raise S.Bad("too many objects", "unsupported")
+    return *version(head), entries, trailer
 
-    def failed(doc: int, e: Exception) -> tuple:
-        return doc, e.code if isinstance(e, S.Bad) else "corrupt", str(e) if isinstance(e, S.Bad) else type(e).__name__, None, None, *(None,) * 9, None
+
+def scan(files: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+    """A row an entry of each file's sections; none of files that cannot be read."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, list[tuple]]]:
         for batch in batches:
             for doc, data in contents(batch):
-                rows = one(doc, data)
-                if isinstance(data, R.Ranges):
-                    rows.append((doc, None, None, None, None, *(None,) * 9, dict.fromkeys(node.names) | {"obj": READ, "int_val": data.taken}))
-                yield doc, b"", rows  # the content does not leave the task
+                try:
+                    yield doc, b"", [(doc, *e) for e in opened(data, limits)[2]]  # the content does not leave the task
+                except Exception:  # told by the status
+                    continue
+
+    shape = arrow("doc_id long, " + ENTRY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from guarded(read(batches), failed, full)
+        yield from guarded(read(batches), lambda doc, e: (doc, *(None,) * 9), shape)
 
-    return files.select("doc_id", *SOURCE(files)).mapInArrow(run, ddl)
+    return files.select("doc_id", *SOURCE(files)).mapInArrow(run, "doc_id long, " + ENTRY).where("obj is not null")
+
+
+def won(entries: list[tuple]) -> list[dict]:
+    """The entries of one file that count, but for free ones, as :func:`newest` has them: the last of a section's own and of its hybrid stream's, then the newest section, then by priority."""
+    last, best = {}, {}
+    for e in entries:  # in the order of their places
+        last[e[3], e[0], e[2] == 1] = e
+    for e in last.values():
+        held = best.get(e[3])
+        if held is None or (e[0], e[2]) < (held[0], held[2]):
+            best[e[3]] = e
+    return [{"obj": e[3], "gen": e[4], "kind": e[5], "offset": e[6], "stream": e[7], "idx": e[8]} for e in best.values() if e[5] != "free"]
+
+
+def role(stream: S.Stream) -> str | None:
+    """What may be done to a stream, as :func:`objects.packable` and ``dct`` of :func:`objects.objects` say of its rows."""
+    d, how = stream.dict, stream.dict.get("Filter")
+    if holds_dct(how):
+        return "dct"
+    named = {k: v if isinstance(v := d.get(k), S.Name) else None for k in ("Type", "Subtype")}
+    left = named["Type"] == "Metadata" or (named["Type"] == "XObject" and named["Subtype"] == "Image")
+    return None if left or "Filter" in d or "F" in d or len(stream.data) < LEAST_PACKED else "pack"
+
+
+def holds_dct(how: object) -> bool:
+    """Whether a /Filter names DCTDecode, however deep."""
+    items = how if isinstance(how, list) else how.values() if isinstance(how, dict) else None
+    return isinstance(how, S.Name) and how == "DCTDecode" if items is None else any(map(holds_dct, items))
+
+
+#: Bytes that a stream has at least to be worth packing.
+LEAST_PACKED = 64
 
 
 def newest(entries: DataFrame) -> DataFrame:
@@ -395,59 +422,61 @@ def parse(files: DataFrame, limits: Limits = LIMITS) -> Tables:
     twice = gated.where("reason is not null").select("doc_id")
     if not twice.isEmpty():
         ready = ready.join(twice, "doc_id", "left_anti")
-    found = stored(scan(ready, limits), "scan")
-    xref = newest(found.where("obj is not null").select("doc_id", *(c.split()[0] for c in ENTRY.split(", "))))
-    places = xref.where("kind <> 'free'").groupBy("doc_id").agg(F.collect_list(F.struct("obj", "gen", "kind", "offset", "stream", "idx")).alias("entries"))
-    schema = f"doc_id long, {NODE}, payload binary"
+    schema = f"doc_id long, {NODE}, role string, major int, minor int, payload binary"
     shape = arrow(schema)
+    none = (None,) * 4
 
     def wanted(stream: S.Stream) -> bytes | None:
         how = stream.dict.get("Filter")
         return bytes(stream.data[:]) if isinstance(stream.data, bytes) or "DCTDecode" in (how if isinstance(how, list) else [how]) else None
 
-    def one(doc: int, data: bytes | R.Ranges, entries: list[dict]) -> list[tuple]:
+    def one(doc: int, data: bytes | R.Ranges | None) -> list[tuple]:
+        """The rows of all objects, and of the trailer under -1, the first with the version; one row under -2 where the file cannot be read."""
+        try:
+            major, minor, entries, trailer = opened(data, limits)
+        except Exception as e:  # whatever a damaged file provokes
+            return [failed(doc, e if isinstance(e, S.Bad) else S.Bad(type(e).__name__))]
         try:
-            objects, rows = Objects(data, entries, limits), []
+            objects, rows = Objects(data, won(entries), limits), []
             for obj in sorted(objects.entries):
                 gen, value = objects.get(obj)
                 if isinstance(value, S.Stream):
                     if value.dict.get("Type") not in ("ObjStm", "XRef"):
                         first, *rest = flatten(obj, gen, value)
-                        rows.append((doc, *first, wanted(value)))
-                        rows += [(doc, *r, None) for r in rest]
+                        rows.append((doc, *first, role(value), None, None, wanted(value)))
+                        rows += [(doc, *r, *none) for r in rest]
                 else:
-                    rows += [(doc, *r, None) for r in flatten(obj, gen, value)]
-            return rows
+                    rows += [(doc, *r, *none) for r in flatten(obj, gen, value)]
+            first, *rest = flatten(-1, 0, trailer)
+            return [*rows, (doc, *first, None, major, minor, None), *((doc, *r, *none) for r in rest)]
         except Exception as e:
             return [failed(doc, e)]
 
     def failed(doc: int, e: Exception) -> tuple:
         code = e.code if isinstance(e, S.Bad) else "corrupt"
-        return doc, -2, None, 0, None, 0, 0, code, None, "error", None, None, None, str(e).encode(), None, None, None
+        return doc, -2, None, 0, None, 0, 0, code, None, "error", None, None, None, str(e).encode(), None, None, *none
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, list[tuple]]]:
         for batch in batches:
-            for i, (doc, data) in enumerate(contents(batch)):
-                rows = one(doc, data, batch.column(batch.num_columns - 1)[i].as_py())
+            for doc, data in contents(batch):
+                rows = one(doc, data)
                 if isinstance(data, R.Ranges):
-                    rows.append((doc, READ, None, 0, None, 0, 0, None, None, "read", None, data.taken, None, None, None, None, None))
+                    rows.append((doc, READ, None, 0, None, 0, 0, None, None, "read", None, data.taken, None, None, None, None, *none))
                 yield doc, data if isinstance(data, bytes) else b"", rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from guarded(parsed(batches), failed, shape)
 
-    read = stored(ready.join(places, "doc_id").select("doc_id", *SOURCE(files), "entries").mapInArrow(run, schema), "objects")
-    unread = gated.where("error_code is null").join(found.select("doc_id").distinct(), "doc_id", "left_anti").selectExpr("doc_id", "'cannotRead' as error_code", "'no content' as reason")
+    read = stored(ready.mapInArrow(run, schema), "objects", "zstd")
+    # a file that was read has one of these rows
+    told = read.where("obj = -2 or obj = -1 and node_id = 0").select("doc_id")
+    unread = gated.where("error_code is null").join(told, "doc_id", "left_anti").selectExpr("doc_id", "'cannotRead' as error_code", "'no content' as reason")
     errors = gated.where("error_code is not null").select("doc_id", "error_code", "reason").unionByName(unread)
-    errors = errors.unionByName(found.where("error_code is not null").select("doc_id", "error_code", "reason"))
     errors = errors.unionByName(read.where("obj = -2").selectExpr("doc_id", "key as error_code", "cast(bytes_val as string) as reason"))
     status = stored(gated.select("doc_id").join(errors, "doc_id", "left"), "status")
-    good = status.where("error_code is null").select("doc_id")
-    trailer = found.where("node.obj = -1").select("doc_id", "node.*")
-    nodes = read.where("obj >= 0").drop("payload").unionByName(trailer).join(good, "doc_id", "left_semi")
-    docs = found.where("node.obj = -1").groupBy("doc_id").agg(F.max("major").alias("major"), F.max("minor").alias("minor"))
-    docs = docs.join(gated.select("doc_id", F.col("length").alias("file_bytes")), "doc_id").join(good, "doc_id", "left_semi")
-    payloads = read.where("payload is not null").select("doc_id", "obj", "payload")
-    taken = found.where(f"node.obj = {READ}").select("doc_id", "node.int_val").unionByName(read.where(f"obj = {READ}").select("doc_id", "int_val"))
-    taken = taken.groupBy("doc_id").agg(F.sum("int_val").alias("bytes_read"))
+    nodes = read.where("obj >= -1").drop("role", "major", "minor", "payload")
+    docs = read.where("obj = -1 and node_id = 0").select("doc_id", "major", "minor").join(gated.select("doc_id", F.col("length").alias("file_bytes")), "doc_id")
+    payloads = read.where("payload is not null").select("doc_id", "obj", F.col("int_val").alias("n"), "role", "payload")
+    taken = read.where(f"obj = {READ}").selectExpr("doc_id", "int_val as bytes_read")
+    xref = newest(scan(ready, limits))
     return Tables(status, stored(docs, "docs"), xref, nodes, payloads, taken)
