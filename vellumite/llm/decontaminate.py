@@ -31,7 +31,6 @@ from __future__ import annotations
 import functools
 import itertools
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,7 +44,8 @@ SEGMENT, STEP, WINDOW = 32, 32, 64
 RANK, EXTRA, POWER = (48, 128), 16, 1
 COSINE, COVER, PARAPHRASE, ANSWER = 0.2, 0.7, 0.5, 0.8
 ITEM_BLOCK, BLOCKS = 16_000, 8  # words of a block of items, and blocks for one reading of the texts
-CHUNK = 1 << 16  # words of texts that a task handles together
+CHUNK = 1 << 16  # words of a long text that a task handles together
+NEAR = 1 << 13  # words of short texts, so few that their tables stay in the processor's cache
 GRAM = 1 << 12  # and in a step of the fit
 SLAB = 512
 OUTER = b".,;:!?\"'()[]"
@@ -137,19 +137,20 @@ class Block:
 
 
 def code(docs: DataFrame, terms) -> DataFrame:
-    """(doc_id, ids): each text as the numbers of its terms (-1: none), packed."""
+    """(doc_id, ids): each text as the numbers of its terms (-1: none), of :func:`number_kind`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Terms(terms.value)
+        known, kind = Terms(terms.value), number_kind(len(terms.value))
         for batch in batches:
-            out = [zlib.compress(known.numbers(text.lower().split()).tobytes(), 1) for text in common.byte_texts(batch, "text")]
+            out = [known.numbers(text.lower().split()).astype(kind).tobytes() for text in common.byte_texts(batch, "text")]
             yield pa.record_batch({"doc_id": batch.column(0), "ids": pa.array(out, pa.binary())})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
 
 
-def unpacked(ids: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(ids), np.int32)
+def number_kind(terms: int) -> type:
+    """The shortest integers that number so many terms."""
+    return np.int16 if terms < 1 << 15 else np.int32
 
 
 def windows_of(words: int) -> int:
@@ -160,11 +161,11 @@ def frequencies(coded: DataFrame, terms: int) -> DataFrame:
     """(term, n): texts that hold each term; -1 counts the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0
+        total, kind = 0, number_kind(terms)
         df = np.zeros(terms, np.int64)
         for batch in batches:
             for packed in batch.column(0).to_pylist():
-                ids = unpacked(packed)
+                ids = np.frombuffer(packed, kind)
                 used = np.unique(ids)
                 df[used[used >= 0]] += 1
                 total += 1
@@ -205,11 +206,11 @@ def gram_times(coded: DataFrame, block, columns, basis: np.ndarray) -> np.ndarra
         from pyspark import TaskContext
 
         b, own, basis = block.value, columns.value, shared.value
-        total = np.zeros(basis.shape, np.float64)
+        total, kind = np.zeros(basis.shape, np.float64), number_kind(len(own) - 1)
         texts, size = [], 0
         for batch in batches:
             for packed in batch.column(0).to_pylist():
-                for _, part in pieces(own[unpacked(packed)], GRAM):
+                for _, part in pieces(own[np.frombuffer(packed, kind)], GRAM):
                     texts.append(part)
                     size += len(part)
                     if size > GRAM:
@@ -236,18 +237,27 @@ def gram_times(coded: DataFrame, block, columns, basis: np.ndarray) -> np.ndarra
     return out
 
 
+def run_starts(ordered: np.ndarray) -> np.ndarray:
+    """Where each run of equal numbers begins."""
+    return np.nonzero(np.diff(ordered, prepend=ordered[:1] - 1))[0]
+
+
 def add_gram(total: np.ndarray, texts: list[np.ndarray], idf: np.ndarray, basis: np.ndarray) -> None:
     """Add (A^T A) ``basis`` to ``total`` for the windows of ``texts``."""
     window, term, tf, _ = cells_of(texts, len(idf))
     if not len(window):
         return
     weight = tf.astype(np.float32) * idf[term]
-    rows, starts, sizes = np.unique(window, return_index=True, return_counts=True)
+    starts = run_starts(window)
+    sizes = np.diff(starts, append=len(window))
     weight /= np.repeat(np.sqrt(np.add.reduceat(weight * weight, starts)), sizes)
     # a matrix of the terms at hand: some hundred windows at most
-    used, at = np.unique(term, return_inverse=True)
-    matrix = np.zeros((len(rows), len(used)), np.float32)
-    matrix[np.repeat(np.arange(len(rows)), sizes), at] = weight
+    at = np.zeros(len(idf), np.int64)
+    at[term] = 1
+    used = np.nonzero(at)[0]
+    at[used] = np.arange(len(used))
+    matrix = np.zeros((len(starts), len(used)), np.float32)
+    matrix[np.repeat(np.arange(len(starts)), sizes), at[term]] = weight
     total[used] += matrix.T @ (matrix @ basis[used])
 
 
@@ -274,14 +284,21 @@ def search(texts: list[np.ndarray], block: Block, weighted: np.ndarray, goal: np
     """
     window, term, tf, windows = cells_of(texts, len(block.words))
     first = np.cumsum([0, *windows])
-    rows, starts = np.unique(window, return_index=True)
-    if not len(rows):
+    if not len(window):
         return
+    starts = run_starts(window)
     # words of a segment that a window holds: no common subsequence is longer
     most = np.add.reduceat(block.times[term], starts, axis=0).view(np.uint8)[:, : len(block.segments)]
-    latent_rows = np.add.reduceat(weighted[term] * tf[:, None].astype(np.float32), starts, axis=0)
+    enough = most >= block.need_part
+    # only windows with enough of some segment's words can be candidates: the others need no place in the latent space
+    hit = enough.any(axis=1)
+    if not hit.any():
+        return
+    sizes = np.diff(starts, append=len(window))
+    cells, rows, most, enough = np.repeat(hit, sizes), window[starts[hit]], most[hit], enough[hit]
+    latent_rows = np.add.reduceat(weighted[term[cells]] * tf[cells][:, None].astype(np.float32), np.cumsum(sizes[hit]) - sizes[hit], axis=0)
     cosines = unit(latent_rows) @ goal.T
-    chosen = (most >= block.need_part) & ((cosines >= COSINE) | (most >= block.need_cover))
+    chosen = enough & ((cosines >= COSINE) | (most >= block.need_cover))
     owner = np.repeat(np.arange(len(texts)), windows)
     for i, j in zip(*(a.tolist() for a in np.nonzero(chosen)), strict=True):
         w = int(rows[i])
@@ -315,10 +332,10 @@ def matches(coded: DataFrame, block, columns, basis: np.ndarray) -> DataFrame:
         b, own, basis = block.value, columns.value, shared.value
         weighted = basis * b.idf[:, None]
         goal = unit(np.stack([weighted[part].sum(0) for _, part, _ in b.segments]))
-        docs, texts, size = [], [], 0
+        docs, texts, size, kind = [], [], 0, number_kind(len(own) - 1)
         for batch in batches:
             for doc, packed in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
-                ids = own[unpacked(packed)]
+                ids = own[np.frombuffer(packed, kind)]
                 for lo, part in pieces(ids):
                     if lo or len(ids) > CHUNK + STEP:
                         if docs:
@@ -329,7 +346,7 @@ def matches(coded: DataFrame, block, columns, basis: np.ndarray) -> DataFrame:
                         docs.append(doc)
                         texts.append(part)
                         size += len(part)
-                if size > CHUNK:
+                if size > NEAR:
                     yield leaky(docs, texts, b, weighted, goal)
                     docs, texts, size = [], [], 0
         if docs:
