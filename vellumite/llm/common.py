@@ -7,6 +7,8 @@ executor costs the tasks it ran and nothing that was written before.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -64,6 +66,13 @@ def delete_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def hand_back() -> None:
+    """Give memory that is free again back to the system: Arrow's, and glibc's, which else keeps up to twice its largest block."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, TypeError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -107,10 +107,12 @@ class OrdinalModel:
         used = np.nonzero(df >= min_df)[0]
         place = np.full(DIMS, -1, np.int32)
         place[used] = np.arange(len(used))
-        kept = [place[i] >= 0 for i, _ in rows]
-        starts = np.cumsum([0, *(int(k.sum()) for k in kept)])
-        index = np.concatenate([place[i[k]] for (i, _), k in zip(rows, kept, strict=True)])
-        value = np.concatenate([v[k] for (_, v), k in zip(rows, kept, strict=True)])
+        starts = np.cumsum([0, *(int((place[i] >= 0).sum()) for i, _ in rows)])
+        # filled row by row: no second copy of all rows in small pieces
+        index, value = np.empty(starts[-1], np.int32), np.empty(starts[-1], rows[0][1].dtype)
+        for (i, v), lo, hi in zip(rows, starts[:-1], starts[1:], strict=True):
+            own = place[i]
+            index[lo:hi], value[lo:hi] = own[own >= 0], v[own >= 0]
         dims = max(len(used), 1)
         w, squares = np.zeros(dims), np.full(dims, 1e-6)
         below = np.cumsum(np.bincount(grades, minlength=GRADES) + 0.5)[:-1] / (len(rows) + 0.5 * GRADES)
@@ -161,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Ordina
     rows = [(np.frombuffer(i.as_buffer(), np.int32), np.frombuffer(v.as_buffer(), np.float32)) for i, v in zip(table.column("index"), table.column("value"), strict=True)]
     model = OrdinalModel.fit([rows[i] for i in order], table.column("grade").to_numpy()[order])
     del rows, table, found
-    pa.default_memory_pool().release_unused()  # the driver keeps the model alone
+    common.hand_back()  # the driver keeps the model alone
     return model
 
 
