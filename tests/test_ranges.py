@@ -73,3 +73,14 @@ def test_objects_by_ranges(tmp_path):
         if e[5] == "used":
             n, gen, value = ranges.indirect(source, e[6])
             assert (n, gen, ranges.near(value) if isinstance(value, S.Stream) else value) == S.indirect(data, e[6])
+
+
+def test_small_files_are_dealt_to_all_cores(spark, tmp_path):
+    """Small files cost by number: few bytes of them are work for many tasks, and a partition has no more than PACK / OPEN files."""
+    for i in range(300):
+        (tmp_path / f"{i}.pdf").write_bytes(b"x" * (i % 90))
+    found = ranges.list_files(spark, f"file://{tmp_path}").withColumn("part", F.spark_partition_id())
+    counts = [r["count"] for r in found.groupBy("part").count().collect()]
+    assert sum(counts) == 300 and len(counts) >= 2 * spark.sparkContext.defaultParallelism and max(counts) <= 40
+    parts = ranges.Listing({"folder": str(tmp_path), "open": str(ranges.PACK // 7)}).partitions()
+    assert sum(len(p.files) for p in parts) == 300 and max(len(p.files) for p in parts) <= 7

@@ -2,7 +2,8 @@
 
 The listing is a source of Spark's data source API. It looks at no content, and
 gives tasks whole files, about ``PACK`` bytes each, so a partition's work is
-bounded whether files are many or large. A file's cross-reference is then found
+bounded whether files are many or large: each file counts ``OPEN`` bytes more than
+it has, and less than ``PACK`` is given where all cores would not have work. A file's cross-reference is then found
 from its last 64 KB and from where its sections are; objects are read where the
 newest entries say. What a stream holds is read only where it is asked for.
 """
@@ -22,6 +23,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from . import syntax as S
 
 PACK = 256 << 20
+#: What opening and parsing a file counts, in bytes; partitions aimed at for each core, and the least to give one.
+OPEN, TURNS, LEAST = 1 << 16, 4, 1 << 20
 #: First reads of an object and of a section; each further one is ``MORE`` times as long.
 OBJECT, SECTION, MORE = 2048, 65536, 8
 
@@ -36,6 +39,7 @@ class Packed(InputPartition):
 class Listing(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.folder, self.pack = options["folder"], int(options.get("pack", PACK))
+        self.open, self.tasks = int(options.get("open", 0)), int(options.get("tasks", 1))
 
     def partitions(self) -> list[Packed]:
         from .sink import is_local, opened
@@ -45,12 +49,14 @@ class Listing(DataSourceReader):
         found = store.get_file_info(fs.FileSelector(root, recursive=True))
         files = sorted((prefix + f.path, f.size or 0) for f in found if f.type == fs.FileType.File and f.path.lower().endswith(".pdf"))
         out, held, size = [], [], 0
+        share = -(-sum(length + self.open for _, length in files) // self.tasks)
+        pack = min(self.pack, max(share, LEAST))
         for path, length in files:
-            if held and size + length > self.pack:
+            if held and size + length + self.open > pack:
                 out.append(Packed(held))
                 held, size = [], 0
             held.append((path, length))
-            size += length
+            size += length + self.open
         return [*out, Packed(held)]
 
     def read(self, partition: Packed) -> Iterator[pa.RecordBatch]:
@@ -58,7 +64,7 @@ class Listing(DataSourceReader):
 
 
 class PdfListing(DataSource):
-    """(path, length) of the PDF files under ``folder``; ``pack`` is the most bytes of files in a partition."""
+    """(path, length) of the PDF files under ``folder``; ``pack`` is the most bytes of files in a partition, each counted ``open`` bytes longer, ``tasks`` the partitions aimed at."""
 
     @classmethod
     def name(cls) -> str:
@@ -72,9 +78,10 @@ class PdfListing(DataSource):
 
 
 def list_files(spark: SparkSession, folder: str, pack: int = PACK) -> DataFrame:
-    """doc_id (a hash of the path), path and length of all PDF files under ``folder``, packed by bytes. :func:`tables.parse` reads such files by ranges."""
+    """doc_id (a hash of the path), path and length of all PDF files under ``folder``, packed by bytes and number. :func:`tables.parse` reads such files by ranges."""
     spark.dataSource.register(PdfListing)
-    found = spark.read.format(PdfListing.name()).options(folder=folder, pack=str(pack)).load()
+    tasks = TURNS * spark.sparkContext.defaultParallelism
+    found = spark.read.format(PdfListing.name()).options(folder=folder, pack=str(pack), open=str(OPEN), tasks=str(tasks)).load()
     return found.select(F.xxhash64("path").alias("doc_id"), "path", "length")
 
 
