@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
 from ..sources.tables import LEAST_PACKED
 
 
@@ -26,15 +27,23 @@ def named(nodes: DataFrame, key: str) -> Column:
     return own(nodes, key, F.when(F.col("kind") == "name", latin()))
 
 
+#: Keys of an object's own dictionary that are asked for, and those whose values are.
+KEYS = ("Info", "ID", "Encrypt", "Metadata", "PieceInfo", "T", "M", "CreationDate", "BitsPerComponent", "SMask", "Mask", "Decode", "SMaskInData", "ImageMask", "Filter", "F", "Subtype", "Rect", "EF", "Type", "EmbeddedFiles", "JS", "DecodeParms")
+OWN = ("S", "FT", "V", "ColorSpace", "Width", "Height")
+
+
 def objects(nodes: DataFrame) -> DataFrame:
-    """doc_id, obj, kind, type_name, subtype, keys, payload and the facts that the filters below test."""
+    """doc_id, obj, kind, type_name, subtype, marks (the ``KEYS`` it has, a bit each), payload and the facts that the filters below test."""
+    # most values say nothing here, and are left out before they are grouped
+    told = f"depth = 0 or depth = 1 and key in {KEYS + OWN} or top_key = 'Filter' or depth = 2 and top_key in ('ColorSpace', 'Names')"
+    nodes = nodes.where(told).withColumn("mark", F.expr("case when depth = 1 then case key " + " ".join(f"when '{k}' then {1 << i}" for i, k in enumerate(KEYS)) + " end end"))
     under = lambda key: (F.col("depth") == 1) & (F.col("key") == key)
     filters = (F.col("top_key") == "Filter") & (F.col("kind") == "name")
     return nodes.groupBy("doc_id", "obj").agg(
         F.max("gen").alias("gen"),
         F.max(F.when(F.col("node_id") == 0, F.col("kind"))).alias("kind"),
         named(nodes, "Type").alias("type_name"), named(nodes, "Subtype").alias("subtype"), named(nodes, "S").alias("action"), named(nodes, "FT").alias("field_type"),
-        F.collect_set(F.when(F.col("depth") == 1, F.col("key"))).alias("keys"),
+        F.coalesce(F.bit_or("mark"), F.lit(0)).alias("marks"),
         F.max(F.when((F.col("node_id") == 0) & (F.col("kind") == "stream"), F.col("int_val"))).alias("payload_bytes"),
         F.max(F.when((F.col("node_id") == 0) & (F.col("kind") == "stream"), F.col("bytes_val"))).alias("payload_start"),
         F.coalesce(F.bool_or(under("V") & (F.col("kind") != "null")), F.lit(False)).alias("has_value"),
@@ -45,12 +54,16 @@ def objects(nodes: DataFrame) -> DataFrame:
         own(nodes, "ImageMask", F.col("bool_val")).alias("image_mask"),
         F.max(F.when((F.col("depth") == 2) & (F.col("top_key") == "ColorSpace") & (F.col("ord") == 0) & (F.col("kind") == "name"), latin())).alias("color_family"),
         F.coalesce(F.bool_or((F.col("depth") == 2) & (F.col("top_key") == "Names") & (F.col("key") == "EmbeddedFiles")), F.lit(False)).alias("names_files"),
-        F.count(F.lit(1)).alias("n_nodes"),
     )
 
 
 def has(key: str) -> Column:
-    return F.array_contains("keys", key)
+    return F.col("marks").bitwiseAND(1 << KEYS.index(key)) != 0
+
+
+def with_keys(objects: DataFrame) -> DataFrame:
+    """``objects`` with the array ``keys``, those of ``KEYS`` that each has."""
+    return objects.withColumn("keys", F.array_compact(F.array(*(F.when(has(k), F.lit(k)) for k in KEYS))))
 
 
 def eligible() -> Column:
@@ -102,23 +115,26 @@ def roots(nodes: DataFrame) -> DataFrame:
 
 def signed(nodes: DataFrame) -> DataFrame:
     """doc_ids that look signed: some dictionary, however deep, is a signature, or the catalog's /Perms is not empty."""
-    inner = nodes.where("parent_id is not null and key is not null")
-    is_name = F.col("kind") == "name"
-    text = F.when(F.col("kind").isin("name", "string", "hex"), F.lower(latin()))
-    of = lambda key: F.col("key") == key
-    facts = inner.groupBy("doc_id", "obj", "parent_id").agg(
-        F.max(F.when(of("Type") & is_name, latin())).alias("type_name"), F.max(F.when(of("FT") & is_name, latin())).alias("ft"),
-        F.bool_or(of("V") & (F.col("kind") != "null")).alias("v"), F.bool_or(of("ByteRange")).alias("br"), F.bool_or(of("Contents") | of("Filter")).alias("cf"),
-        F.max(F.when(of("Filter"), text)).alias("filter"), F.bool_or(of("DocMDP")).alias("mdp"),
-    )
-    marks = F.coalesce(F.col("type_name") == "Sig", F.lit(False)) | F.coalesce((F.col("ft") == "Sig") & F.col("v"), F.lit(False)) | (F.col("br") & F.col("cf")) | F.col("mdp")
-    marks = marks | F.coalesce(F.col("filter").rlike("adbe\\.pkcs7|adobe\\.ppklite|adobe\\.ppkms"), F.lit(False))
-    by_dict = facts.where(marks).select("doc_id")
+    inner = "parent_id is not null and key in ('Type', 'FT', 'V', 'ByteRange', 'Contents', 'Filter', 'DocMDP', 'Perms', 'UR', 'UR3')"
+    top = "top_key = 'Perms' and (depth = 2 and key is not null or depth = 1 and kind = 'ref')"
+    # the few values that can tell, found in one pass
+    told = stored(nodes.where(f"{inner} or {top} or obj = -1 and depth = 1 and key = 'Root'").select("doc_id", "obj", "node_id", "parent_id", "depth", "key", "top_key", "kind", "bytes_val", "ref_obj"), "signs")
+    inner = told.where(inner)
+    # flags alone are grouped, and of types only the one that counts
+    text = "lower(decode(bytes_val, 'ISO-8859-1'))"
+    marks = {
+        "sig": "key = 'Type' and kind = 'name' and bytes_val = X'536967'", "ft": "key = 'FT' and kind = 'name' and bytes_val = X'536967'", "v": "key = 'V' and kind <> 'null'", "br": "key = 'ByteRange'",
+        "cf": "key in ('Contents', 'Filter')", "adobe": rf"key = 'Filter' and kind in ('name', 'string', 'hex') and {text} rlike 'adbe[.]pkcs7|adobe[.]ppklite|adobe[.]ppkms'", "mdp": "key = 'DocMDP'",
+    }
+    rows = inner.selectExpr("doc_id", "obj", "parent_id", *(f"coalesce({test}, false) as {name}" for name, test in marks.items())).where(" or ".join(marks))
+    facts = rows.groupBy("doc_id", "obj", "parent_id").agg(*(F.bool_or(name).alias(name) for name in marks))
+    by_dict = facts.where("sig or ft and v or br and cf or mdp or adobe").select("doc_id")
     # usage rights in a dictionary under /Perms, however deep
     perms = inner.where("key = 'Perms' and kind = 'dict'").selectExpr("doc_id", "obj", "node_id as parent_id")
     rights = inner.where("key in ('DocMDP', 'UR', 'UR3')").join(perms, ["doc_id", "obj", "parent_id"], "left_semi").select("doc_id")
-    catalog = nodes.join(roots(nodes).withColumnRenamed("root", "obj"), ["doc_id", "obj"])
-    direct = catalog.where("depth = 2 and top_key = 'Perms' and key is not null").select("doc_id")
-    by_ref = catalog.where("depth = 1 and key = 'Perms' and kind = 'ref'").selectExpr("doc_id", "ref_obj as obj")
-    through = nodes.where("depth = 1 and key is not null").join(by_ref, ["doc_id", "obj"], "left_semi").select("doc_id")
-    return by_dict.union(rights).union(direct).union(through).distinct()
+    catalog = told.where(top).join(roots(told).withColumnRenamed("root", "obj"), ["doc_id", "obj"])
+    found = by_dict.union(rights).union(catalog.where("depth = 2").select("doc_id"))
+    by_ref = stored(catalog.where("depth = 1").selectExpr("doc_id", "ref_obj as obj"), "perms")
+    if not by_ref.isEmpty():
+        found = found.union(nodes.where("depth = 1 and key is not null").select("doc_id", "obj").join(by_ref, ["doc_id", "obj"], "left_semi").select("doc_id"))
+    return found.distinct()

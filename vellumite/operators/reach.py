@@ -1,12 +1,15 @@
 """Graph operators: what can be reached from the trailer, and the page tree.
 
 A document's graph has 500,000 objects at most (the limit of the parser) and no
-payloads, so it is walked in one grouped pass, to any depth. A graph that is not
+payloads, so it is walked in one task, to any depth, with many others. A graph that is not
 cut into documents is walked by frontier joins, a round a level.
 """
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable, Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,39 +24,98 @@ def references(nodes: DataFrame) -> DataFrame:
     return refs.selectExpr("doc_id", "obj as src", "ref_obj as dst")
 
 
-def walk(src: np.ndarray, dst: np.ndarray, start: int) -> np.ndarray:
-    """Nodes that can be reached from ``start``, itself included."""
-    names, places = np.unique(np.concatenate([[start], src, dst]), return_inverse=True)
-    begin, src, dst = places[0], places[1 : len(src) + 1], places[len(src) + 1 :]
+#: Rows of documents that are walked together, at least.
+TOGETHER = 1 << 17
+
+
+def whole_documents(batches: Iterator[pa.RecordBatch], least: int = TOGETHER) -> Iterator[pa.Table]:
+    """Rows sorted by ``doc_id`` as tables of whole documents, of about ``least`` rows or one document each."""
+    held, size, wait = [], 0, least
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size < wait:
+            continue
+        table = pa.Table.from_batches(held)
+        docs = table.column("doc_id")
+        cut = int(np.searchsorted(docs.to_numpy(), docs[-1].as_py()))
+        if cut:
+            yield table.slice(0, cut)
+        held, size = table.slice(cut).to_batches(), size - cut
+        wait = max(least, 2 * size)
+    if size:
+        yield pa.Table.from_batches(held)
+
+
+def by_document(rows: DataFrame, one: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``one`` of many documents' rows at a time; a group each would cost far more than its walk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_documents(batches):
+            yield from one(table).to_batches()
+
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, schema)
+
+
+def walk(doc: np.ndarray, src: np.ndarray, dst: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """(doc, node) that can be reached from each document's ``start``, itself included; ``doc`` is sorted."""
+    docs, place = np.unique(doc, return_inverse=True)
+    names, number = np.unique(np.concatenate([[start], src, dst]), return_inverse=True)
+    base = np.arange(len(docs)) * len(names)  # a node is a document and a number
+    keys, node = np.unique(np.concatenate([base + number[0], base[place] + number[1 : len(src) + 1], base[place] + number[len(src) + 1 :]]), return_inverse=True)
+    begin, src, dst = node[: len(docs)], node[len(docs) : len(docs) + len(src)], node[len(docs) + len(src) :]
     order = np.argsort(src, kind="stable")
-    dst, starts = dst[order], np.searchsorted(src[order], np.arange(len(names) + 1))
-    seen = np.zeros(len(names), bool)
-    seen[begin] = True
-    pending = [begin]
+    near, starts = dst[order].tolist(), np.searchsorted(src[order], np.arange(len(keys) + 1)).tolist()
+    seen, pending = bytearray(len(keys)), begin.tolist()
+    for at in pending:
+        seen[at] = 1
     while pending:
         at = pending.pop()
-        near = dst[starts[at] : starts[at + 1]]
-        fresh = np.unique(near[~seen[near]])
-        seen[fresh] = True
-        pending.extend(fresh.tolist())
-    return names[seen]
+        for to in near[starts[at] : starts[at + 1]]:
+            if not seen[to]:
+                seen[to] = 1
+                pending.append(to)
+    found = keys[np.frombuffer(seen, np.uint8).astype(bool)]
+    return docs[found // len(names)], names[found % len(names)]
 
 
 def reachable(nodes: DataFrame) -> DataFrame:
     """(doc_id, obj): objects in use, dangling numbers included."""
+    return reached(references(nodes))
+
 
-    def one(key: tuple, refs: pa.Table) -> pa.Table:
-        found = walk(refs.column("src").to_numpy(), refs.column("dst").to_numpy(), -1)
-        found = found[found >= 0]
-        return pa.table({"doc_id": pa.array(np.full(len(found), key[0].as_py()), pa.int64()), "obj": pa.array(found, pa.int64())})
+def reached(refs: DataFrame) -> DataFrame:
+    """(doc_id, obj) that can be reached from the trailer over ``refs`` (doc_id, src, dst)."""
 
-    return references(nodes).groupBy("doc_id").applyInArrow(one, "doc_id long, obj long")
+    def one(refs: pa.Table) -> pa.Table:
+        docs, found = walk(*(refs.column(c).to_numpy() for c in ("doc_id", "src", "dst")), -1)
+        used = found >= 0
+        return pa.table({"doc_id": pa.array(docs[used], pa.int64()), "obj": pa.array(found[used], pa.int64())})
+
+    return by_document(refs, one, "doc_id long, obj long")
+
+
+def used(nodes: DataFrame, without: DataFrame | None = None) -> DataFrame:
+    """(doc_id, obj), once each: the trailer and what can be reached from it; ``without`` (doc_id, obj) are taken out first."""
+    refs = references(nodes)
+    if without is not None:
+        refs = refs.join(without.withColumnRenamed("obj", "src"), ["doc_id", "src"], "left_anti")
+    kept = reached(refs)
+    if without is not None:
+        kept = kept.join(without, ["doc_id", "obj"], "left_anti")
+    return kept.unionByName(nodes.where("obj = -1").selectExpr("doc_id", "cast(obj as long) as obj").distinct())
+
+
+def only(nodes: DataFrame, objects: DataFrame) -> DataFrame:
+    """``nodes`` of ``objects`` (doc_id, obj, and more columns), which stand there once: an inner join, as one for membership would be made of each part of a union."""
+    more = [c for c in objects.columns if c not in ("doc_id", "obj")]
+    # the rows are many and the objects few: a hash of these, no sort of those
+    return nodes.join(objects.hint("shuffle_hash"), ["doc_id", "obj"]).select(*nodes.columns, *more)
 
 
 def sweep(nodes: DataFrame) -> DataFrame:
     """``nodes`` of the trailer and of reachable objects."""
-    kept = reachable(nodes)
-    return nodes.where("obj = -1").unionByName(nodes.where("obj >= 0").join(kept, ["doc_id", "obj"], "left_semi"))
+    return only(nodes, used(nodes))
 
 
 def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
@@ -150,37 +212,41 @@ def chains(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return links, stored(ends, "chain_ends")
 
 
-def pages_of(root: int | None, rows: list[dict]) -> int | None:
-    """Pages of the tree under ``root``; None where it cannot be followed (a node met twice, missing, or no dictionary)."""
-    kinds, pages, kids, items, page_type = {}, {}, {}, {}, set()
-    for r in rows:
-        obj, key = r["obj"], r["key"]
-        if r["depth"] == 0:
-            kinds[obj] = r["kind"]
-        elif r["depth"] == 2 or key is None:  # items of /Kids, or of an object that is an array
-            items.setdefault(obj, []).append((r["ord"], r["ref_obj"] if r["kind"] == "ref" else None))
-        elif key == "Pages":
-            pages[obj] = r["ref_obj"] if r["kind"] == "ref" else None
-        elif key == "Kids":
-            kids[obj] = (r["kind"], r["ref_obj"])
-        elif r["is_page"]:
+#: What a row of a page tree says of its object.
+ROOT, DICT, ARRAY, ITEM, PAGES, KIDS, KIDS_REF, KIDS_ODD, PAGE = range(9)
+
+
+def pages_of(rows: Iterable[tuple[int, int, int | None]]) -> int | None:
+    """Pages of the tree that ``rows`` (object, what, reference) of one document make up; None where it cannot be followed (a node met twice, missing, or no dictionary)."""
+    root, dicts, arrays, pages, kids, items, page_type = None, set(), set(), {}, {}, {}, set()
+    for obj, what, ref in rows:
+        if what == DICT:
+            dicts.add(obj)
+        elif what == ITEM:  # of /Kids, or of an object that is an array
+            items.setdefault(obj, []).append(ref)
+        elif what == PAGE:
             page_type.add(obj)
+        elif what == ARRAY:
+            arrays.add(obj)
+        elif what == PAGES:
+            pages[obj] = ref
+        elif what == ROOT:
+            root = ref
+        else:
+            kids[obj] = what, ref
     pending, seen, count = [pages.get(root)], set(), 0
-    if kinds.get(root) not in ("dict", "stream"):
+    if root not in dicts:
         return None
     while pending:
         at = pending.pop()
-        if at is None or at in seen or kinds.get(at) not in ("dict", "stream"):
+        if at is None or at in seen or at not in dicts:
             return None
         seen.add(at)
         kind, ref = kids.get(at, (None, None))
-        holder = at
-        if kind == "ref":
-            kind, holder = kinds.get(ref), ref
-        if at in page_type or at not in kids:
+        if at in page_type or kind is None:
             count += 1
-        elif kind == "array":
-            pending += [kid for _, kid in items.get(holder, [])]
+        elif kind == KIDS or kind == KIDS_REF and ref in arrays:
+            pending += items.get(at if kind == KIDS else ref, [])
         else:
             return None
     return count
@@ -188,14 +254,23 @@ def pages_of(root: int | None, rows: list[dict]) -> int | None:
 
 def page_counts(nodes: DataFrame) -> DataFrame:
     """(doc_id, pages): pages of each document's tree; null where it cannot be followed."""
-    needed = "depth = 0 or depth = 1 and (key in ('Pages', 'Kids') or key = 'Type' and kind = 'name' or key is null) or depth = 2 and top_key = 'Kids' and key is null"
-    needed = nodes.where(f"obj >= 0 and ({needed}) or obj = -1 and depth = 1 and key = 'Root'")
-    rows = needed.selectExpr("doc_id", "obj", "depth", "ord", "key", "kind", "ref_obj", "key = 'Type' and bytes_val = X'50616765' as is_page")
-
-    def one(key: tuple, table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        root = next((r["ref_obj"] for r in rows if r["obj"] == -1 and r["kind"] == "ref"), None)
-        found = pages_of(root, [r for r in rows if r["obj"] >= 0])
-        return pa.table({"doc_id": pa.array([key[0].as_py()], pa.int64()), "pages": pa.array([found], pa.int32())})
-
-    return rows.groupBy("doc_id").applyInArrow(one, "doc_id long, pages int")
+    told = [
+        ("obj = -1", f"if(depth = 1 and key = 'Root' and kind = 'ref', {ROOT}, null)"),
+        ("depth = 0", f"case when kind in ('dict', 'stream') then {DICT} when kind = 'array' then {ARRAY} end"),
+        ("depth = 1 and key is null or depth = 2 and top_key = 'Kids' and key is null", f"{ITEM}"),
+        ("depth = 1 and key = 'Pages'", f"{PAGES}"),
+        ("depth = 1 and key = 'Kids'", f"case kind when 'array' then {KIDS} when 'ref' then {KIDS_REF} else {KIDS_ODD} end"),
+        ("depth = 1 and key = 'Type' and kind = 'name' and bytes_val = X'50616765'", f"{PAGE}"),
+    ]
+    what = " ".join(f"when {where} then {value}" for where, value in told)
+    rows = nodes.selectExpr("doc_id", "obj", f"case {what} end as what", "if(kind = 'ref', ref_obj, null) as ref").where("what is not null")
+
+    def one(table: pa.Table) -> pa.Table:
+        docs, found = [], []
+        columns = (table.column(c).to_pylist() for c in ("doc_id", "obj", "what", "ref"))
+        for doc, own in itertools.groupby(zip(*columns, strict=True), lambda r: r[0]):
+            docs.append(doc)
+            found.append(pages_of(r[1:] for r in own))
+        return pa.table({"doc_id": pa.array(docs, pa.int64()), "pages": pa.array(found, pa.int32())})
+
+    return by_document(rows, one, "doc_id long, pages int")

@@ -10,7 +10,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import ACTIONS, DEFAULT, ERRORS, SENTENCES, Options, profile
+from ..config import ACTIONS, DEFAULT, ERRORS, SENTENCES, Options, Profile, profile
 from ..functions.sizes import derived, is_lossy, size_label, text_heavy_note
 from ..sources.scratch import made, release, stored
 from ..sources.tables import Tables, parse
@@ -29,6 +29,7 @@ class Inspection:
 
     def __init__(self, tables: Tables, cleaned: bool, scratch: list):
         self.tables, self.status, self.cleaned, self.scratch = tables, tables.status, cleaned, scratch
+        self.images_coded: dict[Profile, DataFrame] = {}
 
     def made(self, name: str) -> DataFrame | None:
         """A table if it has been asked for."""
@@ -43,7 +44,7 @@ class Inspection:
 
     @cached_property
     def objects(self) -> DataFrame:
-        return self.keep(lambda: O.objects(self.tables.nodes), "object_rows")
+        return O.with_keys(self.keep(lambda: O.objects(self.tables.nodes), "object_rows"))
 
     @cached_property
     def facts(self) -> DataFrame:
@@ -64,7 +65,7 @@ class Inspection:
 
     @cached_property
     def kept_objects(self) -> DataFrame:
-        return self.objects if self.cleaned else self.keep(lambda: O.objects(self.kept), "kept_objects")
+        return self.objects if self.cleaned else O.with_keys(self.keep(lambda: O.objects(self.kept), "kept_objects"))
 
     @cached_property
     def kept_facts(self) -> DataFrame:
@@ -96,6 +97,14 @@ class Inspection:
     def packed(self) -> DataFrame:
         return self.keep(lambda: pack(self.tables.payloads), "packed", "zstd")
 
+    def coded(self, level: int) -> DataFrame:
+        """The images that a clean with the usual options encodes again at ``level`` (:func:`compress.recompress`)."""
+        if profile(level) not in self.images_coded:
+            nodes = self.kept.join(self.signed, "doc_id", "left_anti")
+            images = images_to_code(self, self.scrubbed)
+            self.images_coded[profile(level)] = self.keep(lambda: recompress(nodes, self.objects, images, I.mask_targets(nodes), profile(level)), "recompressed")
+        return self.images_coded[profile(level)]
+
 
 def inspect(files: DataFrame, cleaned: bool = False) -> Inspection:
     """Everything that is told about ``files`` (doc_id, length, content), or of files listed by :func:`ranges.list_files`, of which ranges are read only."""
@@ -177,10 +186,11 @@ def sanitize(files: DataFrame, options: Options = DEFAULT, level: int = 0, befor
     if options.images:
         bytes_of.append(before.scrubbed)
     if profile(level).edge:
-        images = before.objects.where(O.eligible()).select("doc_id", "obj")
-        images = before.tables.payloads.where("role = 'dct'").join(images, ["doc_id", "obj"], "left_semi")
-        images = replaced(images, before.scrubbed if options.images else before.scrubbed.where("false"))
-        coded = stored(recompress(nodes, before.objects, images, I.mask_targets(nodes), profile(level)), "recompressed")
+        if options == DEFAULT:
+            coded = before.coded(level)
+        else:
+            images = images_to_code(before, before.scrubbed if options.images else before.scrubbed.where("false"))
+            coded = stored(recompress(nodes, before.objects, images, I.mask_targets(nodes), profile(level)), "recompressed")
         bytes_of.append(coded.select("doc_id", "obj", "payload"))
         # a table of its own, small enough to find their values without a shuffle of all
         recompressed = stored(coded.select("doc_id", "obj", "width", "height", "gray"), "recompressed_keys")
@@ -199,6 +209,12 @@ def sanitize(files: DataFrame, options: Options = DEFAULT, level: int = 0, befor
     return Cleaned(out.join(good, "doc_id", "left_semi"), status, packed, recompressed.select("doc_id", "obj"), before, after, made()[held:], shared)
 
 
+def images_to_code(seen: Inspection, scrubbed: DataFrame) -> DataFrame:
+    """(doc_id, obj, payload) of images that can be encoded again, without their metadata where it is ``scrubbed``."""
+    images = seen.objects.where(O.eligible()).select("doc_id", "obj")
+    return replaced(seen.tables.payloads.where("role = 'dct'").join(images, ["doc_id", "obj"], "left_semi"), scrubbed)
+
+
 def replaced(payloads: DataFrame, changed: DataFrame) -> DataFrame:
     """``payloads`` with the bytes of ``changed`` where there are any."""
     return payloads.join(changed.withColumnRenamed("payload", "_new"), ["doc_id", "obj"], "left").select("doc_id", "obj", F.coalesce("_new", "payload").alias("payload"))

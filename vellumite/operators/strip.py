@@ -23,6 +23,18 @@ def strip(nodes: DataFrame, options: Options = DEFAULT, objects: DataFrame | Non
 
     ``objects`` is the table of :func:`objects.objects` for ``nodes``, where it is there already.
     """
+    if (options.annotations or options.object_metadata) and objects is None:
+        objects = O.objects(nodes)
+    nodes = detached(nodes, options)
+    if options.annotations:
+        nodes = anonymous(nodes, annotations(objects))
+    if options.object_metadata:
+        nodes = nodes.join(metadata_streams(objects), ["doc_id", "obj"], "left_anti")
+    return nodes
+
+
+def detached(nodes: DataFrame, options: Options = DEFAULT) -> DataFrame:
+    """``nodes`` without the Info dictionary and the keys of metadata."""
     if options.document_info:
         nodes = nodes.where("not (obj = -1 and top_key <=> 'Info')")
     if options.object_metadata:  # the catalog's too
@@ -31,17 +43,30 @@ def strip(nodes: DataFrame, options: Options = DEFAULT, objects: DataFrame | Non
     elif options.catalog_xmp or options.piece_info:
         keys = ["Metadata"] * options.catalog_xmp + ["PieceInfo"] * options.piece_info
         nodes = without(nodes, O.roots(nodes).withColumnRenamed("root", "obj"), keys)
-    whole = nodes
-    if options.annotations:
-        objects = O.objects(nodes) if objects is None else objects
-        notes = objects.where("obj >= 0").where(O.annotation()).select("doc_id", "obj", F.col("subtype").eqNullSafe("Widget").alias("widget"))
-        nodes = without(nodes, notes.select("doc_id", "obj"), list(ANNOTATION_DATES), notes.where("not widget").select("doc_id", "obj"), list(ANNOTATION_AUTHORS))
-    if options.object_metadata:
-        doomed = whole.where("depth = 1 and obj >= 0 and key = 'Type' and kind = 'name' and bytes_val = X'4D65746164617461'").select("doc_id", "obj")
-        nodes = nodes.join(doomed.distinct(), ["doc_id", "obj"], "left_anti")
     return nodes
 
 
+def annotations(objects: DataFrame) -> DataFrame:
+    """(doc_id, obj, widget)"""
+    return objects.where("obj >= 0").where(O.annotation()).select("doc_id", "obj", F.col("subtype").eqNullSafe("Widget").alias("widget"))
+
+
+def telling():
+    """Rows that say who wrote or changed an annotation; ``widget`` is null for other objects."""
+    return F.coalesce(F.col("widget").isNotNull() & (under(list(ANNOTATION_DATES)) | ~F.col("widget") & under(list(ANNOTATION_AUTHORS))), F.lit(False))
+
+
+def anonymous(nodes: DataFrame, notes: DataFrame) -> DataFrame:
+    """``nodes`` without who wrote or changed the annotations ``notes``. Only the rows under these keys are joined."""
+    some = under([*ANNOTATION_DATES, *ANNOTATION_AUTHORS])
+    return nodes.where(~some).unionByName(nodes.where(some).join(notes, ["doc_id", "obj"], "left").where(~telling()).drop("widget"))
+
+
+def metadata_streams(objects: DataFrame) -> DataFrame:
+    """(doc_id, obj): objects that are nothing but metadata."""
+    return objects.where("obj >= 0 and type_name = 'Metadata'").select("doc_id", "obj")
+
+
 def under(keys: list[str]):
     return F.coalesce(F.col("top_key").isin(keys), F.lit(False))
 

@@ -3,29 +3,44 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import syntax as S
 from ..sources.scratch import stored
 
-LEAF = {"null": lambda n: None, "bool": lambda n: n["bool_val"], "int": lambda n: n["int_val"], "real": lambda n: n["real_val"], "ref": lambda n: S.Ref(n["ref_obj"], n["ref_gen"]), "name": lambda n: S.Name(n["bytes_val"].decode("latin-1")), "hex": lambda n: S.Hex(n["bytes_val"]), "string": lambda n: bytes(n["bytes_val"])}
+#: Columns that hold an object's values.
+VALUES = ("node_id", "parent_id", "key", "kind", "bool_val", "int_val", "real_val", "bytes_val", "ref_obj", "ref_gen")
 
 
-def value_of(rows: list[dict]) -> object:
-    """An object's value, or a stream's dictionary, from its rows, which come in the order of ``node_id``."""
+def value_of(rows: Iterable[tuple]) -> object:
+    """An object's value, or a stream's dictionary, from its rows (``VALUES``), which come in the order of ``node_id``."""
     made: dict[int, object] = {}
-    for n in rows:
-        value = LEAF[n["kind"]](n) if n["kind"] in LEAF else [] if n["kind"] == "array" else {}
-        made[n["node_id"]] = value
-        if n["parent_id"] is not None and (around := made.get(n["parent_id"])) is not None:
+    for node, parent, key, kind, flag, number, real, raw, obj, gen in rows:
+        if kind == "name":
+            value = S.Name(raw.decode("latin-1"))
+        elif kind == "ref":
+            value = S.Ref(obj, gen)
+        elif kind == "int":
+            value = number
+        elif kind == "array":
+            value = []
+        elif kind in ("dict", "stream"):
+            value = {}
+        elif kind == "string":
+            value = raw
+        else:
+            value = {"null": None, "bool": flag, "real": real}[kind] if kind != "hex" else S.Hex(raw)
+        made[node] = value
+        if parent is not None and (around := made.get(parent)) is not None:
             if isinstance(around, list):
                 around.append(value)
             else:
-                around[S.Name(n["key"])] = value
+                around[S.Name(key)] = value
     return made[0]
 
 
@@ -39,15 +54,17 @@ def parts(nodes: DataFrame) -> DataFrame:
     """(doc_id, obj, gen, head, tail, packed_head, packed_tail): each object as it stands in the file, a stream's up to and after its /Length (others have no tail),
     and as it stands there once it is packed; the trailer's dictionary under -1, without keys of the old layout."""
     nodes = nodes.where("not (obj = -1 and coalesce(top_key, '') in ('Prev', 'XRefStm', 'Encrypt', 'Size'))")
-    columns = ["node_id", "parent_id", "key", "kind", "bool_val", "int_val", "real_val", "bytes_val", "ref_obj", "ref_gen"]
-    grouped = nodes.groupBy("doc_id", "obj", F.when(F.col("obj") >= 0, F.col("gen")).alias("gen")).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("rows"))
+    grouped = nodes.groupBy("doc_id", "obj", F.when(F.col("obj") >= 0, F.col("gen")).alias("gen")).agg(F.sort_array(F.collect_list(F.struct(*VALUES))).alias("rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
-            for obj, gen, rows in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            made, held = [], batch.column(3)
+            values = list(zip(*(c.to_pylist() for c in held.flatten().flatten()), strict=True))  # all objects' rows, a column at a time
+            ends = pc.list_value_length(held).to_numpy().cumsum().tolist()
+            for obj, gen, begin, end in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), [0, *ends], ends):
+                rows = values[begin:end]
                 value, start = value_of(rows), b"" if obj < 0 else b"%d %d obj\n" % (obj, gen or 0)
-                if rows[0]["kind"] != "stream":
+                if rows[0][3] != "stream":
                     made.append((start + S.written(value) + (b"" if obj < 0 else END), None, None, None))
                     continue
                 head, tail = stream_parts(value)

@@ -77,9 +77,12 @@ def version(data: bytes) -> tuple[int, int]:
     return (min(int(m[1]), MOST_VERSION) or 1, min(int(m[2]), MOST_VERSION) if m[2] else 4) if m else (1, 4)
 
 
+SUBSECTION, LINE = re.compile(rb"(\d+)\s+(\d+)\s*"), re.compile(rb"(\d+)\s+(\d+)\s+([nf])\s*")
+
+
 def classic(data: bytes, at: int, limits: Limits) -> tuple[list[tuple], dict]:
     """Entries and trailer of a cross-reference table; ``at`` is after its keyword."""
-    entries, start, line = [], re.compile(rb"(\d+)\s+(\d+)\s*"), re.compile(rb"(\d+)\s+(\d+)\s+([nf])\s*")
+    entries = []
     while True:
         at = S.skip(data, at)
         if data.startswith(b"trailer", at):
@@ -87,14 +90,14 @@ def classic(data: bytes, at: int, limits: Limits) -> tuple[list[tuple], dict]:
             if not isinstance(trailer, dict):
                 raise S.Bad("trailer is no dictionary")
             return entries, trailer
-        m = start.match(data, at)
+        m = SUBSECTION.match(data, at)
         if not m or int(m[2]) > limits.objects:
             raise S.Bad("damaged cross-reference table")
         if int(m[1]) + int(m[2]) > MOST:
             raise S.Bad("object number out of range")
         at = m.end()
         for obj in range(int(m[1]), int(m[1]) + int(m[2])):
-            e = line.match(data, at)
+            e = LINE.match(data, at)
             if not e:
                 raise S.Bad("damaged cross-reference table")
             at, used = e.end(), e[3] == b"n" and int(e[1]) > 0
@@ -191,34 +194,46 @@ def xref_stream(data: bytes | R.Ranges, at: int) -> S.Stream:
     return R.near(value)
 
 
+#: Kinds of values by their type; others are strings.
+KINDS = {type(None): "null", bool: "bool", int: "int", float: "real", S.Name: "name", S.Hex: "hex", S.Ref: "ref", S.Stream: "stream", dict: "dict", list: "array"}
+
+
 def flatten(obj: int, gen: int, value: object) -> list[tuple]:
     """The rows of one object."""
     rows: list[tuple] = []
     stack = [(value, None, 0, 0, None, None)]  # value, parent, depth, ord, key, top key
     while stack:
         v, parent, depth, place, key, top = stack.pop()
-        me, raw = len(rows), None
-        if isinstance(v, S.Stream):
-            kind, raw, items = "stream", v.data[:2], v.dict
-        elif isinstance(v, dict):
-            kind, items = "dict", v
-        elif isinstance(v, S.Ref):
-            kind, items = "ref", None
-        elif isinstance(v, list):
-            kind, items = "array", v
+        kind, me, items = KINDS.get(type(v), "string"), len(rows), None
+        head = obj, gen, me, parent, depth, place, key, top, kind
+        if kind == "ref":
+            rows.append((*head, None, None, None, None, v.obj, v.gen))
+        elif kind == "name":
+            rows.append((*head, None, None, None, v.encode("latin-1"), None, None))
+        elif kind == "int":
+            rows.append((*head, None, v, None, None, None, None))
+        elif kind == "dict" or kind == "array":
+            rows.append((*head, *NO_VALUE))
+            items = v
+        elif kind == "stream":
+            rows.append((*head, None, len(v.data), None, v.data[:2], None, None))
+            items = v.dict
         else:
-            kind, items = {type(None): "null", bool: "bool", int: "int", float: "real", S.Name: "name", S.Hex: "hex"}.get(type(v), "string"), None
-            raw = v.encode("latin-1") if kind == "name" else bytes(v) if kind in ("hex", "string") else None
-        is_ref = kind == "ref"
-        rows.append((obj, gen, me, parent, depth, place, key, top, kind, v if kind == "bool" else None, v if kind == "int" else len(v.data) if kind == "stream" else None, v if kind == "real" else None, raw, v.obj if is_ref else None, v.gen if is_ref else None))
-        if isinstance(items, dict):
-            children = [(c, me, depth + 1, i, str(k), str(k) if depth == 0 else top) for i, (k, c) in enumerate(items.items())]
-        else:
-            children = [(c, me, depth + 1, i, None, top) for i, c in enumerate(items or ())]
-        stack += reversed(children)
+            rows.append((*head, v if kind == "bool" else None, None, v if kind == "real" else None, bytes(v) if kind in ("hex", "string") else None, None, None))
+        if items:
+            depth += 1
+            if kind == "array":
+                children = [(c, me, depth, i, None, top) for i, c in enumerate(items)]
+            else:
+                children = [(c, me, depth, i, str(k), str(k) if depth == 1 else top) for i, (k, c) in enumerate(items.items())]
+            children.reverse()
+            stack += children
     return rows
 
 
+NO_VALUE = (None,) * 6
+
+
 class Objects:
     """Objects of one file by number, read when asked for."""
 
