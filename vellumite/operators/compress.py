@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -132,6 +133,15 @@ def again(data: bytes, width: int, height: int, gray: bool, to: tuple[int, int],
     return (out, gray) if len(out) < len(data) else None
 
 
+#: Images up to so many bytes that a task keeps encoded: a logo or a letterhead stands in many files.
+SAME, SAME_BYTES = 64, 1 << 18
+
+
+@lru_cache(SAME)
+def again_once(*what) -> tuple[bytes, bool] | None:
+    return again(*what)
+
+
 def recompress(nodes: DataFrame, objects: DataFrame, payloads: DataFrame, masks: DataFrame, profile: Profile) -> DataFrame:
     """(doc_id, obj, payload, width, height, gray) of the images of ``nodes`` that become smaller when encoded again; ``masks`` (doc_id, obj) are left."""
     kept = nodes.where("node_id = 0 and kind = 'stream'").select("doc_id", "obj")
@@ -144,7 +154,7 @@ def recompress(nodes: DataFrame, objects: DataFrame, payloads: DataFrame, masks:
     @F.pandas_udf("struct<payload: binary, gray: boolean>")
     def encoded(payload: pd.Series, width: pd.Series, height: pd.Series, gray: pd.Series, to_width: pd.Series, to_height: pd.Series) -> pd.DataFrame:
         rows = zip(payload, width, height, gray, to_width, to_height, strict=True)
-        made = [again(bytes(p), w, h, bool(g), (tw, th), profile) or (None, None) for p, w, h, g, tw, th in rows]
+        made = [(again_once if len(p) <= SAME_BYTES else again)(bytes(p), w, h, bool(g), (tw, th), profile) or (None, None) for p, w, h, g, tw, th in rows]
         return pd.DataFrame(made, columns=["payload", "gray"], index=payload.index)
 
     done = found.withColumn("made", encoded("payload", "width", "height", "gray", "to_width", "to_height")).where("made.payload is not null")

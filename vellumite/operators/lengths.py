@@ -81,7 +81,7 @@ def exact_sizes(seen, options: Options = DEFAULT, levels: tuple[int, ...] = (0,
     lengths = lengths.selectExpr("doc_id", "obj", "coalesce(shorter, payload_bytes) as n")
     base = object_lengths(written).join(lengths, ["doc_id", "obj"], "left")
     base = base.where("obj >= 0").select("doc_id", "obj", F.expr(IN_FILE).alias("bytes")).unionByName(base.where("obj = -1").selectExpr("doc_id", "obj", "own as bytes"))
-    changed = changes(seen, nodes, scrubbed, levels)
+    changed = changes(seen, nodes, scrubbed, levels, options)
     rows = base.select("*", F.explode(F.array(*(F.lit(i) for i in levels))).alias("level"))
     if changed is not None:
         rows = rows.join(changed, ["doc_id", "obj", "level"], "left").withColumn("bytes", F.coalesce("other", "bytes"))
@@ -92,7 +92,7 @@ def exact_sizes(seen, options: Options = DEFAULT, levels: tuple[int, ...] = (0,
     return sums.selectExpr("doc_id", "level", f"{head} + body + {table} + {end} as length")
 
 
-def changes(seen, nodes: DataFrame, scrubbed: DataFrame, levels: tuple[int, ...]) -> DataFrame | None:
+def changes(seen, nodes: DataFrame, scrubbed: DataFrame, levels: tuple[int, ...], options: Options = DEFAULT) -> DataFrame | None:
     """(doc_id, obj, level, other): bytes in the file of the objects that a level changes. Payloads are packed and encoded, and only their lengths kept."""
     parts = []
     sized = lambda changed, n, level: object_lengths(changed).where("obj >= 0").join(n.selectExpr("doc_id", "obj", "n"), ["doc_id", "obj"]).select("doc_id", "obj", F.lit(level).alias("level"), F.expr(IN_FILE).alias("other"))
@@ -107,11 +107,13 @@ def changes(seen, nodes: DataFrame, scrubbed: DataFrame, levels: tuple[int, ...]
     masks = None
     for i in levels:
         if profile(i).edge:
-            if masks is None:
+            coded = seen.images_coded.get(profile(i)) if options == DEFAULT else None
+            if coded is None and masks is None:
                 masks, wanted = I.mask_targets(nodes), seen.objects.where(O.eligible()).select("doc_id", "obj")
                 images = seen.tables.payloads.where("role = 'dct'").join(wanted, ["doc_id", "obj"], "left_semi").join(scrubbed.withColumnRenamed("payload", "_new"), ["doc_id", "obj"], "left")
                 images = images.select("doc_id", "obj", F.coalesce("_new", "payload").alias("payload"))
-            coded = recompress(nodes, seen.objects, images, masks, profile(i))
+            # a clean has them encoded; else their lengths alone are kept
+            coded = recompress(nodes, seen.objects, images, masks, profile(i)) if coded is None else coded
             coded = stored(coded.selectExpr("doc_id", "obj", "cast(octet_length(payload) as long) as n", "width", "height", "gray"), "image_lengths")
             own = nodes.join(coded.select("doc_id", "obj"), ["doc_id", "obj"], "left_semi")
             parts.append(sized(with_image_keys(own, coded), coded, i))
