@@ -319,8 +319,9 @@ def q49_folder_by_ranges(spark, sf_dir):
     """The files in folders, written by the committed sink, listed, and read by ranges."""
     folder = new_folder(spark, "folder")
     sink.write_files(files(spark, sf_dir).selectExpr("doc_id", "concat('d', doc_id % 7, '/', doc_id, '.pdf') as name", "content"), folder)
-    tables = parse(list_files(spark, folder))
-    paths = list_files(spark, folder).selectExpr("doc_id", "cast(regexp_extract(path, '([0-9]+).pdf$', 1) as long) as number")
+    found = list_files(spark, folder)
+    tables = parse(found)
+    paths = found.selectExpr("doc_id", "cast(regexp_extract(path, '([0-9]+).pdf$', 1) as long) as number")
     told = paths.join(I.with_pages(tables), "doc_id").join(tables.taken, "doc_id", "left")
     return told.selectExpr("number as doc_id", "error_code", "pages", "coalesce(bytes_read > 0, false) as read")
 

@@ -1,6 +1,7 @@
 """Files read by ranges: a listing packed into partitions by bytes, and objects without the bytes of their streams.
 
-The listing is a source of Spark's data source API. It looks at no content, and
+:func:`list_files` lists by tasks, a folder each, and keeps what it finds in a table, so the driver holds
+no file's name. It looks at no content, and
 gives tasks whole files, about ``PACK`` bytes each, so a partition's work is
 bounded whether files are many or large: each file counts ``OPEN`` bytes more than
 it has, and less than ``PACK`` is given where all cores would not have work. A file's cross-reference is then found
@@ -10,8 +11,11 @@ newest entries say. What a stream holds is read only where it is asked for.
 
 from __future__ import annotations
 
+import itertools
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyarrow import fs
@@ -21,6 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from . import syntax as S
+from .scratch import stored
 
 PACK = 256 << 20
 #: What opening and parsing a file counts, in bytes; partitions aimed at for each core, and the least to give one.
@@ -64,7 +69,10 @@ class Listing(DataSourceReader):
 
 
 class PdfListing(DataSource):
-    """(path, length) of the PDF files under ``folder``; ``pack`` is the most bytes of files in a partition, each counted ``open`` bytes longer, ``tasks`` the partitions aimed at."""
+    """(path, length) of the PDF files under ``folder``; ``pack`` is the most bytes of files in a partition, each counted ``open`` bytes longer, ``tasks`` the partitions aimed at.
+
+    The driver holds the whole listing, sorted: for folders of some 100,000 files. The library uses :func:`list_files`.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -77,12 +85,48 @@ class PdfListing(DataSource):
         return Listing(self.options)
 
 
+FOUND = "path string, length long, inner boolean"
+#: Names that leave a task together.
+NAMES = 10_000
+
+
+def listed(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, length) of all PDF files under ``folder``: a round for each depth of folders, in which a task lists one folder at a time. A link to a folder is not followed."""
+    from .sink import entries, is_local, opened
+
+    shape = pa.schema([("path", pa.string()), ("length", pa.int64()), ("inner", pa.bool_())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path in (p for batch in batches for p in batch.column(0).to_pylist()):
+            store, at = opened(path)
+            prefix = "file:" if is_local(path) else path[: len(path) - len(at)] if path.endswith(at) else ""
+            local = prefix == "file:"
+            rows = ((prefix + p, n, inner) for p, inner, n in entries(store, at) if (not (local and os.path.islink(p)) if inner else p.lower().endswith(".pdf")))
+            while some := list(itertools.islice(rows, NAMES)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), shape, strict=True)], schema=shape)
+
+    folders, found = spark.createDataFrame([(folder,)], "path string"), []
+    while True:
+        # folders are dealt one by one, as each is listed in one go
+        round_ = stored(folders.repartition(min(FOLDERS, TURNS * spark.sparkContext.defaultParallelism), "path").mapInArrow(read, FOUND), "listed")
+        found.append(round_.where("not inner").select("path", "length"))
+        folders = round_.where("inner").select("path")
+        if folders.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+
+
+#: Tasks that list folders, at most.
+FOLDERS = 200
+
+
 def list_files(spark: SparkSession, folder: str, pack: int = PACK) -> DataFrame:
-    """doc_id (a hash of the path), path and length of all PDF files under ``folder``, packed by bytes and number. :func:`tables.parse` reads such files by ranges."""
-    spark.dataSource.register(PdfListing)
+    """doc_id (a hash of the path), path and length of all PDF files under ``folder``, found now, dealt by number and bytes. :func:`tables.parse` reads such files by ranges."""
+    found = listed(spark, folder)
+    size, n = found.agg(F.sum(F.col("length") + OPEN), F.count(F.lit(1))).first()
     tasks = TURNS * spark.sparkContext.defaultParallelism
-    found = spark.read.format(PdfListing.name()).options(folder=folder, pack=str(pack), open=str(OPEN), tasks=str(tasks)).load()
-    return found.select(F.xxhash64("path").alias("doc_id"), "path", "length")
+    share = min(pack, max(-(-(size or 0) // tasks), LEAST))
+    parts = max(1, min(n, -(-(size or 0) // share)))
+    return found.repartition(parts).select(F.xxhash64("path").alias("doc_id"), "path", "length")
 
 
 class Ranges:

@@ -10,6 +10,7 @@ job that fails leaves nothing.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import posixpath
@@ -81,18 +82,46 @@ def staging(root: str, job: str) -> str:
     return posixpath.join(posixpath.dirname(root), f".{posixpath.basename(root)}.{job}")
 
 
+def entries(store: fs.FileSystem, folder: str) -> Iterator[tuple[str, bool, int]]:
+    """(path, whether it is a folder, length) of what a folder holds, not of folders inside; one at a time where the system is local."""
+    if isinstance(store, fs.LocalFileSystem):
+        with os.scandir(folder) as found:
+            for e in found:
+                try:
+                    inner = e.is_dir()
+                    yield posixpath.join(folder, e.name), inner, 0 if inner else e.stat().st_size
+                except OSError:  # gone, or a link to nowhere
+                    continue
+    else:
+        for f in store.get_file_info(fs.FileSelector(folder)):
+            yield f.path, f.type == fs.FileType.Directory, f.size or 0
+
+
+def walked(store: fs.FileSystem, root: str) -> Iterator[str]:
+    """``root`` and the folders under it, the outer ones first; a link is not followed."""
+    pending = [root]
+    while pending:
+        at = pending.pop()
+        yield at
+        pending += [path for path, inner, _ in entries(store, at) if inner and not (isinstance(store, fs.LocalFileSystem) and os.path.islink(path))]
+
+
+#: Files of a folder that are listed before they are moved.
+MOVED_TOGETHER = 10_000
+
+
 def move_all(store: fs.FileSystem, source: str, root: str) -> None:
-    """Move the files under ``source`` to the same places under ``root``, over those that are there, and drop ``source``."""
-    found = store.get_file_info(fs.FileSelector(source, recursive=True))
-    for f in sorted(found, key=lambda f: f.path):
-        inside = f.path[len(source) :].lstrip("/")
-        to = posixpath.join(root, inside)
-        if f.type == fs.FileType.Directory:
-            store.create_dir(to, recursive=True)
-        elif inside != MARK:
-            if not isinstance(store, fs.LocalFileSystem) and store.get_file_info(to).type == fs.FileType.File:
-                store.delete_file(to)
-            store.move(f.path, to)
+    """Move the files under ``source`` to the same places under ``root``, over those that are there, and drop ``source``. Few names are held at a time."""
+    mark = posixpath.join(source, MARK)
+    for folder in walked(store, source):
+        to = posixpath.normpath(posixpath.join(root, folder[len(source) :].lstrip("/")))
+        store.create_dir(to, recursive=True)
+        while files := [p for p, _, _ in itertools.islice((e for e in entries(store, folder) if not e[1] and e[0] != mark), MOVED_TOGETHER)]:
+            for path in files:
+                out = posixpath.join(to, posixpath.basename(path))
+                if not isinstance(store, fs.LocalFileSystem) and store.get_file_info(out).type == fs.FileType.File:
+                    store.delete_file(out)
+                store.move(path, out)
     store.delete_dir(source)
 
 
@@ -151,9 +180,10 @@ class FolderWriter(DataSourceArrowWriter):
         store, root = opened(self.folder)
         around = staging(root, self.job)
         there = store.get_file_info(around).type == fs.FileType.Directory
-        for f in store.get_file_info(fs.FileSelector(around, recursive=True)) if there else ():
-            if f.path.endswith(".part"):  # of a task that was killed
-                store.delete_file(f.path)
+        for folder in walked(store, around) if there else ():
+            for path, inner, _ in entries(store, folder):
+                if not inner and path.endswith(".part"):  # of a task that was killed
+                    store.delete_file(path)
         if there and store.get_file_info(root).type == fs.FileType.NotFound:
             store.move(around, root)
         elif there:
