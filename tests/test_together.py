@@ -8,7 +8,7 @@ from test_lengths import frame
 from test_read_once import files
 
 from vellumite.operators import inspect as I
-from vellumite.operators import reach, write
+from vellumite.operators import lengths, reach, write
 from vellumite.operators import objects as O
 from vellumite.operators.sanitize import inspect
 from vellumite.operators.strip import strip
@@ -95,3 +95,13 @@ def test_comments_and_long_names():
     long = b"/" + b"x" * 5000
     held = S.decoded.cache_info().currsize
     assert S.read(long, 0)[0] == "x" * 5000 and S.written(S.Name("x" * 5000)) == long and S.decoded.cache_info().currsize == held
+
+
+def test_offsets_are_found_once_and_levels_share_a_row(spark):
+    seen = inspect(files(spark))
+    held = len(scratch.made())
+    out = write.write([seen.parts.where("obj >= 0"), seen.parts.where("obj = -1")], [seen.tables.payloads.select("doc_id", "obj", "payload")], seen.tables.docs)
+    assert any("/placed-" in p for _, p in scratch.made()[held:]) and plan(out).count("Window") == 0
+    sizes = lengths.exact_sizes(seen, levels=(0, 1, 2))
+    assert plan(sizes).count("Generate explode(array(0, 1, 2))") == 0
+    assert sizes.groupBy("level").count().orderBy("level").collect() == [(i, seen.facts.where("not signed").count()) for i in (0, 1, 2)]

@@ -82,10 +82,14 @@ def exact_sizes(seen, options: Options = DEFAULT, levels: tuple[int, ...] = (0,
     base = object_lengths(written).join(lengths, ["doc_id", "obj"], "left")
     base = base.where("obj >= 0").select("doc_id", "obj", F.expr(IN_FILE).alias("bytes")).unionByName(base.where("obj = -1").selectExpr("doc_id", "obj", "own as bytes"))
     changed = changes(seen, nodes, scrubbed, levels, options)
-    rows = base.select("*", F.explode(F.array(*(F.lit(i) for i in levels))).alias("level"))
+    # one row an object for all levels; those that a level changes have its bytes beside
     if changed is not None:
-        rows = rows.join(changed, ["doc_id", "obj", "level"], "left").withColumn("bytes", F.coalesce("other", "bytes"))
-    sums = rows.groupBy("doc_id", "level").agg(F.sum(F.when(F.col("obj") >= 0, F.col("bytes"))).alias("body"), F.sum(F.when(F.col("obj") == -1, F.col("bytes"))).alias("trailer"), (F.max("obj") + 1).alias("size"))
+        wide = changed.groupBy("doc_id", "obj").agg(*(F.max(F.when(F.col("level") == i, F.col("other"))).alias(f"other_{i}") for i in levels))
+        base = base.join(wide, ["doc_id", "obj"], "left")
+    own = lambda i: F.col("bytes") if changed is None else F.coalesce(f"other_{i}", "bytes")
+    whole = base.groupBy("doc_id").agg(*(F.sum(F.when(F.col("obj") >= 0, own(i))).alias(f"body_{i}") for i in levels), F.sum(F.when(F.col("obj") == -1, F.col("bytes"))).alias("trailer"), (F.max("obj") + 1).alias("size"))
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("level"), F.col(f"body_{i}").alias("body")) for i in levels)))
+    sums = whole.select("doc_id", "trailer", "size", each.alias("of")).select("doc_id", "of.*", "trailer", "size")
     head = len(HEAD % (1, 4))
     table = f"length(concat('xref\n0 ', size, '\n')) + 20 * size"
     end = f"length('trailer\n') + trailer - 2 + length(concat('/Size ', size, ' >>')) + length(concat('\nstartxref\n', {head} + body, '\n%%EOF\n'))"

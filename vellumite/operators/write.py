@@ -119,12 +119,14 @@ def write(made: list[DataFrame], payloads: list[DataFrame], docs: DataFrame) ->
     so neither is joined with the other, and payloads of objects that have no part are left out.
     """
     parts_, payloads_ = layered(made), layered([t if "shrunk" in t.columns else t.withColumn("shrunk", F.lit(False)) for t in payloads])
-    told = parts_.select("doc_id", "obj", F.struct("rank", "gen", *(F.octet_length(c).cast("long").alias(c) for c in PART_BYTES)).alias("part"), F.lit(None).cast("struct<rank: int, n: long, shrunk: boolean>").alias("own"))
-    told = told.unionByName(payloads_.select("doc_id", "obj", F.lit(None).cast(told.schema["part"].dataType).alias("part"), F.struct("rank", F.octet_length("payload").cast("long").alias("n"), "shrunk").alias("own")))
-    last = told.groupBy("doc_id", "obj").agg(F.max("part").alias("part"), F.max("own").alias("own")).where("obj >= 0 and part is not null")
-    shrunk = "coalesce(own.shrunk and part.packed_tail is not null, false)"
-    sized = last.selectExpr("doc_id", "obj", "part.gen as gen", f"if({shrunk}, part.packed_head, part.head) as head", f"if({shrunk}, part.packed_tail, part.tail) as tail", "own.n as n")
-    placed = offsets(sized, len(HEAD % (1, 4)), SIZE).select("doc_id", "obj", "gen", "offset")
+    # of each object numbers alone, those of the last layer: they fit a hash, and are grouped once for both uses
+    lengths = {c: F.octet_length(c).cast("long") for c in PART_BYTES}
+    told = parts_.where("obj >= 0").select("doc_id", "obj", F.col("rank").alias("at"), "gen", *(v.alias(c) for c, v in lengths.items()))
+    told = told.unionByName(payloads_.select("doc_id", "obj", F.col("rank").alias("own"), F.octet_length("payload").cast("long").alias("n"), "shrunk"), allowMissingColumns=True)
+    last = told.groupBy("doc_id", "obj").agg(F.max("at").alias("at"), *(F.max_by(c, "at").alias(c) for c in ("gen", *PART_BYTES)), *(F.max_by(c, "own").alias(c) for c in ("n", "shrunk")))
+    last = last.where("obj >= 0 and at is not null").withColumn("small", F.expr("coalesce(shrunk and packed_tail is not null, false)"))
+    sized = last.selectExpr("doc_id", "obj", "gen", "if(small, packed_head, head) as head", "if(small, packed_tail, tail) as tail", "n")
+    placed = stored(offsets(sized, len(HEAD % (1, 4)), SIZE).select("doc_id", "obj", "gen", "offset"), "placed")
     free = F.when(F.col("obj") == 0, F.lit("0000000000 65535 f \n")).otherwise(F.lit("0000000000 00000 f \n"))
     line = F.when(F.col("offset").isNull(), free).otherwise(F.concat(F.lpad(F.col("offset").cast("string"), 10, "0"), F.lit(" "), F.lpad(F.col("gen").cast("string"), 5, "0"), F.lit(" n \n")))
     table = gaps(placed).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("obj", line.alias("line")))), lambda e: e["line"]), "").alias("xref"), (F.max("obj") + 1).alias("size"))
