@@ -12,7 +12,7 @@ from vellumite.operators import lengths, reach, write
 from vellumite.operators import objects as O
 from vellumite.operators.sanitize import inspect
 from vellumite.operators.strip import strip
-from vellumite.sources import scratch
+from vellumite.sources import scratch, tables
 from vellumite.sources import syntax as S
 
 
@@ -105,3 +105,10 @@ def test_offsets_are_found_once_and_levels_share_a_row(spark):
     sizes = lengths.exact_sizes(seen, levels=(0, 1, 2))
     assert plan(sizes).count("Generate explode(array(0, 1, 2))") == 0
     assert sizes.groupBy("level").count().orderBy("level").collect() == [(i, seen.facts.where("not signed").count()) for i in (0, 1, 2)]
+
+
+def test_rows_are_made_whole():
+    value = {S.Name("A"): [1, None, S.Ref(3, 0), {S.Name("B"): S.Name("x")}], S.Name("C"): S.Hex(b"h"), S.Name("D"): True, S.Name("E"): 0.5, S.Name("F"): b"s"}
+    plain = tables.flatten(7, 1, S.Stream(value, b"data"))
+    assert tables.flatten(7, 1, S.Stream(value, b"data"), (9,), (None, "t")) == [(9, *r, None, "t") for r in plain]
+    assert [(r[2], r[3], r[4], r[5], r[6], r[7], r[8]) for r in plain[:6]] == [(0, None, 0, 0, None, None, "stream"), (1, 0, 1, 0, "A", "A", "array"), (2, 1, 2, 0, None, "A", "int"), (3, 1, 2, 1, None, "A", "null"), (4, 1, 2, 2, None, "A", "ref"), (5, 1, 2, 3, None, "A", "dict")]

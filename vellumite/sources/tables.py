@@ -198,36 +198,41 @@ def xref_stream(data: bytes | R.Ranges, at: int) -> S.Stream:
 KINDS = {type(None): "null", bool: "bool", int: "int", float: "real", S.Name: "name", S.Hex: "hex", S.Ref: "ref", S.Stream: "stream", dict: "dict", list: "array"}
 
 
-def flatten(obj: int, gen: int, value: object) -> list[tuple]:
-    """The rows of one object."""
+def flatten(obj: int, gen: int, value: object, lead: tuple = (), tail: tuple = ()) -> list[tuple]:
+    """The rows of one object, each between ``lead`` and ``tail``."""
     rows: list[tuple] = []
     stack = [(value, None, 0, 0, None, None)]  # value, parent, depth, ord, key, top key
+    lead = (*lead, obj, gen)
+    no_value = (*NO_VALUE, *tail)
     while stack:
         v, parent, depth, place, key, top = stack.pop()
-        kind, me, items = KINDS.get(type(v), "string"), len(rows), None
-        head = obj, gen, me, parent, depth, place, key, top, kind
+        kind, me = KINDS.get(type(v), "string"), len(rows)
         if kind == "ref":
-            rows.append((*head, None, None, None, None, v.obj, v.gen))
-        elif kind == "name":
-            rows.append((*head, None, None, None, v.encode("latin-1"), None, None))
-        elif kind == "int":
-            rows.append((*head, None, v, None, None, None, None))
-        elif kind == "dict" or kind == "array":
-            rows.append((*head, *NO_VALUE))
-            items = v
+            rows.append((*lead, me, parent, depth, place, key, top, kind, None, None, None, None, v.obj, v.gen, *tail))
+            continue
+        if kind == "name":
+            rows.append((*lead, me, parent, depth, place, key, top, kind, None, None, None, v.encode("latin-1"), None, None, *tail))
+            continue
+        if kind == "int":
+            rows.append((*lead, me, parent, depth, place, key, top, kind, None, v, None, None, None, None, *tail))
+            continue
+        if kind == "dict" or kind == "array":
+            rows.append((*lead, me, parent, depth, place, key, top, kind, *no_value))
         elif kind == "stream":
-            rows.append((*head, None, len(v.data), None, v.data[:2], None, None))
-            items = v.dict
+            rows.append((*lead, me, parent, depth, place, key, top, kind, None, len(v.data), None, v.data[:2], None, None, *tail))
+            v = v.dict
         else:
-            rows.append((*head, v if kind == "bool" else None, None, v if kind == "real" else None, bytes(v) if kind in ("hex", "string") else None, None, None))
-        if items:
-            depth += 1
-            if kind == "array":
-                children = [(c, me, depth, i, None, top) for i, c in enumerate(items)]
-            else:
-                children = [(c, me, depth, i, str(k), str(k) if depth == 1 else top) for i, (k, c) in enumerate(items.items())]
-            children.reverse()
-            stack += children
+            rows.append((*lead, me, parent, depth, place, key, top, kind, v if kind == "bool" else None, None, v if kind == "real" else None, bytes(v) if kind in ("hex", "string") else None, None, None, *tail))
+            continue
+        depth += 1
+        if kind == "array":
+            stack += [(v[i], me, depth, i, None, top) for i in range(len(v) - 1, -1, -1)]
+        else:
+            i = len(v)
+            for k in reversed(v):
+                i -= 1
+                name = str(k)
+                stack.append((v[k], me, depth, i, name, name if depth == 1 else top))
     return rows
 
 
@@ -455,15 +460,15 @@ def parse(files: DataFrame, limits: Limits = LIMITS) -> Tables:
             objects, rows = Objects(data, won(entries), limits), []
             for obj in sorted(objects.entries):
                 gen, value = objects.get(obj)
-                if isinstance(value, S.Stream):
-                    if value.dict.get("Type") not in ("ObjStm", "XRef"):
-                        first, *rest = flatten(obj, gen, value)
-                        rows.append((doc, *first, role(value), None, None, wanted(value)))
-                        rows += [(doc, *r, *none) for r in rest]
-                else:
-                    rows += [(doc, *r, *none) for r in flatten(obj, gen, value)]
-            first, *rest = flatten(-1, 0, trailer)
-            return [*rows, (doc, *first, None, major, minor, None), *((doc, *r, *none) for r in rest)]
+                if not isinstance(value, S.Stream):
+                    rows += flatten(obj, gen, value, (doc,), none)
+                elif value.dict.get("Type") not in ("ObjStm", "XRef"):
+                    own = flatten(obj, gen, value, (doc,), none)
+                    own[0] = (*own[0][: -len(none)], role(value), None, None, wanted(value))
+                    rows += own
+            own = flatten(-1, 0, trailer, (doc,), none)
+            own[0] = (*own[0][: -len(none)], None, major, minor, None)
+            return rows + own
         except Exception as e:
             return [failed(doc, e)]
 
